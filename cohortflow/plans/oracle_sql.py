@@ -137,7 +137,7 @@ adm_full AS (
          {period_sql('a.hosp_start', 'a.hosp_end')} AS period
   FROM adm a JOIN subj s ON a.id = s.id
 ),
-events AS (
+classified AS (
   SELECT a.id, a.gender, a.htn, a.diabetes, a.adm_number, a.hosp_start, a.hosp_end, a.hosp_re,
          v.label AS hosp_cause, a.period, v.group4 AS hosp_cause_groups,
          CAST(a.hosp_end - a.hosp_start AS INTEGER) AS person_time,
@@ -153,7 +153,7 @@ analysis AS (
   SELECT p.id, p.gender, p.htn, p.diabetes, e.adm_number, e.hosp_start, e.hosp_end, e.hosp_re,
          e.hosp_cause, p.period, e.hosp_cause_groups, e.person_time, e.log_person_time,
          p.clinic, p.age, p.age_group, p.charlson, p.va
-  FROM events e RIGHT JOIN presence p
+  FROM classified e RIGHT JOIN presence p
     ON e.id IS NOT DISTINCT FROM p.id AND e.period IS NOT DISTINCT FROM p.period
    AND e.gender IS NOT DISTINCT FROM p.gender AND e.htn IS NOT DISTINCT FROM p.htn
    AND e.diabetes IS NOT DISTINCT FROM p.diabetes
@@ -266,6 +266,8 @@ def register(name: str, body: str, doubles: tuple[str, ...] = ()) -> None:
     if doubles:
         rep = ", ".join(f'round("{c}", 6) AS "{c}"' for c in doubles)
         body = f"SELECT * REPLACE ({rep}) FROM ({body})"
+    else:
+        body = f"SELECT * FROM ({body})"
     ORACLES[name] = _with(body)
 
 
@@ -326,3 +328,204 @@ SELECT id, period,
        CASE period WHEN {_q(P1.label)} THEN {float(P1.days)} WHEN {_q(P2.label)} THEN {float(P2.days)} END AS exposure_time,
        ln(CASE period WHEN {_q(P1.label)} THEN {float(P1.days)} WHEN {_q(P2.label)} THEN {float(P2.days)} END) AS log_exposure
 FROM unpaired""", ("exposure_time", "log_exposure"))
+
+
+# ------------------------------------------------------------ p-value tails
+# Series evaluated by DuckDB itself (lgamma is built in; erf / incomplete
+# gamma / beta are not): regularised lower gamma P(a, x) as a sum over n, the
+# incomplete beta by its power series on the side of 1/2 where it converges.
+
+def chi2_sf_sql(stat: str, df: str, terms: int = 4000) -> str:
+    a, x = f"(({df}) / 2.0)", f"(({stat}) / 2.0)"
+    p = (f"(SELECT sum(exp(-{x} + ({a} + n) * ln({x}) - lgamma({a} + n + 1))) "
+         f"FROM range(0, {terms}) r(n))")
+    return (f"(CASE WHEN ({stat}) IS NULL OR ({df}) IS NULL THEN NULL WHEN ({stat}) <= 0 THEN 1.0 "
+            f"WHEN {x} > {a} + 1500 THEN 0.0 ELSE greatest(0.0, 1.0 - {p}) END)")
+
+
+def _beta_series(a: str, b: str, x: str, terms: int) -> str:
+    lead = f"({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - (lgamma({a}) + lgamma({b}) - lgamma({a} + {b})))"
+    return (f"(SELECT sum(exp({lead} + lgamma({a} + {b} + n) - lgamma({a} + {b}) - lgamma({a} + 1 + n) "
+            f"+ lgamma({a} + 1) + n * ln({x}))) FROM range(0, {terms}) r(n))")
+
+
+def t_two_sided_sql(t: str, df: str, terms: int = 4000) -> str:
+    z = f"(({df}) / (({df}) + ({t}) * ({t})))"
+    direct = _beta_series(f"(({df}) / 2.0)", "0.5", z, terms)
+    flipped = _beta_series("0.5", f"(({df}) / 2.0)", f"(1 - {z})", terms)
+    return (f"(CASE WHEN ({t}) IS NULL OR ({df}) IS NULL THEN NULL WHEN ({t}) = 0 THEN 1.0 "
+            f"WHEN {z} < 0.5 THEN {direct} ELSE 1.0 - {flipped} END)")
+
+
+def norm_two_sided_sql(z: str) -> str:
+    return chi2_sf_sql(f"(({z}) * ({z}))", "1")
+
+
+# ------------------------------------------------------------------- tests
+
+def _pairs_union(fmt: str, measures=("hosp", "infection", "cardio")) -> str:
+    return " UNION ALL ".join(fmt.format(m=m, pre=P1.label, post=P2.label) for m in measures)
+
+
+DIFFS = _pairs_union("SELECT '{m}' AS measure, CAST({m}_count_{post} AS DOUBLE) AS post, "
+                     "CAST({m}_count_{pre} AS DOUBLE) AS pre FROM pw")
+ANYS = _pairs_union("SELECT '{m}' AS measure, {m}_any_{pre} AS r, {m}_any_{post} AS c FROM pw")
+
+register("paired_diff_t", f"""
+SELECT *, {t_two_sided_sql('statistic', 'df')} AS p_value FROM (
+  SELECT measure, count(post - pre) AS n_pairs, avg(post - pre) AS mean_diff,
+         stddev_samp(post - pre) AS sd_diff,
+         CASE WHEN stddev_samp(post - pre) > 0
+              THEN avg(post - pre) / (stddev_samp(post - pre) / sqrt(count(post - pre))) END AS statistic,
+         CAST(count(post - pre) - 1 AS DOUBLE) AS df
+  FROM ({DIFFS}) GROUP BY measure)""", ("mean_diff", "sd_diff", "statistic", "df", "p_value"))
+
+
+def _contingency_sql(src: str, measures: list[str]) -> str:
+    ms = ", ".join(f"('{m}')" for m in measures)
+    return f"""
+SELECT g.measure, g.row_level, g.col_level, coalesce(o.n, 0) AS n
+FROM (SELECT * FROM (VALUES {ms}) m(measure), (VALUES (0), (1)) a(row_level), (VALUES (0), (1)) b(col_level)) g
+LEFT JOIN (SELECT measure, CAST(r AS INTEGER) AS row_level, CAST(c AS INTEGER) AS col_level, count(*) AS n
+           FROM ({src}) WHERE r IN (0, 1) AND c IN (0, 1) GROUP BY ALL) o
+  USING (measure, row_level, col_level)"""
+
+
+def _mcnemar_sql(cont: str) -> str:
+    return f"""
+SELECT *, {chi2_sf_sql('statistic', 'df')} AS p_value FROM (
+  SELECT *, CASE WHEN n_01 + n_10 = 0 THEN NULL WHEN n_01 = n_10 THEN 0.0
+                 ELSE power(abs(n_01 - n_10) - 1, 2) / (n_01 + n_10) END AS statistic, 1.0 AS df
+  FROM (SELECT measure,
+          CAST(sum(n) FILTER (WHERE row_level = 0 AND col_level = 0) AS BIGINT) AS n_00,
+          CAST(sum(n) FILTER (WHERE row_level = 0 AND col_level = 1) AS BIGINT) AS n_01,
+          CAST(sum(n) FILTER (WHERE row_level = 1 AND col_level = 0) AS BIGINT) AS n_10,
+          CAST(sum(n) FILTER (WHERE row_level = 1 AND col_level = 1) AS BIGINT) AS n_11
+        FROM ({cont}) GROUP BY measure))"""
+
+
+register("contingency", _contingency_sql(ANYS, ["hosp", "infection", "cardio"]))
+register("mcnemar", _mcnemar_sql(_contingency_sql(ANYS, ["hosp", "infection", "cardio"])),
+         ("statistic", "df", "p_value"))
+register("mcnemar_labels", _mcnemar_sql(_contingency_sql(
+    "SELECT 'quality_vs_toxic' AS measure, quality AS r, toxic AS c FROM labels", ["quality_vs_toxic"])),
+    ("statistic", "df", "p_value"))
+register("cohen_d_paired", """
+SELECT measure, n_pairs, mean_diff, sd_diff, r, d,
+       CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small'
+            WHEN abs(d) < 0.8 THEN 'medium' WHEN abs(d) >= 0.8 THEN 'large' END AS magnitude,
+       d - 1.959963984540054 * sqrt((1.0 / n_pairs + d * d / (2.0 * n_pairs)) * 2 * (1 - r)) AS ci_lower,
+       d + 1.959963984540054 * sqrt((1.0 / n_pairs + d * d / (2.0 * n_pairs)) * 2 * (1 - r)) AS ci_upper
+FROM (SELECT *, mean_diff / (sd_diff / sqrt(2 * (1 - r))) AS d FROM (
+  SELECT measure, count(post - pre) AS n_pairs, avg(post - pre) AS mean_diff,
+         stddev_samp(post - pre) AS sd_diff, corr(post, pre) AS r
+  FROM (""" + DIFFS + """) WHERE post - pre IS NOT NULL GROUP BY measure))""",
+         ("mean_diff", "sd_diff", "r", "d", "ci_lower", "ci_upper"))
+
+DEMO_LONG = " UNION ALL ".join(
+    f"SELECT period, '{v}' AS variable, CAST({v} AS VARCHAR) AS level FROM demo"
+    for v in ["age_group", "diabetes_type", "karnofsky", "va", "gender", "htn", "diabetes"])
+
+
+def _chi_sql(cells: str, key: str) -> str:
+    return f"""
+WITH cells AS ({cells}),
+r AS (SELECT {key}, row_level, sum(n) AS rt FROM cells GROUP BY ALL),
+c AS (SELECT {key}, col_level, sum(n) AS ct FROM cells GROUP BY ALL),
+t AS (SELECT {key}, sum(n) AS nt FROM cells GROUP BY ALL),
+f AS (SELECT r.{key}, r.row_level, c.col_level, r.rt, c.ct, t.nt, coalesce(cells.n, 0) AS o,
+             r.rt * c.ct / t.nt AS e
+      FROM r JOIN c USING ({key}) JOIN t USING ({key}) LEFT JOIN cells USING ({key}, row_level, col_level))
+SELECT *, {chi2_sf_sql('statistic', 'df')} AS p_value FROM (
+  SELECT {key}, CAST(any_value(nt) AS BIGINT) AS n_total, count(DISTINCT row_level) AS n_rows,
+         count(DISTINCT col_level) AS n_cols, min(e) AS min_expected,
+         CASE WHEN (count(DISTINCT row_level) - 1) * (count(DISTINCT col_level) - 1) > 0
+              THEN sum((o - e) * (o - e) / e) END AS statistic,
+         CASE WHEN (count(DISTINCT row_level) - 1) * (count(DISTINCT col_level) - 1) > 0
+              THEN CAST((count(DISTINCT row_level) - 1) * (count(DISTINCT col_level) - 1) AS DOUBLE) END AS df
+  FROM f GROUP BY {key})"""
+
+
+register("chi_square", _chi_sql(
+    f"SELECT variable, level AS row_level, period AS col_level, count(*) AS n FROM ({DEMO_LONG}) "
+    "WHERE level IS NOT NULL AND period IS NOT NULL GROUP BY ALL", "variable"),
+    ("min_expected", "statistic", "df", "p_value"))
+register("chi_square_labels", _chi_sql(
+    "SELECT 'quality_x_toxic' AS \"table\", CAST(quality AS VARCHAR) AS row_level, "
+    "CAST(toxic AS VARCHAR) AS col_level, count(*) AS n FROM labels "
+    "WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL", '"table"'),
+    ("min_expected", "statistic", "df", "p_value"))
+
+
+def _fisher_sql(cells: str) -> str:
+    lp = ("(lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(c1 + 1) + lgamma(c2 + 1) - lgamma(nn + 1) "
+          "- lgamma(x + 1) - lgamma(r1 - x + 1) - lgamma(c1 - x + 1) - lgamma(nn - r1 - c1 + x + 1))")
+    return f"""
+WITH cells AS ({cells}),
+lv AS (SELECT variable, min(row_level) AS r0, min(col_level) AS c0,
+              count(DISTINCT row_level) AS nr, count(DISTINCT col_level) AS nc FROM cells GROUP BY ALL),
+tab AS (SELECT variable,
+          CAST(sum(n) FILTER (WHERE row_level = r0 AND col_level = c0) AS BIGINT) AS a,
+          CAST(sum(n) FILTER (WHERE row_level = r0 AND col_level <> c0) AS BIGINT) AS b,
+          CAST(sum(n) FILTER (WHERE row_level <> r0 AND col_level = c0) AS BIGINT) AS c,
+          CAST(sum(n) FILTER (WHERE row_level <> r0 AND col_level <> c0) AS BIGINT) AS d
+        FROM cells JOIN lv USING (variable) WHERE nr = 2 AND nc = 2 GROUP BY variable),
+t2 AS (SELECT variable, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d FROM tab),
+sup AS (SELECT variable, a, b, c, d, a + b AS r1, c + d AS r2, a + c AS c1, b + d AS c2, a + b + c + d AS nn FROM t2),
+pmf AS (SELECT s.*, x, exp({lp}) AS px FROM sup s,
+        LATERAL (SELECT unnest(range(greatest(0, r1 + c1 - nn), least(r1, c1) + 1)) AS x))
+SELECT variable, a, b, c, d,
+       least(1.0, sum(px) FILTER (WHERE px <= (SELECT px FROM pmf p2 WHERE p2.variable = pmf.variable AND p2.x = pmf.a) * (1 + 1e-7))
+             / sum(px)) AS p_value
+FROM pmf GROUP BY variable, a, b, c, d"""
+
+
+FISHER_LONG = (" UNION ALL ".join(
+    f"SELECT '{v}' AS variable, CAST({v} AS VARCHAR) AS level, period FROM demo"
+    for v in ["gender", "htn", "diabetes", "diabetes_type"])
+    + " UNION ALL SELECT 'quality_x_toxic', CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR) FROM labels")
+register("fisher_2x2", _fisher_sql(
+    f"SELECT variable, level AS row_level, period AS col_level, count(*) AS n FROM ({FISHER_LONG}) "
+    "WHERE level IS NOT NULL AND period IS NOT NULL GROUP BY ALL"), ("p_value",))
+
+
+def _rank_sql(src: str, key: str, first: str | None) -> str:
+    """Midranks by window functions; W / H from rank sums."""
+    r1 = (f"sum(R) FILTER (WHERE grp = {_q(first)})" if first else "arg_min(R, grp)")
+    n1 = (f"sum(ng) FILTER (WHERE grp = {_q(first)})" if first else "arg_min(ng, grp)")
+    return f"""
+WITH s AS (SELECT {key} AS key, value, grp FROM ({src}) WHERE value IS NOT NULL AND grp IS NOT NULL),
+rk AS (SELECT key, value, grp,
+              rank() OVER (PARTITION BY key ORDER BY value) - 1
+              + (count(*) OVER (PARTITION BY key, value) + 1) / 2.0 AS mr FROM s),
+ties AS (SELECT key, sum(t * t * t - t) AS ties FROM (SELECT key, value, count(*) AS t FROM s GROUP BY ALL) GROUP BY key),
+g AS (SELECT key, grp, sum(mr) AS R, count(*) AS ng FROM rk GROUP BY ALL),
+a AS (SELECT key, count(*) AS k, sum(ng) AS n_total, {r1} AS R1, {n1} AS n1,
+             sum(R * R / ng) AS r2n FROM g GROUP BY key)
+SELECT a.*, ties.ties FROM a JOIN ties USING (key)"""
+
+
+def _rank_sum_sql(src, key, first):
+    w = "(R1 - n1 * (n1 + 1) / 2.0)"
+    mu = "(n1 * (n_total - n1) / 2.0)"
+    sig = "sqrt(n1 * (n_total - n1) / 12.0 * ((n_total + 1) - ties / (n_total * (n_total - 1.0))))"
+    return f"""
+SELECT *, {norm_two_sided_sql('z')} AS p_value FROM (
+  SELECT key AS {key}, CAST(n_total AS BIGINT) AS n_total, CAST(n1 AS BIGINT) AS n1,
+         CASE WHEN k = 2 THEN {w} END AS statistic,
+         CASE WHEN k = 2 AND {sig} > 0 THEN ({w} - {mu} - 0.5 * sign({w} - {mu})) / {sig} END AS z
+  FROM ({_rank_sql(src, key, first)}))"""
+
+
+register("rank_sum", _rank_sum_sql(
+    "SELECT 'age' AS variable, age AS value, period AS grp FROM demo "
+    "UNION ALL SELECT 'charlson', charlson, period FROM demo", "variable", P1.label),
+    ("statistic", "z", "p_value"))
+register("kruskal_wallis", f"""
+SELECT *, {chi2_sf_sql('statistic', 'df')} AS p_value FROM (
+  SELECT CAST(n_total AS BIGINT) AS n_total, k,
+         CASE WHEN k > 1 THEN (12.0 / (n_total * (n_total + 1.0)) * r2n - 3 * (n_total + 1))
+                              / (1 - ties / (n_total * n_total * n_total - n_total)) END AS statistic,
+         CASE WHEN k > 1 THEN CAST(k - 1 AS DOUBLE) END AS df
+  FROM ({_rank_sql("SELECT 'all' AS variable, value, event_type AS grp FROM events", "variable", None)}))""",
+    ("statistic", "df", "p_value"))

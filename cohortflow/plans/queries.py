@@ -185,3 +185,113 @@ def q_unpaired_event_flags(spark, sf_dir):
 def q_exposure_days(spark, sf_dir):
     return S.with_exposure(unpaired(spark, sf_dir), SPEC).select(
         "id", "period", "exposure_time", "log_exposure")
+
+
+# --------------------------------------------------------------- phase 3 - 5
+
+def _post_pre(measures):
+    post, pre = SPEC.period_labels[1], SPEC.period_labels[0]
+    return {m: (f"{m}_count_{post}", f"{m}_count_{pre}") for m in measures}
+
+
+def _pre_post_any(measures):
+    post, pre = SPEC.period_labels[1], SPEC.period_labels[0]
+    return {m: (f"{m}_any_{pre}", f"{m}_any_{post}") for m in measures}
+
+
+MEASURES = ["hosp", "infection", "cardio"]
+DEMO_CATEGORICAL = ["age_group", "diabetes_type", "karnofsky", "va", "gender", "htn", "diabetes"]
+
+
+def _demo_long_categorical(spark, sf_dir, variables=DEMO_CATEGORICAL):
+    from cohortflow.operators.reshape import stack_columns
+    d = demo(spark, sf_dir)
+    return stack_columns(d, ["period"], {v: F.col(v) for v in variables}, "variable", "level")
+
+
+@query("paired_diff_t")
+def q_paired_diff_t(spark, sf_dir):
+    """Paired t test of post - pre admission counts (all, infection, cardiovascular)."""
+    from cohortflow.operators.stats import paired_t
+    return paired_t(paired_wide(spark, sf_dir), _post_pre(MEASURES))
+
+
+@query("contingency")
+def q_contingency(spark, sf_dir):
+    """2x2 pre x post any-event tables with fixed 0/1 levels."""
+    from cohortflow.operators.stats import contingency
+    return contingency(paired_wide(spark, sf_dir), _pre_post_any(MEASURES))
+
+
+@query("mcnemar")
+def q_mcnemar(spark, sf_dir):
+    from cohortflow.operators.stats import contingency, mcnemar
+    return mcnemar(contingency(paired_wide(spark, sf_dir), _pre_post_any(MEASURES)))
+
+
+@query("mcnemar_labels")
+def q_mcnemar_labels(spark, sf_dir):
+    """McNemar on the labels table: quality (rows) vs toxic (columns) per document."""
+    from cohortflow.operators.stats import contingency, mcnemar
+    lab = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mcnemar(contingency(lab, {"quality_vs_toxic": ("quality", "toxic")}))
+
+
+@query("cohen_d_paired")
+def q_cohen_d_paired(spark, sf_dir):
+    from cohortflow.operators.stats import cohen_d_paired
+    return cohen_d_paired(paired_wide(spark, sf_dir), _post_pre(MEASURES))
+
+
+@query("chi_square")
+def q_chi_square(spark, sf_dir):
+    """Pearson chi-square of each categorical demographic vs period."""
+    from cohortflow.operators.stats import cell_counts, chi_square
+    long = _demo_long_categorical(spark, sf_dir)
+    return chi_square(cell_counts(long, ["variable"], "level", "period"), ["variable"])
+
+
+@query("chi_square_labels")
+def q_chi_square_labels(spark, sf_dir):
+    from cohortflow.operators.stats import cell_counts, chi_square
+    lab = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("table", F.lit("quality_x_toxic"))
+    return chi_square(cell_counts(lab, ["table"], "quality", "toxic"), ["table"])
+
+
+@query("fisher_2x2")
+def q_fisher_2x2(spark, sf_dir):
+    """Fisher exact p for the 2x2 tables: labels quality x toxic, and two-level
+    demographics (gender, htn, diabetes, diabetes type) x period."""
+    from cohortflow.operators.stats import cell_counts, fisher_2x2
+    lab = (spark.read.parquet(f"{sf_dir}/labels.parquet")
+           .select(F.lit("quality_x_toxic").alias("variable"), F.col("quality").cast("string").alias("level"),
+                   F.col("toxic").cast("string").alias("period")))
+    long = _demo_long_categorical(spark, sf_dir, ["gender", "htn", "diabetes", "diabetes_type"])
+    both = long.select("variable", "level", "period").unionByName(lab)
+    return fisher_2x2(cell_counts(both, ["variable"], "level", "period"), ["variable"])
+
+
+@query("rank_sum")
+def q_rank_sum(spark, sf_dir):
+    """Wilcoxon rank-sum of age and Charlson index between the two periods."""
+    from cohortflow.operators.reshape import stack_columns
+    from cohortflow.operators.stats import rank_sum
+    long = stack_columns(demo(spark, sf_dir), ["period"], {"age": F.col("age"), "charlson": F.col("charlson")},
+                         "variable", "value", "double")
+    return rank_sum(long, ["variable"], "value", "period", first_level=SPEC.period_labels[0])
+
+
+@query("kruskal_wallis")
+def q_kruskal_wallis(spark, sf_dir):
+    """Kruskal-Wallis of event value across the five event types."""
+    from cohortflow.operators.stats import kruskal_wallis
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
+    return kruskal_wallis(ev, [], "value", "event_type")
+
+
+@query("monte_carlo_independence")
+def q_monte_carlo(spark, sf_dir):
+    """Simulated p (2000 tables, margins fixed) for karnofsky and age band vs period."""
+    from cohortflow.operators.stats import cell_counts, monte_carlo_independence
+    long = _demo_long_categorical(spark, sf_dir, ["karnofsky", "age_group"])
+    return monte_carlo_independence(cell_counts(long, ["variable"], "level", "period"), ["variable"])
