@@ -236,55 +236,58 @@ def _random_table(rng, row_tot, col_tot):
 
 
 def monte_carlo_independence(counts: DataFrame, keys: list[str], replicates: int = 2000,
-                             seed: int = 20240101, statistic: str = "chisq") -> DataFrame:
+                             seed: int = 20240101) -> DataFrame:
     """Monte-Carlo p for independence in r x c tables, margins fixed.
 
-    Replicates are rows of a Spark range spread over tasks; each draws its
-    table from a generator seeded by (seed, key index, replicate id), so the
-    result does not depend on partitioning. Statistic ``chisq`` (Pearson) or
-    ``fisher`` (table probability, i.e. -sum log n!). Only the margins of
-    each table (bounded by its number of levels) travel with the tasks.
+    Replicates are generated rows spread over tasks; each draws its table
+    from a generator seeded by (seed, key hash, replicate id), so the result
+    does not depend on partitioning. Both statistics come from the same
+    draws: Pearson chi-square (larger is more extreme) and the Fisher table
+    probability, -sum log n! (smaller is more extreme). Only each table's
+    cells (bounded by its number of levels) travel with the tasks.
     """
     tables = (counts.groupBy(*keys).agg(
         F.collect_list(F.struct("row_level", "col_level", "n")).alias("cells"))
         .withColumn("mc_key", F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0)))
-    # One row per (table, replicate) from a generator, spread over tasks by replicate.
     n_tasks = max(1, min(replicates // 100, 64))
     j = (tables.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
          .repartition(n_tasks, "rep"))
     out_schema = T.StructType([*[counts.schema[k] for k in keys],
-                               T.StructField("rep", T.LongType()),
-                               T.StructField("sim", T.DoubleType()),
-                               T.StructField("obs", T.DoubleType())])
+                               T.StructField("sim_chisq", T.DoubleType()),
+                               T.StructField("obs_chisq", T.DoubleType()),
+                               T.StructField("sim_fisher", T.DoubleType()),
+                               T.StructField("obs_fisher", T.DoubleType())])
 
-    def stat_of(tab):
-        if statistic == "fisher":
-            return -float(sum(math.lgamma(v + 1) for v in tab.ravel()))
+    def chisq(tab):
         r, c = tab.sum(1, keepdims=True), tab.sum(0, keepdims=True)
         e = r * c / tab.sum()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return float(np.nansum((tab - e) ** 2 / e))
+        return float(((tab - e) ** 2 / e).sum())
+
+    def fisher(tab):
+        return -float(sum(math.lgamma(v + 1) for v in tab.ravel()))
 
     def run(it):
         for pdf in it:
             rows = []
-            for rec in pdf.itertuples(index=False):
-                cells = list(rec.cells)
+            for rec in pdf.to_dict("records"):
+                cells = list(rec["cells"])
                 rl = sorted({c["row_level"] for c in cells})
                 cl = sorted({c["col_level"] for c in cells})
                 obs = np.zeros((len(rl), len(cl)), dtype=np.int64)
                 for c in cells:
                     obs[rl.index(c["row_level"]), cl.index(c["col_level"])] = c["n"]
-                rng = np.random.default_rng([seed, int(rec.mc_key) & 0x7FFFFFFFFFFFFFFF, int(rec.rep)])
+                rng = np.random.default_rng([seed, int(rec["mc_key"]) & 0x7FFFFFFFFFFFFFFF, int(rec["rep"])])
                 sim = _random_table(rng, obs.sum(1), obs.sum(0))
-                rows.append([*[getattr(rec, k) for k in keys], int(rec.rep), stat_of(sim), stat_of(obs)])
+                rows.append([*[rec[k] for k in keys], chisq(sim), chisq(obs), fisher(sim), fisher(obs)])
             yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
     sims = j.mapInPandas(run, out_schema)
-    if statistic == "fisher":
-        hit = F.col("sim") <= F.col("obs") / ALMOST_ONE
-    else:
-        hit = F.col("sim") >= F.col("obs") * ALMOST_ONE
-    g = sims.groupBy(*keys).agg(F.first("obs").alias("statistic"), F.count(F.lit(1)).alias("replicates"),
-                                F.count_if(hit).alias("n_extreme"))
-    return g.withColumn("p_value", (F.col("n_extreme") + 1) / (F.col("replicates") + 1))
-
+    g = sims.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("replicates"),
+        F.first("obs_chisq").alias("chisq_statistic"),
+        F.count_if(F.col("sim_chisq") >= F.col("obs_chisq") * ALMOST_ONE).alias("__hc"),
+        F.first("obs_fisher").alias("fisher_statistic"),
+        F.count_if(F.col("sim_fisher") <= F.col("obs_fisher") / ALMOST_ONE).alias("__hf"))
+    return g.select(*keys, "replicates", "chisq_statistic",
+                    ((F.col("__hc") + 1) / (F.col("replicates") + 1)).alias("chisq_p_value"),
+                    "fisher_statistic",
+                    ((F.col("__hf") + 1) / (F.col("replicates") + 1)).alias("fisher_p_value"))

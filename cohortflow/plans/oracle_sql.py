@@ -529,3 +529,116 @@ SELECT *, {chi2_sf_sql('statistic', 'df')} AS p_value FROM (
          CASE WHEN k > 1 THEN CAST(k - 1 AS DOUBLE) END AS df
   FROM ({_rank_sql("SELECT 'all' AS variable, value, event_type AS grp FROM events", "variable", None)}))""",
     ("statistic", "df", "p_value"))
+
+
+# ---------------------------------------------------------------- summaries
+
+def _long(src: str, by: str, variables: list[str], cast: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {by} AS grp, '{v}' AS variable, CAST({v} AS {cast}) AS value FROM {src}" for v in variables)
+
+
+def _continuous_sql(long: str, strata: str = "") -> str:
+    s = f"{strata}, " if strata else ""
+    return f"""
+SELECT {s}variable, grp, count(value) AS n, count(*) FILTER (WHERE value IS NULL) AS n_missing,
+       avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS p25,
+       quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS p75
+FROM ({long}) WHERE grp IS NOT NULL GROUP BY ALL"""
+
+
+def _categorical_sql(long: str, dich: dict | None = None, strata: str = "") -> str:
+    s = f"{strata}, " if strata else ""
+    j = f" AND lv.{strata} IS NOT DISTINCT FROM den.{strata}" if strata else ""
+    jc = f" AND cnt.{strata} IS NOT DISTINCT FROM den.{strata}" if strata else ""
+    filt = ""
+    if dich:
+        conds = " OR ".join(f"(lv.variable = {_q(k)} AND lv.level = {_q(v)})" for k, v in dich.items())
+        others = ", ".join(_q(k) for k in dich)
+        filt = f"WHERE lv.variable NOT IN ({others}) OR {conds}"
+    sel_s = f"den.{strata}, " if strata else ""
+    return f"""
+SELECT * FROM (
+WITH l AS (SELECT * FROM ({long}) WHERE grp IS NOT NULL AND value IS NOT NULL),
+cnt AS (SELECT {s}variable, value AS level, grp, count(*) AS n FROM l GROUP BY ALL),
+den AS (SELECT {s}variable, grp, count(*) AS denom FROM l GROUP BY ALL),
+lv AS (SELECT DISTINCT {s}variable, value AS level FROM l)
+SELECT {sel_s}lv.variable, lv.level, den.grp, coalesce(cnt.n, 0) AS n, den.denom,
+       coalesce(cnt.n, 0) / den.denom AS pct
+FROM lv JOIN den ON lv.variable = den.variable{j}
+LEFT JOIN cnt ON cnt.variable = lv.variable AND cnt.level = lv.level AND cnt.grp = den.grp{jc}
+{filt})"""
+
+
+DEMO_VARS = ["age", "age_group", "gender", "htn", "diabetes", "diabetes_type", "charlson", "karnofsky", "va"]
+NUMERIC_DEMO = ["age", "charlson", "karnofsky"]
+
+register("summary_continuous", _continuous_sql(_long("demo", "period", ["age", "charlson"], "DOUBLE")),
+         ("mean", "sd", "p25", "median", "p75"))
+register("summary_documents", _continuous_sql(_long("documents", "lang", ["n_chars"], "DOUBLE")),
+         ("mean", "sd", "p25", "median", "p75"))
+register("summary_categorical", _categorical_sql(
+    _long("demo", "period", ["age_group", "diabetes_type", "karnofsky", "va"], "VARCHAR")), ("pct",))
+register("summary_dichotomous", _categorical_sql(
+    _long("demo", "period", ["gender", "htn", "diabetes"], "VARCHAR"),
+    {"gender": "Mujer", "htn": "Si", "diabetes": "Si"}), ("pct",))
+register("summary_missing", f"""
+SELECT variable, grp, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS n_missing
+FROM ({_long("demo", "period", DEMO_VARS, "VARCHAR")}) WHERE grp IS NOT NULL GROUP BY ALL""")
+KIND_SQL = f"""
+SELECT variable, count(DISTINCT value) AS n_distinct, count(*) FILTER (WHERE value IS NULL) AS n_missing,
+       variable IN ({", ".join(_q(v) for v in NUMERIC_DEMO)}) AS is_numeric,
+       CASE WHEN variable IN ({", ".join(_q(v) for v in NUMERIC_DEMO)}) AND count(DISTINCT value) >= 10
+            THEN 'continuous' ELSE 'categorical' END AS kind
+FROM ({_long("demo", "period", DEMO_VARS, "VARCHAR")}) GROUP BY variable"""
+register("summary_kind_profile", KIND_SQL)
+
+_STRAT_LONG_C = " UNION ALL ".join(
+    f"SELECT period, hosp_cause_groups AS grp, '{v}' AS variable, CAST({v} AS DOUBLE) AS value FROM analysis"
+    for v in ["charlson"])
+_STRAT_LONG_K = " UNION ALL ".join(
+    f"SELECT period, hosp_cause_groups AS grp, '{v}' AS variable, CAST({v} AS VARCHAR) AS value FROM analysis"
+    for v in ["age_group", "gender", "htn", "diabetes"])
+register("stratified_summary", f"""
+SELECT period, variable, 'continuous' AS kind, CAST(NULL AS VARCHAR) AS level, grp, n,
+       CAST(NULL AS BIGINT) AS denom, CAST(NULL AS DOUBLE) AS pct, mean, sd, p25, median, p75
+FROM ({_continuous_sql(_STRAT_LONG_C, "period")})
+UNION ALL
+SELECT period, variable, CASE WHEN variable IN ('htn', 'diabetes') THEN 'dichotomous' ELSE 'categorical' END,
+       level, grp, n, denom, pct, NULL, NULL, NULL, NULL, NULL
+FROM ({_categorical_sql(_STRAT_LONG_K, {"htn": "Si", "diabetes": "Si"}, "period")})""",
+         ("pct", "mean", "sd", "p25", "median", "p75"))
+
+_TEST_RANK = _rank_sql(" UNION ALL ".join(
+    f"SELECT '{v}' AS variable, CAST({v} AS DOUBLE) AS value, period AS grp FROM demo" for v in NUMERIC_DEMO),
+    "variable", P1.label)
+_TEST_CELLS = (f"SELECT variable, value AS row_level, grp AS col_level, count(*) AS n "
+               f"FROM ({_long('demo', 'period', DEMO_VARS, 'VARCHAR')}) "
+               f"WHERE value IS NOT NULL AND grp IS NOT NULL GROUP BY ALL")
+register("summary_with_tests", f"""
+WITH prof AS ({KIND_SQL}),
+rk AS ({_TEST_RANK}),
+w AS (SELECT key AS variable, k, (R1 - n1 * (n1 + 1) / 2.0) AS W,
+             ((R1 - n1 * (n1 + 1) / 2.0) - n1 * (n_total - n1) / 2.0
+              - 0.5 * sign((R1 - n1 * (n1 + 1) / 2.0) - n1 * (n_total - n1) / 2.0))
+             / sqrt(n1 * (n_total - n1) / 12.0 * ((n_total + 1) - ties / (n_total * (n_total - 1.0)))) AS z,
+             (12.0 / (n_total * (n_total + 1.0)) * r2n - 3 * (n_total + 1))
+             / (1 - ties / (n_total * n_total * n_total - n_total)) AS H
+      FROM rk),
+chi AS ({_chi_sql(_TEST_CELLS, "variable")}),
+fis AS ({_fisher_sql(_TEST_CELLS)})
+SELECT w.variable, 'continuous' AS kind,
+       CASE WHEN k = 2 THEN 'wilcox.test' WHEN k > 2 THEN 'kruskal.test' END AS test,
+       CASE WHEN k = 2 THEN W WHEN k > 2 THEN H END AS statistic,
+       CASE WHEN k > 2 THEN CAST(k - 1 AS DOUBLE) END AS df,
+       CASE WHEN k = 2 THEN {norm_two_sided_sql('z')} WHEN k > 2 THEN {chi2_sf_sql('H', 'k - 1')} END AS p_value
+FROM w JOIN prof USING (variable) WHERE prof.kind = 'continuous'
+UNION ALL
+SELECT chi.variable, 'categorical',
+       CASE WHEN min_expected >= 5 THEN 'chisq.test.no.correct'
+            WHEN n_rows = 2 AND n_cols = 2 THEN 'fisher.test' ELSE 'fisher.test (simulated)' END,
+       CASE WHEN min_expected >= 5 THEN statistic END,
+       CASE WHEN min_expected >= 5 THEN df END,
+       CASE WHEN min_expected >= 5 THEN chi.p_value WHEN n_rows = 2 AND n_cols = 2 THEN fis.p_value END
+FROM chi JOIN prof USING (variable) LEFT JOIN fis USING (variable) WHERE prof.kind = 'categorical'
+""", ("statistic", "df", "p_value"))

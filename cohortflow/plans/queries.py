@@ -295,3 +295,83 @@ def q_monte_carlo(spark, sf_dir):
     from cohortflow.operators.stats import cell_counts, monte_carlo_independence
     long = _demo_long_categorical(spark, sf_dir, ["karnofsky", "age_group"])
     return monte_carlo_independence(cell_counts(long, ["variable"], "level", "period"), ["variable"])
+
+
+# ------------------------------------------------------------------ summaries
+
+DEMO_VARIABLES = ["age", "age_group", "gender", "htn", "diabetes", "diabetes_type", "charlson",
+                  "karnofsky", "va"]
+DICHOTOMOUS = {"gender": "Mujer", "htn": "Si", "diabetes": "Si"}
+
+
+@query("summary_continuous")
+def q_summary_continuous(spark, sf_dir):
+    """Age and Charlson index by period: n, mean, sd, exact quartiles."""
+    from cohortflow.operators.summary import summary_continuous
+    return summary_continuous(demo(spark, sf_dir), ["age", "charlson"], "period")
+
+
+@query("summary_documents")
+def q_summary_documents(spark, sf_dir):
+    """Document length by language: n, mean, sd, exact quartiles (high-cardinality values)."""
+    from cohortflow.operators.summary import summary_continuous
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "n_chars")
+    return summary_continuous(docs, ["n_chars"], "lang")
+
+
+@query("summary_categorical")
+def q_summary_categorical(spark, sf_dir):
+    from cohortflow.operators.summary import summary_categorical
+    return summary_categorical(demo(spark, sf_dir), ["age_group", "diabetes_type", "karnofsky", "va"], "period")
+
+
+@query("summary_dichotomous")
+def q_summary_dichotomous(spark, sf_dir):
+    from cohortflow.operators.summary import summary_categorical
+    return summary_categorical(demo(spark, sf_dir), [], "period", dichotomous=DICHOTOMOUS)
+
+
+@query("summary_missing")
+def q_summary_missing(spark, sf_dir):
+    from cohortflow.operators.summary import summary_missing
+    return summary_missing(demo(spark, sf_dir), DEMO_VARIABLES, "period")
+
+
+@query("summary_kind_profile")
+def q_summary_kind_profile(spark, sf_dir):
+    from cohortflow.operators.summary import summary_kind_profile
+    return summary_kind_profile(demo(spark, sf_dir), DEMO_VARIABLES)
+
+
+@query("stratified_summary")
+def q_stratified_summary(spark, sf_dir):
+    """Analysis table by cause group, stratified by period (admission grain)."""
+    from cohortflow.operators.summary import summary_table
+    return summary_table(analysis(spark, sf_dir), "hosp_cause_groups", ["period"],
+                         continuous=["charlson"], categorical=["age_group", "gender"],
+                         dichotomous={"htn": "Si", "diabetes": "Si"})
+
+
+@query("summary_with_tests")
+def q_summary_with_tests(spark, sf_dir):
+    """Test per demographic variable between periods, selected by kind and expected counts."""
+    from cohortflow.operators.summary import summary_tests
+    return summary_tests(demo(spark, sf_dir), "period", DEMO_VARIABLES,
+                         first_level=SPEC.period_labels[0])
+
+
+@query("summary_with_tests_simulated")
+def q_summary_with_tests_simulated(spark, sf_dir):
+    """As summary_with_tests, with the Karnofsky p value simulated (2000 tables)."""
+    from cohortflow.operators.summary import summary_tests
+    return summary_tests(demo(spark, sf_dir), "period", DEMO_VARIABLES, simulate=("karnofsky",),
+                         first_level=SPEC.period_labels[0])
+
+
+@query("stratified_tests")
+def q_stratified_tests(spark, sf_dir):
+    """Tests across cause groups within each period; age band p value simulated."""
+    from cohortflow.operators.summary import summary_tests
+    return summary_tests(analysis(spark, sf_dir), "hosp_cause_groups",
+                         ["age_group", "gender", "htn", "diabetes", "charlson"], strata=["period"],
+                         simulate=("age_group",))
