@@ -642,3 +642,51 @@ SELECT chi.variable, 'categorical',
        CASE WHEN min_expected >= 5 THEN chi.p_value WHEN n_rows = 2 AND n_cols = 2 THEN fis.p_value END
 FROM chi JOIN prof USING (variable) LEFT JOIN fis USING (variable) WHERE prof.kind = 'categorical'
 """, ("statistic", "df", "p_value"))
+
+
+# ------------------------------------------------------------------- models
+
+_EXPO = (f"CASE period WHEN {_q(P1.label)} THEN {float(P1.days)} "
+         f"WHEN {_q(P2.label)} THEN {float(P2.days)} END")
+_BANDS = AGE_BANDS.labels
+register("design_matrix", f"""
+SELECT id, was_hospitalized, any_infection, hosp_count, ln({_EXPO}) AS log_exposure,
+       CAST(period = {_q(P2.label)} AS DOUBLE) AS "period{P2.label}",
+       {", ".join(f'CAST(age_group = {_q(b)} AS DOUBLE) AS "age_group{b}"' for b in _BANDS[1:])},
+       CAST(gender = 'Hombre' AS DOUBLE) AS "genderHombre",
+       CAST(htn = 'Si' AS DOUBLE) AS "htnSi", CAST(diabetes = 'Si' AS DOUBLE) AS "diabetesSi",
+       CAST(charlson AS DOUBLE) AS charlson
+FROM unpaired
+WHERE period IN ({_q(P1.label)}, {_q(P2.label)}) AND age_group IN ({", ".join(_q(b) for b in _BANDS)})
+  AND gender IN ('Mujer', 'Hombre') AND htn IN ('No', 'Si') AND diabetes IN ('No', 'Si')
+  AND charlson IS NOT NULL""", ("log_exposure", "charlson"))
+
+# Saturated logistic: intercept = ln odds of the reference period, slope = ln odds ratio,
+# standard errors sqrt(1/a + 1/b [+ 1/c + 1/d]).
+register("logit_period_only", f"""
+WITH c AS (SELECT count(*) FILTER (WHERE period = {_q(P1.label)} AND was_hospitalized = 1) AS a,
+                  count(*) FILTER (WHERE period = {_q(P1.label)} AND was_hospitalized = 0) AS b,
+                  count(*) FILTER (WHERE period = {_q(P2.label)} AND was_hospitalized = 1) AS c,
+                  count(*) FILTER (WHERE period = {_q(P2.label)} AND was_hospitalized = 0) AS d
+           FROM unpaired WHERE period IN ({_q(P1.label)}, {_q(P2.label)})),
+t AS (SELECT '(Intercept)' AS term, ln(a / b) AS estimate, sqrt(1.0 / a + 1.0 / b) AS std_error,
+             a + b + c + d AS n_obs FROM c
+      UNION ALL
+      SELECT 'period{P2.label}', ln((c / d) / (a / b)), sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d),
+             a + b + c + d FROM c)
+SELECT term, estimate, std_error, estimate / std_error AS statistic,
+       {norm_two_sided_sql('estimate / std_error')} AS p_value, exp(estimate) AS exp_estimate,
+       CAST(n_obs AS BIGINT) AS n_obs FROM t""",
+         ("estimate", "std_error", "statistic", "p_value", "exp_estimate"))
+
+# Saturated negative binomial with a log-exposure offset: the fitted mean of each
+# period is its sample mean whatever theta is, so the coefficients are log rates.
+register("nb_period_only", f"""
+WITH m AS (SELECT avg(hosp_count) FILTER (WHERE period = {_q(P1.label)}) AS m1,
+                  avg(hosp_count) FILTER (WHERE period = {_q(P2.label)}) AS m2, count(*) AS n
+           FROM unpaired WHERE period IN ({_q(P1.label)}, {_q(P2.label)})),
+t AS (SELECT '(Intercept)' AS term, ln(m1 / {float(P1.days)}) AS estimate, n FROM m
+      UNION ALL
+      SELECT 'period{P2.label}', ln(m2 / {float(P2.days)}) - ln(m1 / {float(P1.days)}), n FROM m)
+SELECT term, estimate, exp(estimate) AS exp_estimate, CAST(n AS BIGINT) AS n_obs FROM t""",
+         ("estimate", "exp_estimate"))
