@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortflow.session import ship_code
+
 _EPS = 1e-15
 _TINY = 1e-300
 
@@ -175,16 +177,20 @@ def _fisher_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Se
 
 
 def chi2_p(stat: Column, df: Column) -> Column:
+    ship_code()
     return _chi2_sf_udf(stat.cast("double"), df.cast("double"))
 
 
 def t_p(stat: Column, df: Column) -> Column:
+    ship_code()
     return _t_two_sided_udf(stat.cast("double"), df.cast("double"))
 
 
 def norm_p(z: Column) -> Column:
+    ship_code()
     return _norm_two_sided_udf(z.cast("double"))
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
+    ship_code()
     return _fisher_udf(a.cast("long"), b.cast("long"), c.cast("long"), d.cast("long"))

@@ -21,11 +21,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.session import ensure_checkpoint_dir
+from cohortflow.session import ensure_checkpoint_dir, ship_code
 
 
 @dataclass
@@ -56,126 +57,165 @@ def design_matrix(df: DataFrame, factors: dict[str, list[str]], numeric: list[st
 
 
 # ----------------------------------------------------------------- IRLS core
-
-def _eta(beta: np.ndarray, xs: list[Column], offset: Column) -> Column:
-    e = F.lit(float(beta[0]))
-    for b, x in zip(beta[1:], xs[1:]):
-        e = e + F.lit(float(b)) * x
-    return e + offset
-
-
-def _normal_equations(pat: DataFrame, xs: list[Column], w: Column, z: Column, extra: dict[str, Column]):
-    p = len(xs)
-    aggs = []
-    for j in range(p):
-        for k in range(j, p):
-            aggs.append(F.sum(w * xs[j] * xs[k]).alias(f"a_{j}_{k}"))
-        aggs.append(F.sum(w * xs[j] * z).alias(f"b_{j}"))
-    aggs += [e.alias(n) for n, e in extra.items()]
-    row = pat.agg(*aggs).first().asDict()
-    A = np.zeros((p, p))
-    bvec = np.zeros(p)
-    for j in range(p):
-        bvec[j] = row[f"b_{j}"]
-        for k in range(j, p):
-            A[j, k] = A[k, j] = row[f"a_{j}_{k}"]
-    return A, bvec, row
-
-
-def _xlogy(x: Column, y: Column) -> Column:
-    return F.when(x == 0, F.lit(0.0)).otherwise(x * F.ln(x / y))
-
-
-def _family_terms(family: str, eta: Column, ybar: Column, m: Column, theta: float | None):
-    """(mu, working weight, working response minus offset, deviance term)."""
+#
+# One iteration = one Spark job: every partition of the pattern table turns
+# its rows into partial sums (numpy, inside the task), and a fixed Spark
+# aggregation adds the partials. The current coefficients travel in the task
+# closure, so the aggregation plan is identical every iteration.
+
+def _family_arrays(family: str, eta, y, m, theta):
+    """numpy: (working weight, working response minus offset, deviance terms)."""
     if family == "binomial":
-        mu = 1 / (1 + F.exp(-eta))
-        var = mu * (1 - mu)
+        mu = 1.0 / (1.0 + np.exp(-eta))
+        var = mu * (1.0 - mu)
         w = m * var
-        z_resid = (ybar - mu) / var
-        dev = 2 * m * (_xlogy(ybar, mu) + _xlogy(1 - ybar, 1 - mu))
+        zr = (y - mu) / var
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dev = 2 * m * (np.where(y > 0, y * np.log(y / mu), 0.0)
+                           + np.where(y < 1, (1 - y) * np.log((1 - y) / (1 - mu)), 0.0))
     elif family == "poisson":
-        mu = F.exp(eta)
+        mu = np.exp(eta)
         w = m * mu
-        z_resid = (ybar - mu) / mu
-        dev = 2 * m * (_xlogy(ybar, mu) - (ybar - mu))
-    elif family == "negbin":
-        mu = F.exp(eta)
-        th = F.lit(theta)
-        w = m * mu / (1 + mu / th)
-        z_resid = (ybar - mu) / mu
-        dev = 2 * m * (_xlogy(ybar, mu) - (ybar + th) * F.ln((ybar + th) / (mu + th)))
+        zr = (y - mu) / mu
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dev = 2 * m * (np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu))
     else:
-        raise ValueError(family)
-    return mu, w, z_resid, dev
+        mu = np.exp(eta)
+        w = m * mu / (1.0 + mu / theta)
+        zr = (y - mu) / mu
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dev = 2 * m * (np.where(y > 0, y * np.log(y / mu), 0.0)
+                           - (y + theta) * np.log((y + theta) / (mu + theta)))
+    return mu, w, zr, dev
+
+
+THETA_GRID = np.exp(np.linspace(-3.0, 3.0, 61))   # multiples of the current theta
+
+
+def _theta_sums(y, mu, m, th):
+    """Score and information of theta (digamma/trigamma differences as finite sums)."""
+    ymax = int(y.max()) if len(y) else 0
+    ks = np.arange(max(ymax, 1), dtype=float)
+    d1 = np.concatenate([[0.0], np.cumsum(1.0 / (th + ks))])
+    d2 = np.concatenate([[0.0], np.cumsum(1.0 / (th + ks) ** 2)])
+    yi = y.astype(np.int64)
+    score = m * (d1[yi] + math.log(th) + 1 - np.log(th + mu) - (y + th) / (mu + th))
+    info = m * (d2[yi] - 1 / th + 2 / (mu + th) - (y + th) / (mu + th) ** 2)
+    moment = m * (y / mu - 1) ** 2
+    return score.sum(), info.sum(), moment.sum()
+
+
+def _theta_score_grid(y, mu, m, th):
+    """Score of theta at fixed means, on a log grid of multiples of ``th``."""
+    return np.array([_theta_sums(y, mu, m, th * g)[0] for g in THETA_GRID])
+
+
+def _theta_root(theta: float, grid_scores: np.ndarray, score: float, info: float) -> float:
+    """Theta solving score = 0 at fixed means: bracket on the grid, then
+    interpolate in log theta; a Newton step if the root is off the grid."""
+    ths = theta * THETA_GRID
+    sign = np.sign(grid_scores)
+    idx = np.where(sign[:-1] * sign[1:] < 0)[0]
+    if len(idx) == 0:
+        return abs(theta + score / info)
+    i = idx[0]
+    x0, x1 = math.log(ths[i]), math.log(ths[i + 1])
+    s0, s1 = grid_scores[i], grid_scores[i + 1]
+    return math.exp(x0 - s0 * (x1 - x0) / (s1 - s0))
+
+
+def _pass(pat: DataFrame, terms: list[str], family: str, beta, theta, start: bool):
+    """One distributed pass: X'WX, X'Wz, deviance and theta sums at (beta, theta)."""
+    ship_code(pat.sparkSession)
+    p = len(terms) + 1
+    names = [f"a_{j}_{k}" for j in range(p) for k in range(j, p)] + [f"b_{j}" for j in range(p)]
+    names += ["dev", "score", "info", "moment", "n"] + [f"g_{i}" for i in range(len(THETA_GRID))]
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    beta_ = None if beta is None else np.asarray(beta, dtype=float)
+
+    def run(it):
+        acc = np.zeros(len(names))
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            X = np.column_stack([np.ones(len(pdf))] + [pdf[t].to_numpy(float) for t in terms])
+            off = pdf["__off"].to_numpy(float)
+            m = pdf["__m"].to_numpy(float)
+            y = pdf["__y"].to_numpy(float)
+            if start:
+                if family == "binomial":
+                    mu0 = (m * y + 0.5) / (m + 1)
+                    eta = np.log(mu0 / (1 - mu0))
+                else:
+                    eta = np.log(y + 0.1)
+            else:
+                eta = X @ beta_ + off
+            mu, w, zr, dev = _family_arrays(family, eta, y, m, theta)
+            z = eta - off + zr
+            XtW = X.T * w
+            A = XtW @ X
+            bv = XtW @ z
+            vals = [A[j, k] for j in range(p) for k in range(j, p)] + list(bv)
+            sc = _theta_sums(y, mu, m, theta) if family == "negbin" else (0.0, 0.0, 0.0)
+            if family == "poisson":
+                sc = (0.0, 0.0, float((m * (y / mu - 1) ** 2).sum()))
+            grid = (_theta_score_grid(y, mu, m, theta) if family == "negbin"
+                    else np.zeros(len(THETA_GRID)))
+            acc += np.array(vals + [dev.sum(), *sc, m.sum(), *grid])
+        yield pd.DataFrame([acc], columns=names)
+
+    cols = [F.col(f"`{t}`") for t in terms] + [F.col("__off"), F.col("__m"), F.col("__y")]
+    # One partial row per partition (bounded by the partition count, never by
+    # the data); adding them up is a few hundred floats on the driver.
+    parts = pat.select(*cols).mapInPandas(run, schema).collect()
+    total = np.sum(np.array([[r[n] for n in names] for r in parts]), axis=0)
+    row = dict(zip(names, total.tolist()))
+    A = np.zeros((p, p))
+    bv = np.zeros(p)
+    for j in range(p):
+        bv[j] = row[f"b_{j}"]
+        for k in range(j, p):
+            A[j, k] = A[k, j] = row[f"a_{j}_{k}"]
+    return A, bv, row
 
 
 def irls(pat: DataFrame, terms: list[str], family: str, theta: float | None = None,
          beta0: np.ndarray | None = None, max_iter: int = 25, tol: float = 1e-8):
-    """Fit on a pattern table with columns: terms, ``__off``, ``__m`` (rows),
-    ``__y`` (mean outcome of the pattern). Returns (beta, X'WX, deviance, iterations)."""
-    xs = [F.lit(1.0)] + [F.col(f"`{t}`") for t in terms]
-    off, m, ybar = F.col("__off"), F.col("__m"), F.col("__y")
-    beta = beta0
-    dev_old = None
-    it = 0
+    """IRLS at fixed theta. Returns (beta, X'WX, deviance, iterations, last pass row)."""
+    beta, dev_old, it = beta0, None, 0
     for it in range(1, max_iter + 1):
-        if beta is None:   # starting values from the data, as glm does
-            if family == "binomial":
-                mu0 = (m * ybar + 0.5) / (m + 1)
-                eta = F.ln(mu0 / (1 - mu0))
-            else:
-                eta = F.ln(ybar + 0.1)
-        else:
-            eta = _eta(beta, xs, off)
-        mu, w, z_resid, dev = _family_terms(family, eta, ybar, m, theta)
-        z = (eta - off) + z_resid
-        A, bvec, row = _normal_equations(pat, xs, w, z, {"__dev": F.sum(dev)})
-        dev_now = row["__dev"]
-        new_beta = np.linalg.solve(A, bvec)
-        if beta is not None and dev_old is not None and abs(dev_now - dev_old) / (abs(dev_now) + 0.1) < tol:
-            beta = new_beta
+        A, bv, row = _pass(pat, terms, family, beta, theta, start=beta is None)
+        new_beta = np.linalg.solve(A, bv)
+        converged = (beta is not None and dev_old is not None
+                     and abs(row["dev"] - dev_old) / (abs(row["dev"]) + 0.1) < tol)
+        dev_old, beta = row["dev"], new_beta
+        if converged:
             break
-        dev_old = dev_now
-        beta = new_beta
-    eta = _eta(beta, xs, off)
-    mu, w, z_resid, dev = _family_terms(family, eta, ybar, m, theta)
-    A, _, row = _normal_equations(pat, xs, w, (eta - off) + z_resid, {"__dev": F.sum(dev)})
-    return beta, A, row["__dev"], it
+    A, _, row = _pass(pat, terms, family, beta, theta, start=False)
+    return beta, A, row["dev"], it, row
 
 
-def _seq_sum(y: Column, fn) -> Column:
-    """sum over k = 0 .. y-1 of fn(k); 0 when y = 0."""
-    ks = F.sequence(F.lit(0), y.cast("int") - 1)
-    return F.when(y > 0, F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + fn(k))).otherwise(F.lit(0.0))
-
-
-def theta_ml(pat: DataFrame, mu: Column, theta0: float | None = None, limit: int = 25,
-             eps: float = 1.220703125e-04) -> float:
-    """Newton iterations for the negative-binomial theta at fixed means.
-
-    The digamma / trigamma differences of an integer count are finite sums,
-    ``psi(th + y) - psi(th) = sum_{k<y} 1/(th + k)``, evaluated in Spark.
+def negative_binomial_irls(pat: DataFrame, terms: list[str], max_iter: int = 100, tol: float = 1e-10):
+    """Alternating fit, one Spark pass per round: the pass gives the IRLS step
+    for beta at the current theta AND the theta score on a grid at the
+    current means, so theta is re-solved (as a full theta fit would) without
+    extra passes. Starts from the Poisson fit and the moment estimate of
+    theta; stops when beta and theta are both stable.
     """
-    y, m = F.col("__y"), F.col("__m")
-    if theta0 is None:
-        row = pat.agg(F.sum(m).alias("n"), F.sum(m * F.pow(y / mu - 1, 2)).alias("s")).first()
-        t0 = row["n"] / row["s"]
-    else:
-        t0 = theta0
-    it, delta = 0, 1.0
-    while it < limit and abs(delta) > eps:
-        it += 1
-        t0 = abs(t0)
-        th = F.lit(t0)
-        score = m * (_seq_sum(y, lambda k: 1 / (th + k)) + math.log(t0) + 1 - F.ln(th + mu) - (y + th) / (mu + th))
-        # trigamma(th) - trigamma(th + y) is the finite sum of 1 / (th + k)^2
-        info = m * (_seq_sum(y, lambda k: 1 / ((th + k) * (th + k)))
-                    - 1 / th + 2 / (mu + th) - (y + th) / F.pow(mu + th, 2))
-        r = pat.agg(F.sum(score).alias("s"), F.sum(info).alias("i")).first()
-        delta = r["s"] / r["i"]
-        t0 = t0 + delta
-    return max(t0, 0.0)
+    beta, _, _, _, row = irls(pat, terms, "poisson")
+    theta = row["n"] / row["moment"]
+    it = 0
+    for it in range(1, max_iter + 1):
+        A, bv, row = _pass(pat, terms, "negbin", beta, theta, start=False)
+        grid = np.array([row[f"g_{i}"] for i in range(len(THETA_GRID))])
+        new_theta = _theta_root(theta, grid, row["score"], row["info"])
+        new_beta = np.linalg.solve(A, bv)
+        step = max(np.max(np.abs(new_beta - beta)), abs(new_theta - theta) / max(theta, 1e-12))
+        beta, theta = new_beta, new_theta
+        if step < tol:
+            break
+    A, _, row = _pass(pat, terms, "negbin", beta, theta, start=False)
+    return beta, A, row["dev"], theta, it
 
 
 # ------------------------------------------------------------------ models
@@ -192,9 +232,17 @@ def _patterns(design: DataFrame, terms: list[str], y: str, offset: str | None, b
     return g
 
 
-def _materialise(pat: DataFrame) -> DataFrame:
+def _materialise(pat: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
+    """Checkpoint the pattern table, one partition per ~1M patterns.
+
+    Every IRLS pass reads it, so it is written once to the shared checkpoint
+    folder; sizing partitions by rows keeps a tiny table to one task per pass
+    while a large one stays spread over the cluster.
+    """
     ensure_checkpoint_dir(pat.sparkSession)
-    return pat.checkpoint(eager=True)
+    n = pat.count()
+    parts = max(1, -(-n // rows_per_partition))
+    return pat.repartition(parts).checkpoint(eager=True)
 
 
 COEF_SCHEMA = T.StructType([
@@ -223,32 +271,20 @@ def fit_logistic(design: DataFrame, y: str, terms: list[str], max_iter: int = 25
     chk = pat.agg(F.sum("__m").alias("n"), F.sum(F.col("__m") * F.col("__y")).alias("s")).first()
     if chk["n"] is None or chk["s"] in (0, chk["n"]):
         raise ValueError(f"outcome {y!r} is constant; a logistic fit is not identified")
-    beta, A, dev, it = irls(pat, terms, "binomial", max_iter=max_iter)
+    beta, A, dev, it, _ = irls(pat, terms, "binomial", max_iter=max_iter)
     return _coef_frame(design.sparkSession, terms, beta, A, chk["n"], dev, None, it)
 
 
 def fit_poisson(design: DataFrame, y: str, terms: list[str], offset: str | None = None) -> DataFrame:
     pat = _materialise(_patterns(design, terms, y, offset, by_y=False))
-    n = pat.agg(F.sum("__m")).first()[0]
-    beta, A, dev, it = irls(pat, terms, "poisson")
-    return _coef_frame(design.sparkSession, terms, beta, A, n, dev, None, it)
+    beta, A, dev, it, row = irls(pat, terms, "poisson")
+    return _coef_frame(design.sparkSession, terms, beta, A, row["n"], dev, None, it)
 
 
 def fit_negative_binomial(design: DataFrame, y: str, terms: list[str], offset: str | None = None,
-                          max_iter: int = 25, tol: float = 1e-8) -> DataFrame:
+                          max_iter: int = 100) -> DataFrame:
     """Negative binomial (log link) with optional offset; theta estimated."""
     pat = _materialise(_patterns(design, terms, y, offset, by_y=True))
+    beta, A, dev, theta, it = negative_binomial_irls(pat, terms, max_iter)
     n = pat.agg(F.sum("__m")).first()[0]
-    xs = [F.lit(1.0)] + [F.col(f"`{t}`") for t in terms]
-    beta, _, _, _ = irls(pat, terms, "poisson")
-    theta = theta_ml(pat, F.exp(_eta(beta, xs, F.col("__off"))))
-    iters = 0
-    for iters in range(1, max_iter + 1):
-        beta, A, dev, _ = irls(pat, terms, "negbin", theta=theta, beta0=beta)
-        new_theta = theta_ml(pat, F.exp(_eta(beta, xs, F.col("__off"))), theta0=theta)
-        done = abs(new_theta - theta) / max(theta, 1e-12) < tol
-        theta = new_theta
-        if done:
-            break
-    beta, A, dev, _ = irls(pat, terms, "negbin", theta=theta, beta0=beta)
-    return _coef_frame(design.sparkSession, terms, beta, A, n, dev, theta, iters)
+    return _coef_frame(design.sparkSession, terms, beta, A, n, dev, theta, it)

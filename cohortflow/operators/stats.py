@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from cohortflow.functions.tails import chi2_p, fisher_p, norm_p, t_p
 from cohortflow.operators.ranks import midranks
 from cohortflow.operators.reshape import complete, level_grid
+from cohortflow.session import ship_code
 
 Z_975 = 1.959963984540054
 
@@ -246,6 +247,7 @@ def monte_carlo_independence(counts: DataFrame, keys: list[str], replicates: int
     probability, -sum log n! (smaller is more extreme). Only each table's
     cells (bounded by its number of levels) travel with the tasks.
     """
+    ship_code(counts.sparkSession)
     tables = (counts.groupBy(*keys).agg(
         F.collect_list(F.struct("row_level", "col_level", "n")).alias("cells"))
         .withColumn("mc_key", F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0)))

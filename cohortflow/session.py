@@ -45,3 +45,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return sc.getCheckpointDir()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession | None = None) -> None:
+    """Make this package importable in Python workers (once per application).
+
+    Pandas UDFs and ``mapInPandas`` functions defined here are pickled by
+    reference, so executors must be able to import ``cohortflow``; the
+    package is zipped on the driver and distributed with ``addPyFile``.
+    """
+    import os
+    import shutil
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="cohortflow-code-")
+    archive = shutil.make_archive(os.path.join(out, "cohortflow"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="cohortflow")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
