@@ -7,8 +7,6 @@ generators, aggregations and joins.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -254,6 +252,3 @@ def with_exposure(df: DataFrame, spec: StudySpec) -> DataFrame:
     days = _period_value(spec, lambda p: F.lit(float(p.days)))
     return df.withColumn("exposure_time", days).withColumn("log_exposure", F.ln(F.col("exposure_time")))
 
-
-def log_floor() -> float:
-    return math.log(0.1)

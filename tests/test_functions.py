@@ -76,3 +76,22 @@ def test_null_safe_join_matches_null_keys(spark):
     right = spark.createDataFrame([("1", None, "x"), ("2", "F", "y")], "id string, g string, w string")
     out = null_safe_join(left, right, ["id", "g"], "right").orderBy("id").collect()
     assert [(r.id, r.g, r.v, r.w) for r in out] == [("1", None, 10, "x"), ("2", "F", None, "y")]
+
+
+def test_csv_scan_and_typing(spark, tmp_path):
+    from cohortflow.sources.wide import read_wide_csv, type_wide
+    from cohortflow.spec import wide_columns
+    cols = wide_columns()
+    row = {c: "" for c in cols}
+    row.update({"id": "7", "birth_date": "1/5/1960", "gender": "F", "htn": "Y", "charlson_p1": '"3,5"',
+                "charlson_p2": "NA", "hosp_start_1": "2/11/2023", "hosp_end_1": "31/02/2024",
+                "hosp_re_1": "Yes", "hosp_cause_1": '"Injury/Accident"', "clinic_p1": " Valencia "})
+    path = tmp_path / "wide.csv"
+    path.write_text(",".join(f"c{i}" for i in range(len(cols))) + "\n"
+                    + ",".join(row[c] for c in cols) + "\n\n")
+    w = type_wide(read_wide_csv(spark, str(path))).first()
+    assert w["id"] == "7" and w["gender"] == "Mujer" and w["htn"] == "Si"
+    assert w["charlson_p1"] == 3.5 and w["charlson_p2"] is None
+    assert w["hosp_start_1"] == dt.date(2023, 11, 2) and w["hosp_end_1"] is None
+    assert w["hosp_re_1"] == "Si" and w["hosp_cause_1"] == "Injury/Accident"
+    assert w["clinic_p1"] == "Valencia" and w["diabetes"] == "No"
