@@ -40,18 +40,22 @@ def cumulative_before(hist: DataFrame, keys: list[str], value: str, count: str,
                     (inner["__in"] + offsets["__off"]).alias("before"))
 
 
-def value_histogram(df: DataFrame, keys: list[str], value: str, extra: list[str] = ()) -> DataFrame:
+def value_histogram(df: DataFrame, keys: list[str], value: str, extra: list[str] = (),
+                    weight: str | None = None) -> DataFrame:
+    """Rows per (keys, extra, value); ``weight`` sums an existing count instead."""
+    w = F.sum(weight) if weight else F.count(F.lit(1))
     return (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-            .groupBy(*keys, *extra, value).agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*keys, *extra, value).agg(w.alias("n")))
 
 
-def midranks(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
+def midranks(df: DataFrame, keys: list[str], value: str, group: str,
+             weight: str | None = None) -> DataFrame:
     """Per (keys, value, group): count ``n`` and the midrank of the value.
 
     Ranks run over all groups of a key together (pooled sample); ``t`` is
     the tie size of the value.
     """
-    h = value_histogram(df.where(F.col(group).isNotNull()), keys, value, [group])
+    h = value_histogram(df.where(F.col(group).isNotNull()), keys, value, [group], weight)
     t = h.groupBy(*keys, value).agg(F.sum("n").alias("t"))
     c = cumulative_before(t, keys, value, "t")
     c = c.withColumn("midrank", F.col("before") + (F.col("t") + 1) / 2.0)

@@ -115,23 +115,23 @@ def cell_counts(df: DataFrame, keys: list[str], row: str, col: str) -> DataFrame
 def chi_square(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Pearson chi-square (no correction) per key from observed cell counts.
 
-    Uses sum(O^2 / E) - N over the non-empty cells only, so empty cells never
-    have to be materialised; df = (rows - 1)(cols - 1) over non-empty margins.
-    Also reports the smallest expected count (for test selection).
+    Margins are window sums over the (small) cell-count table, so no join is
+    needed. Uses sum(O^2 / E) - N over the non-empty cells only, so empty
+    cells never have to be materialised; df = (rows - 1)(cols - 1) over
+    non-empty margins. Also reports the smallest expected count.
     """
-    rows = counts.groupBy(*keys, "row_level").agg(F.sum("n").alias("r_tot"))
-    cols = counts.groupBy(*keys, "col_level").agg(F.sum("n").alias("c_tot"))
-    tot = counts.groupBy(*keys).agg(F.sum("n").alias("n_total"))
+    from pyspark.sql import Window
     if not keys:
-        raise ValueError("chi_square needs at least one key; add a constant key")
-    marg = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min("r_tot").alias("r_min"))
-            .join(cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cols"), F.min("c_tot").alias("c_min")),
-                  keys, "inner"))
-    j = (counts.join(rows, [*keys, "row_level"]).join(cols, [*keys, "col_level"]).join(tot, keys))
-    g = j.groupBy(*keys).agg(
+        raise ValueError("chi_square needs at least one key column")
+    wk = Window.partitionBy(*keys)
+    c = (counts.withColumn("r_tot", F.sum("n").over(Window.partitionBy(*keys, "row_level")))
+         .withColumn("c_tot", F.sum("n").over(Window.partitionBy(*keys, "col_level")))
+         .withColumn("n_total", F.sum("n").over(wk)))
+    g = c.groupBy(*keys).agg(
         F.sum(F.col("n") * F.col("n") / (F.col("r_tot") * F.col("c_tot") / F.col("n_total"))).alias("__s"),
-        F.first("n_total").alias("n_total"))
-    g = g.join(marg, keys)
+        F.first("n_total").alias("n_total"),
+        F.count_distinct("row_level").alias("n_rows"), F.count_distinct("col_level").alias("n_cols"),
+        F.min("r_tot").alias("r_min"), F.min("c_tot").alias("c_min"))
     stat = F.col("__s") - F.col("n_total")
     dfree = ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("double")
     g = g.select(*keys, "n_total", "n_rows", "n_cols",
@@ -159,25 +159,26 @@ def fisher_2x2(counts: DataFrame, keys: list[str]) -> DataFrame:
 # --------------------------------------------------------------- rank tests
 
 def rank_statistics(df: DataFrame, keys: list[str], value: str, group: str,
-                    first_level: str | None = None) -> DataFrame:
+                    first_level: str | None = None, weight: str | None = None) -> DataFrame:
     """Per key: groups ``k``, size ``n_total``, tie term, first-group rank sum and
     size, and sum of R_g^2 / n_g -- everything both rank tests need, from one
     midrank pass over the value histogram.
     """
-    mr = midranks(df, keys, value, group)
-    per_g = mr.groupBy(*keys, group).agg(F.sum(F.col("n") * F.col("midrank")).alias("R"),
-                                         F.sum("n").alias("ng"))
-    ties = (mr.select(*keys, value, "t").distinct().groupBy(*keys)
-            .agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties")))
+    mr = midranks(df, keys, value, group, weight)
+    # Each value's tie term t^3 - t is spread over its groups in proportion
+    # n / t, so summing per group and then per key needs no second grouping.
+    per_g = mr.groupBy(*keys, group).agg(
+        F.sum(F.col("n") * F.col("midrank")).alias("R"), F.sum("n").alias("ng"),
+        F.sum((F.pow(F.col("t"), 3) - F.col("t")) * F.col("n") / F.col("t")).alias("tie_part"))
     if first_level is None:
         r1, n1 = F.min_by("R", group), F.min_by("ng", group)
     else:
         r1 = F.max(F.when(F.col(group) == F.lit(first_level), F.col("R")))
         n1 = F.max(F.when(F.col(group) == F.lit(first_level), F.col("ng")))
-    agg = per_g.groupBy(*keys).agg(
+    return per_g.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"), F.sum("ng").alias("n_total"), r1.alias("R1"), n1.alias("n1"),
-        F.sum(F.col("R") * F.col("R") / F.col("ng")).alias("r2_over_n"))
-    return agg.join(ties, keys)
+        F.sum(F.col("R") * F.col("R") / F.col("ng")).alias("r2_over_n"),
+        F.round(F.sum("tie_part")).alias("ties"))
 
 
 def _keyed(fn, df, keys, *args):

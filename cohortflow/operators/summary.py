@@ -127,20 +127,35 @@ def summary_tests(df: DataFrame, by: str, variables: list[str], strata=(),
     Pearson chi-square when every expected count is >= 5, else Fisher exact
     (2x2) or simulated Fisher (larger tables). Variables in ``simulate`` take
     the Monte-Carlo p of the statistic their rule selects. All branches are
-    lazy joins/filters: Monte Carlo runs only for the tables that need it.
+    joins/filters over two checkpointed aggregates (cell counts, value
+    histogram); Monte Carlo runs only for the tables that need it. The kind of
+    a variable is judged on rows with a known group.
     """
     from cohortflow.operators.stats import (cell_counts, chi_square, fisher_2x2,
                                             monte_carlo_independence, rank_statistics)
     from cohortflow.functions.tails import chi2_p, norm_p
 
+    from cohortflow.operators.ranks import value_histogram
+    from cohortflow.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     keys = [*strata, "variable"]
-    prof = summary_kind_profile(df, variables, max_levels).select("variable", "kind")
     numeric = [f.name for f in df.schema.fields if f.name in variables and isinstance(f.dataType, NUMERIC)]
     base = df.where(F.col(by).isNotNull())
+    # Every branch below reads one of two small aggregates -- cell counts and
+    # the numeric value histogram -- written once to the checkpoint folder.
+    long = stack_columns(base, [*strata, by], {v: F.col(v) for v in variables}, "variable", "level", "string")
+    cells = cell_counts(long, keys, "level", by).checkpoint(eager=True)
+    is_num = F.try_element_at(literal_map({v: v in numeric for v in variables}), F.col("variable"))
+    prof = (cells.groupBy("variable").agg(F.count_distinct("row_level").alias("n_distinct"))
+            .select("variable", F.when(is_num & (F.col("n_distinct") >= max_levels), "continuous")
+                    .otherwise("categorical").alias("kind")))
     parts = []
     if numeric:
-        long = stack_columns(base, [*strata, by], {v: F.col(v) for v in numeric}, "variable", "value", "double")
-        rs = rank_statistics(long, keys, "value", by, first_level).join(prof.where(F.col("kind") == "continuous"), "variable")
+        nlong = stack_columns(base, [*strata, by], {v: F.col(v) for v in numeric}, "variable", "value", "double")
+        hist = value_histogram(nlong, keys, "value", [by]).checkpoint(eager=True)
+        rs = rank_statistics(hist, keys, "value", by, first_level, weight="n").join(
+            prof.where(F.col("kind") == "continuous"), "variable")
         n1, N = F.col("n1").cast("double"), F.col("n_total").cast("double")
         W = F.col("R1") - n1 * (n1 + 1) / 2
         mu = n1 * (N - n1) / 2
@@ -154,8 +169,6 @@ def summary_tests(df: DataFrame, by: str, variables: list[str], strata=(),
             F.when(two, W).when(F.col("k") > 2, H).alias("statistic"),
             F.when(two, F.lit(None).cast("double")).when(F.col("k") > 2, (F.col("k") - 1).cast("double")).alias("df"),
             F.when(two, norm_p(z)).when(F.col("k") > 2, chi2_p(H, (F.col("k") - 1))).alias("p_value")))
-    long = stack_columns(base, [*strata, by], {v: F.col(v) for v in variables}, "variable", "level", "string")
-    cells = cell_counts(long, keys, "level", by)
     cats = cells.join(prof.where(F.col("kind") == "categorical").select("variable"), "variable")
     chi = chi_square(cats, keys)
     small = F.col("min_expected") < 5
