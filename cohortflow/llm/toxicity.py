@@ -2,17 +2,16 @@
 
 Training uses at most ``max_rows`` labelled documents outside the held-out
 fifth (those with the smallest hash of their doc_id). Their tokens get labels
-from the document labels: the smallest set of indicators (whole words and
-word beginnings) that explains the toxic documents is chosen greedily, each
-one nearly absent from clean documents, and a token is toxic if an indicator
-applies. The field has two states, hashed features of the word (itself, its
+from the document labels: a small set of indicators (whole words and word
+beginnings) that explains the toxic documents and is rare in clean ones is
+chosen greedily, and a token of a toxic document is toxic if one applies. The field has two states, hashed features of the word (itself, its
 beginnings and endings) and learned transitions, and is fitted by Adam on the
 exact gradient, forward-backward marginals minus labels.
 
 Every document's tokens are then tagged in chains of ``CHAIN`` tokens; a
 batch's chains are advanced together, one position at a time. The document
-score is a logistic function, fitted on the training documents, of its
-largest token marginal in log odds, so long texts gain nothing by length.
+score is a logistic function, fitted on the training documents, of its two
+largest token marginals in log odds, so long texts gain little by length.
 Offending offsets are the runs of tokens with a marginal of one half or more.
 
 Labels, language, source and doc_id are never inputs of a score.
@@ -26,6 +25,7 @@ the split; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,8 +41,8 @@ from cohortflow.llm.common import prepare, text_slices
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
 CHAIN = 64
-MAX_ROWS = 8_000
-CHAINS = 12_000             # training chains at most
+MAX_ROWS = 4_000
+CHAINS = 8_000             # training chains at most
 CACHE = 500_000             # word scores kept per worker
 FLOOR = -12.0               # log odds of a document without tokens
 
@@ -61,14 +61,16 @@ def word_features(word: str) -> list[int]:
 
 @dataclass
 class Field:
-    """Feature weights, transitions (01, 10, 11; 00 is 0) and the score's line."""
+    """Feature weights, transitions (01, 10, 11; 00 is 0) and the line of the score."""
     weights: np.ndarray
     bias: float
     moves: np.ndarray
-    slope: float = 1.0
-    shift: float = 0.0
+    line: np.ndarray | None = None          # of the score: two largest marginals, constant
     share: float | None = None              # constant score, when nothing can be learned
 
+    def scores(self, tops: list[tuple[float, float]]) -> np.ndarray:
+        return _logistic(np.column_stack([np.array(tops).reshape(-1, 2), np.ones(len(tops))]) @ self.line)
+
     def word(self, word: str) -> float:
         return float(self.weights[word_features(word)].sum() + self.bias)
 
@@ -111,33 +113,56 @@ def _logistic(x):
 
 # ------------------------------------------------------------------- training
 
-def indicators(docs: list[set[str]], toxic: np.ndarray, precision: float = 0.9, least: int = 3,
-               most: int = 500) -> list[str]:
-    """Names (``=word`` or ``^beginning``) that explain the toxic documents, chosen greedily."""
-    bad, good = {}, {}
-    for i, names in enumerate(docs):
-        held = bad if toxic[i] else good
-        for n in names:
-            held.setdefault(n, []).append(i)
-    sharp = {n: set(at) for n, at in bad.items()
-             if len(at) >= least and len(at) >= precision * (len(at) + len(good.get(n, ())))}
-    open_docs, chosen = {i for i in range(len(docs)) if toxic[i]}, []
-    while open_docs and len(chosen) < most and sharp:
-        best = max(sharp, key=lambda n: (len(sharp[n]), -len(good.get(n, ())), len(n), n))
-        if len(sharp[best]) < least:
-            break
-        chosen.append(best)
-        gone = sharp.pop(best)
-        open_docs -= gone
-        sharp = {n: left for n, at in sharp.items() if (left := at - gone)}
-    return chosen
+def _names(word: str) -> list[str]:
+    return [f"={word}"] + [f"^{word[:k]}" for k in range(3, min(7, len(word)) + 1)]
+
 
+def indicators(words: list[str], doc: np.ndarray, word: np.ndarray, toxic: np.ndarray, precision: float = 0.7,
+               least: int = 3, cost: float = 2.0, rare: float = 0.02, most: int = 500) -> list[str]:
+    """Names (``=word`` or ``^beginning``) that explain the toxic documents, chosen greedily.
 
-def _names(words: set[str]) -> set[str]:
-    return {f"={w}" for w in words} | {f"^{w[:k]}" for w in words for k in range(3, min(7, len(w)) + 1)}
+    ``doc``, ``word``: distinct (document, word number) pairs. The next name
+    is the one with the largest gain, toxic documents newly explained less
+    ``cost`` times the clean ones newly hit; a name that explains fewer than
+    ``least`` more must at least occur in the share ``rare`` of all toxic
+    documents.
+    """
+    number: dict[str, int] = {}
+    lists = [[number.setdefault(n, len(number)) for n in _names(w)] for w in words]
+    size = np.array([len(x) for x in lists], dtype=np.int64)
+    first = np.cumsum(size) - size
+    flat = np.array([n for x in lists for n in x], dtype=np.int64)
+    use = np.repeat(first[word], size[word]) + np.arange(size[word].sum()) - np.repeat(
+        np.cumsum(size[word]) - size[word], size[word])
+    pair = np.unique(flat[use] * len(toxic) + np.repeat(doc, size[word]))
+    name, at = pair // len(toxic), pair % len(toxic)
+    bad = np.bincount(name[toxic[at] == 1], minlength=len(number))
+    every = np.bincount(name, minlength=len(number))
+    sharp = np.flatnonzero((bad >= least) & (bad >= precision * every))
+    shown = list(number)
+    ends = np.searchsorted(name, np.arange(len(number) + 1))
+    hits = {int(n): at[ends[n]:ends[n + 1]] for n in sharp}
+    seen, chosen, enough = np.zeros(len(toxic), dtype=bool), [], max(least, rare * toxic.sum())
+    # gains only fall as documents get explained, so a stale gain bounds the fresh one
+    heap = [(-float(bad[n]), -int(bad[n]), -len(shown[n]), shown[n], n) for n in hits]
+    heapq.heapify(heap)
+    while heap and len(chosen) < most:
+        _, _, _, _, n = heapq.heappop(heap)
+        new = hits[n][~seen[hits[n]]]
+        fresh = int(toxic[new].sum())
+        gain = fresh - cost * (len(new) - fresh)
+        if gain <= 0 or (fresh < least and bad[n] < enough):
+            continue
+        entry = (-gain, -int(bad[n]), -len(shown[n]), shown[n], n)
+        if heap and entry > heap[0]:
+            heapq.heappush(heap, entry)
+            continue
+        chosen.append(shown[n])
+        seen[new] = True
+    return chosen
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Field:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, rate: float = 0.4, decay: float = 1e-4) -> Field:
     """Field from labelled documents; equal texts count once."""
     first = {}
     for t, y in zip(texts, toxic):
@@ -151,9 +176,10 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0
     docs = [np.array([number.setdefault(w, len(number)) for w in map(str.lower, WORD.findall(t))], dtype=np.int64)
             for t in texts]
     words = list(number)
-    chosen = indicators([_names({words[i] for i in np.unique(d)}) for d in docs], toxic)
-    pick = set(chosen)
-    marked = np.array([not pick.isdisjoint(_names({w})) for w in words], dtype=bool)
+    held = [np.unique(d) for d in docs]
+    pick = set(indicators(words, np.repeat(np.arange(len(docs)), [len(h) for h in held]),
+                          np.concatenate(held), toxic))
+    marked = np.array([not pick.isdisjoint(_names(w)) for w in words], dtype=bool)
     labels = [marked[d] & bool(y) for d, y in zip(docs, toxic)]
 
     def chain_table(keep: np.ndarray | None = None):
@@ -207,21 +233,22 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0
         theta -= rate * (one / (1 - 0.9 ** step)) / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-8)
     field = Field(theta[:1 << BITS].copy(), float(theta[1 << BITS]), theta[(1 << BITS) + 1:].copy())
     top = np.array([m for m, _ in scan(texts, Scores(field))])
-    field.slope, field.shift = _line(top, toxic.astype(float))
+    field.line = _line(top, toxic.astype(float))
     return field
 
 
-def _line(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.05) -> tuple[float, float]:
-    """Logistic line y ~ slope * x + shift with a rising slope."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.array([0.5, 0.0])
+def _line(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.05) -> np.ndarray:
+    """Logistic weights of the columns of ``x`` (none below 0) and of the constant."""
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.append(np.full(x.shape[1], 0.3), 0.0)
     for _ in range(rounds):
         p = _logistic(a @ w)
         slope = a.T @ (p - y) + ridge * w
-        curve = (a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + ridge * np.eye(2)
+        curve = (a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w -= step / max(1.0, np.abs(step).max())
-    return float(max(w[0], 1e-3)), float(w[1])
+        w[:-1] = np.maximum(w[:-1], 0.0)
+    return w
 
 
 # -------------------------------------------------------------------- scoring
@@ -240,8 +267,8 @@ class Scores(dict):
         return out
 
 
-def scan(texts: list[str], scores: Scores, spans: bool = False) -> list[tuple[float, list[tuple[int, int]]]]:
-    """Per text: largest marginal in log odds (``FLOOR`` without tokens) and offending character spans."""
+def scan(texts: list[str], scores: Scores, spans: bool = False) -> list[tuple]:
+    """Per text: its two largest marginals in log odds (``FLOOR`` for missing ones) and offending character spans."""
     get, unary, sizes = scores.__getitem__, [], []
     for t in texts:
         words = WORD.findall(t)
@@ -258,7 +285,8 @@ def scan(texts: list[str], scores: Scores, spans: bool = False) -> list[tuple[fl
     for t, n, r in zip(texts, sizes, rows.tolist()):
         own = logit[at:at + n]
         at += r * CHAIN
-        top = float(max(own.max(), FLOOR)) if n else FLOOR
+        two = np.sort(np.partition(own, n - 2)[n - 2:])[::-1] if n > 1 else own
+        top, second = (float(max(x, FLOOR)) for x in [*two, FLOOR, FLOOR][:2])
         found: list[tuple[int, int]] = []
         if spans and top >= 0:
             last = -2
@@ -269,7 +297,7 @@ def scan(texts: list[str], scores: Scores, spans: bool = False) -> list[tuple[fl
                     else:
                         found.append(m.span())
                     last = i
-        out.append((top, found))
+        out.append(((top, second), found))
     return out
 
 
@@ -301,7 +329,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
                     value, found = np.full(len(texts), own.share), [[]] * len(texts)
                 else:
                     tagged = scan(texts, scores, spans=True)
-                    value = _logistic(own.slope * np.array([m for m, _ in tagged]) + own.shift)
+                    value = own.scores([m for m, _ in tagged])
                     found = [f for _, f in tagged]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(value), pa.array([len(f) for f in found], pa.int64()),
