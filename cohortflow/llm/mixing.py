@@ -129,7 +129,8 @@ def leaf_plan(light: DataFrame, spec: MixSpec) -> DataFrame:
             .groupBy(*levels).agg(F.min(F.struct("range", (F.col("after") - F.col("tokens")).alias("before")))
                                   .alias("end"))
             .select(*levels, F.col("end.range").alias("cut_range"), F.col("end.before").alias("before")))
-    inside = (keyed.join(ends, levels).filter("range = cut_range")
+    # met on the range too: only rows of the cut's range gather by leaf
+    inside = (keyed.join(ends.withColumnRenamed("cut_range", "range"), [*levels, "range"])
               .withColumn("id", F.coalesce("doc_id", F.lit(-2 ** 63)))
               .withColumn("sum", F.col("before") + F.sum("n_tokens").over(
                   Window.partitionBy(*levels).orderBy("key", "id")))
