@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Trees:
                                                                               [[]] * len(FEATURES))]], schema=schema)
 
     known = rows.select("label", "text").mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES))
-    held = known.orderBy("label", *FEATURES).toPandas()
+    held = known.toPandas().sort_values(["label", *FEATURES])      # at most max_rows rows
     x = held[list(FEATURES)].to_numpy(dtype=float).reshape(-1, len(FEATURES))
     return train(x, held["label"].to_numpy(dtype=float), tuple(FEATURES.index(f) for f in FALLING))
 
