@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.session import ensure_checkpoint_dir, ship_code
+from cohortflow.session import ship_code, write_once
 
 
 @dataclass
@@ -71,8 +71,8 @@ def _family_arrays(family: str, eta, y, m, theta):
         w = m * var
         zr = (y - mu) / var
         with np.errstate(divide="ignore", invalid="ignore"):
-            dev = 2 * m * (np.where(y > 0, y * np.log(y / mu), 0.0)
-                           + np.where(y < 1, (1 - y) * np.log((1 - y) / (1 - mu)), 0.0))
+            # y is the share of ones of m rows with 0/1 outcomes, whose own saturated fit is exact
+            dev = -2 * m * (np.where(y > 0, y * np.log(mu), 0.0) + np.where(y < 1, (1 - y) * np.log1p(-mu), 0.0))
     elif family == "poisson":
         mu = np.exp(eta)
         w = m * mu
@@ -179,20 +179,43 @@ def _pass(pat: DataFrame, terms: list[str], family: str, beta, theta, start: boo
     return A, bv, row
 
 
+def free_terms(A: np.ndarray, tol: float = 1e-9) -> np.ndarray:
+    """True for the columns of a Gram matrix that do not depend on the columns before them."""
+    free = np.zeros(len(A), dtype=bool)
+    for j in range(len(A)):
+        rest = A[j, j]
+        if free.any():
+            rest = rest - A[j, free] @ np.linalg.solve(A[np.ix_(free, free)], A[free, j])
+        free[j] = A[j, j] > 0 and rest > tol * A[j, j]
+    return free
+
+
+def _solve(A: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least-squares step; terms that depend on earlier ones stay at 0."""
+    free = free_terms(A)
+    out = np.zeros(len(b))
+    out[free] = np.linalg.solve(A[np.ix_(free, free)], b[free])
+    return out
+
+
 def irls(pat: DataFrame, terms: list[str], family: str, theta: float | None = None,
          beta0: np.ndarray | None = None, max_iter: int = 25, tol: float = 1e-8):
-    """IRLS at fixed theta. Returns (beta, X'WX, deviance, iterations, last pass row)."""
-    beta, dev_old, it = beta0, None, 0
+    """IRLS at fixed theta. Returns (beta, X'WX, deviance, iterations, last pass row, converged)."""
+    beta, dev_old, it, converged = beta0, None, 0, False
     for it in range(1, max_iter + 1):
         A, bv, row = _pass(pat, terms, family, beta, theta, start=beta is None)
-        new_beta = np.linalg.solve(A, bv)
+        new_beta = _solve(A, bv)
         converged = (beta is not None and dev_old is not None
                      and abs(row["dev"] - dev_old) / (abs(row["dev"]) + 0.1) < tol)
         dev_old, beta = row["dev"], new_beta
         if converged:
             break
     A, _, row = _pass(pat, terms, family, beta, theta, start=False)
-    return beta, A, row["dev"], it, row
+    return beta, A, row["dev"], it, row, bool(converged)
+
+
+#: Above this theta the counts show no over-dispersion and the fit is the Poisson limit.
+THETA_LIMIT = 1e6
 
 
 def negative_binomial_irls(pat: DataFrame, terms: list[str], max_iter: int = 100, tol: float = 1e-10):
@@ -200,22 +223,30 @@ def negative_binomial_irls(pat: DataFrame, terms: list[str], max_iter: int = 100
     for beta at the current theta AND the theta score on a grid at the
     current means, so theta is re-solved (as a full theta fit would) without
     extra passes. Starts from the Poisson fit and the moment estimate of
-    theta; stops when beta and theta are both stable.
+    theta; stops when beta and theta are both stable. Without over-dispersion
+    theta grows without end: past ``THETA_LIMIT`` the Poisson fit is returned
+    with theta None. Returns (beta, X'WX, deviance, theta, iterations, converged).
     """
-    beta, _, _, _, row = irls(pat, terms, "poisson")
-    theta = row["n"] / row["moment"]
-    it = 0
+    beta, A, dev, rounds, row, done = irls(pat, terms, "poisson")
+    limit = (beta, A, dev, None, rounds, done)
+    theta = row["n"] / row["moment"] if row["moment"] > 0 else np.inf
+    it, done = 0, False
+    if theta > THETA_LIMIT:
+        return limit
     for it in range(1, max_iter + 1):
         A, bv, row = _pass(pat, terms, "negbin", beta, theta, start=False)
         grid = np.array([row[f"g_{i}"] for i in range(len(THETA_GRID))])
         new_theta = _theta_root(theta, grid, row["score"], row["info"])
-        new_beta = np.linalg.solve(A, bv)
+        new_beta = _solve(A, bv)
+        if not 0 < new_theta < THETA_LIMIT:
+            return limit
         step = max(np.max(np.abs(new_beta - beta)), abs(new_theta - theta) / max(theta, 1e-12))
         beta, theta = new_beta, new_theta
         if step < tol:
+            done = True
             break
     A, _, row = _pass(pat, terms, "negbin", beta, theta, start=False)
-    return beta, A, row["dev"], theta, it
+    return beta, A, row["dev"], theta, it, done
 
 
 # ------------------------------------------------------------------ models
@@ -233,16 +264,13 @@ def _patterns(design: DataFrame, terms: list[str], y: str, offset: str | None, b
 
 
 def _materialise(pat: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """Checkpoint the pattern table, one partition per ~1M patterns.
+    """The pattern table, written once, in one partition per ~1M patterns.
 
-    Every IRLS pass reads it, so it is written once to the shared checkpoint
-    folder; sizing partitions by rows keeps a tiny table to one task per pass
+    Every IRLS pass reads it; sizing partitions by rows keeps a tiny table to one task per pass
     while a large one stays spread over the cluster.
     """
-    ensure_checkpoint_dir(pat.sparkSession)
-    n = pat.count()
-    parts = max(1, -(-n // rows_per_partition))
-    return pat.repartition(parts).checkpoint(eager=True)
+    held = write_once(pat, "patterns")
+    return held.coalesce(max(1, -(-held.count() // rows_per_partition)))
 
 
 COEF_SCHEMA = T.StructType([
@@ -250,18 +278,26 @@ COEF_SCHEMA = T.StructType([
     T.StructField("std_error", T.DoubleType()), T.StructField("statistic", T.DoubleType()),
     T.StructField("p_value", T.DoubleType()), T.StructField("exp_estimate", T.DoubleType()),
     T.StructField("n_obs", T.LongType()), T.StructField("deviance", T.DoubleType()),
-    T.StructField("theta", T.DoubleType()), T.StructField("iterations", T.IntegerType())])
+    T.StructField("theta", T.DoubleType()), T.StructField("iterations", T.IntegerType()),
+    T.StructField("converged", T.BooleanType())])
 
 
-def _coef_frame(spark: SparkSession, terms, beta, A, n, dev, theta, iters) -> DataFrame:
-    cov = np.linalg.inv(A)
+def _coef_frame(spark: SparkSession, terms, beta, A, n, dev, theta, iters, converged) -> DataFrame:
+    """One row per term; a term that depends on earlier ones has NULL figures."""
+    free = free_terms(A)
+    var = np.zeros(len(A))
+    var[free] = np.diag(np.linalg.inv(A[np.ix_(free, free)]))
     rows = []
-    for name, b, v in zip(["(Intercept)", *terms], beta, np.diag(cov)):
+    for name, b, v, known in zip(["(Intercept)", *terms], beta, var, free):
+        if not known:
+            rows.append((name, *[None] * 5, int(n), float(dev), None if theta is None else float(theta), int(iters),
+                         converged))
+            continue
         b = float(b)
         se = math.sqrt(float(v)) if v > 0 else float("nan")
         z = b / se
         rows.append((name, b, se, z, math.erfc(abs(z) / math.sqrt(2)), math.exp(b),
-                     int(n), float(dev), None if theta is None else float(theta), int(iters)))
+                     int(n), float(dev), None if theta is None else float(theta), int(iters), converged))
     return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
@@ -271,20 +307,20 @@ def fit_logistic(design: DataFrame, y: str, terms: list[str], max_iter: int = 25
     chk = pat.agg(F.sum("__m").alias("n"), F.sum(F.col("__m") * F.col("__y")).alias("s")).first()
     if chk["n"] is None or chk["s"] in (0, chk["n"]):
         raise ValueError(f"outcome {y!r} is constant; a logistic fit is not identified")
-    beta, A, dev, it, _ = irls(pat, terms, "binomial", max_iter=max_iter)
-    return _coef_frame(design.sparkSession, terms, beta, A, chk["n"], dev, None, it)
+    beta, A, dev, it, _, done = irls(pat, terms, "binomial", max_iter=max_iter)
+    return _coef_frame(design.sparkSession, terms, beta, A, chk["n"], dev, None, it, done)
 
 
 def fit_poisson(design: DataFrame, y: str, terms: list[str], offset: str | None = None) -> DataFrame:
-    pat = _materialise(_patterns(design, terms, y, offset, by_y=False))
-    beta, A, dev, it, row = irls(pat, terms, "poisson")
-    return _coef_frame(design.sparkSession, terms, beta, A, row["n"], dev, None, it)
+    pat = _materialise(_patterns(design, terms, y, offset, by_y=True))
+    beta, A, dev, it, row, done = irls(pat, terms, "poisson")
+    return _coef_frame(design.sparkSession, terms, beta, A, row["n"], dev, None, it, done)
 
 
 def fit_negative_binomial(design: DataFrame, y: str, terms: list[str], offset: str | None = None,
                           max_iter: int = 100) -> DataFrame:
     """Negative binomial (log link) with optional offset; theta estimated."""
     pat = _materialise(_patterns(design, terms, y, offset, by_y=True))
-    beta, A, dev, theta, it = negative_binomial_irls(pat, terms, max_iter)
+    beta, A, dev, theta, it, done = negative_binomial_irls(pat, terms, max_iter)
     n = pat.agg(F.sum("__m")).first()[0]
-    return _coef_frame(design.sparkSession, terms, beta, A, n, dev, theta, it)
+    return _coef_frame(design.sparkSession, terms, beta, A, n, dev, theta, it, done)

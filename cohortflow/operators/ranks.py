@@ -4,7 +4,9 @@ All three start from a value histogram (``groupBy(keys, value).count()``),
 so ties collapse before anything is ordered. The running count over values
 is then computed without sorting any key's values in a single task:
 
-1. range-partition the histogram on (keys, value) into ``buckets`` ranges;
+1. range-partition the histogram on (keys, value) into ``buckets`` ranges and
+   write it once with each row's range number, so that the two readers below
+   see the same ranges whatever the optimizer does;
 2. totals per (keys, bucket) -> a tiny table; an ordered window over it
    gives each bucket's offset within its key;
 3. a window over (keys, bucket) gives the running count inside the bucket.
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+from cohortflow.session import write_once
 
 
 def cumulative_before(hist: DataFrame, keys: list[str], value: str, count: str,
@@ -28,7 +30,7 @@ def cumulative_before(hist: DataFrame, keys: list[str], value: str, count: str,
     if buckets is None:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     order = [F.col(k) for k in keys] + [F.col(value)]
-    ranged = hist.repartitionByRange(buckets, *order).withColumn("__b", F.spark_partition_id())
+    ranged = write_once(hist.repartitionByRange(buckets, *order).withColumn("__b", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy(*keys, "__b").agg(F.sum(count).alias("__bt"))
     wk = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__b", F.coalesce(F.sum("__bt").over(wk), F.lit(0)).alias("__off"))

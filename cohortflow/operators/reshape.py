@@ -89,12 +89,11 @@ def complete(observed: DataFrame, grid: DataFrame, keys: list[str], fill: dict)
 
     Like completing factor combinations: combinations absent from the data are
     added, and ``fill`` also replaces pre-existing NULLs in those columns.
-    Rows whose keys are not in the grid are dropped. Both sides are small
-    aggregates here, so the planner broadcasts one of them.
+    Observed keys outside the grid are kept, as are their values.
     """
     cond = [grid[k].eqNullSafe(observed[k]) for k in keys]
-    joined = grid.join(observed, cond, "left")
-    cols = [grid[k].alias(k) for k in keys] + [
+    joined = grid.join(observed, cond, "full")
+    cols = [F.coalesce(grid[k], observed[k]).alias(k) for k in keys] + [
         observed[c] for c in observed.columns if c not in keys]
     out = joined.select(*cols)
     return out.fillna(fill) if fill else out

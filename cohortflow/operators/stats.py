@@ -49,7 +49,7 @@ def contingency(df: DataFrame, pairs: dict[str, tuple[str, str]], levels=(0, 1))
     long = long.where(F.col("row_value").isin(lv) & F.col("col_value").isin(lv))
     obs = long.groupBy("measure", "row_value", "col_value").agg(F.count(F.lit(1)).alias("n"))
     grid = level_grid(df.sparkSession, [("measure", list(pairs)), ("row_value", lv), ("col_value", lv)])
-    out = complete(obs, F.broadcast(grid), ["measure", "row_value", "col_value"], {"n": 0})
+    out = complete(obs, grid, ["measure", "row_value", "col_value"], {"n": 0})
     return out.select("measure", F.col("row_value").cast("int").alias("row_level"),
                       F.col("col_value").cast("int").alias("col_level"), "n")
 

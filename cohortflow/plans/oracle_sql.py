@@ -8,7 +8,7 @@ rounded to 6 places, integer sums cast to BIGINT.
 
 from __future__ import annotations
 
-from cohortflow.sources.fixture import OBSERVATION_END, OBSERVATION_START, UNLISTED_CAUSE, VA_CODES
+from cohortflow.sources.fixture import UNLISTED_CAUSE, VA_CODES
 from cohortflow.spec import (AGE_BANDS, CAUSE_VOCABULARY, DIABETES_TYPE_MAP, FIXTURE_PERIODS,
                              GROUP6_LEVELS, VASCULAR_ACCESS_MAP)
 
@@ -95,14 +95,13 @@ subj AS (
 ),
 ord AS (
   SELECT o_custkey, o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS d,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS slot
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS place
   FROM orders
-  WHERE o_orderdate >= TIMESTAMP '{OBSERVATION_START.isoformat()}'
-    AND o_orderdate < TIMESTAMP '{OBSERVATION_END.isoformat()}' + INTERVAL 1 DAY
-    AND o_custkey IN (SELECT c_custkey FROM customer)
+  WHERE o_custkey IN (SELECT c_custkey FROM customer)
 ),
 adm AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(slot AS INTEGER) AS adm_number, d AS hosp_start,
+  SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(place % 9 + 1 AS INTEGER) AS adm_number,
+    place // 9 AS file_row, d AS hosp_start,
     CASE WHEN o_orderkey % 97 <> 0 THEN d + CAST(o_orderkey % 15 AS INTEGER) END AS hosp_end,
     CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
          WHEN o_orderpriority = '1-URGENT' THEN 'Si' ELSE 'No' END AS hosp_re,
@@ -110,7 +109,7 @@ adm AS (
          THEN {_list([v[0] for v in CAUSE_VOCABULARY])}[o_orderkey % 40 + 1]
          WHEN o_orderkey % 40 = {len(CAUSE_VOCABULARY)} THEN {_q(UNLISTED_CAUSE)} END AS hosp_cause,
     o_orderkey
-  FROM ord WHERE slot <= 9
+  FROM ord
 ),
 pl AS (
   SELECT id, gender, birth_date, htn, diabetes, diabetes_type, {_q(P1.label)} AS period,
@@ -215,15 +214,12 @@ def _wide_sql() -> str:
     slots = ",\n    ".join(
         f"max(CASE WHEN a.adm_number = {k} THEN a.{m} END) AS {m}_{k}"
         for k in range(1, 10) for m in ("hosp_start", "hosp_end", "hosp_re", "hosp_cause"))
+    lead = ", ".join(f"CASE WHEN coalesce(p.file_row, 0) = 0 THEN s.{c}_p{i} END AS {c}_p{i}" for i in (1, 2)
+                     for c in ("status_date", "clinic", "status", "substatus", "charlson", "karnofsky", "va"))
     return f"""
-SELECT s.id, s.status_date_p1, s.clinic_p1, s.status_p1, s.substatus_p1, s.status_date_p2,
-       s.clinic_p2, s.status_p2, s.substatus_p2, s.birth_date, s.gender, s.charlson_p1,
-       s.charlson_p2, s.karnofsky_p1, s.karnofsky_p2, s.diabetes_type, s.diabetes_date,
-       s.va_p1, s.va_p2, s.htn, s.death_date, s.death_cause,
-    {slots},
-    s.diabetes
-FROM subj s LEFT JOIN adm a ON a.id = s.id
-GROUP BY ALL"""
+SELECT s.id, {lead}, s.birth_date, s.gender, s.diabetes_type, s.diabetes_date,
+       s.htn, s.death_date, s.death_cause, p.* EXCLUDE (id, file_row), s.diabetes
+FROM subj s LEFT JOIN (SELECT a.id, a.file_row, {slots} FROM adm a GROUP BY a.id, a.file_row) p ON p.id = s.id"""
 
 
 def _wide_text_sql() -> str:
@@ -240,21 +236,20 @@ def _wide_text_sql() -> str:
     def dc(x):
         return (f"CASE WHEN s.k % 2 = 1 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) || ',0' "
                 f"ELSE CAST(CAST({x} AS BIGINT) AS VARCHAR) END")
+    cells = {"status_date_p1": dmy("s.status_date_p1"), "status_date_p2": dmy("s.status_date_p2"),
+             "clinic_p1": "CASE WHEN s.k % 7 = 0 THEN 'NA' ELSE s.clinic_p1 END", "clinic_p2": "s.clinic_p2",
+             **{f"{c}_p{i}": f"s.{c}_p{i}" for c in ("status", "substatus", "va") for i in (1, 2)},
+             **{f"charlson_p{i}": dc(f"s.charlson_p{i}") for i in (1, 2)},
+             **{f"karnofsky_p{i}": f"CAST(CAST(s.karnofsky_p{i} AS BIGINT) AS VARCHAR)" for i in (1, 2)}}
+    lead = ", ".join(f"CASE WHEN coalesce(p.file_row, 0) = 0 THEN {e} END AS {c}" for c, e in cells.items())
     return f"""
-SELECT s.id, {dmy('s.status_date_p1')} AS status_date_p1,
-       CASE WHEN s.k % 7 = 0 THEN 'NA' ELSE s.clinic_p1 END AS clinic_p1, s.status_p1, s.substatus_p1,
-       {dmy('s.status_date_p2')} AS status_date_p2, s.clinic_p2, s.status_p2, s.substatus_p2,
+SELECT s.id, {lead},
        {dmy('s.birth_date')} AS birth_date,
        CASE s.gender WHEN 'Mujer' THEN 'F' WHEN 'Hombre' THEN 'M' END AS gender,
-       {dc('s.charlson_p1')} AS charlson_p1, {dc('s.charlson_p2')} AS charlson_p2,
-       CAST(CAST(s.karnofsky_p1 AS BIGINT) AS VARCHAR) AS karnofsky_p1,
-       CAST(CAST(s.karnofsky_p2 AS BIGINT) AS VARCHAR) AS karnofsky_p2,
-       s.diabetes_type, {dmy('s.diabetes_date')} AS diabetes_date, s.va_p1, s.va_p2,
+       s.diabetes_type, {dmy('s.diabetes_date')} AS diabetes_date,
        CASE s.htn WHEN 'Si' THEN 'Y' WHEN 'No' THEN 'N' END AS htn,
-       {dmy('s.death_date')} AS death_date, s.death_cause,
-    {slots}
-FROM subj s LEFT JOIN adm a ON a.id = s.id
-GROUP BY ALL"""
+       {dmy('s.death_date')} AS death_date, s.death_cause, p.* EXCLUDE (id, file_row)
+FROM subj s LEFT JOIN (SELECT a.id, a.file_row, {slots} FROM adm a GROUP BY a.id, a.file_row) p ON p.id = s.id"""
 
 
 def _with(body: str) -> str:
@@ -673,11 +668,13 @@ t AS (SELECT '(Intercept)' AS term, ln(a / b) AS estimate, sqrt(1.0 / a + 1.0 /
              a + b + c + d AS n_obs FROM c
       UNION ALL
       SELECT 'period{P2.label}', ln((c / d) / (a / b)), sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d),
-             a + b + c + d FROM c)
+             a + b + c + d FROM c),
+dev AS (SELECT -2 * (a * ln(a / (a + b)) + b * ln(b / (a + b)) + c * ln(c / (c + d)) + d * ln(d / (c + d)))
+               AS deviance FROM c)
 SELECT term, estimate, std_error, estimate / std_error AS statistic,
        {norm_two_sided_sql('estimate / std_error')} AS p_value, exp(estimate) AS exp_estimate,
-       CAST(n_obs AS BIGINT) AS n_obs FROM t""",
-         ("estimate", "std_error", "statistic", "p_value", "exp_estimate"))
+       CAST(n_obs AS BIGINT) AS n_obs, deviance FROM t, dev""",
+         ("estimate", "std_error", "statistic", "p_value", "exp_estimate", "deviance"))
 
 # Saturated negative binomial with a log-exposure offset: the fitted mean of each
 # period is its sample mean whatever theta is, so the coefficients are log rates.

@@ -51,7 +51,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed wide cohort, derived once per session and written as parquet.
 
     Like cleaning the raw file once before every analysis: the derivation
-    (scan, top-9 window, slot pivot, typing) runs one time and every later
+    (scan, slot pivot, typing) runs one time and every later
     query scans the written table, with column pruning and pushdown, instead
     of re-deriving it in each branch of its plan. The table lives in the
     session's shared checkpoint folder, so it survives executor loss.
@@ -452,7 +452,7 @@ def q_logit_period_only(spark, sf_dir):
     """Saturated logistic model (period only): closed form ln odds ratio."""
     from cohortflow.operators.models import fit_logistic
     fit = fit_logistic(_design(spark, sf_dir, PERIOD_ONLY, []), "was_hospitalized", _terms(PERIOD_ONLY, []))
-    return fit.select("term", "estimate", "std_error", "statistic", "p_value", "exp_estimate", "n_obs")
+    return fit.select("term", "estimate", "std_error", "statistic", "p_value", "exp_estimate", "n_obs", "deviance")
 
 
 @query("nb_period_only")

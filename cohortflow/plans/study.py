@@ -35,11 +35,19 @@ def _period_value(spec: StudySpec, fn) -> Column:
 
 # --------------------------------------------------------------- subject-period
 
-def period_long(wide: DataFrame, spec: StudySpec) -> DataFrame:
-    """Subject x period rows where the subject was present (clinic and access known)."""
-    ids = ["id", "gender", "birth_date", "htn", "diabetes", "diabetes_type"]
-    long = unpivot_repeated(wide, ids, spec.period_group, "period",
-                            key_values=spec.suffix_to_label())
+PERIOD_IDS = ("id", "gender", "birth_date", "htn", "diabetes", "diabetes_type")
+
+
+def period_long(wide: DataFrame, spec: StudySpec, id_cols=PERIOD_IDS, measures=None) -> DataFrame:
+    """Subject x period rows where the subject was present (clinic and access known).
+
+    ``measures`` names the period measures to read (clinic and access always
+    are); the scan cannot prune them through the generator by itself.
+    """
+    if measures is not None:
+        measures = list(dict.fromkeys(["clinic", "va", *measures]))
+    long = unpivot_repeated(wide, list(id_cols), spec.period_group, "period",
+                            key_values=spec.suffix_to_label(), measures=measures)
     return long.where(F.col("clinic").isNotNull() & F.col("va").isNotNull())
 
 
@@ -55,7 +63,7 @@ def demographics(wide: DataFrame, spec: StudySpec) -> DataFrame:
 
 
 def age_at_anchor(wide: DataFrame, spec: StudySpec) -> DataFrame:
-    d = period_long(wide, spec)
+    d = period_long(wide, spec, id_cols=("id", "birth_date"), measures=())
     anchor = _period_value(spec, lambda p: F.lit(p.start))
     return d.select("id", "period", "birth_date", anchor.alias("anchor_date"),
                     age_years(F.col("birth_date"), anchor).alias("age"))
@@ -75,12 +83,12 @@ def first_demographics(demo: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- admissions
 
 def admission_long(wide: DataFrame, spec: StudySpec, id_cols=("id", "gender", "htn", "diabetes"),
-                   drop: str | None = "all") -> DataFrame:
-    """Admission-slot rows. ``drop``: ``all`` = drop slots whose four measures
+                   drop: str | None = "all", measures=None) -> DataFrame:
+    """Admission-slot rows; ``adm_number`` is the slot within the file row. ``drop``: ``all`` = drop slots whose four measures
     are all NULL; ``start`` = drop slots without a start date; None = keep all.
     """
     long = unpivot_repeated(wide, list(id_cols), spec.slot_group, "adm_number",
-                            drop_all_null=(drop == "all"), key_type="int")
+                            drop_all_null=(drop == "all"), key_type="int", measures=measures)
     if drop == "start":
         long = long.where(F.col("hosp_start").isNotNull())
     return long
@@ -129,9 +137,10 @@ def ratio_events(wide: DataFrame, spec: StudySpec) -> DataFrame:
     Slots outside every period can never meet a presence key (whose period
     is never NULL), so they are dropped before the shuffle.
     """
-    slots = admission_long(wide, spec, id_cols=("id",), drop=None)
+    slots = admission_long(wide, spec, id_cols=("id",), drop=None,
+                           measures=("hosp_start", "hosp_end", "hosp_cause"))
     slots = classify_periods(slots, spec.periods, bounds=spec.bounds).where(F.col("period").isNotNull())
-    presence = period_long(wide, spec).select("id", "period").distinct()
+    presence = period_long(wide, spec, id_cols=("id",), measures=()).select("id", "period").distinct()
     j = null_safe_join(slots, presence, ["id", "period"], "right")
     j = j.withColumn("adm_number", F.coalesce(F.col("adm_number"), F.lit(0)))
     return recode_causes(j, spec.vocabulary, outputs={"hosp_cause": "group6"})
@@ -148,7 +157,7 @@ def cause_ratio(wide: DataFrame, spec: StudySpec) -> DataFrame:
                  F.format_string("%.1f%%", F.round(ratio * 100, 1)).alias("ratio_label"))
     grid = level_grid(wide.sparkSession, [("period", spec.period_labels),
                                           ("hosp_cause", list(spec.group6_levels))])
-    done = complete(r, F.broadcast(grid), ["period", "hosp_cause"],
+    done = complete(r, grid, ["period", "hosp_cause"],
                     {"hosp_count": 0, "ratio": 0.0, "ratio_label": "0.0%"})
     return done.where(F.col("hosp_cause").isNotNull()).select(
         F.col("period").alias("Period"), F.col("hosp_cause").alias("Cause"),

@@ -4,12 +4,11 @@ One wide text row per customer, shaped like the raw study file, so every
 operator downstream runs on data whose volume grows with the input tables:
 
 * subject = customer; demographics follow deterministic rules on the key;
-* admission slots 1..9 = the customer's first nine orders dated inside the
-  observation window, ranked by (order date, order key).
-
-The ranking is a ``row_number() <= 9`` window, which Spark plans with a
-partial group limit before the shuffle: a customer with a third of all
-orders still ships at most nine rows per map task.
+* admissions = all of the customer's orders, ranked by (order date, order
+  key). The file holds nine admission slots per row; a customer with more
+  continues on further rows, which repeat the subject's own cells (sex, birth,
+  diabetes, hypertension, death) and leave the period cells empty, so that a
+  presence row still occurs once per subject and period.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from pyspark.sql import functions as F
 
 from cohortflow.spec import CAUSE_VOCABULARY, SLOT_MEASURES, wide_columns
 
-OBSERVATION_START = dt.date(1996, 7, 1)
-OBSERVATION_END = dt.date(1998, 6, 30)
 VA_CODES = ("Autologous AV Fistula", "AV Graft", "Tunneled catheter", "Loop graft")
 UNLISTED_CAUSE = "Unlisted cause"
 
@@ -46,13 +43,12 @@ def _decimal_comma(x: Column, key: Column) -> Column:
 
 
 def admission_slots(spark: SparkSession, sf_dir: str, n_slots: int = 9) -> DataFrame:
-    """Per customer, the first ``n_slots`` orders in the window as slot columns."""
-    o = (table(spark, sf_dir, "orders")
-         .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-         .where((F.col("o_orderdate") >= F.lit(OBSERVATION_START).cast("timestamp_ntz"))
-                & (F.col("o_orderdate") < F.lit(OBSERVATION_END + dt.timedelta(days=1)).cast("timestamp_ntz"))))
+    """Every order of a customer in slot columns, ``n_slots`` to a file row (``file_row`` from 0)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ranked = o.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n_slots)
+    place = F.row_number().over(w) - 1
+    ranked = (o.withColumn("place", place).withColumn("slot", F.col("place") % n_slots + 1)
+              .withColumn("file_row", F.floor(F.col("place") / n_slots)))
 
     start = F.to_date("o_orderdate")
     end = F.when(F.col("o_orderkey") % 97 != 0, F.date_add(start, (F.col("o_orderkey") % 15).cast("int")))
@@ -62,13 +58,13 @@ def admission_slots(spark: SparkSession, sf_dir: str, n_slots: int = 9) -> DataF
     code_no = (F.col("o_orderkey") % 40).cast("int")
     cause = F.when(code_no < len(CAUSE_VOCABULARY) + 1, F.get(codes, code_no))
     slots = ranked.select(
-        "o_custkey", "slot",
+        "o_custkey", "file_row", "slot",
         _dmy(start).alias("hosp_start"), _dmy_dash(end).alias("hosp_end"),
         readm.alias("hosp_re"), cause.alias("hosp_cause"))
-    # One row per (customer, slot): a conditional max per slot is the pivot.
+    # One row per (customer, file row, slot): a conditional max per slot is the pivot.
     aggs = [F.max(F.when(F.col("slot") == k, F.col(m))).alias(f"{m}_{k}")
             for k in range(1, n_slots + 1) for m in SLOT_MEASURES]
-    return slots.groupBy("o_custkey").agg(*aggs)
+    return slots.groupBy("o_custkey", "file_row").agg(*aggs)
 
 
 def cohort_wide_text(spark: SparkSession, sf_dir: str, n_slots: int = 9) -> DataFrame:
@@ -115,5 +111,7 @@ def cohort_wide_text(spark: SparkSession, sf_dir: str, n_slots: int = 9) -> Data
     base = cust.join(nation, cust.c_nationkey == nation.n_nationkey, "left")
     slots = admission_slots(spark, sf_dir, n_slots)
     joined = base.join(slots, base.c_custkey == slots.o_custkey, "left")
+    lead = F.coalesce(F.col("file_row"), F.lit(0)) == 0
+    scalar = {c: F.when(lead, e) if c.endswith(("_p1", "_p2")) else e for c, e in scalar.items()}
     cols = [scalar[c].cast("string").alias(c) if c in scalar else F.col(c) for c in wide_columns(n_slots)]
     return joined.select(*cols)
