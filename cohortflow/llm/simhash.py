@@ -185,7 +185,8 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, rounds: int = 4) -> DataFrame
     keys = key_table(fps)
     shared = (keys.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"))
               .filter("lead < last").drop("last"))
-    members = materialize(keys.join(shared, "key"), "simhash-keys")
+    # the size estimate of ``keys`` is that of the fingerprints, some 59 times too small: never broadcast it
+    members = materialize(keys.join(shared.hint("merge"), "key"), "simhash-keys")
     links = (members.filter((F.col("fp") != F.col("lead")) & _near("fp", "lead", max_bits))
              .select("fp", "lead").distinct())
     roots = materialize(components(links, "fp", "lead"), "simhash-roots")
