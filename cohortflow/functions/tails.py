@@ -114,10 +114,15 @@ def beta_inc(a: float, b: float, x: float) -> float:
     return 1.0 - lead * _beta_cf(b, a, 1.0 - x) / b
 
 
+NORMAL_DF = 1e6
+
+
 def t_two_sided(t, df):
     """Two-sided p of a Student t statistic."""
     if t is None or df is None or not math.isfinite(t) or df <= 0:
         return None
+    if df > NORMAL_DF:      # the log-gamma difference below would cancel; this is exact to 1/df^2
+        return norm_two_sided(t * (1 - 0.25 / df) / math.sqrt(1 + 0.5 * t * t / df))
     return beta_inc(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -127,24 +132,43 @@ def norm_two_sided(z):
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+UNDERFLOW = -746.0         # exp of less is 0 in double
+FISHER_BLOCK = 1 << 16
+
+
 def fisher_2x2(a: int, b: int, c: int, d: int) -> float:
     """Two-sided exact p of a 2x2 table (tables no more likely than observed).
 
-    Hypergeometric pmf over the support of the first cell built by the ratio
-    recurrence in log space, so no factorial is ever formed.
+    The hypergeometric pmf of the first cell, relative to its mode, is walked
+    outward block by block through its ratio recurrence (log space, no
+    factorial) until the terms are zero in double, so the work follows the
+    spread of the distribution and not the size of its support.
     """
-    r1, c1, n = a + b, a + c, a + b + c + d
-    lo, hi = max(0, r1 + c1 - n), min(r1, c1)
-    xs = np.arange(lo, hi + 1, dtype=np.float64)
-    # log P(x+1)/P(x) = log((r1-x)(c1-x)) - log((x+1)(n-r1-c1+x+1))
-    steps = (np.log(r1 - xs[:-1]) + np.log(c1 - xs[:-1])
-             - np.log(xs[:-1] + 1) - np.log(n - r1 - c1 + xs[:-1] + 1))
-    logp = np.concatenate([[0.0], np.cumsum(steps)])
-    logp -= logp.max()
-    p = np.exp(logp)
-    p /= p.sum()
-    obs = p[int(a - lo)]
-    return float(min(1.0, p[p <= obs * (1 + 1e-7)].sum()))
+    r1, c1, rest = a + b, a + c, d - a
+    lo, hi = max(0, -rest), min(r1, c1)
+    mode = min(max((r1 + 1) * (c1 + 1) // (r1 + c1 + rest + 2), lo), hi)
+
+    def outward(sign: int, last: int) -> np.ndarray:
+        at, level, logs = mode, 0.0, [np.empty(0)]
+        while at != last and level > UNDERFLOW:
+            n = min(FISHER_BLOCK, abs(last - at))
+            x = at + sign * np.arange(n, dtype=np.float64)
+            if sign > 0:
+                step = np.log(r1 - x) + np.log(c1 - x) - np.log(x + 1) - np.log(rest + x + 1)
+            else:
+                step = np.log(x) + np.log(rest + x) - np.log(r1 - x + 1) - np.log(c1 - x + 1)
+            logs.append(level + np.cumsum(step))
+            level, at = float(logs[-1][-1]), at + sign * n
+        return np.concatenate(logs)
+
+    above, below = outward(1, hi), outward(-1, lo)
+    side, far = (above if a > mode else below), abs(a - mode)
+    if far > len(side):
+        return 0.0
+    seen = side[far - 1] if far else 0.0
+    logs = np.concatenate([below, [0.0], above])
+    p = np.exp(logs)
+    return float(min(1.0, p[logs <= seen + 1e-7].sum() / p.sum()))
 
 
 def _vectorised(fn, *series: pd.Series) -> pd.Series:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortflow.functions.tails import chi2_p, fisher_p, norm_p, t_p
+from cohortflow.operators.cohort import null_safe_join
 from cohortflow.operators.ranks import midranks
 from cohortflow.operators.reshape import complete, level_grid
 from cohortflow.session import ship_code
@@ -115,44 +116,44 @@ def cell_counts(df: DataFrame, keys: list[str], row: str, col: str) -> DataFrame
 def chi_square(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Pearson chi-square (no correction) per key from observed cell counts.
 
-    Margins are window sums over the (small) cell-count table, so no join is
-    needed. Uses sum(O^2 / E) - N over the non-empty cells only, so empty
-    cells never have to be materialised; df = (rows - 1)(cols - 1) over
-    non-empty margins. Also reports the smallest expected count.
+    Margins are aggregated and joined back on (keys, level), so a variable
+    with many levels is spread over tasks. Uses N sum(O^2 / (R C)) - N over
+    the non-empty cells only, so empty cells never have to be materialised;
+    df = (rows - 1)(cols - 1) over non-empty margins. Also reports the
+    smallest expected count.
     """
-    from pyspark.sql import Window
     if not keys:
         raise ValueError("chi_square needs at least one key column")
-    wk = Window.partitionBy(*keys)
-    c = (counts.withColumn("r_tot", F.sum("n").over(Window.partitionBy(*keys, "row_level")))
-         .withColumn("c_tot", F.sum("n").over(Window.partitionBy(*keys, "col_level")))
-         .withColumn("n_total", F.sum("n").over(wk)))
+    rows = counts.groupBy(*keys, "row_level").agg(F.sum("n").alias("r_tot"))
+    cols = counts.groupBy(*keys, "col_level").agg(F.sum("n").alias("c_tot"))
+    c = null_safe_join(counts, rows, [*keys, "row_level"], "inner")
+    c = null_safe_join(c, cols, [*keys, "col_level"], "inner")
+    n = F.col("n").cast("double")
     g = c.groupBy(*keys).agg(
-        F.sum(F.col("n") * F.col("n") / (F.col("r_tot") * F.col("c_tot") / F.col("n_total"))).alias("__s"),
-        F.first("n_total").alias("n_total"),
+        F.sum(n * n / (F.col("r_tot").cast("double") * F.col("c_tot"))).alias("__s"), F.sum("n").alias("n_total"),
         F.count_distinct("row_level").alias("n_rows"), F.count_distinct("col_level").alias("n_cols"),
         F.min("r_tot").alias("r_min"), F.min("c_tot").alias("c_min"))
-    stat = F.col("__s") - F.col("n_total")
+    stat = F.col("n_total") * F.col("__s") - F.col("n_total")
     dfree = ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("double")
     g = g.select(*keys, "n_total", "n_rows", "n_cols",
-                 (F.col("r_min") * F.col("c_min") / F.col("n_total")).alias("min_expected"),
+                 (F.col("r_min").cast("double") * F.col("c_min") / F.col("n_total")).alias("min_expected"),
                  F.when(dfree > 0, stat).alias("statistic"), F.when(dfree > 0, dfree).alias("df"))
     return g.withColumn("p_value", chi2_p(F.col("statistic"), F.col("df")))
 
 
 def fisher_2x2(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Two-sided Fisher exact test per key for 2x2 tables (levels in sorted order)."""
-    r_lv = counts.groupBy(*keys).agg(F.array_sort(F.collect_set("row_level")).alias("__rl"),
-                                     F.array_sort(F.collect_set("col_level")).alias("__cl"))
-    j = counts.join(r_lv, keys)
-    first_r = F.col("row_level") == F.get(F.col("__rl"), 0)
-    first_c = F.col("col_level") == F.get(F.col("__cl"), 0)
+    levels = counts.groupBy(*keys).agg(
+        F.min("row_level").alias("__r0"), F.min("col_level").alias("__c0"),
+        F.count_distinct("row_level").alias("__nr"), F.count_distinct("col_level").alias("__nc"))
+    j = null_safe_join(counts, levels.where("__nr = 2 and __nc = 2"), keys, "inner")
+    first_r = F.col("row_level") == F.col("__r0")
+    first_c = F.col("col_level") == F.col("__c0")
 
     def cell(rc, cc, name):
         return F.sum(F.when(rc & cc, F.col("n")).otherwise(0)).alias(name)
-    g = (j.where((F.size("__rl") == 2) & (F.size("__cl") == 2)).groupBy(*keys)
-         .agg(cell(first_r, first_c, "a"), cell(first_r, ~first_c, "b"),
-              cell(~first_r, first_c, "c"), cell(~first_r, ~first_c, "d")))
+    g = j.groupBy(*keys).agg(cell(first_r, first_c, "a"), cell(first_r, ~first_c, "b"),
+                             cell(~first_r, first_c, "c"), cell(~first_r, ~first_c, "d"))
     return g.withColumn("p_value", fisher_p(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
 
 
@@ -252,7 +253,7 @@ def monte_carlo_independence(counts: DataFrame, keys: list[str], replicates: int
     tables = (counts.groupBy(*keys).agg(
         F.collect_list(F.struct("row_level", "col_level", "n")).alias("cells"))
         .withColumn("mc_key", F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0)))
-    n_tasks = max(1, min(replicates // 100, 64))
+    n_tasks = max(1, replicates // 100)
     j = (tables.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
          .repartition(n_tasks, "rep"))
     out_schema = T.StructType([*[counts.schema[k] for k in keys],

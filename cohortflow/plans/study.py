@@ -16,12 +16,11 @@ from cohortflow.functions.recode import (band, n_distinct, strict_count_if, stri
 from cohortflow.operators.classify import classify_periods, recode_causes
 from cohortflow.operators.cohort import first_row_per_key, membership_flag, null_safe_join
 from cohortflow.operators.reshape import complete, expand_keys, level_grid, unpivot_repeated
-from cohortflow.spec import DIABETES_TYPE_MAP, VASCULAR_ACCESS_MAP, StudySpec
+from cohortflow.spec import DIABETES_TYPE_MAP, GROUP4_LEVELS, VASCULAR_ACCESS_MAP, StudySpec
 
 PRESENCE_COLUMNS = ["id", "clinic", "gender", "age", "age_group", "htn", "diabetes",
                     "charlson", "va", "period"]
-INFECTION = "Infección"
-CARDIO = "Cardiovascular"
+CARDIO, INFECTION = GROUP4_LEVELS[:2]
 
 
 def _period_value(spec: StudySpec, fn) -> Column:
@@ -75,8 +74,10 @@ def subject_periods(demo: DataFrame) -> DataFrame:
 
 
 def first_demographics(demo: DataFrame) -> DataFrame:
-    """One demographics row per (id, period); tiebreak on the remaining columns."""
-    order = [F.col(c).asc_nulls_last() for c in ("clinic", "status_date", "charlson", "va", "age")]
+    """One demographics row per (id, period); tiebreak on all remaining columns, so rows that tie are equal."""
+    lead = ["clinic", "status_date", "charlson", "va", "age"]
+    others = [c for c in demo.columns if c not in ("id", "period", *lead)]
+    order = [F.col(c).asc_nulls_last() for c in [*lead, *others]]
     return first_row_per_key(demo, ["id", "period"], order)
 
 
@@ -165,14 +166,18 @@ def cause_ratio(wide: DataFrame, spec: StudySpec) -> DataFrame:
         F.col("ratio_label").alias("Ratio (%)"))
 
 
-def cause_period_summary(wide: DataFrame, spec: StudySpec) -> DataFrame:
-    """Admissions with a start date, per period and 6-group cause: count, days, readmissions."""
+def admissions_in_periods(wide: DataFrame, spec: StudySpec) -> DataFrame:
+    """Admissions with a start date inside a period: 6-group cause, days, readmission."""
     a = admission_long(wide, spec, id_cols=("id",), drop="start")
     a = classify_periods(a, spec.periods, bounds=spec.bounds)
     a = recode_causes(a, spec.vocabulary, outputs={"hosp_cause_groups": "group6"})
     a = a.withColumn("hosp_length", days_between(F.col("hosp_start"), F.col("hosp_end")))
-    a = a.where(F.col("period").isNotNull())
-    return a.groupBy("period", "hosp_cause_groups").agg(
+    return a.where(F.col("period").isNotNull())
+
+
+def cause_period_summary(wide: DataFrame, spec: StudySpec) -> DataFrame:
+    """Admissions in the periods, per period and 6-group cause: count, days, readmissions."""
+    return admissions_in_periods(wide, spec).groupBy("period", "hosp_cause_groups").agg(
         F.count(F.lit(1)).alias("hosp_count"),
         strict_sum(F.col("hosp_length")).cast("long").alias("hosp_length"),
         strict_count_if(F.col("hosp_re") == F.lit("Si")).alias("hosp_readmission"))
