@@ -2,8 +2,8 @@
 
 Variables are stacked to long form (one scan for all of them) and the
 stratum is part of every grouping key, so there is no loop over variables
-or strata on the driver. Display labels are left to the caller (a dict of
-variable -> label can be joined as a literal map).
+or strata on the driver. ``described_table`` adds display labels, missing
+counts, statistic text and the test of each variable.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortflow.operators.cohort import null_safe_join
 from cohortflow.operators.ranks import exact_quantiles
 from cohortflow.operators.reshape import stack_columns
+from cohortflow.session import write_once
 from cohortflow.spec import literal_map
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -35,19 +37,22 @@ def summary_continuous(df: DataFrame, variables: list[str], by: str, strata=(),
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     q = exact_quantiles(long, keys, "value", QUARTILES, qtype)
-    out = stats.join(q, keys, "left")
+    out = null_safe_join(stats, q, keys, "left")
     return out.select(*strata, "variable", F.col(by).alias("grp"), "n", "n_missing", "mean", "sd",
                       "p25", "median", "p75")
 
 
 def summary_categorical(df: DataFrame, variables: list[str], by: str, strata=(),
-                        dichotomous: dict[str, str] | None = None) -> DataFrame:
+                        dichotomous: dict[str, str] | None = None,
+                        declared: dict[str, list[str]] | None = None) -> DataFrame:
     """Per (strata, variable, level, group): n, non-missing denominator, share.
 
-    Every observed level of a variable is shown in every group (0 when
-    absent). ``dichotomous`` keeps only the named level of those variables.
+    Every observed or ``declared`` level of a variable is shown in every group
+    (0 when absent). ``dichotomous`` shows only the named level of those
+    variables, observed or not.
     """
     dichotomous = dichotomous or {}
+    declared = {**(declared or {}), **{v: [level] for v, level in dichotomous.items()}}
     variables = list(dict.fromkeys([*variables, *dichotomous]))
     keep = [*strata, by]
     long = stack_columns(df.where(F.col(by).isNotNull()), keep, {v: F.col(v) for v in variables},
@@ -55,9 +60,13 @@ def summary_categorical(df: DataFrame, variables: list[str], by: str, strata=(),
     keys = [*strata, "variable"]
     counts = long.groupBy(*keys, "level", by).agg(F.count(F.lit(1)).alias("n"))
     denom = long.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("denom"))
-    levels = long.select(*keys, "level").distinct()
-    grid = levels.join(denom, keys)
-    out = grid.join(counts, [*keys, "level", by], "left").select(
+    levels = counts.select(*keys, "level")
+    if declared:
+        known = F.try_element_at(F.create_map(*[x for v, ls in declared.items() for x in (
+            F.lit(v), F.array(*map(F.lit, ls)))]), F.col("variable"))
+        levels = levels.unionByName(denom.select(*keys, F.explode(known).alias("level")))
+    grid = null_safe_join(levels.distinct(), denom, keys, "inner")
+    out = null_safe_join(grid, counts, [*keys, "level", by], "left").select(
         *keys, "level", F.col(by).alias("grp"), F.coalesce(F.col("n"), F.lit(0)).alias("n"), "denom")
     out = out.withColumn("pct", F.col("n") / F.col("denom"))
     if dichotomous:
@@ -126,10 +135,13 @@ def summary_tests(df: DataFrame, by: str, variables: list[str], strata=(),
     Wilcoxon rank-sum for two groups, Kruskal-Wallis for more; categorical ->
     Pearson chi-square when every expected count is >= 5, else Fisher exact
     (2x2) or simulated Fisher (larger tables). Variables in ``simulate`` take
-    the Monte-Carlo p of the statistic their rule selects. All branches are
-    joins/filters over two checkpointed aggregates (cell counts, value
-    histogram); Monte Carlo runs only for the tables that need it. The kind of
-    a variable is judged on rows with a known group.
+    the Monte-Carlo p of the statistic their rule selects (none with
+    ``replicates`` 0: these p values, and the statistic of a simulated Fisher
+    test, are NULL then). All branches are joins/filters over two checkpointed
+    aggregates: the value histogram of the numeric variables, and the cell
+    counts of the categorical ones, which take numeric variables of few
+    values from the histogram. The kind of a variable is judged on rows with a
+    known group.
     """
     from cohortflow.operators.stats import (cell_counts, chi_square, fisher_2x2,
                                             monte_carlo_independence, rank_statistics)
@@ -142,20 +154,19 @@ def summary_tests(df: DataFrame, by: str, variables: list[str], strata=(),
     keys = [*strata, "variable"]
     numeric = [f.name for f in df.schema.fields if f.name in variables and isinstance(f.dataType, NUMERIC)]
     base = df.where(F.col(by).isNotNull())
-    # Every branch below reads one of two small aggregates -- cell counts and
-    # the numeric value histogram -- written once to the checkpoint folder.
-    long = stack_columns(base, [*strata, by], {v: F.col(v) for v in variables}, "variable", "level", "string")
-    cells = cell_counts(long, keys, "level", by).checkpoint(eager=True)
-    is_num = F.try_element_at(literal_map({v: v in numeric for v in variables}), F.col("variable"))
-    prof = (cells.groupBy("variable").agg(F.count_distinct("row_level").alias("n_distinct"))
-            .select("variable", F.when(is_num & (F.col("n_distinct") >= max_levels), "continuous")
-                    .otherwise("categorical").alias("kind")))
-    parts = []
+    other = [v for v in variables if v not in numeric]
+    parts, cells = [], []
+    if other:
+        long = stack_columns(base, [*strata, by], {v: F.col(v) for v in other}, "variable", "level", "string")
+        cells.append(cell_counts(long, keys, "level", by))
     if numeric:
         nlong = stack_columns(base, [*strata, by], {v: F.col(v) for v in numeric}, "variable", "value", "double")
         hist = value_histogram(nlong, keys, "value", [by]).checkpoint(eager=True)
-        rs = rank_statistics(hist, keys, "value", by, first_level, weight="n").join(
-            prof.where(F.col("kind") == "continuous"), "variable")
+        many = hist.groupBy("variable").agg((F.count_distinct("value") >= max_levels).alias("many"))
+        hist = hist.join(many, "variable")
+        cells.append(hist.where(~F.col("many")).select(*keys, F.col("value").cast("string").alias("row_level"),
+                                                       F.col(by).cast("string").alias("col_level"), "n"))
+        rs = rank_statistics(hist.where("many").drop("many"), keys, "value", by, first_level, weight="n")
         n1, N = F.col("n1").cast("double"), F.col("n_total").cast("double")
         W = F.col("R1") - n1 * (n1 + 1) / 2
         mu = n1 * (N - n1) / 2
@@ -169,7 +180,8 @@ def summary_tests(df: DataFrame, by: str, variables: list[str], strata=(),
             F.when(two, W).when(F.col("k") > 2, H).alias("statistic"),
             F.when(two, F.lit(None).cast("double")).when(F.col("k") > 2, (F.col("k") - 1).cast("double")).alias("df"),
             F.when(two, norm_p(z)).when(F.col("k") > 2, chi2_p(H, (F.col("k") - 1))).alias("p_value")))
-    cats = cells.join(prof.where(F.col("kind") == "categorical").select("variable"), "variable")
+    cats = cells[0] if len(cells) == 1 else cells[0].unionByName(cells[1])
+    cats = cats.checkpoint(eager=True)
     chi = chi_square(cats, keys)
     small = F.col("min_expected") < 5
     is_2x2 = (F.col("n_rows") == 2) & (F.col("n_cols") == 2)
@@ -178,8 +190,13 @@ def summary_tests(df: DataFrame, by: str, variables: list[str], strata=(),
     need_mc = chi.where((small & ~is_2x2) | sim_var).select(*keys)
     fis = fisher_2x2(cats.join(need_exact, keys, "left_semi"), keys).select(
         *keys, F.lit("fisher.test").alias("test_exact"), F.col("p_value").alias("p_exact"))
-    mc = monte_carlo_independence(cats.join(need_mc, keys, "left_semi"), keys, replicates, seed)
-    j = (chi.join(fis, keys, "left").join(mc, keys, "left"))
+    j = null_safe_join(chi, fis, keys, "left")
+    if replicates:
+        j = null_safe_join(j, monte_carlo_independence(cats.join(need_mc, keys, "left_semi"), keys, replicates, seed),
+                           keys, "left")
+    else:
+        j = j.withColumns({c: F.lit(None).cast("double") for c in (
+            "chisq_p_value", "fisher_statistic", "fisher_p_value")})
     test = (F.when(sim_var & ~small, "chisq.test (simulated)").when(sim_var, "fisher.test (simulated)")
             .when(~small, "chisq.test.no.correct").when(is_2x2, "fisher.test")
             .otherwise("fisher.test (simulated)"))
@@ -194,3 +211,61 @@ def summary_tests(df: DataFrame, by: str, variables: list[str], strata=(),
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _one_decimal(x):
+    """Text with one decimal; NULL stays NULL."""
+    return F.round(x, 1).cast("decimal(20,1)").cast("string")
+
+
+def described_table(df: DataFrame, by: str, strata=(), continuous=(), categorical=(),
+                    dichotomous: dict[str, str] | None = None, declared: dict[str, list[str]] | None = None,
+                    labels: dict[str, str] | None = None, text: dict[str, tuple[str, str]] | None = None,
+                    simulate: tuple[str, ...] = (), replicates: int = 2000, seed: int = 20240101,
+                    first_level: str | None = None, qtype: int = 7) -> DataFrame:
+    """``summary_table`` with display columns and each variable's test, in one long schema.
+
+    Adds ``label`` (``labels``, else the name), ``level_no`` (place among the
+    ``declared`` levels, from 1; NULL for others), ``n_missing`` of the group,
+    ``stat_label`` and the columns of ``summary_tests`` (equal on all rows of a
+    stratum's variable). ``text`` gives a continuous variable's form,
+    ``("mean", unit)`` for mean (+-sd) or ``("median", unit)`` for median [p25, p75], the default.
+    The columns used are written once, so that the parts and tests do not repeat the plan of ``df``.
+    """
+    dichotomous = dichotomous or {}
+    declared = {**(declared or {}), **{v: [level] for v, level in dichotomous.items()}}
+    variables = list(dict.fromkeys([*continuous, *categorical, *dichotomous]))
+    df = write_once(df.where(F.col(by).isNotNull()).select(*strata, by, *variables), "described")
+    parts, null_d = [], F.lit(None).cast("double")
+    numbers = ("mean", "sd", "p25", "median", "p75")
+    if continuous:
+        parts.append(summary_continuous(df, list(continuous), by, strata, qtype).select(
+            *strata, "variable", F.lit("continuous").alias("kind"), F.lit(None).cast("string").alias("level"), "grp",
+            "n", F.lit(None).cast("long").alias("denom"), null_d.alias("pct"), *numbers))
+    if categorical or dichotomous:
+        kind = F.when(F.col("variable").isin(list(dichotomous) or [""]), "dichotomous").otherwise("categorical")
+        parts.append(summary_categorical(df, list(categorical), by, strata, dichotomous, declared).select(
+            *strata, "variable", kind.alias("kind"), "level", "grp", "n", "denom", "pct",
+            *[null_d.alias(c) for c in numbers]))
+    keys = [*strata, "variable"]
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = null_safe_join(out, summary_missing(df, variables, by, strata).drop("n"), [*keys, "grp"], "left")
+    tests = summary_tests(df, by, variables, strata, simulate, replicates=replicates, seed=seed,
+                          first_level=first_level).drop("kind")
+    out = null_safe_join(out, tests, keys, "left")
+    form = text or {}
+    unit = F.try_element_at(literal_map({v: form.get(v, ("median", ""))[1] for v in variables}), F.col("variable"))
+    as_mean = F.col("variable").isin([v for v, (f, _) in form.items() if f == "mean"] or [""])
+    stat = (F.when(F.col("kind") != "continuous", F.concat(
+                F.col("n").cast("string"), F.lit(" ("), _one_decimal(F.col("n") * 100.0 / F.col("denom")), F.lit("%)")))
+            .when(as_mean, F.concat(_one_decimal(F.col("mean")), F.lit(" (±"), _one_decimal(F.col("sd")),
+                                    F.lit(")"), unit))
+            .otherwise(F.concat(_one_decimal(F.col("median")), F.lit(" ["), _one_decimal(F.col("p25")), F.lit(", "),
+                                _one_decimal(F.col("p75")), F.lit("]"), unit)))
+    place = F.lit(None).cast("int")
+    for v, levels in declared.items():
+        here = F.array_position(F.array(*map(F.lit, levels)), F.col("level")).cast("int")
+        place = F.when((F.col("variable") == v) & (here > 0), here).otherwise(place)
+    label = F.try_element_at(literal_map({v: (labels or {}).get(v, v) for v in variables}), F.col("variable"))
+    return out.select(*keys, label.alias("label"), "kind", "level", place.alias("level_no"), "grp", "n", "denom",
+                      "n_missing", "pct", *numbers, stat.alias("stat_label"), "test", "statistic", "df", "p_value")

@@ -542,7 +542,10 @@ SELECT {s}variable, grp, count(value) AS n, count(*) FILTER (WHERE value IS NULL
 FROM ({long}) WHERE grp IS NOT NULL GROUP BY ALL"""
 
 
-def _categorical_sql(long: str, dich: dict | None = None, strata: str = "") -> str:
+def _categorical_sql(long: str, dich: dict | None = None, strata: str = "", declared: dict | None = None) -> str:
+    pairs = ", ".join(f"({_q(v)}, {_q(x)})" for v, xs in (declared or {}).items() for x in xs)
+    more = (f" UNION SELECT DISTINCT {strata + ', ' if strata else ''}variable, dl.level FROM den "
+            f"JOIN (VALUES {pairs}) dl(variable, level) USING (variable)") if pairs else ""
     s = f"{strata}, " if strata else ""
     j = f" AND lv.{strata} IS NOT DISTINCT FROM den.{strata}" if strata else ""
     jc = f" AND cnt.{strata} IS NOT DISTINCT FROM den.{strata}" if strata else ""
@@ -557,7 +560,7 @@ SELECT * FROM (
 WITH l AS (SELECT * FROM ({long}) WHERE grp IS NOT NULL AND value IS NOT NULL),
 cnt AS (SELECT {s}variable, value AS level, grp, count(*) AS n FROM l GROUP BY ALL),
 den AS (SELECT {s}variable, grp, count(*) AS denom FROM l GROUP BY ALL),
-lv AS (SELECT DISTINCT {s}variable, value AS level FROM l)
+lv AS (SELECT DISTINCT {s}variable, value AS level FROM l{more})
 SELECT {sel_s}lv.variable, lv.level, den.grp, coalesce(cnt.n, 0) AS n, den.denom,
        coalesce(cnt.n, 0) / den.denom AS pct
 FROM lv JOIN den ON lv.variable = den.variable{j}
@@ -638,6 +641,112 @@ SELECT chi.variable, 'categorical',
 FROM chi JOIN prof USING (variable) LEFT JOIN fis USING (variable) WHERE prof.kind = 'categorical'
 """, ("statistic", "df", "p_value"))
 
+def _tests_sql(text: str, number: str, numeric: list[str], simulate: list[str], first: str | None) -> str:
+    """Tests per ``variable`` (stratum|name); simulated p values are NULL."""
+    name = "string_split(variable, '|')[-1]"
+    nums = ", ".join(map(_q, numeric))
+    sim = f"{name} IN ({', '.join(map(_q, simulate))})"
+    cells = (f"SELECT variable, value AS row_level, grp AS col_level, count(*) AS n FROM ({text}) "
+             "WHERE value IS NOT NULL AND grp IS NOT NULL GROUP BY ALL")
+    w = "(R1 - n1 * (n1 + 1) / 2.0)"
+    mu = "(n1 * (n_total - n1) / 2.0)"
+    sigma = "sqrt(n1 * (n_total - n1) / 12.0 * ((n_total + 1) - ties / (n_total * (n_total - 1.0))))"
+    return f"""
+SELECT * FROM (
+WITH kinds AS (SELECT name, name IN ({nums}) AND n_values >= 10 AS many
+               FROM (SELECT {name} AS name, count(DISTINCT value) AS n_values
+                     FROM ({text}) WHERE grp IS NOT NULL GROUP BY 1)),
+rk AS ({_rank_sql(number, "variable", first)}),
+w AS (SELECT key AS variable, k, {w} AS W, ({w} - {mu} - 0.5 * sign({w} - {mu})) / {sigma} AS z,
+             (12.0 / (n_total * (n_total + 1.0)) * r2n - 3 * (n_total + 1))
+             / (1 - ties / (1.0 * n_total * n_total * n_total - n_total)) AS H FROM rk),
+chi AS ({_chi_sql(cells, "variable")}),
+fis AS ({_fisher_sql(cells)})
+SELECT variable, CASE WHEN k = 2 THEN 'wilcox.test' WHEN k > 2 THEN 'kruskal.test' END AS test,
+       CASE WHEN k = 2 THEN W WHEN k > 2 THEN H END AS statistic,
+       CASE WHEN k > 2 THEN CAST(k - 1 AS DOUBLE) END AS df,
+       CASE WHEN k = 2 THEN {norm_two_sided_sql('z')} WHEN k > 2 THEN {chi2_sf_sql('H', 'k - 1')} END AS p_value
+FROM w JOIN kinds ON name = {name} WHERE many
+UNION ALL
+SELECT chi.variable, CASE WHEN {sim.replace('variable', 'chi.variable')} AND min_expected >= 5 THEN 'chisq.test (simulated)'
+         WHEN {sim.replace('variable', 'chi.variable')} THEN 'fisher.test (simulated)'
+         WHEN min_expected >= 5 THEN 'chisq.test.no.correct'
+         WHEN n_rows = 2 AND n_cols = 2 THEN 'fisher.test' ELSE 'fisher.test (simulated)' END,
+       CASE WHEN min_expected >= 5 THEN statistic END, CASE WHEN min_expected >= 5 THEN df END,
+       CASE WHEN {sim.replace('variable', 'chi.variable')} THEN NULL WHEN min_expected >= 5 THEN chi.p_value
+            WHEN n_rows = 2 AND n_cols = 2 THEN fis.p_value END
+FROM chi JOIN kinds ON name = {name.replace('variable', 'chi.variable')} LEFT JOIN fis ON fis.variable = chi.variable
+WHERE NOT many)"""
+
+
+def _described_sql(src: str, by: str, cont: list[str], cat: list[str], dich: dict, declared: dict, labels: dict,
+                   means: dict, numeric: list[str], simulate: list[str], first: str | None = None,
+                   strata: str = "") -> str:
+    s = f"{strata}, " if strata else ""
+    every = [*cont, *cat, *dich]
+    declared = {**declared, **{v: [x] for v, x in dich.items()}}
+
+    def long(variables, cast, keyed=False):
+        name = (lambda v: f"{strata} || '|' || {_q(v)}" if strata and keyed else _q(v))
+        head = s if strata and not keyed else ""
+        return " UNION ALL ".join(f"SELECT {head}{by} AS grp, {name(v)} AS variable, CAST({v} AS {cast}) AS value "
+                                  f"FROM {src}" for v in variables)
+
+    def dec(x):
+        return f"CAST(CAST(round({x}, 1) AS DECIMAL(20, 1)) AS VARCHAR)"
+    same = f"AND m.{strata} = b.{strata}" if strata else ""
+    key = f"b.{strata} || '|' || b.variable" if strata else "b.variable"
+    places = " ".join(f"WHEN b.variable = {_q(v)} THEN nullif(list_position({_list(xs)}, b.level), 0)"
+                      for v, xs in declared.items())
+    mean_text = " ".join(f"WHEN b.variable = {_q(v)} THEN {dec('b.mean')} || ' (±' || {dec('b.sd')} || ')' || {_q(u)}"
+                         for v, u in means.items())
+    sel = f"b.{strata}, " if strata else ""
+    return f"""
+WITH base AS (
+  SELECT {s}variable, 'continuous' AS kind, CAST(NULL AS VARCHAR) AS level, grp, n, CAST(NULL AS BIGINT) AS denom,
+         CAST(NULL AS DOUBLE) AS pct, mean, sd, p25, median, p75
+  FROM ({_continuous_sql(long(cont, 'DOUBLE'), strata)})
+  UNION ALL
+  SELECT {s}variable, CASE WHEN variable IN ({', '.join(map(_q, dich))}) THEN 'dichotomous' ELSE 'categorical' END,
+         level, grp, n, denom, pct, NULL, NULL, NULL, NULL, NULL
+  FROM ({_categorical_sql(long([*cat, *dich], 'VARCHAR'), dich, strata, declared)})),
+m AS (SELECT {s}variable, grp, count(*) FILTER (WHERE value IS NULL) AS n_missing
+      FROM ({long(every, 'VARCHAR')}) WHERE grp IS NOT NULL GROUP BY ALL),
+t AS ({_tests_sql(long(every, 'VARCHAR', True), long(numeric, 'DOUBLE', True), numeric, simulate, first)})
+SELECT {sel}b.variable, {_case_map('b.variable', labels)} AS label, b.kind, b.level,
+       CAST(CASE {places} END AS INTEGER) AS level_no, b.grp, b.n, b.denom, m.n_missing, b.pct, b.mean, b.sd, b.p25,
+       b.median, b.p75,
+       CASE WHEN b.kind <> 'continuous' THEN b.n || ' (' || {dec('b.n * 100.0 / b.denom')} || '%)' {mean_text}
+            ELSE {dec('b.median')} || ' [' || {dec('b.p25')} || ', ' || {dec('b.p75')} || ']' END AS stat_label,
+       t.test, t.statistic, t.df, t.p_value
+FROM base b JOIN m ON m.variable = b.variable AND m.grp = b.grp {same} LEFT JOIN t ON t.variable = {key}"""
+
+
+_DESCRIBED = ("pct", "mean", "sd", "p25", "median", "p75", "statistic", "df", "p_value")
+_BANDS_DECLARED = list(AGE_BANDS.labels)
+register("demographics_table", _described_sql(
+    "demo", "period", ["age", "charlson"], ["age_group", "diabetes_type", "karnofsky", "va"],
+    {"gender": "Mujer", "htn": "Si", "diabetes": "Si"},
+    {"age_group": _BANDS_DECLARED, "diabetes_type": ["Tipo 1", "Tipo 2"],
+     "va": ["Fistula AV Nativa", "Fistula Protésica", "Catéter Tunelizado"]},
+    {"age": "Edad", "age_group": "Edad (Categórica)", "gender": "Mujeres", "htn": "Hipertensión",
+     "diabetes": "Diabetes Mellitus", "diabetes_type": "Tipo de Diabetes", "charlson": "Índice de Charlson",
+     "karnofsky": "Karnofsky", "va": "Acceso Vascular"},
+    {"age": " años"}, NUMERIC_DEMO, ["karnofsky"], P1.label), _DESCRIBED)
+register("overall_table", _described_sql(
+    "analysis", "hosp_cause_groups", ["charlson"], ["age_group", "gender"], {"htn": "Si", "diabetes": "Si"},
+    {"age_group": _BANDS_DECLARED, "gender": ["Mujer", "Hombre"]},
+    {"age_group": "Grupo Etario", "gender": "Género", "htn": "Hipertensión Arterial",
+     "diabetes": "Diabetes Mellitus", "charlson": "Índice de Charlson"},
+    {}, ["charlson"], ["age_group"], None, "period"), _DESCRIBED)
+register("admission_table", _described_sql(
+    """(SELECT a.period, v.group6 AS hosp_cause_groups, a.hosp_re, CAST(a.hosp_end - a.hosp_start AS INTEGER) AS hosp_length
+        FROM adm_full a LEFT JOIN vocab v ON a.hosp_cause = v.code
+        WHERE a.period IS NOT NULL AND a.hosp_start IS NOT NULL)""",
+    "hosp_cause_groups", ["hosp_length"], ["period"], {"hosp_re": "Si"}, {"period": [P1.label, P2.label]},
+    {"period": "Periodo", "hosp_length": "Días de hospitalización", "hosp_re": "Reingreso"},
+    {"hosp_length": ""}, ["hosp_length"], ["period"]), _DESCRIBED)
+
 
 # ------------------------------------------------------------------- models
 

@@ -397,6 +397,63 @@ def q_stratified_tests(spark, sf_dir):
                          simulate=("age_group",))
 
 
+# The simulated p values of the described tables are left NULL here (``replicates=0``), so that every
+# column has an SQL oracle; summary_with_tests_simulated, stratified_tests and admission_tests give them.
+DECLARED = {"age_group": list(SPEC.age_bands.labels), "gender": ["Mujer", "Hombre"],
+            "diabetes_type": ["Tipo 1", "Tipo 2"],
+            "va": ["Fistula AV Nativa", "Fistula Protésica", "Catéter Tunelizado"],
+            "period": SPEC.period_labels}
+DEMO_LABELS = {"age": "Edad", "age_group": "Edad (Categórica)", "gender": "Mujeres", "htn": "Hipertensión",
+               "diabetes": "Diabetes Mellitus", "diabetes_type": "Tipo de Diabetes",
+               "charlson": "Índice de Charlson", "karnofsky": "Karnofsky", "va": "Acceso Vascular"}
+CAUSE_LABELS = {"age_group": "Grupo Etario", "gender": "Género", "htn": "Hipertensión Arterial",
+                "diabetes": "Diabetes Mellitus", "charlson": "Índice de Charlson"}
+ADMISSION_LABELS = {"period": "Periodo", "hosp_length": "Días de hospitalización", "hosp_re": "Reingreso"}
+
+
+def _declared(*variables):
+    return {v: DECLARED[v] for v in variables}
+
+
+@query("demographics_table")
+def q_demographics_table(spark, sf_dir):
+    """Demographics by period: statistics, text, missing counts, declared levels and tests."""
+    from cohortflow.operators.summary import described_table
+    return described_table(demo(spark, sf_dir), "period", continuous=["age", "charlson"],
+                           categorical=["age_group", "diabetes_type", "karnofsky", "va"], dichotomous=DICHOTOMOUS,
+                           declared=_declared("age_group", "diabetes_type", "va"), labels=DEMO_LABELS,
+                           text={"age": ("mean", " años")}, simulate=("karnofsky",), replicates=0,
+                           first_level=SPEC.period_labels[0])
+
+
+@query("overall_table")
+def q_overall_table(spark, sf_dir):
+    """Covariates of the analysis table by cause group, per period, with tests across the groups."""
+    from cohortflow.operators.summary import described_table
+    return described_table(analysis(spark, sf_dir), "hosp_cause_groups", ["period"], continuous=["charlson"],
+                           categorical=["age_group", "gender"], dichotomous={"htn": "Si", "diabetes": "Si"},
+                           declared=_declared("age_group", "gender"), labels=CAUSE_LABELS, simulate=("age_group",),
+                           replicates=0)
+
+
+@query("admission_table")
+def q_admission_table(spark, sf_dir):
+    """Admissions by six cause groups: period, days (mean and sd), readmission, with tests."""
+    from cohortflow.operators.summary import described_table
+    return described_table(S.admissions_in_periods(wide(spark, sf_dir), SPEC), "hosp_cause_groups",
+                           continuous=["hosp_length"], categorical=["period"], dichotomous={"hosp_re": "Si"},
+                           declared=_declared("period"), labels=ADMISSION_LABELS,
+                           text={"hosp_length": ("mean", "")}, simulate=("period",), replicates=0)
+
+
+@query("admission_tests")
+def q_admission_tests(spark, sf_dir):
+    """Tests of the admission table, the period's p value simulated (2000 tables)."""
+    from cohortflow.operators.summary import summary_tests
+    return summary_tests(S.admissions_in_periods(wide(spark, sf_dir), SPEC), "hosp_cause_groups",
+                         ["period", "hosp_length", "hosp_re"], simulate=("period",))
+
+
 # --------------------------------------------------------------------- models
 
 MODEL_FACTORS = {"period": SPEC.period_labels, "age_group": list(SPEC.age_bands.labels),
