@@ -268,6 +268,7 @@ def register(name: str, body: str, doubles: tuple[str, ...] = ()) -> None:
 
 register("cohort_wide", _wide_text_sql())
 register("wide_ingest", _wide_sql(), ("charlson_p1", "charlson_p2", "karnofsky_p1", "karnofsky_p2"))
+ORACLES["csv_ingest"] = ORACLES["wide_ingest"]
 register("period_long", "SELECT * FROM pl", ("charlson", "karnofsky"))
 register("demographics", "SELECT * FROM demo", ("charlson", "karnofsky", "age"))
 register("age_at_anchor", f"""

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from cohortflow.plans import study as S
 from cohortflow.session import ensure_checkpoint_dir
 from cohortflow.sources.fixture import cohort_wide_text
-from cohortflow.sources.wide import type_wide
+from cohortflow.sources.wide import read_wide_csv, type_wide, write_wide_csv
 from cohortflow.spec import StudySpec
 
 SPEC = StudySpec()
@@ -105,6 +105,14 @@ def q_wide_ingest(spark, sf_dir):
     return type_wide(cohort_wide_text(spark, sf_dir, SPEC.n_slots))
 
 
+@query("csv_ingest")
+def q_csv_ingest(spark, sf_dir):
+    """The cohort as CSV files in the shared folder (decimal commas quoted), scanned back and typed."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohort-csv-{uuid.uuid4().hex}"
+    write_wide_csv(cohort_wide_text(spark, sf_dir, SPEC.n_slots), path)
+    return type_wide(read_wide_csv(spark, path, SPEC.n_slots))
+
+
 @query("period_long")
 def q_period_long(spark, sf_dir):
     return S.period_long(wide(spark, sf_dir), SPEC)

@@ -37,6 +37,11 @@ def read_wide_csv(spark: SparkSession, path: str, n_slots: int = 9, sep: str = "
             .csv(path))
 
 
+def write_wide_csv(raw: DataFrame, path: str, sep: str = ",") -> None:
+    """Write a text wide frame in the form ``read_wide_csv`` reads: header, quoted cells, empty for missing."""
+    raw.write.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+
+
 def _is_date_column(name: str) -> bool:
     n = name.lower()
     return "date" in n or "start" in n or "_end_" in n
