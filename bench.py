@@ -21,7 +21,8 @@ HEADLINE = [
     "paired_event_counts", "period_wide", "paired_diff_t", "mcnemar", "cohen_d_paired",
     "unpaired_event_flags", "summary_continuous", "summary_categorical", "stratified_summary",
     "summary_documents", "rank_sum", "kruskal_wallis", "chi_square", "fisher_2x2",
-    "summary_with_tests", "logit_risk", "nb_count_model",
+    "summary_with_tests", "logit_risk", "nb_count_model", "csv_ingest", "demographics_table",
+    "overall_table", "admission_table",
 ]
 
 
