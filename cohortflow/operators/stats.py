@@ -224,73 +224,144 @@ def kruskal_wallis(df: DataFrame, keys: list[str], value: str, group: str) -> Da
 # ------------------------------------------------------------- Monte Carlo
 
 ALMOST_ONE = 1 - 64 * 2.220446049250313e-16
+CHUNK = 100                     # replicates drawn together
 
 
-def _random_table(rng, row_tot, col_tot):
-    """Uniform random table with fixed margins: rows drawn one after another."""
-    remaining = np.array(col_tot, dtype=np.int64)
-    out = np.zeros((len(row_tot), len(col_tot)), dtype=np.int64)
-    for i, r in enumerate(row_tot[:-1]):
-        draw = rng.multivariate_hypergeometric(remaining, int(r))
-        out[i] = draw
-        remaining = remaining - draw
-    out[-1] = remaining
+def _hypergeometric(rng, good, bad, draw):
+    """Hypergeometric numbers for arrays of the three counts.
+
+    Populations beyond numpy's limit are drawn by inversion: probabilities
+    around the mode from the ratios of neighbours, 12 standard deviations far.
+    """
+    if max(good.max(initial=0), bad.max(initial=0)) < 10 ** 9:
+        return rng.hypergeometric(good, bad, draw)
+    out = np.empty(len(good), dtype=np.int64)
+    for i, (g, b, d) in enumerate(zip(good.tolist(), bad.tolist(), draw.tolist())):
+        total = g + b
+        mode = (d + 1) * (g + 1) // (total + 2)
+        spread = 12 * math.isqrt(d * g * b * (total - d) // max(total ** 2 * (total - 1), 1)) + 40
+        low, high = max(0, d - b, mode - spread), min(g, d, mode + spread)
+        k = np.arange(low, high, dtype=float)
+        p = np.concatenate([[0.0], np.cumsum(np.log((g - k) * (d - k) / ((k + 1) * (b - d + k + 1))))])
+        p = np.cumsum(np.exp(p - p.max()))
+        out[i] = low + min(int(np.searchsorted(p, rng.random() * p[-1], side="right")), len(p) - 1)
     return out
 
 
+def _random_tables(rng, row_tot, col_tot):
+    """Uniform random tables with these margins, one per line of ``col_tot``, cell after cell."""
+    left = np.array(col_tot, dtype=np.int64)
+    out = np.zeros((len(left), len(row_tot), left.shape[1]), dtype=np.int64)
+    for i, r in enumerate(row_tot):
+        need, rest = np.full(len(left), r, dtype=np.int64), left.sum(axis=1)
+        for j in range(left.shape[1] - 1):
+            rest = rest - left[:, j]
+            out[:, i, j] = _hypergeometric(rng, left[:, j], rest, need)
+            need = need - out[:, i, j]
+        out[:, i, -1] = need
+        left -= out[:, i]
+    return out
+
+
+def _table_statistics(tables, row_tot, col_tot):
+    """Per table (of a block of rows): its parts of chi-square and of -sum log n!."""
+    row_tot, col_tot = np.asarray(row_tot, dtype=float), np.asarray(col_tot, dtype=float)
+    e = row_tot[:, None] * col_tot[None, :] / col_tot.sum()
+    values, at = np.unique(tables, return_inverse=True)
+    logs = np.array([math.lgamma(v + 1) for v in values.tolist()])[at.reshape(tables.shape)]
+    return ((tables - e) ** 2 / e).sum(axis=(1, 2)), -logs.sum(axis=(1, 2))
+
+
 def monte_carlo_independence(counts: DataFrame, keys: list[str], replicates: int = 2000,
-                             seed: int = 20240101) -> DataFrame:
+                             seed: int = 20240101, block_levels: int = 1000) -> DataFrame:
     """Monte-Carlo p for independence in r x c tables, margins fixed.
 
-    Replicates are generated rows spread over tasks; each draws its table
-    from a generator seeded by (seed, key hash, replicate id), so the result
-    does not depend on partitioning. Both statistics come from the same
-    draws: Pearson chi-square (larger is more extreme) and the Fisher table
-    probability, -sum log n! (smaller is more extreme). Only each table's
-    cells (bounded by its number of levels) travel with the tasks.
+    ``counts``: one row per cell of each key. A table's row levels are dealt
+    to blocks of about ``block_levels``. A replicate first draws how the
+    column totals fall to the blocks (a random table of block by column), then
+    every block draws its own rows, so no task holds more of a table than a
+    block, or one number per block. Only the column levels, the groups that
+    are compared, stay together. ``CHUNK`` replicates are drawn at a time,
+    from a generator seeded by (seed, key hash, chunk, block): the result
+    does not depend on partitioning.
+
+    Both statistics come from the same draws: Pearson chi-square (larger is
+    more extreme) and the Fisher table probability, -sum log n! (smaller is
+    more extreme). Ties count, within rounding; the second statistic is
+    negative, so its bound is widened by the same factor below one.
     """
+    if not keys:
+        return _keyed(monte_carlo_independence, counts, keys, replicates, seed, block_levels)
     ship_code(counts.sparkSession)
-    tables = (counts.groupBy(*keys).agg(
-        F.collect_list(F.struct("row_level", "col_level", "n")).alias("cells"))
-        .withColumn("mc_key", F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0)))
-    n_tasks = max(1, replicates // 100)
-    j = (tables.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-         .repartition(n_tasks, "rep"))
-    out_schema = T.StructType([*[counts.schema[k] for k in keys],
-                               T.StructField("sim_chisq", T.DoubleType()),
-                               T.StructField("obs_chisq", T.DoubleType()),
-                               T.StructField("sim_fisher", T.DoubleType()),
-                               T.StructField("obs_fisher", T.DoubleType())])
-
-    def chisq(tab):
-        r, c = tab.sum(1, keepdims=True), tab.sum(0, keepdims=True)
-        e = r * c / tab.sum()
-        return float(((tab - e) ** 2 / e).sum())
-
-    def fisher(tab):
-        return -float(sum(math.lgamma(v + 1) for v in tab.ravel()))
-
-    def run(it):
+    rows = counts.groupBy(*keys, "row_level").agg(
+        F.sum("n").alias("r_tot"), F.map_from_entries(F.collect_list(F.struct("col_level", "n"))).alias("by_col"))
+    cols = (counts.groupBy(*keys, "col_level").agg(F.sum("n").alias("c_tot"))
+            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col_level", "c_tot"))).alias("cols")))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_levels).alias("blocks"))
+    tables = null_safe_join(cols, sizes, keys, "inner")
+    cells = F.transform("cols.col_level", lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit(0)).cast("long"))
+    placed = null_safe_join(rows, tables, keys, "inner").select(
+        *keys, F.pmod(F.xxhash64("row_level"), "blocks").alias("block"), F.col("cols.c_tot").alias("c_tot"),
+        F.struct("row_level", "r_tot", cells.alias("cells")).alias("row"))
+    blocks = placed.groupBy(*keys, "block").agg(
+        F.first("c_tot").alias("c_tot"), F.sum("row.r_tot").alias("held"),
+        F.array_sort(F.collect_list("row")).alias("rows"))
+    chunks = -(-replicates // CHUNK)
+    top = (blocks.groupBy(*keys).agg(F.first("c_tot").alias("c_tot"),
+                                     F.array_sort(F.collect_list(F.struct("block", "held"))).alias("parts"))
+           .select(*keys, "c_tot", F.col("parts.block").alias("block"), F.col("parts.held").alias("held"),
+                   F.xxhash64(*keys).alias("mc_key"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+           .repartition(chunks, "chunk"))
+    key_fields = [counts.schema[k] for k in keys]
+
+    def generator(rec, *more):
+        return np.random.default_rng([seed, int(rec["mc_key"]) & 0x7FFFFFFFFFFFFFFF, int(rec["chunk"]), *more])
+
+    def split(it):
+        for pdf in it:
+            for rec in pdf.to_dict("records"):
+                size = min(CHUNK, replicates - CHUNK * rec["chunk"])
+                drawn = _random_tables(generator(rec), rec["held"], np.tile(rec["c_tot"], (size, 1)))
+                yield pd.DataFrame([[*[rec[k] for k in keys], block, rec["mc_key"], rec["chunk"], drawn[:, i].ravel()]
+                                    for i, block in enumerate(rec["block"])], columns=[f.name for f in split_schema])
+
+    def simulate(it):
+        for pdf in it:
+            for rec in pdf.to_dict("records"):
+                own = np.asarray(rec["own"]).reshape(-1, len(rec["c_tot"]))
+                drawn = _random_tables(generator(rec, int(rec["block"]) + 1), rec["r_tot"], own)
+                chisq, fisher = _table_statistics(drawn, rec["r_tot"], rec["c_tot"])
+                out = pd.DataFrame({"rep": CHUNK * rec["chunk"] + np.arange(len(own)), "chisq": chisq, "fisher": fisher})
+                for k in keys:
+                    out[k] = rec[k]
+                yield out[[f.name for f in part_schema]]
+
+    def observe(it):
         for pdf in it:
-            rows = []
             for rec in pdf.to_dict("records"):
-                cells = list(rec["cells"])
-                rl = sorted({c["row_level"] for c in cells})
-                cl = sorted({c["col_level"] for c in cells})
-                obs = np.zeros((len(rl), len(cl)), dtype=np.int64)
-                for c in cells:
-                    obs[rl.index(c["row_level"]), cl.index(c["col_level"])] = c["n"]
-                rng = np.random.default_rng([seed, int(rec["mc_key"]) & 0x7FFFFFFFFFFFFFFF, int(rec["rep"])])
-                sim = _random_table(rng, obs.sum(1), obs.sum(0))
-                rows.append([*[rec[k] for k in keys], chisq(sim), chisq(obs), fisher(sim), fisher(obs)])
-            yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
-    sims = j.mapInPandas(run, out_schema)
-    g = sims.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("replicates"),
-        F.first("obs_chisq").alias("chisq_statistic"),
-        F.count_if(F.col("sim_chisq") >= F.col("obs_chisq") * ALMOST_ONE).alias("__hc"),
-        F.first("obs_fisher").alias("fisher_statistic"),
-        F.count_if(F.col("sim_fisher") <= F.col("obs_fisher") / ALMOST_ONE).alias("__hf"))
+                table = np.stack([np.asarray(c) for c in rec["cells"]])[None]
+                chisq, fisher = _table_statistics(table, rec["r_tot"], rec["c_tot"])
+                yield pd.DataFrame([[*[rec[k] for k in keys], -1, chisq[0], fisher[0]]],
+                                   columns=[f.name for f in part_schema])
+
+    long, double = T.LongType(), T.DoubleType()
+    split_schema = T.StructType([*key_fields, T.StructField("block", long), T.StructField("mc_key", long),
+                                 T.StructField("chunk", T.IntegerType()), T.StructField("own", T.ArrayType(long))])
+    part_schema = T.StructType([*key_fields, T.StructField("rep", long), T.StructField("chisq", double),
+                                T.StructField("fisher", double)])
+    shown = blocks.select(*keys, "block", "c_tot", F.col("rows.r_tot").alias("r_tot"))
+    dealt = (null_safe_join(top.mapInPandas(split, split_schema), shown, [*keys, "block"], "inner")
+             .repartition(F.hash("mc_key", "block", "chunk")))
+    sims = (dealt.mapInPandas(simulate, part_schema).groupBy(*keys, "rep")
+            .agg(F.sum("chisq").alias("sim_chisq"), F.sum("fisher").alias("sim_fisher")))
+    observed = (blocks.select(*keys, "c_tot", F.col("rows.r_tot").alias("r_tot"), F.col("rows.cells").alias("cells"))
+                .mapInPandas(observe, part_schema).groupBy(*keys)
+                .agg(F.sum("chisq").alias("chisq_statistic"), F.sum("fisher").alias("fisher_statistic")))
+    g = null_safe_join(sims, observed, keys, "inner").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("replicates"), F.first("chisq_statistic").alias("chisq_statistic"),
+        F.count_if(F.col("sim_chisq") >= F.col("chisq_statistic") * ALMOST_ONE).alias("__hc"),
+        F.first("fisher_statistic").alias("fisher_statistic"),
+        F.count_if(F.col("sim_fisher") <= F.col("fisher_statistic") * ALMOST_ONE).alias("__hf"))
     return g.select(*keys, "replicates", "chisq_statistic",
                     ((F.col("__hc") + 1) / (F.col("replicates") + 1)).alias("chisq_p_value"),
                     "fisher_statistic",

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from cohortflow.functions.tails import chi2_sf, fisher_2x2, t_two_sided
 from cohortflow.operators.models import design_matrix, fit_logistic, fit_negative_binomial
 from cohortflow.operators.ranks import cumulative_before, exact_quantiles, midranks
 from cohortflow.operators.reshape import pivot_measures, unpivot_repeated
-from cohortflow.operators.stats import cell_counts, chi_square, mcnemar, monte_carlo_independence
+from cohortflow.operators.stats import (_hypergeometric, cell_counts, chi_square, mcnemar,
+                                        monte_carlo_independence)
 from cohortflow.spec import RepeatedGroup
 
 
@@ -91,6 +93,33 @@ def test_monte_carlo_is_reproducible(spark):
     assert 0.01 < r1["chisq_p_value"] < 0.15
 
 
+def test_monte_carlo_is_near_the_exact_p(spark):
+    counts = spark.createDataFrame([("k", "a", "x", 3), ("k", "a", "y", 9), ("k", "b", "x", 8), ("k", "b", "y", 4)],
+                                   "key string, row_level string, col_level string, n long")
+    p = monte_carlo_independence(counts, ["key"], replicates=4000).first()["fisher_p_value"]
+    assert abs(p - fisher_2x2(3, 9, 8, 4)) < 0.03
+
+
+def test_monte_carlo_in_blocks(spark):
+    rng = random.Random(11)
+    rows = [(k, f"r{i}", c, rng.randint(1, 9)) for k in ("k", None) for i in range(12) for c in "xyz"]
+    counts = spark.createDataFrame(rows, "key string, row_level string, col_level string, n long")
+    whole = {r["key"]: r for r in monte_carlo_independence(counts, ["key"], 1050).collect()}
+    cut = {r["key"]: r for r in monte_carlo_independence(counts, ["key"], 1050, block_levels=4).collect()}
+    assert set(whole) == set(cut) == {"k", None}
+    for k, r in whole.items():
+        assert r["replicates"] == cut[k]["replicates"] == 1050
+        assert abs(r["chisq_statistic"] - cut[k]["chisq_statistic"]) < 1e-9
+        assert abs(r["chisq_p_value"] - cut[k]["chisq_p_value"]) < 0.08
+        assert abs(r["fisher_p_value"] - cut[k]["fisher_p_value"]) < 0.08
+
+
+def test_hypergeometric_of_a_large_population():
+    good, bad, draw = 3 * 10 ** 9, 2 * 10 ** 9, 1000
+    got = _hypergeometric(np.random.default_rng(1), *(np.full(400, v) for v in (good, bad, draw)))
+    assert abs(got.mean() - 600) < 4 and 10 < got.std() < 22
+
+
 def test_logistic_rejects_constant_outcome(spark):
     df = spark.createDataFrame([("Pre", 1), ("Post", 1)], "period string, y int")
     d = design_matrix(df, {"period": ["Pre", "Post"]}, [], ["y"])
