@@ -15,8 +15,9 @@ smaller of its capacity and level x weight, rounded down.
 
 Scale: documents are reduced to (levels, tokens) with partial sums before the
 only shuffles. The prefix of a leaf is found through 65,536 ranges of the
-order key: range totals locate the range where the prefix ends, and only that
-range's rows are sorted, so no task sorts a whole leaf. The result is a
+order key: totals of 256 wide ranges, then of the 256 ranges inside one of
+them, locate the range where the prefix ends, and only that range's rows are
+sorted, so no task sorts a whole leaf. The result is a
 cut-off per leaf; documents are filtered against it row by row.
 
 Defined results: a null level value is the branch ``(none)``; a null or empty
@@ -37,7 +38,8 @@ from cohortflow.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 NO_VALUE = "(none)"
-RANGE_SHIFT = 36        # 52-bit order keys, 2**16 ranges
+RANGE_BITS = 16
+RANGE_SHIFT = 52 - RANGE_BITS       # of the 52-bit order keys
 
 
 @dataclass(frozen=True)
@@ -108,6 +110,15 @@ def leaf_targets(leaves: DataFrame, spec: MixSpec) -> DataFrame:
     return parents.drop("capacity")
 
 
+def _end(parts: DataFrame, levels: list[str], part: str) -> DataFrame:
+    """Per leaf, the part where the running tokens, from ``before`` on, pass ``rest``; ``before``: tokens ahead of it."""
+    along = Window.partitionBy(*levels).orderBy(part)
+    return (parts.withColumn("after", F.col("before") + F.sum("tokens").over(along))
+            .filter(F.col("after") > F.col("rest"))
+            .groupBy(*levels).agg(F.min(F.struct(part, (F.col("after") - F.col("tokens")).alias("before"))).alias("end"))
+            .select(*levels, f"end.{part}", "end.before"))
+
+
 def leaf_plan(light: DataFrame, spec: MixSpec) -> DataFrame:
     """Per leaf: whole epochs and the cut-off of the partial epoch.
 
@@ -122,13 +133,12 @@ def leaf_plan(light: DataFrame, spec: MixSpec) -> DataFrame:
     keyed = (light.join(plan.filter("rest > 0").select(*levels, "epochs", "rest"), levels)
              .withColumn("key", order_key(spec.seed, F.col("epochs"), F.col("doc_id")))
              .withColumn("range", F.shiftright("key", RANGE_SHIFT)))
-    ranges = keyed.groupBy(*levels, "rest", "range").agg(F.sum("n_tokens").alias("tokens"))
-    along = Window.partitionBy(*levels).orderBy("range")
-    ends = (ranges.withColumn("after", F.sum("tokens").over(along))
-            .filter(F.col("after") > F.col("rest"))
-            .groupBy(*levels).agg(F.min(F.struct("range", (F.col("after") - F.col("tokens")).alias("before")))
-                                  .alias("end"))
-            .select(*levels, F.col("end.range").alias("cut_range"), F.col("end.before").alias("before")))
+    # 256 wide ranges of a leaf first, then the 256 ranges of the one where the prefix ends
+    wide = F.shiftright("range", RANGE_BITS // 2).alias("wide")
+    ranges = keyed.groupBy(*levels, "rest", wide, "range").agg(F.sum("n_tokens").alias("tokens"))
+    sums = ranges.groupBy(*levels, "rest", "wide").agg(F.sum("tokens").alias("tokens")).withColumn("before", F.lit(0))
+    near = _end(sums, levels, "wide")
+    ends = _end(ranges.join(near, [*levels, "wide"]), levels, "range").withColumnRenamed("range", "cut_range")
     # met on the range too: only rows of the cut's range gather by leaf
     inside = (keyed.join(ends.withColumnRenamed("cut_range", "range"), [*levels, "range"])
               .withColumn("id", F.coalesce("doc_id", F.lit(-2 ** 63)))
