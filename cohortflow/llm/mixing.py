@@ -6,7 +6,11 @@ more than its tokens times ``max_epochs``. What a child cannot take is shared
 among its siblings by weight first; only when all siblings are full does the
 shortage show one level up, because a node's own capacity is the sum of its
 children's. Each leaf then takes its target as whole epochs plus a prefix of
-one more epoch in that epoch's own seeded order.
+one more epoch in that epoch's own seeded order. What the prefixes of a node's
+leaves lack, because whole documents do not fit, buys the next document of some
+of its leaves; the remainder goes to the node above, up to the root. So a leaf is
+off its target by less than one document either way, and the whole mix, never
+above its budget, lacks less than one of the documents left out next.
 
 Sharing is closed form, without a loop: with children ordered by capacity per
 weight, the level that fills them is the largest of
@@ -119,10 +123,69 @@ def _end(parts: DataFrame, levels: list[str], part: str) -> DataFrame:
             .select(*levels, f"end.{part}", "end.before"))
 
 
-def leaf_plan(light: DataFrame, spec: MixSpec) -> DataFrame:
+def _cut(keyed: DataFrame, on: list[str]) -> DataFrame:
+    """Per group ``on``: the last (key, id) up to which its tokens stay within ``rest``, and the next one.
+
+    ``keyed``: on, rest, key (52 bits), id, n_tokens. ``short`` is what the
+    prefix leaves of ``rest``, ``next_tokens`` (more than that) what the next (key, id) holds.
+    """
+    keyed = keyed.withColumn("range", F.shiftright("key", RANGE_SHIFT))
+    # 256 wide ranges of a group first, then the 256 ranges of the one where the prefix ends
+    wide = F.shiftright("range", RANGE_BITS // 2).alias("wide")
+    ranges = keyed.groupBy(*on, "rest", wide, "range").agg(F.sum("n_tokens").alias("tokens"))
+    sums = ranges.groupBy(*on, "rest", "wide").agg(F.sum("tokens").alias("tokens")).withColumn("before", F.lit(0))
+    near = _end(sums, on, "wide")
+    ends = _end(ranges.join(near, [*on, "wide"]), on, "range")
+    # met on the range too: only rows of the cut's range gather by group
+    along = Window.partitionBy(*on).orderBy("key", "id")
+    here = F.struct("key", "id", "sum")
+    return (keyed.join(ends, [*on, "range"])
+            .withColumn("sum", F.col("before") + F.sum("n_tokens").over(along))
+            .groupBy(*on, "rest", F.col("range").alias("cut_range"), "before")
+            .agg(F.max(F.when(F.col("sum") <= F.col("rest"), here)).alias("last"),
+                 F.min(F.when(F.col("sum") > F.col("rest"), here)).alias("next"))
+            .withColumn("taken", F.coalesce("last.sum", "before"))
+            .select(*on, "cut_range", F.col("last.key").alias("cut_key"), F.col("last.id").alias("cut_id"),
+                    (F.col("rest") - F.col("taken")).alias("short"), F.col("next.key").alias("next_key"),
+                    F.col("next.id").alias("next_id"), (F.col("next.sum") - F.col("taken")).alias("next_tokens")))
+
+
+def _filled(cut: DataFrame, spec: MixSpec) -> DataFrame:
+    """``cut`` with the next document added to the leaves that their node's shortage pays for.
+
+    What the leaves of a node lack together buys next documents of its leaves,
+    those first of which the leaf lacks the largest part; what is left goes to
+    the node above. The root takes the smallest of the others last.
+    """
+    levels = list(spec.levels)
+    name = F.xxhash64(*levels)
+    wanted = 255 - F.floor(F.col("short") * 255 / F.col("next_tokens"))
+    small = F.least(F.floor(F.log2(F.col("next_tokens")) * 8), F.lit(255))
+    now = cut.withColumns({"root": F.lit(0), "added": F.lit(False)})
+    passes = [(levels[:d] or ["root"], wanted) for d in range(len(levels) - 1, -1, -1)] + [(["root"], small)]
+    for on, first in passes:
+        own = F.col("next_tokens") * F.col("added").cast("long")
+        pools = now.groupBy(*on).agg((F.sum("short") - F.sum(own)).alias("rest"))
+        # 8 bits of the rank, then a hash of the leaf: equal ranks spread over many ranges
+        key = F.shiftleft(first.cast("long"), 44).bitwiseOR(F.shiftrightunsigned(name, 20))
+        open_ = (now.filter("not added").join(pools, on)
+                 .select(*on, "rest", key.alias("key"), name.alias("id"), F.col("next_tokens").alias("n_tokens")))
+        ends = _cut(open_, on).select(*on, F.col("cut_range").alias("r"), F.col("cut_key").alias("k"),
+                                      F.col("cut_id").alias("i"))
+        low = F.shiftright(key, RANGE_SHIFT)
+        paid = (low < F.col("r")) | ((low == F.col("r")) & F.coalesce(
+            (key < F.col("k")) | ((key == F.col("k")) & (name <= F.col("i"))), F.lit(False)))
+        now = materialize(now.join(ends, on, "left").withColumn(
+            "added", F.col("added") | F.coalesce(paid, F.lit(False))).select(*now.columns), "mix-fill")
+    return now.withColumns({"cut_key": F.when(F.col("added"), F.col("next_key")).otherwise(F.col("cut_key")),
+                            "cut_id": F.when(F.col("added"), F.col("next_id")).otherwise(F.col("cut_id"))})
+
+
+def leaf_plan(light: DataFrame, spec: MixSpec, fill: bool = True) -> DataFrame:
     """Per leaf: whole epochs and the cut-off of the partial epoch.
 
-    ``light``: levels, doc_id, n_tokens.
+    ``light``: levels, doc_id, n_tokens. Without ``fill`` a leaf ends before
+    the first document that does not fit, and what it lacks is not handed on.
     """
     levels = list(spec.levels)
     leaves = light.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
@@ -132,23 +195,12 @@ def leaf_plan(light: DataFrame, spec: MixSpec) -> DataFrame:
     plan = materialize(plan, "mix-plan")
     keyed = (light.join(plan.filter("rest > 0").select(*levels, "epochs", "rest"), levels)
              .withColumn("key", order_key(spec.seed, F.col("epochs"), F.col("doc_id")))
-             .withColumn("range", F.shiftright("key", RANGE_SHIFT)))
-    # 256 wide ranges of a leaf first, then the 256 ranges of the one where the prefix ends
-    wide = F.shiftright("range", RANGE_BITS // 2).alias("wide")
-    ranges = keyed.groupBy(*levels, "rest", wide, "range").agg(F.sum("n_tokens").alias("tokens"))
-    sums = ranges.groupBy(*levels, "rest", "wide").agg(F.sum("tokens").alias("tokens")).withColumn("before", F.lit(0))
-    near = _end(sums, levels, "wide")
-    ends = _end(ranges.join(near, [*levels, "wide"]), levels, "range").withColumnRenamed("range", "cut_range")
-    # met on the range too: only rows of the cut's range gather by leaf
-    inside = (keyed.join(ends.withColumnRenamed("cut_range", "range"), [*levels, "range"])
-              .withColumn("id", F.coalesce("doc_id", F.lit(-2 ** 63)))
-              .withColumn("sum", F.col("before") + F.sum("n_tokens").over(
-                  Window.partitionBy(*levels).orderBy("key", "id")))
-              .filter(F.col("sum") <= F.col("rest"))
-              .groupBy(*levels).agg(F.max(F.struct("key", "id")).alias("last")))
-    cut = ends.select(*levels, "cut_range").join(inside, levels, "left").select(
-        *levels, "cut_range", F.col("last.key").alias("cut_key"), F.col("last.id").alias("cut_id"))
-    return plan.select(*levels, "target", "epochs").join(cut, levels, "left")
+             .withColumn("id", F.coalesce("doc_id", F.lit(-2 ** 63))))
+    cut = _cut(keyed, levels)
+    if fill:
+        cut = _filled(materialize(cut, "mix-cut"), spec)
+    return plan.select(*levels, "target", "epochs").join(
+        cut.select(*levels, "cut_range", "cut_key", "cut_id"), levels, "left")
 
 
 def take(rows: DataFrame, plan: DataFrame, spec: MixSpec) -> DataFrame:
@@ -173,14 +225,14 @@ def level_value(c: Column) -> Column:
 
 
 def mix(docs: DataFrame, spec: MixSpec, levels: Mapping[str, Column], doc_id: str = "doc_id",
-        tokens: Column | None = None) -> DataFrame:
+        tokens: Column | None = None, fill: bool = True) -> DataFrame:
     """Chosen rows: doc_id, levels, n_tokens, epoch."""
     tokens = n_words(F.col("text")) if tokens is None else tokens
     light = docs.select(F.col(doc_id).alias("doc_id"),
                         *[level_value(c).alias(n) for n, c in levels.items()],
                         F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
     light = materialize(light, "mix-light")
-    return take(light, leaf_plan(light, spec), spec)
+    return take(light, leaf_plan(light, spec, fill), spec)
 
 
 def mix_documents(docs: DataFrame, spec: MixSpec, levels: Mapping[str, Column]) -> DataFrame:

@@ -247,6 +247,22 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {("a", "1"): 10, ("a", "2"): 90, ("b", "1"): 100}
 
 
+def test_mix_meets_its_budget(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, f"d{i % 3}", f"l{i % 2}", f"s{i % 5}", int(n)) for i, n in
+            enumerate(np.where(rng.random(300) < 0.1, 5000, rng.integers(1, 200, 300)))]
+    light = spark.createDataFrame(data, "doc_id long, domain string, lang string, source string, n_tokens long")
+    spec = mixing.MixSpec(weights={("d0",): 3, ("d1", "l1"): 2}, budget_share=0.4)
+    plan = mixing.leaf_plan(light, spec)
+    got = mixing.take(light, plan, spec).toPandas()
+    budget = int(sum(r[4] for r in data) * 0.4)
+    assert budget - 5000 < got["n_tokens"].sum() <= budget         # 5,000: the longest document
+    sums = got.groupby(list(spec.levels))["n_tokens"].sum()
+    assert all(abs(sums.get((r["domain"], r["lang"], r["source"]), 0) - r["target"]) < 5000 for r in plan.collect())
+    plain = mixing.take(light, mixing.leaf_plan(light, spec, fill=False), spec).toPandas()
+    assert plain["n_tokens"].sum() < budget - 5000
+
+
 # ---------------------------------------------------------------- token output
 
 def test_tokens(docs, empty, spark, tmp_path):
