@@ -8,8 +8,10 @@ chosen greedily, and a token of a toxic document is toxic if one applies. The fi
 beginnings and endings) and learned transitions, and is fitted by Adam on the
 exact gradient, forward-backward marginals minus labels.
 
-Every document's tokens are then tagged in chains of ``CHAIN`` tokens; a
-batch's chains are advanced together, one position at a time. The document
+Every document's tokens are then tagged as one sequence. It is laid out in
+chains of ``CHAIN`` tokens which are advanced together, one position at a time;
+each chain's product of transitions carries the messages from chain to chain, so
+the marginals are those of the whole text. The document
 score is a logistic function, fitted on the training documents, of its two
 largest token marginals in log odds, so long texts gain little by length.
 Offending offsets are the runs of tokens with a marginal of one half or more.
@@ -90,14 +92,20 @@ def _lae(a, b):
     return np.logaddexp(a, b)
 
 
-def marginals(s: np.ndarray, real: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(s: np.ndarray, real: np.ndarray, moves: np.ndarray, before: np.ndarray | None = None,
+              after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log odds of state 1 for each position of each chain, and the two messages.
 
     ``s``: chains x positions of unary log odds; ``real``: the same shape, false on padding.
+    ``before``: message into the chain (nan where a text starts); ``after``: message into its end.
     """
     t01, t10, t11 = moves
     ahead, back = np.empty_like(s), np.zeros_like(s)
     ahead[:, 0] = s[:, 0]
+    if before is not None:
+        r = np.nan_to_num(before)
+        ahead[:, 0] += np.where(np.isnan(before), 0.0, _lae(t01, r + t11) - _lae(0.0, r + t10))
+        back[:, -1] = after
     for i in range(1, s.shape[1]):
         r = ahead[:, i - 1]
         ahead[:, i] = s[:, i] + _lae(t01, r + t11) - _lae(0.0, r + t10)
@@ -107,6 +115,51 @@ def marginals(s: np.ndarray, real: np.ndarray, moves: np.ndarray) -> tuple[np.nd
     return ahead + back, ahead, back
 
 
+def _products(s: np.ndarray, real: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Logs of each chain's 2x2 product (11, 10, 01, 00: to, from), up to a factor; a text's start has no transition."""
+    t01, t10, t11 = moves
+    one = [np.zeros(len(s)), np.full(len(s), -np.inf)]          # to state 1, from 1 and 0
+    none = [np.full(len(s), -np.inf), np.zeros(len(s))]
+    for i in range(s.shape[1]):
+        free = starts if i == 0 else np.zeros(len(s), dtype=bool)
+        up = [s[:, i] + np.where(free, a, _lae(t11 + a, t01 + b)) for a, b in zip(one, none)]
+        down = [np.where(free, b, _lae(t10 + a, b)) for a, b in zip(one, none)]
+        top = np.maximum.reduce(up + down)
+        one = [np.where(real[:, i], new - top, old) for new, old in zip(up, one)]
+        none = [np.where(real[:, i], new - top, old) for new, old in zip(down, none)]
+    return *one, *none
+
+
+def text_marginals(unary: np.ndarray, sizes: list[int], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``marginals`` of whole texts, laid end to end: messages are carried from chain to chain of a text."""
+    place, rows = chains_of(sizes)
+    if not len(place):
+        return unary, unary, unary
+    s, real = np.zeros(rows.sum() * CHAIN), np.zeros(rows.sum() * CHAIN, dtype=bool)
+    s[place], real[place] = unary, True
+    s, real = s.reshape(-1, CHAIN), real.reshape(-1, CHAIN)
+    before, after = np.full(len(s), np.nan), np.zeros(len(s))
+    begin = np.cumsum(rows) - rows
+    first, held = begin[rows > 1], rows[rows > 1]
+    if len(held):
+        order = np.argsort(-held, kind="stable")                # texts of more chains first
+        first, held = first[order], held[order]
+        many = np.repeat(rows > 1, rows)
+        starts = np.zeros(len(s), dtype=bool)
+        starts[first] = True
+        p11, p10, p01, p00 = (np.zeros(len(s)) for _ in range(4))
+        p11[many], p10[many], p01[many], p00[many] = _products(s[many], real[many], starts[many], moves)
+        more = np.searchsorted(-held, -np.arange(1, held[0]), side="left")     # texts of more than k chains
+        for k, n in enumerate(more.tolist()):
+            at = first[:n] + k
+            r = before[at] if k else np.zeros(n)
+            before[at + 1] = _lae(p11[at] + r, p10[at]) - _lae(p01[at] + r, p00[at])
+            at = first[:n] + held[:n] - 1 - k
+            b = after[at]
+            after[at - 1] = _lae(p11[at] + b, p01[at]) - _lae(p10[at] + b, p00[at])
+    return tuple(x.ravel()[place] for x in marginals(s, real, moves, before, after))
+
+
 def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -182,23 +235,15 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, rate: float = 0
     marked = np.array([not pick.isdisjoint(_names(w)) for w in words], dtype=bool)
     labels = [marked[d] & bool(y) for d, y in zip(docs, toxic)]
 
-    def chain_table(keep: np.ndarray | None = None):
-        sizes = [len(d) for d in docs]
-        place, rows = chains_of(sizes)
-        word = np.full(rows.sum() * CHAIN, -1, dtype=np.int64)
-        label = np.zeros(rows.sum() * CHAIN)
-        if len(place):
-            word[place], label[place] = np.concatenate(docs), np.concatenate(labels)
-        return word.reshape(-1, CHAIN), label.reshape(-1, CHAIN)
-
-    word, label = chain_table()
-    has = label.any(axis=1)
-    rest = np.flatnonzero(~has)
-    order = np.random.default_rng(7).permutation(rest)
-    use = np.sort(np.concatenate([np.flatnonzero(has)[:CHAINS // 2], order[:CHAINS // 2]]))
-    word, label = word[use], label[use]
-    real = word >= 0
-    flat = word[real]
+    # whole documents: those with toxic tokens first, the others in random order, up to half of the chains each
+    chains = np.array([-(-len(d) // CHAIN) for d in docs])
+    has = np.array([x.any() for x in labels])
+    order = np.random.default_rng(7).permutation(np.flatnonzero(~has))
+    use = np.sort(np.concatenate([x[np.cumsum(chains[x]) <= CHAINS // 2] for x in (np.flatnonzero(has), order)]))
+    sizes = [len(docs[i]) for i in use]
+    flat = np.concatenate([docs[i] for i in use])
+    label = np.concatenate([labels[i] for i in use]).astype(float)
+    inside = np.diff(np.repeat(np.arange(len(use)), sizes)) == 0       # neighbours of one text
     used, local = np.unique(flat, return_inverse=True)
     lists = [word_features(words[i]) for i in used]
     feature = np.concatenate([np.array(x) for x in lists]) if lists else np.zeros(0, dtype=int)
@@ -210,23 +255,21 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, rate: float = 0
     for step in range(1, rounds + 1):
         weights, bias, moves = theta[:1 << BITS], theta[1 << BITS], theta[(1 << BITS) + 1:]
         unary = np.bincount(owner, weights[feature], len(lists)) + bias
-        s = np.zeros(word.shape)
-        s[real] = unary[local]
-        logit, ahead, back = marginals(s, real, moves)
-        wrong = np.where(real, _logistic(logit) - label, 0.0)
+        s = unary[local]
+        logit, ahead, back = text_marginals(s, sizes, moves)
+        wrong = _logistic(logit) - label
         grad = np.zeros_like(theta)
-        per_word = np.bincount(local, wrong[real], len(lists))
+        per_word = np.bincount(local, wrong, len(lists))
         grad[:1 << BITS] = np.bincount(feature, per_word[owner], 1 << BITS)
         grad[1 << BITS] = wrong.sum()
-        both = real[:, 1:]
-        z = s[:, 1:] + back[:, 1:]
+        z = s[1:] + back[1:]
         t01, t10, t11 = moves
-        logs = np.stack([np.zeros_like(z), t01 + z, ahead[:, :-1] + t10, ahead[:, :-1] + t11 + z])
+        logs = np.stack([np.zeros_like(z), t01 + z, ahead[:-1] + t10, ahead[:-1] + t11 + z])
         part = np.exp(logs - logs.max(axis=0))
         part /= part.sum(axis=0)
-        a, b = label[:, :-1], label[:, 1:]
+        a, b = label[:-1], label[1:]
         seen = ((1 - a) * b, a * (1 - b), a * b)
-        grad[(1 << BITS) + 1:] = [np.where(both, part[i + 1] - seen[i], 0).sum() for i in range(3)]
+        grad[(1 << BITS) + 1:] = [np.where(inside, part[i + 1] - seen[i], 0).sum() for i in range(3)]
         grad = grad / n + decay * theta
         one = 0.9 * one + 0.1 * grad
         two = 0.99 * two + 0.01 * grad ** 2
@@ -274,17 +317,11 @@ def scan(texts: list[str], scores: Scores, spans: bool = False) -> list[tuple]:
         words = WORD.findall(t)
         sizes.append(len(words))
         unary.append(np.fromiter(map(get, words), dtype=float, count=len(words)))
-    place, rows = chains_of(sizes)
-    s, real = np.zeros(rows.sum() * CHAIN), np.zeros(rows.sum() * CHAIN, dtype=bool)
-    if len(place):
-        s[place], real[place] = np.concatenate(unary), True
-    shape = (-1, CHAIN)
-    logit = marginals(s.reshape(shape), real.reshape(shape), scores.field.moves)[0].ravel() if len(place) else s
-    logit = np.where(real, logit, FLOOR)
+    logit = text_marginals(np.concatenate(unary) if unary else np.zeros(0), sizes, scores.field.moves)[0]
     out, at = [], 0
-    for t, n, r in zip(texts, sizes, rows.tolist()):
+    for t, n in zip(texts, sizes):
         own = logit[at:at + n]
-        at += r * CHAIN
+        at += n
         two = np.sort(np.partition(own, n - 2)[n - 2:])[::-1] if n > 1 else own
         top, second = (float(max(x, FLOOR)) for x in [*two, FLOOR, FLOOR][:2])
         found: list[tuple[int, int]] = []

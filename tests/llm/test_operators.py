@@ -385,6 +385,17 @@ def test_marginals_equal_enumeration():
     assert np.allclose(1 / (1 + np.exp(-logit)), ones / weight)
 
 
+def test_long_texts_are_one_chain(monkeypatch):
+    rng = np.random.default_rng(9)
+    field = toxicity.Field(rng.normal(size=1 << toxicity.BITS), -0.3, np.array([-2.0, -1.5, 2.5]))
+    texts = [" ".join(rng.choice(["ab", "cde", "fgh", "ijklm", "no"], n)) for n in (700, 3, 64, 0, 65, 129, 640)]
+    got = toxicity.scan(texts, toxicity.Scores(field), spans=True)
+    monkeypatch.setattr(toxicity, "CHAIN", 1024)
+    whole = toxicity.scan(texts, toxicity.Scores(field), spans=True)
+    assert [x for _, x in got] == [x for _, x in whole]
+    assert np.allclose([x for x, _ in got], [x for x, _ in whole], rtol=0, atol=1e-9)
+
+
 def test_toxicity(spark, docs, empty, labels):
     rng = np.random.default_rng(8)
     vocab = ["river", "stone", "cloud", "paper", "green", "light", "table", "house", "water", "music"]
