@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortflow.session import ensure_checkpoint_dir, ship_code
 
@@ -37,6 +38,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample_labels(known: DataFrame, max_rows: int) -> DataFrame:
+    """``known`` (own_id, label): one row per id, the ``max_rows`` ids of smallest hash; of several labels the smallest."""
+    return (known.groupBy("own_id").agg(F.min("label").alias("label"))
+            .orderBy(F.xxhash64("own_id"), "own_id").limit(max_rows))
+
+
+def sample_texts(docs: DataFrame, sample: DataFrame, max_rows: int, label: str) -> DataFrame:
+    """At most ``max_rows`` rows (own_id, text, label) of ``docs`` (own_id, text) in ``sample``, distinct.
+
+    Every id's first text by hash comes before any other, so that an id of
+    many texts does not crowd out the others.
+    """
+    rows = materialize(docs.join(F.broadcast(sample), "own_id").withColumn("key", F.xxhash64("text"))
+                       .dropDuplicates(["own_id", "key"]), label)
+    firsts = rows.groupBy("own_id").agg(F.min("key").alias("first"))        # a row per sampled id
+    return (rows.join(F.broadcast(firsts), "own_id")
+            .orderBy(F.col("key") != F.col("first"), F.xxhash64("own_id"), "own_id", "key").limit(max_rows)
+            .select("own_id", "text", "label"))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers."""
     ship_code(spark)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import prepare, text_slices
+from cohortflow.llm.common import prepare, sample_labels, sample_texts, text_slices
 
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "distinct_share",
             "upper_share", "digit_share", "odd_word_share", "words_per_line", "stop_share")
@@ -165,14 +165,15 @@ def labelled_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled ids: those with the smallest hash (a documented bound)."""
     known = labels.filter(f"doc_id is not null and {label} is not null").select(
         F.col("doc_id").cast("long").alias("own_id"), F.col(label).cast("int").alias("label"))
-    return known.orderBy(F.xxhash64("own_id"), "own_id", "label").limit(max_rows)
+    return sample_labels(known, max_rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Trees:
     """Train on a bounded sample of labelled documents."""
     prepare(docs.sparkSession)
-    sample = F.broadcast(labelled_sample(labels, "quality", max_rows))     # bounded by max_rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text").join(sample, "own_id")
+    sample = labelled_sample(labels, "quality", max_rows)
+    rows = sample_texts(docs.select(F.col("doc_id").cast("long").alias("own_id"), "text"), sample, max_rows,
+                        "quality-sample")
     schema = pa.schema([("label", pa.int32()), *SCHEMA[len(COUNTS):]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import prepare, text_slices
+from cohortflow.llm.common import prepare, sample_labels, sample_texts, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -341,11 +341,11 @@ def scan(texts: list[str], scores: Scores, spans: bool = False) -> list[tuple]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Field:
     """Train on a bounded sample of labelled documents outside the held-out fifth."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = (known.select(F.col("doc_id").cast("long").alias("own_id"), F.col("toxic").cast("int").alias("label"))
-              .orderBy(F.xxhash64("own_id"), "own_id", "label").limit(max_rows))
-    rows = (docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(sample), "own_id").filter(F.octet_length("text") <= 65536)
-            .select("own_id", "label", "text").toPandas().sort_values(["own_id", "text", "label"]))
+    sample = sample_labels(known.select(F.col("doc_id").cast("long").alias("own_id"),
+                                        F.col("toxic").cast("int").alias("label")), max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = (sample_texts(texts.filter(F.octet_length("text") <= 65536), sample, max_rows, "toxic-sample")
+            .toPandas().sort_values(["own_id", "text", "label"]))
     return train(rows["text"].tolist(), rows["label"].to_numpy(dtype=int))
 
 

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortflow.llm import (components, decontam, line_dedup, mixing, pii, quality, sharding, simhash, token_output,
-                            toxicity, warc)
+from cohortflow.llm import (common, components, decontam, line_dedup, mixing, pii, quality, sharding, simhash,
+                            token_output, toxicity, warc)
 from cohortflow.llm.queries import byte_bpe
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
@@ -107,6 +107,23 @@ def test_quality(docs, empty, labels):
 
 # --------------------------------------------------------------------- SimHash
 
+def test_samples_are_bounded(spark, monkeypatch):
+    labels = spark.createDataFrame([(1, 1, 1)] * 60 + [(i, i % 2, i % 2) for i in range(40)],
+                                   "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(7, f"text {i % 50}") for i in range(500)] + [(i, f"own {i}") for i in range(40)],
+                                 "doc_id long, text string")
+    sizes = []
+    monkeypatch.setattr(quality, "train", lambda x, y, falling: sizes.append(len(y)))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: sizes.append((len(texts), len(set(texts)))))
+    quality.fit(docs, labels, max_rows=30)
+    toxicity.fit(docs, labels, max_rows=20)
+    assert sizes == [30, (20, 20)]
+    # repeated labels and texts crowd no id out
+    chosen = common.sample_labels(labels.select(F.col("doc_id").alias("own_id"), F.col("toxic").alias("label")), 40)
+    rows = common.sample_texts(docs.withColumnRenamed("doc_id", "own_id"), chosen, 40, "test")
+    assert sorted(r["own_id"] for r in rows.collect()) == list(range(40))
+
+
 def brute_fingerprint(text, width=4):
     import xxhash
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
