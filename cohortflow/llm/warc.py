@@ -5,7 +5,8 @@ Spark partition in the shared folder. Archives are read back as rows
 (record_id, chunk_no, data, digest so far): a payload is streamed in pieces of
 ``CHUNK`` bytes through the decompressor, each row carrying the SHA-256 of
 the payload up to and including its piece, so neither reading nor digesting
-ever holds a whole record. The last chunk's digest is the record's digest.
+ever holds a whole record. The last chunk's digest is the record's digest. A
+response whose bytes differ from its header in length or digest is an error.
 
 Equal payloads of at least ``min_bytes`` are written once: the copy with the
 smallest page_id is the response, the others are revisit records which refer
@@ -176,16 +177,22 @@ def chunks_of(stream) -> Iterator[tuple]:
         while line := reader.line():
             name, _, value = line.partition(b":")
             head[name.decode().lower()] = value.strip().decode()
-        left, digest, number = int(head["content-length"]), hashlib.sha256(), 0
+        left, digest, number, size = int(head["content-length"]), hashlib.sha256(), 0, 0
         page = int(head["x-page-id"]) if head["x-page-id"] else None
         refers = int(head["x-refers-to-page-id"]) if "x-refers-to-page-id" in head else None
         common = (head["warc-record-id"], page, head["warc-type"], refers, int(head["x-payload-length"]))
         while True:
             data = reader.piece(min(CHUNK, left))
             left -= len(data)
+            size += len(data)
             digest.update(data)
             shown = (head["warc-payload-digest"].partition(":")[2] if refers is not None
                      else digest.copy().hexdigest())
+            if left == 0 and refers is None:
+                if size != int(head["x-payload-length"]):
+                    raise OSError(f"{size} bytes in record {head['warc-record-id']}, not {head['x-payload-length']}")
+                if shown != head["warc-payload-digest"].partition(":")[2]:
+                    raise OSError(f"payload of record {head['warc-record-id']} differs from its digest")
             yield (*common, number, left == 0, len(data), shown, data)
             number += 1
             if left == 0:
@@ -227,10 +234,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """One row per record: the last chunk carries the digest; chunk lengths must add up."""
+    """One row per record: the last chunk carries the digest; a response's chunks must add up to its header's length."""
+    bad = F.raise_error(F.concat(F.lit("chunks of another length than the header's: "), "record_id")).cast("long")
+    added = F.when(F.col("record_type") == "revisit", F.col("payload_bytes")).when(
+        F.col("stored_bytes") == F.col("payload_bytes"), F.col("stored_bytes")).otherwise(bad)
     return (chunks.groupBy("record_id", "page_id", "record_type", "refers_to", "payload_bytes")
             .agg(F.sum("chunk_bytes").alias("stored_bytes"),
-                 F.max(F.when(F.col("last"), F.col("digest"))).alias("payload_digest")))
+                 F.max(F.when(F.col("last"), F.col("digest"))).alias("payload_digest"))
+            .withColumn("payload_bytes", added))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, min_bytes: int = 100) -> DataFrame:

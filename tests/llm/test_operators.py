@@ -1,7 +1,9 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns,
 against brute force where SQL has no say."""
 
+import gzip
 import hashlib
+import io
 import itertools
 import re
 import zlib
@@ -329,6 +331,18 @@ def test_sharding(docs, empty, tmp_path):
 
 # ------------------------------------------------------------------------ WARC
 
+@pytest.mark.parametrize("length, digest", [(3, hashlib.sha256(b"abcd").hexdigest()), (4, "0" * 64)])
+def test_warc_header_must_match(spark, length, digest):
+    raw = ("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\n"
+           f"WARC-Payload-Digest: sha256:{digest}\r\nX-Page-ID: 1\r\nX-Payload-Length: {length}\r\n"
+           "Content-Length: 4\r\n\r\nabcd\r\n\r\n")
+    with pytest.raises(OSError):
+        list(warc.chunks_of(io.BytesIO(gzip.compress(raw.encode()))))
+    chunks = spark.createDataFrame([("r", 1, "response", None, 9, 0, True, 4, "d", b"abcd")], warc.CHUNKS)
+    with pytest.raises(Exception, match="another length"):
+        warc.records(chunks).collect()
+
+
 def test_warc(spark, monkeypatch):
     big = "x" * 700_000 + "WARC/1.1\r\n\r\né"
     html = {5: big, 3: big, 4: None, 7: "", 8: "short", 9: "short", 10: "y" * 100, 11: "y" * 99}
