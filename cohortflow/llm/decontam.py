@@ -11,8 +11,8 @@ shard; the suffixes under a window's prefix are its occurrences, with their
 locations. Occurrences that continue each other along a diagonal (document
 position minus item position) give the longest verbatim match.
 
-The benchmark is the broadcast side and is cut into blocks of at most
-``block_bytes`` of text; each block meets all documents, and the blocks'
+The benchmark, without its repeated rows, is the broadcast side and is cut into
+blocks of at most half of ``block_bytes`` of text (or one longer item); each block meets all documents, and the blocks'
 results are merged per document. Documents are never shuffled for one block.
 
 Words are runs of ``[0-9a-z]`` and non-ASCII characters after lower-casing
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import prepare, text_slices, word_pieces
+from cohortflow.llm.common import materialize, prepare, text_slices, word_pieces
 
 WINDOW = 10
 DEPTH = 16
@@ -166,14 +166,41 @@ def search(shard: list[bytes], block: Block) -> list[tuple]:
              sorted(items.get(i, [])), *longest.get(i, (0, None, None))) for i, n in enumerate(sizes)]
 
 
+def block_starts(items: DataFrame, most: int) -> list[int]:
+    """First hash of each block of ``items`` (name, text, at: hash); a block of several items holds at most ``most`` bytes.
+
+    Totals of some 64 ranges of the hash per block reach the driver, and the
+    items' sizes only of ranges that alone hold more than a block.
+    """
+    sized = items.select("at", (F.octet_length("text") + F.octet_length("name") + 64).cast("long").alias("size"))
+    held = sized.agg(F.sum("size")).first()[0] or 0
+    if held <= most:
+        return [-2 ** 63]
+    shift = 64 - min(48, (64 * held // most).bit_length())
+    totals = sized.groupBy(F.shiftright("at", shift).alias("range")).agg(F.sum("size").alias("size")).collect()
+    large = [r["range"] for r in totals if r["size"] > most]
+    units = [(r["range"] << shift, r["size"]) for r in totals if r["size"] <= most]
+    if large:
+        units += [tuple(r) for r in sized.filter(F.shiftright("at", shift).isin(large))
+                  .groupBy("at").agg(F.sum("size").alias("size")).collect()]
+    starts, room = [-2 ** 63], most
+    for at, size in sorted(units):
+        if size > room and room < most:
+            starts.append(at)
+            room = most
+        room -= size
+    return starts
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document with the words, hits, hit spans, items and longest match."""
     spark = prepare(docs.sparkSession)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"),
-                             F.coalesce("text", F.lit("")).alias("text"))
-    held = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-int(held) // max(block_bytes // 2, 1)))       # half full on average
+    items = materialize(benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+        .distinct().withColumn("at", F.xxhash64("name", "text")), "benchmark")
+    starts = block_starts(items, max(block_bytes // 2, 1))          # half: what is measured to fit
+    blocks = len(starts)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -182,7 +209,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
     def scan(number: int) -> DataFrame:
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == number)
+        part = items if number == 0 else items.filter(F.col("at") >= starts[number])
+        part = part if number + 1 == blocks else part.filter(F.col("at") < starts[number + 1])
         block = spark.sparkContext.broadcast(
             Block([(r["name"], r["text"].encode()) for r in part.toLocalIterator()], window))
 

@@ -244,6 +244,18 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert decontam.digest(decontam.matches(docs, bench.limit(0))).filter("contaminated").count() == 0
 
 
+def test_blocks_are_bounded(spark, docs, monkeypatch):
+    data = [(7, "the same item again")] * 400 + [(i, f"item {i} " * (i % 9)) for i in range(200)]
+    bench = spark.createDataFrame(data, "item_id long, text string")
+    blocks, start = [], decontam.Block.__init__
+    monkeypatch.setattr(decontam.Block, "__init__",
+                        lambda self, items, window: blocks.append(list(items)) or start(self, items, window))
+    decontam.matches(docs, bench, block_bytes=16_384)
+    held = [sum(len(t) + len(n) + 64 for n, t in items) for items in blocks]
+    assert max(held) <= 8_192 and len(held) <= 2 * -(-sum(held) // 8_192)
+    assert sorted(x for items in blocks for x in items) == sorted({(str(i), t.encode()) for i, t in data})
+
+
 # ---------------------------------------------------------------------- mixing
 
 def test_mixing(docs, empty):
