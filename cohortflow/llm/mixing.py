@@ -248,6 +248,7 @@ def mix_documents(docs: DataFrame, spec: MixSpec, levels: Mapping[str, Column])
 # ------------------------------------------------------------- the query's mix
 
 #: ``documents`` has no domain column: the query takes four domains from the source number.
+#: The budget is the default half of all tokens, a chosen size: the mix samples the corpus down by that half.
 DOMAINS = ("web", "books", "code", "news")
 CORPUS_SPEC = MixSpec(weights={
     ("web",): 4, ("books",): 3, ("code",): 2, ("news",): 1,

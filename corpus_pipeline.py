@@ -37,7 +37,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the corpus weights, once per epoch."""
+    """Documents under the corpus weights, once per epoch.
+
+    The mix has half of the tokens that come in (``budget_share`` of ``CORPUS_SPEC``),
+    so documents outside that half are left out here.
+    """
     return mixing.mix_documents(docs, mixing.CORPUS_SPEC, mixing.corpus_levels())
 
 
