@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +89,31 @@ def word_pieces(raw: bytes, most: int = 1 << 20):
             end = blank.start() if blank else len(raw)
         yield raw[start:end]
         start = end
+
+
+#: Integer components stay below this, so that sums of products over 4,096 of them fit a long with room to spare.
+MOST = 1 << 22
+
+
+def finite(vector) -> F.Column:
+    """True for a vector (array column) without null, NaN or infinite components; null for a null vector."""
+    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def whole(vector, scale: int) -> F.Column:
+    """floor(scale * x) of every component, x as double; a component of ``MOST`` or beyond stops the job."""
+    def one(x):
+        y = F.floor(x.cast("double") * scale)
+        return F.when(F.abs(x.cast("double") * scale) < MOST, y.cast("int")).otherwise(
+            F.raise_error(F.lit("a vector component is too large for exact integer arithmetic")).cast("int"))
+    return F.transform(vector, one)
+
+
+def int_matrix(column, dims: int) -> np.ndarray:
+    """An Arrow column of integer lists as a matrix of ``dims`` columns; shorter lists end in zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy(zero_copy_only=False))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), dims), np.int64)
+    out[np.arange(dims) < sizes[:, None]] = flat
+    return out

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import (decontam, line_dedup, mixing, pii, quality, sharding, simhash, token_output, toxicity,
-                            warc)
+from cohortflow.llm import (clustering, decontam, exact_dedup, hard_negatives, line_dedup, mixing, pii, quality,
+                            sharding, simhash, token_output, toxicity, warc)
 from cohortflow.llm.common import table
 
 
@@ -79,6 +79,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's centroid after three rounds of k-means."""
+    found, centres = clustering.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding",
+                                        dims=64, scale=64, k=16, rounds=3, seed="1")
+    return clustering.digest(found, centres).select(
+        F.col("own_id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of every document's group of equal texts."""
+    return exact_dedup.groups(table(spark, sf_dir, "documents")).select(
+        F.col("own_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors' positives; every seventh row has a shifted label."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        hard_negatives.integer_rows(rows, "vec_id", label, "embedding", 256), F.col("id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, stage after stage."""
     import corpus_pipeline
@@ -87,7 +109,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_decontamination, op4_token_output, op5_sharding,
-                            op6_mixing, op7_warc, op8_personal_data, op9_simhash, op10_toxicity, pipeline)}
+                            op6_mixing, op7_warc, op8_personal_data, op9_simhash, op10_toxicity,
+                            op11_centroid_clustering, op12_exact_dedup, op13_hard_negatives, pipeline)}
 
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_decontamination": decontam.ORACLE,
-                           "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE}
+                           "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE,
+                           "op11_centroid_clustering": clustering.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE,
+                           "op13_hard_negatives": hard_negatives.ORACLE}
