@@ -138,7 +138,9 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """Per row: own_id, keep_id, group_size, kept, text_sha256, identity."""
     found = materialize(identities(docs, id_column, text_column, **options), "identity")
     member = F.struct("own_id", "own_row")
-    sums = found.groupBy("identity").agg(F.max(member).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+    # written first, so that the join deals both sides out itself and can split a hot identity
+    sums = materialize(found.groupBy("identity").agg(F.max(member).alias("stays"), F.count(F.lit(1)).alias("group_size")),
+                       "groups")
     return found.join(sums, "identity").select(
         "own_id", F.col("stays.own_id").alias("keep_id"), "group_size",
         (F.col("own_row") == F.col("stays.own_row")).alias("kept"), "text_sha256", "identity")
