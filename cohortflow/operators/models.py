@@ -2,32 +2,43 @@
 
 Fitting runs on Spark in two stages:
 
-1. rows are aggregated to covariate patterns (``groupBy(terms, offset[, y])``)
-   -- one shuffle over the data; with factor covariates the pattern table is
-   tiny however many rows there are. It is checkpointed to the shared
-   checkpoint folder because every iteration reads it.
-2. iteratively reweighted least squares: each iteration is ONE Spark
-   aggregation producing X'WX and X'Wz (p(p+1)/2 + p sums); only that p x p
-   system travels to the driver, where numpy solves it.
-
-Negative binomial (log link, offset, dispersion estimated) alternates the
-IRLS fit at fixed theta with Newton steps for theta, starting from the
-Poisson fit -- the same fixed point as a joint maximum-likelihood fit.
+1. rows are aggregated to covariate patterns (``groupBy(terms, offset[, y])``):
+   one shuffle over the data, written once. With factor covariates the
+   pattern table is small however many rows there are.
+2. Newton's method, whose every round needs only sums over the patterns. A
+   pattern table of at most ``IN_TASK`` rows is held by one task, which runs
+   all rounds (one job); a larger one stays dealt out and each round is one
+   job whose tasks return their partial sums. Both use the same functions.
+
+The negative binomial (log link, offset) is fitted jointly in its coefficients
+and log theta. All that theta needs of the counts themselves is how many rows
+have a count above k, a table that is made once (``TailCounts``) and gives score
+and information at any theta.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortflow.session import ship_code, write_once
 
+#: Pattern tables of more rows are summed by Spark in every round; this many take about 100 bytes each in a task.
+IN_TASK = 200_000
+#: Distinct counts beyond this many are not gathered; each task then makes the table of its own rows.
+TAIL_ROWS = 1_000_000
+#: Above this theta the counts show no over-dispersion and the fit is the Poisson limit.
+THETA_LIMIT = 1e6
+STEP = 1e-8                     # rounds end when no coefficient moves by more
+Z_975 = 1.959963984540054
+
 
 @dataclass
 class Term:
@@ -48,135 +59,116 @@ def design_terms(factors: dict[str, list[str]], numeric: list[str]) -> list[Term
 
 def design_matrix(df: DataFrame, factors: dict[str, list[str]], numeric: list[str],
                   keep: list[str]) -> DataFrame:
-    """Complete cases (every model column present, factor values within levels)
-    with one 0/1 column per non-reference level plus the numeric columns."""
+    """Complete cases (every column named is present, factor values within levels)
+    with one 0/1 column per non-reference level plus the numeric columns.
+
+    ``keep`` names the columns of ONE model besides its terms (outcome, offset), so
+    that a row is only left out of the models whose own columns it lacks.
+    """
     d = df.na.drop(subset=[*factors, *numeric, *keep])
     for f, levels in factors.items():
         d = d.where(F.col(f).isin(levels))
     return d.select(*[F.col(k) for k in keep], *[t.expr.alias(t.name) for t in design_terms(factors, numeric)])
 
 
-# ----------------------------------------------------------------- IRLS core
-#
-# One iteration = one Spark job: every partition of the pattern table turns
-# its rows into partial sums (numpy, inside the task), and a fixed Spark
-# aggregation adds the partials. The current coefficients travel in the task
-# closure, so the aggregation plan is identical every iteration.
+# ------------------------------------------------------------- sums over patterns
 
-def _family_arrays(family: str, eta, y, m, theta):
-    """numpy: (working weight, working response minus offset, deviance terms)."""
-    if family == "binomial":
-        mu = 1.0 / (1.0 + np.exp(-eta))
-        var = mu * (1.0 - mu)
-        w = m * var
-        zr = (y - mu) / var
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # y is the share of ones of m rows with 0/1 outcomes, whose own saturated fit is exact
-            dev = -2 * m * (np.where(y > 0, y * np.log(mu), 0.0) + np.where(y < 1, (1 - y) * np.log1p(-mu), 0.0))
-    elif family == "poisson":
-        mu = np.exp(eta)
-        w = m * mu
-        zr = (y - mu) / mu
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dev = 2 * m * (np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu))
-    else:
-        mu = np.exp(eta)
-        w = m * mu / (1.0 + mu / theta)
-        zr = (y - mu) / mu
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dev = 2 * m * (np.where(y > 0, y * np.log(y / mu), 0.0)
-                           - (y + theta) * np.log((y + theta) / (mu + theta)))
-    return mu, w, zr, dev
+def polygamma_step(order: int, low: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sum of 1 / (low + k) ** order for k from 0 to length - 1; order 1 or 2.
 
+    Short runs are added up; long ones are differences of the digamma or
+    trigamma function, whose asymptotic series is used from 30 on.
+    """
+    low, length = np.asarray(low, float), np.asarray(length, float)
+    near = np.minimum(length, 64).astype(int)
+    k = np.arange(64)
+    out = np.where(k < near[:, None], 1 / (low[:, None] + k) ** order, 0.0).sum(axis=1)
+    far = np.flatnonzero(length > 64)
+    if len(far):
+        a, b = low[far] + 64, low[far] + length[far]        # both 64 or more
+        if order == 1:
+            tail = lambda x: -1 / (2 * x) - 1 / (12 * x ** 2) + 1 / (120 * x ** 4) - 1 / (252 * x ** 6)
+            out[far] += np.log1p((b - a) / a) + tail(b) - tail(a)
+        else:
+            tail = lambda x: 1 / x + 1 / (2 * x ** 2) + 1 / (6 * x ** 3) - 1 / (30 * x ** 5) + 1 / (42 * x ** 7)
+            out[far] += tail(a) - tail(b)
+    return out
 
-THETA_GRID = np.exp(np.linspace(-3.0, 3.0, 61))   # multiples of the current theta
 
+class TailCounts:
+    """N(Y > k) of a sample of counts, in runs of equal numbers: as many runs as distinct counts."""
 
-def _theta_sums(y, mu, m, th):
-    """Score and information of theta (digamma/trigamma differences as finite sums)."""
-    ymax = int(y.max()) if len(y) else 0
-    ks = np.arange(max(ymax, 1), dtype=float)
-    d1 = np.concatenate([[0.0], np.cumsum(1.0 / (th + ks))])
-    d2 = np.concatenate([[0.0], np.cumsum(1.0 / (th + ks) ** 2)])
-    yi = y.astype(np.int64)
-    score = m * (d1[yi] + math.log(th) + 1 - np.log(th + mu) - (y + th) / (mu + th))
-    info = m * (d2[yi] - 1 / th + 2 / (mu + th) - (y + th) / (mu + th) ** 2)
-    moment = m * (y / mu - 1) ** 2
-    return score.sum(), info.sum(), moment.sum()
+    def __init__(self, y: np.ndarray, weight: np.ndarray):
+        values, at = np.unique(np.asarray(y, float), return_inverse=True)
+        held = np.bincount(at, weights=weight, minlength=len(values))
+        above = np.cumsum(held[::-1])[::-1]                # rows with a count of at least values[j]
+        start = np.concatenate([[0.0], values[:-1]])
+        some = values > 0
+        self.start, self.length, self.above = start[some], (values - start)[some], above[some]
 
+    def sums(self, theta: float) -> tuple[float, float]:
+        """Sums of N(Y > k) / (theta + k) and of N(Y > k) / (theta + k)^2."""
+        one = polygamma_step(1, theta + self.start, self.length)
+        two = polygamma_step(2, theta + self.start, self.length)
+        return float(self.above @ one), float(self.above @ two)
 
-def _theta_score_grid(y, mu, m, th):
-    """Score of theta at fixed means, on a log grid of multiples of ``th``."""
-    return np.array([_theta_sums(y, mu, m, th * g)[0] for g in THETA_GRID])
 
+def pattern_sums(family: str, X, off, m, y, beta, theta) -> np.ndarray:
+    """What a round needs of these patterns, as one vector (``unpack`` names the parts).
 
-def _theta_root(theta: float, grid_scores: np.ndarray, score: float, info: float) -> float:
-    """Theta solving score = 0 at fixed means: bracket on the grid, then
-    interpolate in log theta; a Newton step if the root is off the grid."""
-    ths = theta * THETA_GRID
-    sign = np.sign(grid_scores)
-    idx = np.where(sign[:-1] * sign[1:] < 0)[0]
-    if len(idx) == 0:
-        return abs(theta + score / info)
-    i = idx[0]
-    x0, x1 = math.log(ths[i]), math.log(ths[i + 1])
-    s0, s1 = grid_scores[i], grid_scores[i + 1]
-    return math.exp(x0 - s0 * (x1 - x0) / (s1 - s0))
+    Gradient, observed and expected information of the coefficients, deviance, rows,
+    and for theta: score and information without the tail sums, the cross terms
+    with the coefficients, and the moment sum of (y / mu - 1)^2.
+    """
+    eta = np.clip(X @ beta + off, -700, 700)
+    score = info = 0.0
+    cross = np.zeros(X.shape[1])
+    if family == "binomial":
+        mu = 1 / (1 + np.exp(-eta))
+        grad, seen = m * (y - mu), m * mu * (1 - mu)
+        expected, moment = seen, 0.0
+        dev = 2 * m * (np.logaddexp(0, eta) - y * eta)      # y is the share of ones among m rows
+    else:
+        mu = np.exp(eta)
+        over = 1.0 if theta is None else theta / (theta + mu)
+        grad, expected = m * (y - mu) * over, m * mu * over
+        seen = expected if theta is None else m * mu * theta * (y + theta) / (theta + mu) ** 2
+        moment = (m * (y / mu - 1) ** 2).sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dev = np.where(y > 0, y * np.log(y / mu), 0.0)
+        if theta is None:
+            dev = 2 * m * (dev - (y - mu))
+        else:
+            dev = 2 * m * (dev - (y + theta) * np.log((y + theta) / (mu + theta)))
+            score = (m * (1 - np.log1p(mu / theta) - (y + theta) / (mu + theta))).sum()
+            info = (m * (2 / (mu + theta) - 1 / theta - (y + theta) / (mu + theta) ** 2)).sum()
+            cross = -X.T @ (m * (y - mu) * mu / (theta + mu) ** 2)
+    return np.concatenate([X.T @ grad, ((X.T * seen) @ X).ravel(), ((X.T * expected) @ X).ravel(), cross,
+                           [dev.sum(), m.sum(), score, info, moment, (m * y).sum(), (m * np.exp(off)).sum()]])
 
 
-def _pass(pat: DataFrame, terms: list[str], family: str, beta, theta, start: bool):
-    """One distributed pass: X'WX, X'Wz, deviance and theta sums at (beta, theta)."""
-    ship_code(pat.sparkSession)
-    p = len(terms) + 1
-    names = [f"a_{j}_{k}" for j in range(p) for k in range(j, p)] + [f"b_{j}" for j in range(p)]
-    names += ["dev", "score", "info", "moment", "n"] + [f"g_{i}" for i in range(len(THETA_GRID))]
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    beta_ = None if beta is None else np.asarray(beta, dtype=float)
+def unpack(total: np.ndarray, p: int) -> dict:
+    parts = np.split(total, np.cumsum([p, p * p, p * p, p]))
+    named = dict(zip(["dev", "n", "score", "info", "moment", "events", "exposure"], parts[4].tolist()))
+    return {"grad": parts[0], "seen": parts[1].reshape(p, p), "expected": parts[2].reshape(p, p), "cross": parts[3],
+            **named}
 
-    def run(it):
-        acc = np.zeros(len(names))
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.column_stack([np.ones(len(pdf))] + [pdf[t].to_numpy(float) for t in terms])
-            off = pdf["__off"].to_numpy(float)
-            m = pdf["__m"].to_numpy(float)
-            y = pdf["__y"].to_numpy(float)
-            if start:
-                if family == "binomial":
-                    mu0 = (m * y + 0.5) / (m + 1)
-                    eta = np.log(mu0 / (1 - mu0))
-                else:
-                    eta = np.log(y + 0.1)
-            else:
-                eta = X @ beta_ + off
-            mu, w, zr, dev = _family_arrays(family, eta, y, m, theta)
-            z = eta - off + zr
-            XtW = X.T * w
-            A = XtW @ X
-            bv = XtW @ z
-            vals = [A[j, k] for j in range(p) for k in range(j, p)] + list(bv)
-            sc = _theta_sums(y, mu, m, theta) if family == "negbin" else (0.0, 0.0, 0.0)
-            if family == "poisson":
-                sc = (0.0, 0.0, float((m * (y / mu - 1) ** 2).sum()))
-            grid = (_theta_score_grid(y, mu, m, theta) if family == "negbin"
-                    else np.zeros(len(THETA_GRID)))
-            acc += np.array(vals + [dev.sum(), *sc, m.sum(), *grid])
-        yield pd.DataFrame([acc], columns=names)
-
-    cols = [F.col(f"`{t}`") for t in terms] + [F.col("__off"), F.col("__m"), F.col("__y")]
-    # One partial row per partition (bounded by the partition count, never by
-    # the data); adding them up is a few hundred floats on the driver.
-    parts = pat.select(*cols).mapInPandas(run, schema).collect()
-    total = np.sum(np.array([[r[n] for n in names] for r in parts]), axis=0)
-    row = dict(zip(names, total.tolist()))
-    A = np.zeros((p, p))
-    bv = np.zeros(p)
-    for j in range(p):
-        bv[j] = row[f"b_{j}"]
-        for k in range(j, p):
-            A[j, k] = A[k, j] = row[f"a_{j}_{k}"]
-    return A, bv, row
+
+Totals = Callable[[str, np.ndarray, float | None], dict]
+
+
+# ------------------------------------------------------------------------ fits
+
+@dataclass
+class Fit:
+    beta: np.ndarray
+    gram: np.ndarray            # expected information of the coefficients
+    deviance: float
+    n: float
+    rounds: int
+    converged: bool
+    theta: float | None = None
+    theta_info: float | None = None
 
 
 def free_terms(A: np.ndarray, tol: float = 1e-9) -> np.ndarray:
@@ -190,137 +182,203 @@ def free_terms(A: np.ndarray, tol: float = 1e-9) -> np.ndarray:
     return free
 
 
-def _solve(A: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least-squares step; terms that depend on earlier ones stay at 0."""
+def _step(A: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Newton step; terms that depend on earlier ones do not move."""
     free = free_terms(A)
     out = np.zeros(len(b))
     out[free] = np.linalg.solve(A[np.ix_(free, free)], b[free])
     return out
 
 
-def irls(pat: DataFrame, terms: list[str], family: str, theta: float | None = None,
-         beta0: np.ndarray | None = None, max_iter: int = 25, tol: float = 1e-8):
-    """IRLS at fixed theta. Returns (beta, X'WX, deviance, iterations, last pass row, converged)."""
-    beta, dev_old, it, converged = beta0, None, 0, False
-    for it in range(1, max_iter + 1):
-        A, bv, row = _pass(pat, terms, family, beta, theta, start=beta is None)
-        new_beta = _solve(A, bv)
-        converged = (beta is not None and dev_old is not None
-                     and abs(row["dev"] - dev_old) / (abs(row["dev"]) + 0.1) < tol)
-        dev_old, beta = row["dev"], new_beta
-        if converged:
-            break
-    A, _, row = _pass(pat, terms, family, beta, theta, start=False)
-    return beta, A, row["dev"], it, row, bool(converged)
+def newton(totals: Totals, p: int, family: str, max_iter: int) -> tuple[Fit, dict]:
+    """Binomial or Poisson fit. Starts at zero, a Poisson fit at the mean rate."""
+    beta = np.zeros(p)
+    if family == "poisson":
+        s = totals(family, beta, None)
+        beta[0] = math.log((s["events"] + 0.1) / s["exposure"])
+    rounds, done = 0, False
+    while rounds < max_iter and not done:
+        s = totals(family, beta, None)
+        step = _step(s["seen"], s["grad"])
+        beta, rounds = beta + step, rounds + 1
+        done = bool(np.max(np.abs(step)) < STEP)
+    s = totals(family, beta, None)
+    return Fit(beta, s["expected"], s["dev"], s["n"], rounds, done), s
+
+
+def negative_binomial(totals: Totals, tails: Callable[[float], tuple[float, float]], p: int, max_iter: int) -> Fit:
+    """Joint Newton fit of coefficients and log theta, from the Poisson fit and the moment estimate of theta.
+
+    A step of log theta is at most 1; where the information of theta is not positive its
+    sign is turned, which moves uphill. Without over-dispersion theta grows without end:
+    past ``THETA_LIMIT`` the Poisson fit is returned, with theta None.
+    """
+    limit, s = newton(totals, p, "poisson", max_iter)
+    if s["moment"] <= 0 or s["n"] / s["moment"] > THETA_LIMIT:
+        return limit
+    beta, theta, rounds, done = limit.beta, s["n"] / s["moment"], 0, False
+    while rounds < max_iter and not done:
+        s = totals("negbin", beta, theta)
+        one, two = tails(theta)
+        score, info = s["score"] + one, s["info"] + two
+        slope, bend = theta * score, theta * theta * info - theta * score          # by log theta
+        cross = theta * s["cross"]
+        left = bend - cross @ _step(s["seen"], cross)
+        joint = np.block([[s["seen"], cross[:, None]], [cross[None], np.array([[bend]])]])
+        if left > 0:
+            step = _step(joint, np.append(s["grad"], slope))
+        else:
+            step = np.append(_step(s["seen"], s["grad"]), slope / max(abs(bend), 1e-300))
+        step[-1] = np.clip(step[-1], -1, 1)
+        beta, theta, rounds = beta + step[:-1], theta * math.exp(step[-1]), rounds + 1
+        if theta > THETA_LIMIT:
+            return limit
+        done = bool(np.max(np.abs(step)) < STEP)
+    s = totals("negbin", beta, theta)
+    return Fit(beta, s["expected"], s["dev"], s["n"], rounds, done, theta, s["info"] + tails(theta)[1])
 
 
-#: Above this theta the counts show no over-dispersion and the fit is the Poisson limit.
-THETA_LIMIT = 1e6
+def _arrays(pdf: pd.DataFrame, terms: list[str]):
+    X = np.column_stack([np.ones(len(pdf))] + [pdf[t].to_numpy(float) for t in terms])
+    return X, pdf["__off"].to_numpy(float), pdf["__m"].to_numpy(float), pdf["__y"].to_numpy(float)
 
 
-def negative_binomial_irls(pat: DataFrame, terms: list[str], max_iter: int = 100, tol: float = 1e-10):
-    """Alternating fit, one Spark pass per round: the pass gives the IRLS step
-    for beta at the current theta AND the theta score on a grid at the
-    current means, so theta is re-solved (as a full theta fit would) without
-    extra passes. Starts from the Poisson fit and the moment estimate of
-    theta; stops when beta and theta are both stable. Without over-dispersion
-    theta grows without end: past ``THETA_LIMIT`` the Poisson fit is returned
-    with theta None. Returns (beta, X'WX, deviance, theta, iterations, converged).
-    """
-    beta, A, dev, rounds, row, done = irls(pat, terms, "poisson")
-    limit = (beta, A, dev, None, rounds, done)
-    theta = row["n"] / row["moment"] if row["moment"] > 0 else np.inf
-    it, done = 0, False
-    if theta > THETA_LIMIT:
-        return limit
-    for it in range(1, max_iter + 1):
-        A, bv, row = _pass(pat, terms, "negbin", beta, theta, start=False)
-        grid = np.array([row[f"g_{i}"] for i in range(len(THETA_GRID))])
-        new_theta = _theta_root(theta, grid, row["score"], row["info"])
-        new_beta = _solve(A, bv)
-        if not 0 < new_theta < THETA_LIMIT:
-            return limit
-        step = max(np.max(np.abs(new_beta - beta)), abs(new_theta - theta) / max(theta, 1e-12))
-        beta, theta = new_beta, new_theta
-        if step < tol:
-            done = True
-            break
-    A, _, row = _pass(pat, terms, "negbin", beta, theta, start=False)
-    return beta, A, row["dev"], theta, it, done
+def _fit(family: str, totals: Totals, tails, p: int, max_iter: int) -> Fit:
+    return negative_binomial(totals, tails, p, max_iter) if family == "negbin" else newton(totals, p, family, max_iter)[0]
+
+
+def _constant(family: str, ones: float, n: float) -> bool:
+    return family == "binomial" and (ones <= 0.5 or ones >= n - 0.5)
+
+
+def _fit_in_task(pat: DataFrame, terms: list[str], family: str, max_iter: int, most: int) -> Fit | None:
+    """All rounds in the one task that holds the pattern table; None beyond ``most`` patterns, which it doesn't keep."""
+    p = len(terms) + 1
+
+    def run(it):
+        held, size = [], 0
+        for pdf in it:
+            held, size = [*held, pdf], size + len(pdf)
+            if size > most:
+                yield pd.DataFrame([{"fitted": False}], columns=names)
+                return
+        fit = Fit(np.zeros(p), np.zeros((p, p)), 0.0, 0.0, 0, False)
+        if size:
+            X, off, m, y = _arrays(pd.concat(held, ignore_index=True), terms)
+            fit.n = float(m.sum())
+            if not _constant(family, float(m @ y), fit.n):
+                fit = _fit(family, lambda f, b, t: unpack(pattern_sums(f, X, off, m, y, b, t), p),
+                           TailCounts(y, m).sums if family == "negbin" else None, p, max_iter)
+        yield pd.DataFrame([{"fitted": True, "beta": fit.beta.tolist(), "gram": fit.gram.ravel().tolist(),
+                             "deviance": fit.deviance, "n": fit.n, "rounds": fit.rounds, "converged": fit.converged,
+                             "theta": fit.theta, "theta_info": fit.theta_info}], columns=names)
+
+    schema = T.StructType.fromDDL("fitted boolean, beta array<double>, gram array<double>, deviance double, n double, "
+                                  "rounds int, converged boolean, theta double, theta_info double")
+    names = schema.fieldNames()
+    r = pat.coalesce(1).mapInPandas(run, schema).first()
+    if not r.fitted:
+        return None
+    return Fit(np.array(r.beta), np.array(r.gram).reshape(p, p), r.deviance, r.n, r.rounds, r.converged, r.theta,
+               r.theta_info)
+
+
+def _fit_by_passes(pat: DataFrame, terms: list[str], family: str, max_iter: int) -> Fit:
+    """One job per round; a task returns one vector of sums, its size set by the number of terms."""
+    p = len(terms) + 1
+    n, ones = pat.agg(F.sum("__m"), F.sum(F.col("__m") * F.col("__y"))).first()
+    if _constant(family, ones, n):
+        return Fit(np.zeros(p), np.zeros((p, p)), 0.0, n, 0, False)
+    by_task: list[tuple[float, float]] = []
+    tails = None
+    if family == "negbin":
+        counts = write_once(pat.groupBy("__y").agg(F.sum("__m").alias("n")), "tails")
+        if counts.count() <= TAIL_ROWS:
+            held = counts.toPandas()
+            tails = TailCounts(held["__y"].to_numpy(), held["n"].to_numpy()).sums
+
+    def totals(f, beta, theta):
+        own_tails = f == "negbin" and tails is None
+
+        def run(it):
+            for pdf in it:
+                X, off, m, y = _arrays(pdf, terms)
+                more = TailCounts(y, m).sums(theta) if own_tails else (0.0, 0.0)
+                yield pd.DataFrame({"sums": [np.append(pattern_sums(f, X, off, m, y, beta, theta), more).tolist()]})
+
+        vectors = pat.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("i", "x"))
+        total = np.array([r.x for r in vectors.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
+        by_task[:] = [tuple(total[-2:])]
+        return unpack(total[:-2], p)
+
+    return _fit(family, totals, tails or (lambda theta: by_task[0]), p, max_iter)
 
 
 # ------------------------------------------------------------------ models
 
 def _patterns(design: DataFrame, terms: list[str], y: str, offset: str | None, by_y: bool) -> DataFrame:
+    """The pattern table, written once: terms, ``__off``, ``__y`` (a share of ones unless ``by_y``), rows ``__m``."""
     keys = [F.col(f"`{t}`") for t in terms]
     off = F.col(offset).cast("double") if offset else F.lit(0.0)
-    d = design.select(*keys, off.alias("__off"), F.col(y).cast("double").alias("__yraw"))
+    d = design.select(*keys, off.alias("__off"), F.col(y).cast("double").alias("__y"))
+    m = F.count(F.lit(1)).cast("double").alias("__m")
     if by_y:
-        g = d.groupBy(*[F.col(f"`{t}`") for t in terms], "__off", "__yraw").agg(F.count(F.lit(1)).alias("__m"))
-        return g.withColumnRenamed("__yraw", "__y").withColumn("__m", F.col("__m").cast("double"))
-    g = d.groupBy(*[F.col(f"`{t}`") for t in terms], "__off").agg(
-        F.count(F.lit(1)).cast("double").alias("__m"), F.avg("__yraw").alias("__y"))
-    return g
-
-
-def _materialise(pat: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """The pattern table, written once, in one partition per ~1M patterns.
-
-    Every IRLS pass reads it; sizing partitions by rows keeps a tiny table to one task per pass
-    while a large one stays spread over the cluster.
-    """
-    held = write_once(pat, "patterns")
-    return held.coalesce(max(1, -(-held.count() // rows_per_partition)))
+        return write_once(d.groupBy(*keys, "__off", "__y").agg(m), "patterns")
+    return write_once(d.groupBy(*keys, "__off").agg(m, F.avg("__y").alias("__y")), "patterns")
 
 
 COEF_SCHEMA = T.StructType([
     T.StructField("term", T.StringType()), T.StructField("estimate", T.DoubleType()),
     T.StructField("std_error", T.DoubleType()), T.StructField("statistic", T.DoubleType()),
     T.StructField("p_value", T.DoubleType()), T.StructField("exp_estimate", T.DoubleType()),
+    T.StructField("ci_lower", T.DoubleType()), T.StructField("ci_upper", T.DoubleType()),
     T.StructField("n_obs", T.LongType()), T.StructField("deviance", T.DoubleType()),
-    T.StructField("theta", T.DoubleType()), T.StructField("iterations", T.IntegerType()),
-    T.StructField("converged", T.BooleanType())])
+    T.StructField("theta", T.DoubleType()), T.StructField("theta_std_error", T.DoubleType()),
+    T.StructField("iterations", T.IntegerType()), T.StructField("converged", T.BooleanType())])
 
 
-def _coef_frame(spark: SparkSession, terms, beta, A, n, dev, theta, iters, converged) -> DataFrame:
-    """One row per term; a term that depends on earlier ones has NULL figures."""
-    free = free_terms(A)
-    var = np.zeros(len(A))
-    var[free] = np.diag(np.linalg.inv(A[np.ix_(free, free)]))
-    rows = []
-    for name, b, v, known in zip(["(Intercept)", *terms], beta, var, free):
-        if not known:
-            rows.append((name, *[None] * 5, int(n), float(dev), None if theta is None else float(theta), int(iters),
-                         converged))
+def _fitted(design: DataFrame, y: str, terms: list[str], family: str, offset: str | None, max_iter: int,
+            in_task: int) -> DataFrame:
+    """One row per term with its Wald interval; a term that depends on earlier ones has NULL figures.
+
+    ``theta_std_error`` is from the observed information of theta at the fitted means.
+    """
+    spark = design.sparkSession
+    ship_code(spark)
+    pat = _patterns(design, terms, y, offset, by_y=family != "binomial")
+    fit = _fit_in_task(pat, terms, family, max_iter, in_task) or _fit_by_passes(pat, terms, family, max_iter)
+    if not fit.n:
+        raise ValueError(f"no complete row to fit {y!r} on")
+    if not fit.rounds:
+        raise ValueError(f"outcome {y!r} is constant; a logistic fit is not identified")
+    free = free_terms(fit.gram)
+    var = np.full(len(free), np.nan)
+    var[free] = np.diag(np.linalg.inv(fit.gram[np.ix_(free, free)]))
+    known = fit.theta is not None and fit.theta_info is not None and fit.theta_info > 0
+    common = (int(round(fit.n)), float(fit.deviance), fit.theta, 1 / math.sqrt(fit.theta_info) if known else None,
+              int(fit.rounds), bool(fit.converged))
+    out = []
+    for name, b, v, ok in zip(["(Intercept)", *terms], fit.beta.tolist(), var.tolist(), free):
+        if not ok:
+            out.append((name, *[None] * 7, *common))
             continue
-        b = float(b)
-        se = math.sqrt(float(v)) if v > 0 else float("nan")
-        z = b / se
-        rows.append((name, b, se, z, math.erfc(abs(z) / math.sqrt(2)), math.exp(b),
-                     int(n), float(dev), None if theta is None else float(theta), int(iters), converged))
-    return spark.createDataFrame(rows, COEF_SCHEMA)
+        se = math.sqrt(v)
+        out.append((name, b, se, b / se, math.erfc(abs(b / se) / math.sqrt(2)), math.exp(b), b - Z_975 * se,
+                    b + Z_975 * se, *common))
+    return spark.createDataFrame(out, COEF_SCHEMA)
 
 
-def fit_logistic(design: DataFrame, y: str, terms: list[str], max_iter: int = 25) -> DataFrame:
+def fit_logistic(design: DataFrame, y: str, terms: list[str], max_iter: int = 25, in_task: int = IN_TASK) -> DataFrame:
     """Logistic regression on 0/1 outcome ``y``; rejects a constant outcome."""
-    pat = _materialise(_patterns(design, terms, y, None, by_y=False))
-    chk = pat.agg(F.sum("__m").alias("n"), F.sum(F.col("__m") * F.col("__y")).alias("s")).first()
-    if chk["n"] is None or chk["s"] in (0, chk["n"]):
-        raise ValueError(f"outcome {y!r} is constant; a logistic fit is not identified")
-    beta, A, dev, it, _, done = irls(pat, terms, "binomial", max_iter=max_iter)
-    return _coef_frame(design.sparkSession, terms, beta, A, chk["n"], dev, None, it, done)
+    return _fitted(design, y, terms, "binomial", None, max_iter, in_task)
 
 
-def fit_poisson(design: DataFrame, y: str, terms: list[str], offset: str | None = None) -> DataFrame:
-    pat = _materialise(_patterns(design, terms, y, offset, by_y=True))
-    beta, A, dev, it, row, done = irls(pat, terms, "poisson")
-    return _coef_frame(design.sparkSession, terms, beta, A, row["n"], dev, None, it, done)
+def fit_poisson(design: DataFrame, y: str, terms: list[str], offset: str | None = None, max_iter: int = 50,
+                in_task: int = IN_TASK) -> DataFrame:
+    return _fitted(design, y, terms, "poisson", offset, max_iter, in_task)
 
 
 def fit_negative_binomial(design: DataFrame, y: str, terms: list[str], offset: str | None = None,
-                          max_iter: int = 100) -> DataFrame:
+                          max_iter: int = 100, in_task: int = IN_TASK) -> DataFrame:
     """Negative binomial (log link) with optional offset; theta estimated."""
-    pat = _materialise(_patterns(design, terms, y, offset, by_y=True))
-    beta, A, dev, theta, it, done = negative_binomial_irls(pat, terms, max_iter)
-    n = pat.agg(F.sum("__m")).first()[0]
-    return _coef_frame(design.sparkSession, terms, beta, A, n, dev, theta, it, done)
+    return _fitted(design, y, terms, "negbin", offset, max_iter, in_task)

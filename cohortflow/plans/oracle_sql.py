@@ -786,14 +786,156 @@ SELECT term, estimate, std_error, estimate / std_error AS statistic,
        CAST(n_obs AS BIGINT) AS n_obs, deviance FROM t, dev""",
          ("estimate", "std_error", "statistic", "p_value", "exp_estimate", "deviance"))
 
-# Saturated negative binomial with a log-exposure offset: the fitted mean of each
-# period is its sample mean whatever theta is, so the coefficients are log rates.
-register("nb_period_only", f"""
-WITH m AS (SELECT avg(hosp_count) FILTER (WHERE period = {_q(P1.label)}) AS m1,
-                  avg(hosp_count) FILTER (WHERE period = {_q(P2.label)}) AS m2, count(*) AS n
-           FROM unpaired WHERE period IN ({_q(P1.label)}, {_q(P2.label)})),
-t AS (SELECT '(Intercept)' AS term, ln(m1 / {float(P1.days)}) AS estimate, n FROM m
-      UNION ALL
-      SELECT 'period{P2.label}', ln(m2 / {float(P2.days)}) - ln(m1 / {float(P1.days)}), n FROM m)
-SELECT term, estimate, exp(estimate) AS exp_estimate, CAST(n AS BIGINT) AS n_obs FROM t""",
-         ("estimate", "exp_estimate"))
+# Full fits: the same maximum by SQL alone. A recursive query holds the coefficients; every step sums gradient and
+# information over the covariate patterns and eliminates the linear system, row operation by row operation.
+_TERMS = ["(Intercept)", f"period{P2.label}", *[f"age_group{b}" for b in _BANDS[1:]], "genderHombre", "htnSi",
+          "diabetesSi", "charlson"]
+_FULL = ORACLES["design_matrix"].replace('round("log_exposure", 6)', '"log_exposure"').replace(
+    'round("charlson", 6)', '"charlson"')
+
+
+def _eliminate(p: int, inner: str) -> str:
+    """Gauss-Jordan on column ``a`` (a list of p rows) of ``inner``; other columns stay."""
+    for k in range(1, p + 1):
+        inner = (f"SELECT * REPLACE (list_transform(a, lambda row, i: CASE WHEN i = {k} "
+                 f"THEN list_transform(row, lambda v: v / row[{k}]) "
+                 f"ELSE list_transform(row, lambda v, j: v - row[{k}] / a[{k}][{k}] * a[{k}][j]) END) AS a) "
+                 f"FROM ({inner})")
+    return inner
+
+
+def _totals(state: str, cols: str, vec: str, rows: str = "pat") -> str:
+    """``cols`` of the state and t, the sums over ``rows`` of the list ``vec``."""
+    keep = ", ".join(f"any_value({c}) AS {c}" for c in cols.split(", "))
+    return (f"SELECT {keep}, list(s ORDER BY i) AS t FROM (SELECT {keep}, i, sum(v) AS s FROM (SELECT {cols}, "
+            f"unnest({vec}) AS v, unnest(range(1, len({vec}) + 1)) AS i FROM (SELECT {cols}, x, off, y, m, k, "
+            f"list_sum(list_transform(b, lambda c, i: c * x[i])) + off AS eta FROM {state}, {rows})) GROUP BY i) "
+            f"HAVING count(*) > 0")
+
+
+def _products(p: int, weight: str) -> str:
+    """p * p entries weight * x[j] * x[k], row by row."""
+    return (f"list_transform(range({p * p}), lambda q: {weight} * x[CAST(q // {p} AS BIGINT) + 1] "
+            f"* x[CAST(q % {p} AS BIGINT) + 1])")
+
+
+def _system(p: int, extra: str = "") -> str:
+    """Rows of the system from t = p * p information, then p gradient entries."""
+    return (f"list_transform(range({p}), lambda j: list_concat(t[j * {p} + 1 : j * {p} + {p}], {extra}"
+            f"[t[{p * p} + j + 1]]))")
+
+
+def _newton_sql(p: int, name: str, mu: str, weight: str, start: str, max_iter: int) -> str:
+    vec = f"list_concat({_products(p, weight)}, list_transform(x, lambda u: m * (y - {mu}) * u))"
+    body = _eliminate(p, f"SELECT it, b, {_system(p)} AS a FROM ("
+                      + _totals(f"(SELECT * FROM {name} WHERE step >= 1e-8 AND it < {max_iter})", "it, b", vec) + ")")
+    return f"""{name}(it, b, step) AS (
+  SELECT 0, {start}, 1e300::DOUBLE
+  UNION ALL
+  SELECT it + 1, list_transform(b, lambda c, i: c + d[i]), list_max(list_transform(d, lambda u: abs(u)))
+  FROM (SELECT it, b, list_transform(range(1, {p + 1}), lambda j: a[j][{p + 1}]) AS d FROM ({body})))"""
+
+
+def _inverse_diagonal(p: int, state: str) -> str:
+    """(t of the totals, inverse information's diagonal v) at the state's coefficients."""
+    return _eliminate(p, f"SELECT *, list_transform(range({p}), lambda j: list_concat(t[j * {p} + 1 : j * {p} + {p}], "
+                         f"list_transform(range({p}), lambda k: CASE WHEN j = k THEN 1.0::DOUBLE ELSE 0.0 END))) AS a "
+                         f"FROM ({state})")
+
+
+def _coefficients(p: int, terms: list[str], last: str, theta: str, theta_se: str) -> str:
+    names = ", ".join(f"({j}, {_q(t)})" for j, t in enumerate(terms, 1))
+    return f"""
+SELECT term, estimate, std_error, estimate / std_error AS statistic,
+       {norm_two_sided_sql('estimate / std_error')} AS p_value, exp(estimate) AS exp_estimate,
+       estimate - 1.959963984540054 * std_error AS ci_lower, estimate + 1.959963984540054 * std_error AS ci_upper,
+       CAST(n AS BIGINT) AS n_obs, dev AS deviance, {theta} AS theta, {theta_se} AS theta_std_error,
+       CAST(it AS INTEGER) AS iterations, step < 1e-8 AS converged
+FROM (SELECT term, b[j] AS estimate, sqrt(a[j][{p} + j]) AS std_error, l.* FROM {last} l,
+      (VALUES {names}) n(j, term))"""
+
+
+def _pattern_sql(outcome: str, off: str, terms: list[str]) -> str:
+    xs = ", ".join(["1.0::DOUBLE", *[f'CAST("{t}" AS DOUBLE)' for t in terms[1:]]])
+    return f"""pat AS (SELECT x, off, y, CAST(count(*) AS DOUBLE) AS m, -1::BIGINT AS k FROM (
+  SELECT [{xs}] AS x, {off} AS off, CAST({outcome} AS DOUBLE) AS y FROM design) GROUP BY x, off, y)"""
+
+
+_COEF_DOUBLES = ("estimate", "std_error", "statistic", "p_value", "exp_estimate", "ci_lower", "ci_upper", "deviance",
+                 "theta", "theta_std_error")
+
+
+def _rounded(body: str) -> str:
+    rep = ", ".join(f'round("{c}", 6) AS "{c}"' for c in _COEF_DOUBLES)
+    return f"SELECT * REPLACE ({rep}) FROM ({body})"
+
+
+def _logit_sql(outcome: str) -> str:
+    p, mu = len(_TERMS), "(1 / (1 + exp(-eta)))"
+    zero = "list_transform(range(%d), lambda j: 0.0::DOUBLE)" % p
+    weight = f"m * {mu} * (1 - {mu})"
+    vec = (f"list_concat({_products(p, weight)}, [2 * m * (greatest(eta, 0) + ln(1 + exp(-abs(eta))) - y * eta), m])")
+    last = _totals("(SELECT * FROM fit ORDER BY it DESC LIMIT 1)", "it, b, step", vec)
+    end = f"SELECT *, t[{p * p + 1}] AS dev, t[{p * p + 2}] AS n FROM ({_inverse_diagonal(p, last)})"
+    return f"""WITH RECURSIVE design AS ({_FULL}),
+{_pattern_sql(outcome, "0.0::DOUBLE", _TERMS)},
+{_newton_sql(p, "fit", mu, weight, zero, 25)},
+last AS ({end})
+{_rounded(_coefficients(p, _TERMS, "last", "NULL::DOUBLE", "NULL::DOUBLE"))}"""
+
+
+def _negbin_sql(outcome: str, terms: list[str], design: str) -> str:
+    p, pp = len(terms), len(terms) ** 2
+    mu, zeros = "exp(eta)", "list_transform(range(%d), lambda j: 0.0::DOUBLE)"
+    start = (f"list_concat([(SELECT ln((sum(m * y) + 0.1) / sum(m * exp(off))) FROM pat)], {zeros % (p - 1)})")
+    # a pattern (k = -1) gives its part of all sums; a row of the tail table N(Y > k) only that of theta
+    seen = f"m * {mu} * th * (y + th) / pow(th + {mu}, 2)"
+    want = f"m * {mu} * th / (th + {mu})"
+    score = (f"CASE WHEN k < 0 THEN m * (1 - ln(1 + {mu} / th) - (y + th) / ({mu} + th)) ELSE m / (th + k) END")
+    info = (f"CASE WHEN k < 0 THEN m * (2 / ({mu} + th) - 1 / th - (y + th) / pow({mu} + th, 2)) "
+            f"ELSE m / pow(th + k, 2) END")
+    one = lambda e: f"CASE WHEN k < 0 THEN {e} ELSE 0 END"     # noqa: E731
+    vec = (f"list_concat({_products(p, one(seen))}, list_transform(x, lambda u: {one(f'm * (y - {mu}) * th / (th + {mu}) * u')}), "
+           f"list_transform(x, lambda u: {one(f'-m * (y - {mu}) * {mu} / pow(th + {mu}, 2) * u')}), [{score}, {info}])")
+    both = f"(SELECT * FROM pat UNION ALL SELECT {zeros % p}, 0.0::DOUBLE, 0.0::DOUBLE, m, k FROM tail)"
+    going = "(SELECT * FROM nb WHERE step >= 1e-8 AND it < 100 AND th <= 1e6)"
+    sums = _totals(going, "it, b, th", vec, both)
+    s, i, cross = f"t[{pp + 2 * p + 1}]", f"t[{pp + 2 * p + 2}]", f"t[{pp + p} + j + 1]"
+    rows = (f"list_concat({_system(p, f'[th * {cross}], ')}, [list_concat(list_transform(range({p}), "
+            f"lambda j: th * {cross}), [th * th * {i} - th * {s}, th * {s}])])")
+    body = _eliminate(p + 1, f"SELECT it, b, th, {rows} AS a FROM ({sums})")
+    logdev = f"2 * m * (CASE WHEN y > 0 THEN y * ln(y / {mu}) ELSE 0 END"
+    vec_end = (f"list_concat({_products(p, one(want))}, [{one(f'{logdev} - (y + th) * ln((y + th) / ({mu} + th)))')}, "
+               f"{one('m')}, {info}])")
+    vec_limit = f"list_concat({_products(p, f'm * {mu}')}, [{logdev} - (y - {mu})), m, m * pow(y / {mu} - 1, 2)])"
+    end = f"t[{pp + 1}] AS dev, t[{pp + 2}] AS n, t[{pp + 3}] AS last"
+    limit = _totals("(SELECT * FROM pois ORDER BY it DESC LIMIT 1)", "it, b, step", vec_limit)
+    final = _totals("(SELECT * FROM nb ORDER BY it DESC LIMIT 1)", "it, b, step, th", vec_end, both)
+    one_of = (f"SELECT it, b, step, dev, n, a, NULL::DOUBLE AS th, NULL::DOUBLE AS info FROM lim "
+              f"WHERE n / last > 1e6 OR EXISTS (SELECT 1 FROM nb WHERE th > 1e6) UNION ALL "
+              f"SELECT it, b, step, dev, n, a, th, last FROM fin WHERE NOT EXISTS (SELECT 1 FROM nb WHERE th > 1e6)")
+    return f"""WITH RECURSIVE design AS ({design}),
+{_pattern_sql(outcome, "log_exposure", terms)},
+tail AS (SELECT CAST(r.k AS BIGINT) AS k, sum(pat.m) AS m FROM pat, range(0, (SELECT CAST(max(y) AS BIGINT) FROM pat)) r(k)
+         WHERE pat.y > r.k GROUP BY r.k),
+{_newton_sql(p, "pois", mu, f"m * {mu}", start, 100)},
+lim AS (SELECT *, {end} FROM ({_inverse_diagonal(p, limit)})),
+nb(it, b, th, step) AS (
+  SELECT 0, b, n / last, 1e300::DOUBLE FROM lim WHERE n / last <= 1e6
+  UNION ALL
+  SELECT it + 1, list_transform(b, lambda c, i: c + d[i]), th * exp(tau),
+         greatest(abs(tau), list_max(list_transform(d, lambda u: abs(u))))
+  FROM (SELECT it, b, th, list_transform(range(1, {p + 1}), lambda j: a[j][{p + 2}]) AS d,
+               least(greatest(a[{p + 1}][{p + 2}], -1.0), 1.0) AS tau FROM ({body}))),
+fin AS (SELECT *, {end} FROM ({_inverse_diagonal(p, final)})),
+chosen AS ({one_of})
+{_rounded(_coefficients(p, terms, "chosen", "th", "1 / sqrt(info)"))}"""
+
+
+ORACLES["logit_risk"] = _logit_sql("was_hospitalized")
+ORACLES["logit_specific_event"] = _logit_sql("any_infection")
+ORACLES["nb_count_model"] = _negbin_sql("hosp_count", _TERMS, _FULL)
+ORACLES["nb_period_only"] = _negbin_sql(
+    "hosp_count", _TERMS[:2], _with(f"""SELECT hosp_count, ln({_EXPO}) AS log_exposure,
+  CAST(period = {_q(P2.label)} AS DOUBLE) AS "period{P2.label}" FROM unpaired
+WHERE period IN ({_q(P1.label)}, {_q(P2.label)})"""))

@@ -470,11 +470,11 @@ MODEL_NUMERIC = ["charlson"]
 MODEL_KEEP = ["id", "was_hospitalized", "any_infection", "hosp_count", "log_exposure"]
 
 
-def _design(spark, sf_dir, factors=None, numeric=None):
+def _design(spark, sf_dir, keep, factors=None, numeric=None):
+    """The design of one model: only rows that lack a column in ``keep`` or a term are left out."""
     from cohortflow.operators.models import design_matrix
     data = S.with_exposure(unpaired(spark, sf_dir), SPEC)
-    return design_matrix(data, factors or MODEL_FACTORS,
-                         MODEL_NUMERIC if numeric is None else numeric, MODEL_KEEP)
+    return design_matrix(data, factors or MODEL_FACTORS, MODEL_NUMERIC if numeric is None else numeric, keep)
 
 
 def _terms(factors=None, numeric=None):
@@ -486,27 +486,28 @@ def _terms(factors=None, numeric=None):
 @query("design_matrix")
 def q_design_matrix(spark, sf_dir):
     """Complete-case design: treatment contrasts vs first levels, plus Charlson."""
-    return _design(spark, sf_dir)
+    return _design(spark, sf_dir, MODEL_KEEP)
 
 
 @query("logit_risk")
 def q_logit_risk(spark, sf_dir):
     """Logistic model of any admission on period, age band, sex, HTN, diabetes, Charlson."""
     from cohortflow.operators.models import fit_logistic
-    return fit_logistic(_design(spark, sf_dir), "was_hospitalized", _terms())
+    return fit_logistic(_design(spark, sf_dir, ["was_hospitalized"]), "was_hospitalized", _terms())
 
 
 @query("logit_specific_event")
 def q_logit_specific_event(spark, sf_dir):
     from cohortflow.operators.models import fit_logistic
-    return fit_logistic(_design(spark, sf_dir), "any_infection", _terms())
+    return fit_logistic(_design(spark, sf_dir, ["any_infection"]), "any_infection", _terms())
 
 
 @query("nb_count_model")
 def q_nb_count_model(spark, sf_dir):
     """Negative-binomial admission count model with log exposure offset."""
     from cohortflow.operators.models import fit_negative_binomial
-    return fit_negative_binomial(_design(spark, sf_dir), "hosp_count", _terms(), offset="log_exposure")
+    return fit_negative_binomial(_design(spark, sf_dir, ["hosp_count", "log_exposure"]), "hosp_count", _terms(),
+                                 offset="log_exposure")
 
 
 PERIOD_ONLY = {"period": SPEC.period_labels}
@@ -516,7 +517,8 @@ PERIOD_ONLY = {"period": SPEC.period_labels}
 def q_logit_period_only(spark, sf_dir):
     """Saturated logistic model (period only): closed form ln odds ratio."""
     from cohortflow.operators.models import fit_logistic
-    fit = fit_logistic(_design(spark, sf_dir, PERIOD_ONLY, []), "was_hospitalized", _terms(PERIOD_ONLY, []))
+    fit = fit_logistic(_design(spark, sf_dir, ["was_hospitalized"], PERIOD_ONLY, []), "was_hospitalized",
+                       _terms(PERIOD_ONLY, []))
     return fit.select("term", "estimate", "std_error", "statistic", "p_value", "exp_estimate", "n_obs", "deviance")
 
 
@@ -524,6 +526,5 @@ def q_logit_period_only(spark, sf_dir):
 def q_nb_period_only(spark, sf_dir):
     """Saturated negative-binomial model (period + offset): ln ratio of mean rates."""
     from cohortflow.operators.models import fit_negative_binomial
-    fit = fit_negative_binomial(_design(spark, sf_dir, PERIOD_ONLY, []), "hosp_count",
-                                _terms(PERIOD_ONLY, []), offset="log_exposure")
-    return fit.select("term", "estimate", "exp_estimate", "n_obs")
+    return fit_negative_binomial(_design(spark, sf_dir, ["hosp_count", "log_exposure"], PERIOD_ONLY, []), "hosp_count",
+                                 _terms(PERIOD_ONLY, []), offset="log_exposure")
