@@ -33,6 +33,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return joined.select(*cols)
 
 
+def null_safe_semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``left`` whose keys, NULL or not, occur in ``right``."""
+    r = right.select(*[F.col(k).alias(_R + k) for k in keys])
+    return left.join(r, [left[k].eqNullSafe(r[_R + k]) for k in keys], "left_semi")
+
+
 def first_row_per_key(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
     """One row per key: the first under an explicit, total tiebreak order.
 

@@ -1,18 +1,18 @@
-"""Exact order statistics at scale: cumulative counts, midranks, quantiles.
+"""Exact order statistics at scale: an index of values with the counts below them.
 
-All three start from a value histogram (``groupBy(keys, value).count()``),
-so ties collapse before anything is ordered. The running count over values
-is then computed without sorting any key's values in a single task:
+``order_index`` starts from a value histogram, so ties collapse before anything is
+ordered, and is written once; quantiles, moments and midranks are all read from
+it. No key's values are sorted in a single task:
 
-1. range-partition the histogram on (keys, value) into ``buckets`` ranges and
-   write it once with each row's range number, so that the two readers below
-   see the same ranges whatever the optimizer does;
-2. totals per (keys, bucket) -> a tiny table; an ordered window over it
-   gives each bucket's offset within its key;
-3. a window over (keys, bucket) gives the running count inside the bucket.
+1. the histogram is range-partitioned on (keys, value) into ``buckets`` ranges and
+   written with each row's range number, so that the two readers below see
+   the same ranges whatever the optimizer does;
+2. totals per (keys, range) make a small table; an ordered window over it gives
+   each range's offset within its key;
+3. windows over (keys, range) give the running counts inside the range.
 
 Range partitions are balanced by sampling, so a key holding a third of all
-rows is spread over a third of the buckets.
+rows is spread over a third of the ranges. A NULL key is a key like any other.
 """
 
 from __future__ import annotations
@@ -20,28 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.operators.cohort import null_safe_join
 from cohortflow.session import write_once
 
 
-def cumulative_before(hist: DataFrame, keys: list[str], value: str, count: str,
-                      buckets: int | None = None) -> DataFrame:
-    """Add ``before``: total ``count`` of rows with the same keys and a smaller value."""
-    spark = hist.sparkSession
-    if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    order = [F.col(k) for k in keys] + [F.col(value)]
-    ranged = write_once(hist.repartitionByRange(buckets, *order).withColumn("__b", F.spark_partition_id()), "ranges")
-    totals = ranged.groupBy(*keys, "__b").agg(F.sum(count).alias("__bt"))
-    wk = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__b", F.coalesce(F.sum("__bt").over(wk), F.lit(0)).alias("__off"))
-    wb = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inner = ranged.withColumn("__in", F.coalesce(F.sum(count).over(wb), F.lit(0)))
-    cond = [inner[k].eqNullSafe(offsets[k]) for k in keys] + [inner["__b"] == offsets["__b"]]
-    j = inner.join(offsets, cond, "inner")
-    return j.select(*[inner[c] for c in hist.columns],
-                    (inner["__in"] + offsets["__off"]).alias("before"))
-
-
 def value_histogram(df: DataFrame, keys: list[str], value: str, extra: list[str] = (),
                     weight: str | None = None) -> DataFrame:
     """Rows per (keys, extra, value); ``weight`` sums an existing count instead."""
@@ -50,18 +32,54 @@ def value_histogram(df: DataFrame, keys: list[str], value: str, extra: list[str]
             .groupBy(*keys, *extra, value).agg(w.alias("n")))
 
 
-def midranks(df: DataFrame, keys: list[str], value: str, group: str,
-             weight: str | None = None) -> DataFrame:
+def order_index(hist: DataFrame, keys: list[str], value: str, group: str | None = None, count: str = "n",
+                buckets: int | None = None) -> DataFrame:
+    """``hist`` with ``below``, written once: the total ``count`` of smaller values under the same keys and group.
+
+    ``hist`` has a row per (keys, value), or per (keys, group, value). With a group there are also
+    ``t``, the value's count over all groups of its keys, and ``below_all``, the smaller values' count over all of them.
+    """
+    if buckets is None:
+        buckets = max(int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    own = [*keys, group] if group else list(keys)
+    ranged = write_once(hist.repartitionByRange(buckets, *[F.col(k) for k in keys], F.col(value))
+                        .withColumn("__b", F.spark_partition_id()), "ranges")
+    none = F.lit(0)
+    smaller = Window.orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*own, "__b").agg(F.sum(count).alias("__bt"))
+    offsets = totals.select(*own, "__b", F.coalesce(F.sum("__bt").over(smaller.partitionBy(*own)), none).alias("__off"),
+                            F.coalesce(F.sum("__bt").over(smaller.partitionBy(*keys)), none).alias("__off_all"))
+    inside = Window.partitionBy(*keys, "__b")
+    if group:
+        upto = F.sum(count).over(inside.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ranged = ranged.withColumn("__upto", upto).withColumn(
+            "t", F.sum(count).over(Window.partitionBy(*keys, "__b", value)))
+    in_group = Window.partitionBy(*own, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("__in", F.coalesce(F.sum(count).over(in_group), none))
+    placed = null_safe_join(ranged, offsets, [*own, "__b"], "inner")
+    more = [F.col("t"), (F.col("__upto") - F.col("t") + F.col("__off_all")).alias("below_all")] if group else []
+    return write_once(placed.select(*hist.columns, (F.col("__in") + F.col("__off")).alias("below"), *more), "order")
+
+
+def cumulative_before(hist: DataFrame, keys: list[str], value: str, count: str, buckets: int | None = None) -> DataFrame:
+    """Add ``before``: total ``count`` of rows with the same keys and a smaller value."""
+    return order_index(hist, keys, value, None, count, buckets).withColumnRenamed("below", "before")
+
+
+def midranks(df: DataFrame, keys: list[str], value: str, group: str, weight: str | None = None) -> DataFrame:
     """Per (keys, value, group): count ``n`` and the midrank of the value.
 
     Ranks run over all groups of a key together (pooled sample); ``t`` is
     the tie size of the value.
     """
-    h = value_histogram(df.where(F.col(group).isNotNull()), keys, value, [group], weight)
-    t = h.groupBy(*keys, value).agg(F.sum("n").alias("t"))
-    c = cumulative_before(t, keys, value, "t")
-    c = c.withColumn("midrank", F.col("before") + (F.col("t") + 1) / 2.0)
-    return h.join(c.select(*keys, value, "t", "midrank"), [*keys, value], "inner")
+    index = order_index(value_histogram(df.where(F.col(group).isNotNull()), keys, value, [group], weight), keys, value,
+                        group)
+    return with_midranks(index).drop("below", "below_all")
+
+
+def with_midranks(index: DataFrame) -> DataFrame:
+    """The midrank of every row of an index with groups."""
+    return index.withColumn("midrank", F.col("below_all") + (F.col("t") + 1) / 2.0)
 
 
 def _order_positions(n, p, qtype: int):
@@ -79,25 +97,33 @@ def _order_positions(n, p, qtype: int):
     raise ValueError("quantile type must be 7 or 2")
 
 
+def distribution(index: DataFrame, own: list[str], value: str, probs: dict[str, float], qtype: int = 7) -> DataFrame:
+    """Per ``own`` keys (those of ``below``): size, mean, sd and one exact quantile per name in ``probs``.
+
+    Size and mean come first, in a table of a row per key; squared distances from the
+    mean and the quantiles then need one more pass over the index.
+    """
+    n, v = F.col("n"), F.col(value)
+    sizes = index.groupBy(*own).agg(F.sum("n").alias("size"), (F.sum(v * n) / F.sum("n")).alias("mean"))
+    aggs, finals = [F.first("size").alias("size"), F.first("mean").alias("mean"),
+                    F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("__ss")], {}
+    for name, p in probs.items():
+        lo, hi, w = _order_positions(F.col("size"), F.lit(p), qtype)
+        for end, at in (("lo", lo), ("hi", hi)):
+            hit = (F.col("below") < at) & (at <= F.col("below") + n)
+            aggs.append(F.min(F.when(hit, v)).alias(f"__{end}_{name}"))
+        aggs.append(F.first(w).alias(f"__w_{name}"))
+        finals[name] = F.col(f"__lo_{name}") * (1 - F.col(f"__w_{name}")) + F.col(f"__hi_{name}") * F.col(f"__w_{name}")
+    found = null_safe_join(index, sizes, own, "inner").groupBy(*own).agg(*aggs)
+    sd = F.when(F.col("size") > 1, F.sqrt(F.col("__ss") / (F.col("size") - 1)))
+    return found.select(*own, "size", "mean", sd.alias("sd"), *[e.alias(name) for name, e in finals.items()])
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     qtype: int = 7) -> DataFrame:
     """Exact sample quantiles per key (R types 7 and 2), one column per name in ``probs``."""
     if not keys:  # one pooled sample: a constant key keeps every step keyed
         out = exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, qtype)
         return out.drop("__all")
-    h = value_histogram(df, keys, value)
-    c = cumulative_before(h, keys, value, "n")
-    sizes = h.groupBy(*keys).agg(F.sum("n").alias("__size"))
-    j = c.join(sizes, [*keys], "inner")
-    aggs, finals = [], {}
-    for name, p in probs.items():
-        lo, hi, w = _order_positions(F.col("__size"), F.lit(p), qtype)
-        hit_lo = (F.col("before") < lo) & (lo <= F.col("before") + F.col("n"))
-        hit_hi = (F.col("before") < hi) & (hi <= F.col("before") + F.col("n"))
-        aggs += [F.min(F.when(hit_lo, F.col(value))).alias(f"__lo_{name}"),
-                 F.min(F.when(hit_hi, F.col(value))).alias(f"__hi_{name}"),
-                 F.first(w).alias(f"__w_{name}")]
-        finals[name] = (F.col(f"__lo_{name}") * (1 - F.col(f"__w_{name}"))
-                        + F.col(f"__hi_{name}") * F.col(f"__w_{name}"))
-    g = j.groupBy(*keys).agg(*aggs)
-    return g.select(*keys, *[e.alias(n) for n, e in finals.items()])
+    index = order_index(value_histogram(df, keys, value), keys, value)
+    return distribution(index, keys, value, probs, qtype).select(*keys, *probs)

@@ -165,7 +165,11 @@ def rank_statistics(df: DataFrame, keys: list[str], value: str, group: str,
     size, and sum of R_g^2 / n_g -- everything both rank tests need, from one
     midrank pass over the value histogram.
     """
-    mr = midranks(df, keys, value, group, weight)
+    return ranked_groups(midranks(df, keys, value, group, weight), keys, group, first_level)
+
+
+def ranked_groups(mr: DataFrame, keys: list[str], group: str, first_level: str | None = None) -> DataFrame:
+    """``rank_statistics`` from rows (keys, group, n, t, midrank)."""
     # Each value's tie term t^3 - t is spread over its groups in proportion
     # n / t, so summing per group and then per key needs no second grouping.
     per_g = mr.groupBy(*keys, group).agg(
