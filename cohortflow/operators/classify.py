@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.functions.recode import value_map
-from cohortflow.spec import Period
+from cohortflow.operators.cohort import join_dimension
+from cohortflow.spec import Period, taxonomy_rows
 
 
 def period_of_stay(start: Column, end: Column, periods: tuple[Period, ...],
@@ -52,3 +53,25 @@ def recode_causes(df: DataFrame, vocabulary, code_col: str = "hosp_cause",
                           "hosp_cause_group6": "group6"}
     code = F.col(code_col)
     return df.withColumns({name: value_map(code, maps[kind]) for name, kind in outputs.items()})
+
+
+TAXONOMY_SCHEMA = "taxonomy string, code string, label string, cause_group string, group_order int"
+
+
+def taxonomy_table(spark: SparkSession, rows=None) -> DataFrame:
+    """The taxonomy dimension: (taxonomy, code, label, cause_group, group_order)."""
+    return spark.createDataFrame(rows or taxonomy_rows(), TAXONOMY_SCHEMA)
+
+
+def classify_causes(df: DataFrame, dimension: DataFrame, taxonomy: str | None = None,
+                    code_col: str = "hosp_cause") -> DataFrame:
+    """``df`` with the dimension's taxonomy, label, cause_group and group_order for its code.
+
+    With ``taxonomy`` every row stays once and unknown codes get NULL; without, a row comes
+    once per taxonomy of the dimension. The dimension may be any table of that
+    schema: it is broadcast only if its counted size allows.
+    """
+    d = dimension.where(F.col("taxonomy") == taxonomy) if taxonomy else dimension
+    names = [taxonomy] if taxonomy else [r.taxonomy for r in d.select("taxonomy").distinct().collect()]
+    each = df.withColumn("taxonomy", F.explode(F.array(*map(F.lit, sorted(names)))))
+    return join_dimension(each, d.withColumnRenamed("code", code_col), ["taxonomy", code_col])

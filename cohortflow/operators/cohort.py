@@ -39,6 +39,16 @@ def null_safe_semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return left.join(r, [left[k].eqNullSafe(r[_R + k]) for k in keys], "left_semi")
 
 
+#: A dimension of at most this many rows is broadcast, a larger one joined by shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def join_dimension(df: DataFrame, dimension: DataFrame, keys: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join to a table whose rows are counted first; it is broadcast if there are at most ``most``."""
+    small = dimension.limit(most + 1).count() <= most
+    return df.join(F.broadcast(dimension) if small else dimension.hint("merge"), keys, "left")
+
+
 def first_row_per_key(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
     """One row per key: the first under an explicit, total tiebreak order.
 

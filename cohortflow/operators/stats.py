@@ -19,61 +19,78 @@ from pyspark.sql import types as T
 from cohortflow.functions.tails import chi2_p, fisher_p, norm_p, t_p
 from cohortflow.operators.cohort import null_safe_join
 from cohortflow.operators.ranks import midranks
-from cohortflow.operators.reshape import complete, level_grid
 from cohortflow.session import ship_code
 
 Z_975 = 1.959963984540054
 
 
-def _pairs_long(df: DataFrame, pairs: dict[str, tuple[str, str]], a: str, b: str) -> DataFrame:
-    """One row per (input row, measure) with the two paired values."""
-    structs = [F.struct(F.lit(m).alias("measure"), F.col(x).cast("double").alias(a),
-                        F.col(y).cast("double").alias(b)) for m, (x, y) in pairs.items()]
-    return df.select(F.inline(F.array(*structs)))
+#: Cells of a 2x2 table by name, (row, column).
+CELLS = {f"n_{r}{c}": (r, c) for r in (0, 1) for c in (0, 1)}
 
 
-def paired_t(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+def paired_record(df: DataFrame, counts: dict[str, tuple[str, str]] | None = None,
+                  flags: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One row per measure with all that the paired tests need, from ONE aggregation of ``df``.
+
+    ``counts`` name (post, pre) columns: complete pairs, both means, both variances, covariance, and
+    mean and sd of the difference. ``flags`` name 0/1 (row, column) columns: the four cells.
+    A measure may be in both; what it lacks is NULL. No row is copied per measure.
+    """
+    counts, flags = counts or {}, flags or {}
+    aggs, rows, null_d, null_l = [], [], F.lit(None).cast("double"), F.lit(None).cast("long")
+    moments = ("mean_post", "mean_pre", "var_post", "var_pre", "covariance", "mean_diff", "sd_diff")
+    for i, m in enumerate(dict.fromkeys([*counts, *flags])):
+        held = [F.lit(m).alias("measure")]
+        if m in counts:
+            post, pre = (F.col(c).cast("double") for c in counts[m])
+            both = post.isNotNull() & pre.isNotNull()
+            aggs += [F.count_if(both).alias(f"n{i}")]
+            for name, e in zip(moments, (F.avg(F.when(both, post)), F.avg(F.when(both, pre)),
+                                         F.var_samp(F.when(both, post)), F.var_samp(F.when(both, pre)),
+                                         F.covar_samp(post, pre), F.avg(post - pre), F.stddev_samp(post - pre))):
+                aggs.append(e.alias(f"{name}{i}"))
+        held.append((F.col(f"n{i}") if m in counts else null_l).alias("n_pairs"))
+        held += [(F.col(f"{name}{i}") if m in counts else null_d).alias(name) for name in moments]
+        for name, (r, c) in CELLS.items():
+            if m in flags:
+                row, col = (F.col(x).cast("double") for x in flags[m])
+                aggs.append(F.count_if((row == r) & (col == c)).alias(f"{name}{i}"))
+            held.append((F.col(f"{name}{i}") if m in flags else null_l).alias(name))
+        rows.append(F.struct(*held))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def t_from_record(record: DataFrame) -> DataFrame:
     """Paired t test of ``post - pre`` per measure (complete pairs only), two-sided."""
-    d = _pairs_long(df, pairs, "post", "pre").withColumn("diff", F.col("post") - F.col("pre"))
-    g = d.groupBy("measure").agg(F.count("diff").alias("n_pairs"),
-                                 F.avg("diff").alias("mean_diff"),
-                                 F.stddev_samp("diff").alias("sd_diff"))
     t = F.when(F.col("sd_diff") > 0, F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("n_pairs"))))
-    g = g.withColumn("statistic", t).withColumn("df", (F.col("n_pairs") - 1).cast("double"))
+    g = record.where("n_pairs IS NOT NULL").select(
+        "measure", "n_pairs", "mean_diff", "sd_diff", t.alias("statistic"),
+        (F.col("n_pairs") - 1).cast("double").alias("df"))
     return g.withColumn("p_value", t_p(F.col("statistic"), F.col("df")))
 
 
-def contingency(df: DataFrame, pairs: dict[str, tuple[str, str]], levels=(0, 1)) -> DataFrame:
-    """Two-way counts per measure over fixed levels; absent cells count 0."""
-    long = _pairs_long(df, pairs, "row_value", "col_value")
-    lv = [float(v) for v in levels]
-    long = long.where(F.col("row_value").isin(lv) & F.col("col_value").isin(lv))
-    obs = long.groupBy("measure", "row_value", "col_value").agg(F.count(F.lit(1)).alias("n"))
-    grid = level_grid(df.sparkSession, [("measure", list(pairs)), ("row_value", lv), ("col_value", lv)])
-    out = complete(obs, grid, ["measure", "row_value", "col_value"], {"n": 0})
-    return out.select("measure", F.col("row_value").cast("int").alias("row_level"),
-                      F.col("col_value").cast("int").alias("col_level"), "n")
-
-
-def mcnemar(table: DataFrame) -> DataFrame:
-    """McNemar with continuity correction from 2x2 counts (levels 0/1) per measure.
+def mcnemar_from_record(record: DataFrame) -> DataFrame:
+    """McNemar with continuity correction per measure.
 
     Correction only when the off-diagonal cells differ; ``b = c`` gives 0 and
     ``b + c = 0`` gives a NULL statistic.
     """
-    def cell(r, c):
-        return F.sum(F.when((F.col("row_level") == r) & (F.col("col_level") == c), F.col("n"))
-                     .otherwise(0)).alias(f"n_{r}{c}")
-    g = table.groupBy("measure").agg(cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
     b, c = F.col("n_01"), F.col("n_10")
     stat = (F.when(b + c == 0, F.lit(None).cast("double"))
             .when(b == c, F.lit(0.0))
             .otherwise(F.pow(F.abs(b - c) - 1, 2) / (b + c)))
-    g = g.withColumn("statistic", stat).withColumn("df", F.lit(1.0))
+    g = record.where("n_00 IS NOT NULL").select("measure", *CELLS, stat.alias("statistic"), F.lit(1.0).alias("df"))
     return g.withColumn("p_value", chi2_p(F.col("statistic"), F.col("df")))
 
 
-def cohen_d_paired(df: DataFrame, pairs: dict[str, tuple[str, str]], within: bool = True) -> DataFrame:
+def contingency_from_record(record: DataFrame) -> DataFrame:
+    """The four cells as rows (measure, row_level, col_level, n); absent cells count 0."""
+    cells = [F.struct(F.lit(r).alias("row_level"), F.lit(c).alias("col_level"), F.col(name).alias("n"))
+             for name, (r, c) in CELLS.items()]
+    return record.where("n_00 IS NOT NULL").select("measure", F.inline(F.array(*cells)))
+
+
+def d_from_record(record: DataFrame, within: bool = True) -> DataFrame:
     """Paired Cohen's d per measure with a magnitude label and a normal CI.
 
     ``within``: d = mean(diff) / (sd(diff) / sqrt(2 (1 - r))), r the
@@ -81,11 +98,8 @@ def cohen_d_paired(df: DataFrame, pairs: dict[str, tuple[str, str]], within: boo
     the matched-groups variance (1/n + d^2 / (2n)) * 2 (1 - r) (within) or
     1/n + d^2 / (2n) (otherwise).
     """
-    d = _pairs_long(df, pairs, "post", "pre").withColumn("diff", F.col("post") - F.col("pre"))
-    d = d.where(F.col("diff").isNotNull())
-    g = d.groupBy("measure").agg(F.count("diff").alias("n_pairs"), F.avg("diff").alias("mean_diff"),
-                                 F.stddev_samp("diff").alias("sd_diff"),
-                                 F.corr("post", "pre").alias("r"))
+    spread = F.sqrt(F.col("var_post") * F.col("var_pre"))
+    g = record.where("n_pairs IS NOT NULL").withColumn("r", F.when(spread > 0, F.col("covariance") / spread))
     n, m, s, r = F.col("n_pairs"), F.col("mean_diff"), F.col("sd_diff"), F.col("r")
     if within:
         est = m / (s / F.sqrt(2 * (1 - r)))
@@ -93,7 +107,7 @@ def cohen_d_paired(df: DataFrame, pairs: dict[str, tuple[str, str]], within: boo
     else:
         est = m / s
         var = 1 / n + F.col("d") * F.col("d") / (2 * n)
-    g = g.withColumn("d", est)
+    g = g.withColumn("d", F.when(s > 0, est))
     ad = F.abs(F.col("d"))
     mag = (F.when(ad < 0.2, "negligible").when(ad < 0.5, "small").when(ad < 0.8, "medium")
            .when(ad >= 0.8, "large"))
@@ -103,6 +117,36 @@ def cohen_d_paired(df: DataFrame, pairs: dict[str, tuple[str, str]], within: boo
         (F.col("d") + Z_975 * F.col("se")).alias("ci_upper"))
 
 
+def paired_tests(record: DataFrame) -> DataFrame:
+    """The paired t test, Cohen's d and McNemar's test of every measure of a record, a row per measure."""
+    t = t_from_record(record).select("measure", F.col("statistic").alias("t"), F.col("df").alias("t_df"),
+                                     F.col("p_value").alias("t_p_value"))
+    d = d_from_record(record).select("measure", "r", "d", "magnitude", "ci_lower", "ci_upper")
+    m = mcnemar_from_record(record).select("measure", F.col("statistic").alias("mcnemar"),
+                                           F.col("p_value").alias("mcnemar_p_value"))
+    base = record.select("measure", "n_pairs", "mean_post", "mean_pre", "mean_diff", "sd_diff", *CELLS)
+    return base.join(t, "measure", "left").join(d, "measure", "left").join(m, "measure", "left")
+
+
+def paired_t(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    return t_from_record(paired_record(df, counts=pairs))
+
+
+def contingency(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    return contingency_from_record(paired_record(df, flags=pairs))
+
+
+def mcnemar(table: DataFrame) -> DataFrame:
+    """``mcnemar_from_record`` of counts in rows (measure, row_level, col_level, n)."""
+    here = lambda r, c: (F.col("row_level") == r) & (F.col("col_level") == c)     # noqa: E731
+    return mcnemar_from_record(table.groupBy("measure").agg(*[
+        F.sum(F.when(here(r, c), F.col("n")).otherwise(0)).alias(name) for name, (r, c) in CELLS.items()]))
+
+
+def cohen_d_paired(df: DataFrame, pairs: dict[str, tuple[str, str]], within: bool = True) -> DataFrame:
+    return d_from_record(paired_record(df, counts=pairs), within)
+
+
 # ------------------------------------------------------------- two-way tables
 
 def cell_counts(df: DataFrame, keys: list[str], row: str, col: str) -> DataFrame:

@@ -33,7 +33,48 @@ def _d(x) -> str:
     return f"DATE '{x.isoformat()}'"
 
 
-VOCAB_VALUES = ", ".join(f"({_q(c)}, {_q(l)}, {_q(g4)}, {_q(g6)})" for c, l, g4, g6 in CAUSE_VOCABULARY)
+# The cause vocabulary, as the SQL's own copy (code, label and group of the analysis, label and group of
+# the chart), in the study's order.
+VOCABULARY_SQL = """
+  ('Infection Respiratory', 'Infección Respiratoria', 'Infección', 'Infección Respiratoria', 'Infección'),
+  ('Cardiovascular Pulmonary Disease', 'Enfermedad Pulmonar Cardiovascular', 'Cardiovascular', 'Enfermedad Pulmonar Cardiovascular', 'Cardiovascular'),
+  ('Digestive System Disorder', 'Trastorno del Sistema Digestivo', 'Otras Causas', 'Trastorno del Sistema Digestivo', 'Otras Causas'),
+  ('Other', 'Otras Causas', 'Otras Causas', 'Otras Causas', 'Otras Causas'),
+  ('Access Repair', 'Reparación de Acceso Vascular', 'Acceso Vascular (excl. infección)', 'Reparación de Acceso Vascular', 'Acceso Vascular (excl. infección)'),
+  ('Musculoskeletal System Disorder', 'Trastorno del Sistema Musculoesquelético', 'Otras Causas', 'Trastorno del Sistema Musculoesquelético', 'Otras Causas'),
+  ('Infection Blood', 'Bacteriemia', 'Infección', 'Bacteriemia', 'Infección'),
+  ('Cardiovascular Vessel Disease', 'Enfermedad Cardiovascular Periférica', 'Cardiovascular', 'Enfermedad Cardiovascular Periférica', 'Cardiovascular'),
+  ('Genitourinary Disorder', 'Trastorno Genitourinario', 'Otras Causas', 'Trastorno Genitourinario', 'Urológicas'),
+  ('Cardiovascular Heart Disease', 'Enfermedad Cardiovascular', 'Cardiovascular', 'Enfermedad Cardiovascular', 'Cardiovascular'),
+  ('Access Infection', 'Infección del Acceso Vascular', 'Infección', 'Infección de Acceso Vascular', 'Infección'),
+  ('Immune Disorder Other', 'Otros Trastornos Inmunológicos', 'Otras Causas', 'Otros Trastornos Inmunológicos', 'Otras Causas'),
+  ('Unknown', 'Desconocido', 'Otras Causas', 'Desconocido', 'Desconocido'),
+  ('Infection Other', 'Otras Infecciones', 'Infección', 'Otras Infecciones', 'Infección'),
+  ('Nervous System Disorder', 'Trastorno del Sistema Nervioso', 'Otras Causas', 'Trastorno del Sistema Nervioso', 'Otras Causas'),
+  ('Access Other', 'Otras Causas - Acceso Vascular', 'Acceso Vascular (excl. infección)', 'Otras Causas - Acceso Vascular', 'Acceso Vascular (excl. infección)'),
+  ('Circulatory Disease', 'Enfermedad Circulatoria', 'Cardiovascular', 'Enfermedad Circulatoria', 'Cardiovascular'),
+  ('Infection Wound', 'Infección de la Herida', 'Infección', 'Infección de Herida', 'Infección'),
+  ('Respiratory System Other Cause', 'Otras Causas Respiratorias', 'Otras Causas', 'Otras Causas Respiratorias', 'Otras Causas'),
+  ('Infection COVID19 (SARS-CoV2 infection)', 'Infección COVID19 (Infección por SARS-CoV2)', 'Infección', 'Infección COVID19 (Infección por SARS-CoV2)', 'Infección'),
+  ('Access Placement', 'Colocación de Acceso Vascular', 'Acceso Vascular (excl. infección)', 'Colocación de Acceso Vascular', 'Acceso Vascular (excl. infección)'),
+  ('Blood Disorder Anemia', 'Anemia', 'Otras Causas', 'Anemia', 'Otras Causas'),
+  ('Cerebrovascular Disease', 'Enfermedad Cerebrovascular', 'Cardiovascular', 'Enfermedad Cerebrovascular', 'Cardiovascular'),
+  ('Injury/Accident', 'Lesión/Accidente', 'Otras Causas', 'Lesión/Accidente', 'Otras Causas'),
+  ('Cardiovascular Other', 'Otros Trastornos Cardiovasculares', 'Cardiovascular', 'Otros Trastornos Cardiovasculares', 'Cardiovascular'),
+  ('Blood Disorder Clotting', 'Trastorno de la Coagulación', 'Otras Causas', 'Trastorno de la Coagulación', 'Otras Causas'),
+  ('Blood Disorder Other', 'Otros Trastornos Hematológicos', 'Otras Causas', 'Otros Trastornos Hematológicos', 'Otras Causas'),
+  ('Endocrine Disorder Diabetes', 'Diabetes Mellitus', 'Otras Causas', 'Diabetes', 'Otras Causas'),
+  ('Cancer/Neoplasms', 'Cáncer/Neoplasmas', 'Otras Causas', 'Cáncer/Neoplasmas', 'Otras Causas'),
+  ('Metabolic Disorder', 'Trastorno Metabólico', 'Otras Causas', 'Trastorno Metabólico', 'Otras Causas'),
+  ('Respiratory System COPD', 'Enfermedad Pulmonar Obstructiva Crónica (EPOC)', 'Otras Causas', 'Enfermedad Pulmonar Obstructiva Crónica (EPOC)', 'Otras Causas'),
+  ('Mental Disorder', 'Trastorno Mental', 'Otras Causas', 'Trastorno Mental', 'Otras Causas'),
+  ('Infection Peritonitis (PD Related Peritonitis Excluded)', 'Peritonitis (Excluyendo Peritonitis Relacionada con PD)', 'Infección', 'Peritonitis (Excluyendo Peritonitis Relacionada con PD)', 'Infección'),
+  ('Skin Disorder', 'Trastorno de la Piel', 'Otras Causas', 'Trastorno de la Piel', 'Otras Causas'),
+  ('Infection Tunnel/Cuff', 'Infección de Túnel/Cuff', 'Infección', 'Infección de Túnel/Cuff', 'Infección'),
+  ('PD Catheter Replacement', 'Reemplazo de Catéter PD', 'Otras Causas', 'Reemplazo de Catéter PD', 'Otras Causas'),
+  ('Other PD Related Cause', 'Otras Causas Relacionadas con PD', 'Otras Causas', 'Otras Causas Relacionadas con PD', 'Otras Causas'),
+  ('PD Catheter Placement', 'Colocación de Catéter PD', 'Otras Causas', 'Colocación de Catéter PD', 'Otras Causas')"""
+# End of fixed values.
 
 
 def anniv(b: str, k: str) -> str:
@@ -62,7 +103,7 @@ def period_sql(s: str, e: str) -> str:
 
 
 BASE = f"""
-vocab(code, label, group4, group6) AS (VALUES {VOCAB_VALUES}),
+vocab(code, label, group4, label6, group6) AS (VALUES {VOCABULARY_SQL}),
 subj0 AS (
   SELECT c.c_custkey AS k, CAST(c.c_custkey AS VARCHAR) AS id, n.n_name, c.c_acctbal, c.c_mktsegment,
          DATE '1920-01-01' + CAST((c.c_custkey * 7919) % 25000 AS INTEGER) AS birth_date,
@@ -284,6 +325,16 @@ register("recode_vocabulary", """
 SELECT a.id, a.gender, a.htn, a.diabetes, a.adm_number, a.hosp_start, a.hosp_end, a.hosp_re, a.hosp_cause,
        v.label AS hosp_cause_label, v.group4 AS hosp_cause_group4, v.group6 AS hosp_cause_group6
 FROM adm_full a LEFT JOIN vocab v ON a.hosp_cause = v.code""")
+_ORDER4 = "['Cardiovascular', 'Infección', 'Acceso Vascular (excl. infección)', 'Otras Causas']"
+_ORDER6 = ("['Cardiovascular', 'Infección', 'Acceso Vascular (excl. infección)', 'Urológicas', 'Otras Causas', "
+           "'Desconocido']")
+register("recode_taxonomy", f"""
+SELECT a.id, a.adm_number, a.hosp_start, a.hosp_cause, t.taxonomy,
+       CASE t.taxonomy WHEN 'four' THEN v.label ELSE v.label6 END AS label,
+       CASE t.taxonomy WHEN 'four' THEN v.group4 ELSE v.group6 END AS cause_group,
+       CAST(CASE t.taxonomy WHEN 'four' THEN list_position({_ORDER4}, v.group4)
+            ELSE list_position({_ORDER6}, v.group6) END AS INTEGER) AS group_order
+FROM adm_full a CROSS JOIN (VALUES ('four'), ('six')) t(taxonomy) LEFT JOIN vocab v ON a.hosp_cause = v.code""")
 register("length_of_stay", """
 SELECT id, adm_number, hosp_start, hosp_end, CAST(hosp_end - hosp_start AS INTEGER) AS person_time,
        CASE WHEN hosp_end - hosp_start <= 0 THEN ln(0.1)
@@ -319,6 +370,26 @@ register("subject_period_grid", "SELECT * FROM grid", ("age", "charlson"))
 register("paired_event_counts", "SELECT * FROM paired", ("age", "charlson"))
 register("period_wide", "SELECT * FROM pw", tuple(f"charlson_{p.label}" for p in FIXTURE_PERIODS))
 register("unpaired_event_flags", "SELECT * FROM unpaired", ("charlson",))
+register("ungrouped_admissions", """
+SELECT period, CAST(sum(n) AS BIGINT) AS admissions, CAST(sum(dropped) AS BIGINT) AS dropped_admissions,
+       count(*) FILTER (WHERE n = dropped) AS emptied_subject_periods
+FROM (SELECT id, period, count(*) AS n, count(*) FILTER (WHERE hosp_cause_groups IS NULL) AS dropped
+      FROM analysis WHERE adm_number IS NOT NULL GROUP BY id, period) GROUP BY period""")
+register("paired_event_counts_any_cause", """
+SELECT g.*, CASE WHEN c.hosp_count IS NULL THEN 0 ELSE 1 END AS hosp_any, coalesce(c.hosp_count, 0) AS hosp_count,
+       coalesce(CAST(c.infection_count > 0 AS INTEGER), 0) AS infection_any, coalesce(c.infection_count, 0) AS infection_count,
+       coalesce(CAST(c.cardio_count > 0 AS INTEGER), 0) AS cardio_any, coalesce(c.cardio_count, 0) AS cardio_count
+FROM grid g LEFT JOIN (
+  SELECT id, period, count(*) AS hosp_count, count(*) FILTER (WHERE hosp_cause_groups = 'Infección') AS infection_count,
+         count(*) FILTER (WHERE hosp_cause_groups = 'Cardiovascular') AS cardio_count
+  FROM analysis WHERE adm_number IS NOT NULL GROUP BY id, period) c ON g.id = c.id AND g.period = c.period""",
+         ("age", "charlson"))
+register("unpaired_event_flags_strict", """
+SELECT u.* REPLACE (CASE WHEN e.lacks THEN 0 ELSE u.any_infection END AS any_infection,
+                    CASE WHEN e.lacks THEN 0 ELSE u.infection_count END AS infection_count)
+FROM unpaired u LEFT JOIN (SELECT id, period, bool_or(hosp_cause_groups IS NULL) AS lacks FROM analysis
+                           WHERE adm_number IS NOT NULL GROUP BY id, period) e
+  ON e.id = u.id AND e.period = u.period""", ("charlson",))
 register("exposure_days", f"""
 SELECT id, period,
        CASE period WHEN {_q(P1.label)} THEN {float(P1.days)} WHEN {_q(P2.label)} THEN {float(P2.days)} END AS exposure_time,
@@ -418,6 +489,15 @@ FROM (SELECT *, mean_diff / (sd_diff / sqrt(2 * (1 - r))) AS d FROM (
   FROM (""" + DIFFS + """) WHERE post - pre IS NOT NULL GROUP BY measure))""",
          ("mean_diff", "sd_diff", "r", "d", "ci_lower", "ci_upper"))
 
+register("paired_tests", f"""
+SELECT t.measure, t.n_pairs, mm.mean_post, mm.mean_pre, t.mean_diff, t.sd_diff, m.n_00, m.n_01, m.n_10, m.n_11,
+       t.statistic AS t, t.df AS t_df, t.p_value AS t_p_value, d.r, d.d, d.magnitude, d.ci_lower, d.ci_upper,
+       m.statistic AS mcnemar, m.p_value AS mcnemar_p_value
+FROM ({ORACLES["paired_diff_t"]}) t JOIN ({ORACLES["cohen_d_paired"]}) d USING (measure)
+JOIN ({ORACLES["mcnemar"]}) m USING (measure)
+JOIN (SELECT measure, avg(post) AS mean_post, avg(pre) AS mean_pre FROM ({DIFFS}) WHERE post - pre IS NOT NULL
+      GROUP BY measure) mm USING (measure)""", ("mean_post", "mean_pre"))
+
 DEMO_LONG = " UNION ALL ".join(
     f"SELECT period, '{v}' AS variable, CAST({v} AS VARCHAR) AS level FROM demo"
     for v in ["age_group", "diabetes_type", "karnofsky", "va", "gender", "htn", "diabetes"])
@@ -585,7 +665,7 @@ register("summary_missing", f"""
 SELECT variable, grp, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS n_missing
 FROM ({_long("demo", "period", DEMO_VARS, "VARCHAR")}) WHERE grp IS NOT NULL GROUP BY ALL""")
 KIND_SQL = f"""
-SELECT variable, count(DISTINCT value) AS n_distinct, count(*) FILTER (WHERE value IS NULL) AS n_missing,
+SELECT variable, least(count(DISTINCT value), 10) AS n_distinct, count(*) FILTER (WHERE value IS NULL) AS n_missing,
        variable IN ({", ".join(_q(v) for v in NUMERIC_DEMO)}) AS is_numeric,
        CASE WHEN variable IN ({", ".join(_q(v) for v in NUMERIC_DEMO)}) AND count(DISTINCT value) >= 10
             THEN 'continuous' ELSE 'categorical' END AS kind
@@ -662,7 +742,8 @@ w AS (SELECT key AS variable, k, {w} AS W, ({w} - {mu} - 0.5 * sign({w} - {mu}))
              (12.0 / (n_total * (n_total + 1.0)) * r2n - 3 * (n_total + 1))
              / (1 - ties / (1.0 * n_total * n_total * n_total - n_total)) AS H FROM rk),
 chi AS ({_chi_sql(cells, "variable")}),
-fis AS ({_fisher_sql(cells)})
+fis AS ({_fisher_sql(cells)}),
+logs AS (SELECT variable, -sum(lgamma(n + 1)) AS fisher FROM ({cells}) GROUP BY variable)
 SELECT variable, CASE WHEN k = 2 THEN 'wilcox.test' WHEN k > 2 THEN 'kruskal.test' END AS test,
        CASE WHEN k = 2 THEN W WHEN k > 2 THEN H END AS statistic,
        CASE WHEN k > 2 THEN CAST(k - 1 AS DOUBLE) END AS df,
@@ -673,11 +754,13 @@ SELECT chi.variable, CASE WHEN {sim.replace('variable', 'chi.variable')} AND min
          WHEN {sim.replace('variable', 'chi.variable')} THEN 'fisher.test (simulated)'
          WHEN min_expected >= 5 THEN 'chisq.test.no.correct'
          WHEN n_rows = 2 AND n_cols = 2 THEN 'fisher.test' ELSE 'fisher.test (simulated)' END,
-       CASE WHEN min_expected >= 5 THEN statistic END, CASE WHEN min_expected >= 5 THEN df END,
+       CASE WHEN min_expected >= 5 THEN statistic
+            WHEN n_rows <> 2 OR n_cols <> 2 OR {sim.replace('variable', 'chi.variable')} THEN logs.fisher END,
+       CASE WHEN min_expected >= 5 THEN df END,
        CASE WHEN {sim.replace('variable', 'chi.variable')} THEN NULL WHEN min_expected >= 5 THEN chi.p_value
             WHEN n_rows = 2 AND n_cols = 2 THEN fis.p_value END
 FROM chi JOIN kinds ON name = {name.replace('variable', 'chi.variable')} LEFT JOIN fis ON fis.variable = chi.variable
-WHERE NOT many)"""
+JOIN logs ON logs.variable = chi.variable WHERE NOT many)"""
 
 
 def _described_sql(src: str, by: str, cont: list[str], cat: list[str], dich: dict, declared: dict, labels: dict,
@@ -688,15 +771,15 @@ def _described_sql(src: str, by: str, cont: list[str], cat: list[str], dich: dic
     declared = {**declared, **{v: [x] for v, x in dich.items()}}
 
     def long(variables, cast, keyed=False):
-        name = (lambda v: f"{strata} || '|' || {_q(v)}" if strata and keyed else _q(v))
+        name = (lambda v: f"coalesce({strata}, '?') || '|' || {_q(v)}" if strata and keyed else _q(v))
         head = s if strata and not keyed else ""
         return " UNION ALL ".join(f"SELECT {head}{by} AS grp, {name(v)} AS variable, CAST({v} AS {cast}) AS value "
                                   f"FROM {src}" for v in variables)
 
     def dec(x):
         return f"CAST(CAST(round({x}, 1) AS DECIMAL(20, 1)) AS VARCHAR)"
-    same = f"AND m.{strata} = b.{strata}" if strata else ""
-    key = f"b.{strata} || '|' || b.variable" if strata else "b.variable"
+    same = f"AND m.{strata} IS NOT DISTINCT FROM b.{strata}" if strata else ""
+    key = f"coalesce(b.{strata}, '?') || '|' || b.variable" if strata else "b.variable"
     places = " ".join(f"WHEN b.variable = {_q(v)} THEN nullif(list_position({_list(xs)}, b.level), 0)"
                       for v, xs in declared.items())
     mean_text = " ".join(f"WHEN b.variable = {_q(v)} THEN {dec('b.mean')} || ' (±' || {dec('b.sd')} || ')' || {_q(u)}"
@@ -725,7 +808,7 @@ FROM base b JOIN m ON m.variable = b.variable AND m.grp = b.grp {same} LEFT JOIN
 
 _DESCRIBED = ("pct", "mean", "sd", "p25", "median", "p75", "statistic", "df", "p_value")
 _BANDS_DECLARED = list(AGE_BANDS.labels)
-register("demographics_table", _described_sql(
+register("demographics_table_exact", _described_sql(
     "demo", "period", ["age", "charlson"], ["age_group", "diabetes_type", "karnofsky", "va"],
     {"gender": "Mujer", "htn": "Si", "diabetes": "Si"},
     {"age_group": _BANDS_DECLARED, "diabetes_type": ["Tipo 1", "Tipo 2"],
@@ -734,13 +817,13 @@ register("demographics_table", _described_sql(
      "diabetes": "Diabetes Mellitus", "diabetes_type": "Tipo de Diabetes", "charlson": "Índice de Charlson",
      "karnofsky": "Karnofsky", "va": "Acceso Vascular"},
     {"age": " años"}, NUMERIC_DEMO, ["karnofsky"], P1.label), _DESCRIBED)
-register("overall_table", _described_sql(
+register("overall_table_exact", _described_sql(
     "analysis", "hosp_cause_groups", ["charlson"], ["age_group", "gender"], {"htn": "Si", "diabetes": "Si"},
     {"age_group": _BANDS_DECLARED, "gender": ["Mujer", "Hombre"]},
     {"age_group": "Grupo Etario", "gender": "Género", "htn": "Hipertensión Arterial",
      "diabetes": "Diabetes Mellitus", "charlson": "Índice de Charlson"},
     {}, ["charlson"], ["age_group"], None, "period"), _DESCRIBED)
-register("admission_table", _described_sql(
+register("admission_table_exact", _described_sql(
     """(SELECT a.period, v.group6 AS hosp_cause_groups, a.hosp_re, CAST(a.hosp_end - a.hosp_start AS INTEGER) AS hosp_length
         FROM adm_full a LEFT JOIN vocab v ON a.hosp_cause = v.code
         WHERE a.period IS NOT NULL AND a.hosp_start IS NOT NULL)""",
@@ -749,6 +832,50 @@ register("admission_table", _described_sql(
     {"hosp_length": ""}, ["hosp_length"], ["period"]), _DESCRIBED)
 
 
+register("demographics_by_htn_exact", _described_sql(
+    "demo", "period", ["age", "charlson"], ["age_group"], {"gender": "Mujer"}, {"age_group": _BANDS_DECLARED},
+    {"age": "Edad", "age_group": "Edad (Categórica)", "gender": "Mujeres", "charlson": "Índice de Charlson"},
+    {"age": " años"}, ["age", "charlson"], [""], P1.label, "htn"), _DESCRIBED)
+_TESTED = ("statistic", "df", "p_value")
+register("summary_with_tests_simulated_exact", _tests_sql(
+    _long("demo", "period", DEMO_VARS, "VARCHAR"), _long("demo", "period", NUMERIC_DEMO, "DOUBLE"), NUMERIC_DEMO,
+    ["karnofsky"], P1.label), _TESTED)
+_BY_CAUSE = lambda variables, cast: " UNION ALL ".join(     # noqa: E731
+    f"SELECT hosp_cause_groups AS grp, period || '|{v}' AS variable, CAST({v} AS {cast}) AS value FROM analysis"
+    for v in variables)
+_CAUSE_TESTS = _tests_sql(_BY_CAUSE(["age_group", "gender", "htn", "diabetes", "charlson"], "VARCHAR"),
+                          _BY_CAUSE(["charlson"], "DOUBLE"), ["charlson"], ["age_group"], None)
+register("stratified_tests_exact", f"""
+SELECT string_split(variable, '|')[1] AS period, string_split(variable, '|')[2] AS variable, test, statistic, df, p_value
+FROM ({_CAUSE_TESTS})""", _TESTED)
+_ADMITTED = """(SELECT a.period, v.group6 AS hosp_cause_groups, a.hosp_re,
+                CAST(a.hosp_end - a.hosp_start AS INTEGER) AS hosp_length
+                FROM adm_full a LEFT JOIN vocab v ON a.hosp_cause = v.code
+                WHERE a.period IS NOT NULL AND a.hosp_start IS NOT NULL)"""
+register("admission_tests_exact", _tests_sql(
+    _long(_ADMITTED, "hosp_cause_groups", ["period", "hosp_length", "hosp_re"], "VARCHAR"),
+    _long(_ADMITTED, "hosp_cause_groups", ["hosp_length"], "DOUBLE"), ["hosp_length"], ["period"], None), _TESTED)
+_MC_CELLS = ("SELECT variable, level AS row_level, period AS col_level, count(*) AS n FROM ("
+             + " UNION ALL ".join(f"SELECT '{v}' AS variable, CAST({v} AS VARCHAR) AS level, period FROM demo"
+                                  for v in ["karnofsky", "age_group"])
+             + ") WHERE level IS NOT NULL AND period IS NOT NULL GROUP BY ALL")
+register("monte_carlo_independence_exact", f"""
+SELECT variable, CAST(2000 AS BIGINT) AS replicates, statistic AS chisq_statistic, fisher_statistic
+FROM ({_chi_sql(_MC_CELLS, "variable")})
+JOIN (SELECT variable, -sum(lgamma(n + 1)) AS fisher_statistic FROM ({_MC_CELLS}) GROUP BY variable) USING (variable)""",
+         ("chisq_statistic", "fisher_statistic"))
+_PATIENTS = ("(SELECT DISTINCT id, period, hosp_cause_groups, charlson, age_group, gender, htn, diabetes FROM analysis "
+             "WHERE hosp_cause_groups IS NOT NULL)")
+register("patient_table", f"""
+SELECT period, variable, 'continuous' AS kind, CAST(NULL AS VARCHAR) AS level, grp, n,
+       CAST(NULL AS BIGINT) AS denom, CAST(NULL AS DOUBLE) AS pct, mean, sd, p25, median, p75
+FROM ({_continuous_sql(_STRAT_LONG_C.replace("FROM analysis", "FROM " + _PATIENTS), "period")})
+UNION ALL
+SELECT period, variable, CASE WHEN variable IN ('htn', 'diabetes') THEN 'dichotomous' ELSE 'categorical' END,
+       level, grp, n, denom, pct, NULL, NULL, NULL, NULL, NULL
+FROM ({_categorical_sql(_STRAT_LONG_K.replace("FROM analysis", "FROM " + _PATIENTS), {"htn": "Si", "diabetes": "Si"},
+                        "period")})""", ("pct", "mean", "sd", "p25", "median", "p75"))
+
 # ------------------------------------------------------------------- models
 
 _EXPO = (f"CASE period WHEN {_q(P1.label)} THEN {float(P1.days)} "

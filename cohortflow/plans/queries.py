@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortflow.plans import study as S
-from cohortflow.session import ensure_checkpoint_dir
+from cohortflow.session import held_table, tables_folder
 from cohortflow.sources.fixture import cohort_wide_text
 from cohortflow.sources.wide import read_wide_csv, type_wide, write_wide_csv
-from cohortflow.spec import StudySpec
+from cohortflow.spec import ADMISSION_LABELS, CAUSE_LABELS, DEMO_LABELS, StudySpec
 
 SPEC = StudySpec()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,11 +44,15 @@ def query(name: str):
     return deco
 
 
-_WIDE_TABLES: dict[tuple[str, str], str] = {}
+COHORT_TABLES = ("customer", "nation", "orders")
+
+
+def _inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{t}.parquet" for t in COHORT_TABLES]
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed wide cohort, derived once per session and written as parquet.
+    """The typed wide cohort, derived once per session and state of its input files, written as parquet.
 
     Like cleaning the raw file once before every analysis: the derivation
     (scan, slot pivot, typing) runs one time and every later
@@ -56,14 +60,8 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     of re-deriving it in each branch of its plan. The table lives in the
     session's shared checkpoint folder, so it survives executor loss.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _WIDE_TABLES.get(key)
-    if path is None:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/cohort-wide-{uuid.uuid4().hex}"
-        type_wide(cohort_wide_text(spark, sf_dir, SPEC.n_slots)).write.mode("overwrite").parquet(path)
-        _WIDE_TABLES[key] = path
-    return spark.read.parquet(path)
+    return held_table(spark, "cohort-wide", _inputs(sf_dir),
+                      lambda: type_wide(cohort_wide_text(spark, sf_dir, SPEC.n_slots)))
 
 
 def demo(spark, sf_dir):
@@ -108,7 +106,7 @@ def q_wide_ingest(spark, sf_dir):
 @query("csv_ingest")
 def q_csv_ingest(spark, sf_dir):
     """The cohort as CSV files in the shared folder (decimal commas quoted), scanned back and typed."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohort-csv-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/cohort-csv-{uuid.uuid4().hex}"
     write_wide_csv(cohort_wide_text(spark, sf_dir, SPEC.n_slots), path)
     return type_wide(read_wide_csv(spark, path, SPEC.n_slots))
 
@@ -151,6 +149,15 @@ def q_recode_vocabulary(spark, sf_dir):
     return recode_causes(S.admission_long(wide(spark, sf_dir), SPEC), SPEC.vocabulary)
 
 
+@query("recode_taxonomy")
+def q_recode_taxonomy(spark, sf_dir):
+    """Every admission's label and cause group under each taxonomy of the dimension."""
+    from cohortflow.operators.classify import classify_causes, taxonomy_table
+    rows = S.admission_long(wide(spark, sf_dir), SPEC, id_cols=("id",))
+    return classify_causes(rows, taxonomy_table(spark)).select(
+        "id", "adm_number", "hosp_start", "hosp_cause", "taxonomy", "label", "cause_group", "group_order")
+
+
 @query("length_of_stay")
 def q_length_of_stay(spark, sf_dir):
     return S.length_of_stay(wide(spark, sf_dir), SPEC)
@@ -199,6 +206,20 @@ def q_paired_event_counts(spark, sf_dir):
     return paired(spark, sf_dir)
 
 
+@query("paired_event_counts_any_cause")
+def q_paired_event_counts_any_cause(spark, sf_dir):
+    """As paired_event_counts, with the admissions of unmapped causes."""
+    w = wide(spark, sf_dir)
+    d = S.demographics(w, SPEC)
+    return S.paired_event_counts(S.admissions_by_presence(w, SPEC, d), d, SPEC, require_group=False)
+
+
+@query("ungrouped_admissions")
+def q_ungrouped_admissions(spark, sf_dir):
+    """What the paired counts leave out, per period."""
+    return S.ungrouped_admissions(analysis(spark, sf_dir))
+
+
 @query("period_wide")
 def q_period_wide(spark, sf_dir):
     return paired_wide(spark, sf_dir)
@@ -209,6 +230,14 @@ def q_unpaired_event_flags(spark, sf_dir):
     return unpaired(spark, sf_dir)
 
 
+@query("unpaired_event_flags_strict")
+def q_unpaired_event_flags_strict(spark, sf_dir):
+    """As unpaired_event_flags, an unmapped cause making its subject-period's infection figures missing."""
+    w = wide(spark, sf_dir)
+    d = S.demographics(w, SPEC)
+    return S.unpaired_event_flags(S.admissions_by_presence(w, SPEC, d), d, SPEC, strict=True)
+
+
 @query("exposure_days")
 def q_exposure_days(spark, sf_dir):
     return S.with_exposure(unpaired(spark, sf_dir), SPEC).select(
@@ -237,38 +266,52 @@ def _demo_long_categorical(spark, sf_dir, variables=DEMO_CATEGORICAL):
     return stack_columns(d, ["period"], {v: F.col(v) for v in variables}, "variable", "level")
 
 
+def _paired_record(spark, sf_dir):
+    """Moments and cells of the paired table, from one scan of it; written once, as five tests read it."""
+    from cohortflow.operators.stats import paired_record
+    return held_table(spark, "paired-record", _inputs(sf_dir), lambda: paired_record(
+        paired_wide(spark, sf_dir), _post_pre(MEASURES), _pre_post_any(MEASURES)))
+
+
+@query("paired_tests")
+def q_paired_tests(spark, sf_dir):
+    """Paired t, Cohen's d and McNemar of every measure, from the one record."""
+    from cohortflow.operators.stats import paired_tests
+    return paired_tests(_paired_record(spark, sf_dir))
+
+
 @query("paired_diff_t")
 def q_paired_diff_t(spark, sf_dir):
     """Paired t test of post - pre admission counts (all, infection, cardiovascular)."""
-    from cohortflow.operators.stats import paired_t
-    return paired_t(paired_wide(spark, sf_dir), _post_pre(MEASURES))
+    from cohortflow.operators.stats import t_from_record
+    return t_from_record(_paired_record(spark, sf_dir))
 
 
 @query("contingency")
 def q_contingency(spark, sf_dir):
     """2x2 pre x post any-event tables with fixed 0/1 levels."""
-    from cohortflow.operators.stats import contingency
-    return contingency(paired_wide(spark, sf_dir), _pre_post_any(MEASURES))
+    from cohortflow.operators.stats import contingency_from_record
+    return contingency_from_record(_paired_record(spark, sf_dir))
 
 
 @query("mcnemar")
 def q_mcnemar(spark, sf_dir):
-    from cohortflow.operators.stats import contingency, mcnemar
-    return mcnemar(contingency(paired_wide(spark, sf_dir), _pre_post_any(MEASURES)))
+    from cohortflow.operators.stats import mcnemar_from_record
+    return mcnemar_from_record(_paired_record(spark, sf_dir))
 
 
 @query("mcnemar_labels")
 def q_mcnemar_labels(spark, sf_dir):
     """McNemar on the labels table: quality (rows) vs toxic (columns) per document."""
-    from cohortflow.operators.stats import contingency, mcnemar
+    from cohortflow.operators.stats import mcnemar_from_record, paired_record
     lab = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mcnemar(contingency(lab, {"quality_vs_toxic": ("quality", "toxic")}))
+    return mcnemar_from_record(paired_record(lab, flags={"quality_vs_toxic": ("quality", "toxic")}))
 
 
 @query("cohen_d_paired")
 def q_cohen_d_paired(spark, sf_dir):
-    from cohortflow.operators.stats import cohen_d_paired
-    return cohen_d_paired(paired_wide(spark, sf_dir), _post_pre(MEASURES))
+    from cohortflow.operators.stats import d_from_record
+    return d_from_record(_paired_record(spark, sf_dir))
 
 
 @query("chi_square")
@@ -405,18 +448,12 @@ def q_stratified_tests(spark, sf_dir):
                          simulate=("age_group",))
 
 
-# The simulated p values of the described tables are left NULL here (``replicates=0``), so that every
-# column has an SQL oracle; summary_with_tests_simulated, stratified_tests and admission_tests give them.
+# A query ``<name>_exact`` is the same table without its random draws: simulated p values are NULL there, so that SQL
+# can tell all its columns. The tables themselves hold all p values.
 DECLARED = {"age_group": list(SPEC.age_bands.labels), "gender": ["Mujer", "Hombre"],
             "diabetes_type": ["Tipo 1", "Tipo 2"],
             "va": ["Fistula AV Nativa", "Fistula Protésica", "Catéter Tunelizado"],
             "period": SPEC.period_labels}
-DEMO_LABELS = {"age": "Edad", "age_group": "Edad (Categórica)", "gender": "Mujeres", "htn": "Hipertensión",
-               "diabetes": "Diabetes Mellitus", "diabetes_type": "Tipo de Diabetes",
-               "charlson": "Índice de Charlson", "karnofsky": "Karnofsky", "va": "Acceso Vascular"}
-CAUSE_LABELS = {"age_group": "Grupo Etario", "gender": "Género", "htn": "Hipertensión Arterial",
-                "diabetes": "Diabetes Mellitus", "charlson": "Índice de Charlson"}
-ADMISSION_LABELS = {"period": "Periodo", "hosp_length": "Días de hospitalización", "hosp_re": "Reingreso"}
 
 
 def _declared(*variables):
@@ -430,7 +467,7 @@ def q_demographics_table(spark, sf_dir):
     return described_table(demo(spark, sf_dir), "period", continuous=["age", "charlson"],
                            categorical=["age_group", "diabetes_type", "karnofsky", "va"], dichotomous=DICHOTOMOUS,
                            declared=_declared("age_group", "diabetes_type", "va"), labels=DEMO_LABELS,
-                           text={"age": ("mean", " años")}, simulate=("karnofsky",), replicates=0,
+                           text={"age": ("mean", " años")}, simulate=("karnofsky",),
                            first_level=SPEC.period_labels[0])
 
 
@@ -440,8 +477,7 @@ def q_overall_table(spark, sf_dir):
     from cohortflow.operators.summary import described_table
     return described_table(analysis(spark, sf_dir), "hosp_cause_groups", ["period"], continuous=["charlson"],
                            categorical=["age_group", "gender"], dichotomous={"htn": "Si", "diabetes": "Si"},
-                           declared=_declared("age_group", "gender"), labels=CAUSE_LABELS, simulate=("age_group",),
-                           replicates=0)
+                           declared=_declared("age_group", "gender"), labels=CAUSE_LABELS, simulate=("age_group",))
 
 
 @query("admission_table")
@@ -451,7 +487,7 @@ def q_admission_table(spark, sf_dir):
     return described_table(S.admissions_in_periods(wide(spark, sf_dir), SPEC), "hosp_cause_groups",
                            continuous=["hosp_length"], categorical=["period"], dichotomous={"hosp_re": "Si"},
                            declared=_declared("period"), labels=ADMISSION_LABELS,
-                           text={"hosp_length": ("mean", "")}, simulate=("period",), replicates=0)
+                           text={"hosp_length": ("mean", "")}, simulate=("period",))
 
 
 @query("admission_tests")
@@ -462,6 +498,45 @@ def q_admission_tests(spark, sf_dir):
                          ["period", "hosp_length", "hosp_re"], simulate=("period",))
 
 
+@query("patient_table")
+def q_patient_table(spark, sf_dir):
+    """The overall table at the grain of patients: each counts once per period and cause group."""
+    from cohortflow.operators.summary import summary_table
+    return summary_table(S.cause_group_subjects(analysis(spark, sf_dir)), "hosp_cause_groups", ["period"],
+                         continuous=["charlson"], categorical=["age_group", "gender"],
+                         dichotomous={"htn": "Si", "diabetes": "Si"})
+
+
+@query("demographics_by_htn")
+def q_demographics_by_htn(spark, sf_dir):
+    """Demographics by period within hypertension, whose missing values are a stratum of their own."""
+    from cohortflow.operators.summary import described_table
+    return described_table(demo(spark, sf_dir), "period", ["htn"], continuous=["age", "charlson"],
+                           categorical=["age_group"], dichotomous={"gender": "Mujer"}, declared=_declared("age_group"),
+                           labels=DEMO_LABELS, text={"age": ("mean", " años")}, first_level=SPEC.period_labels[0])
+
+
+def _exact(name, drop=()):
+    from cohortflow.operators.summary import without_simulated
+
+    @query(f"{name}_exact")
+    def run(spark, sf_dir):
+        return without_simulated(QUERIES[name](spark, sf_dir)).drop(*drop)
+    QUERIES[f"{name}_exact"].__doc__ = f"{name} without its random draws."
+
+
+for _name in ("demographics_table", "overall_table", "admission_table", "demographics_by_htn"):
+    _exact(_name)
+for _name in ("summary_with_tests_simulated", "stratified_tests", "admission_tests"):
+    _exact(_name, ("kind",))
+
+
+@query("monte_carlo_independence_exact")
+def q_monte_carlo_exact(spark, sf_dir):
+    """The observed statistics of the Monte-Carlo test."""
+    return q_monte_carlo(spark, sf_dir).drop("chisq_p_value", "fisher_p_value")
+
+
 # --------------------------------------------------------------------- models
 
 MODEL_FACTORS = {"period": SPEC.period_labels, "age_group": list(SPEC.age_bands.labels),

@@ -15,8 +15,9 @@ from cohortflow.functions.recode import (band, n_distinct, strict_count_if, stri
                                          value_map)
 from cohortflow.operators.classify import classify_periods, recode_causes
 from cohortflow.operators.cohort import first_row_per_key, membership_flag, null_safe_join
-from cohortflow.operators.reshape import complete, expand_keys, level_grid, unpivot_repeated
-from cohortflow.spec import DIABETES_TYPE_MAP, GROUP4_LEVELS, VASCULAR_ACCESS_MAP, StudySpec
+from cohortflow.operators.reshape import (columns_containing, columns_matching, complete, expand_keys, level_grid,
+                                          unpivot_repeated)
+from cohortflow.spec import DIABETES_TYPE_MAP, GROUP4_LEVELS, VASCULAR_ACCESS_MAP, RepeatedGroup, StudySpec
 
 PRESENCE_COLUMNS = ["id", "clinic", "gender", "age", "age_group", "htn", "diabetes",
                     "charlson", "va", "period"]
@@ -43,9 +44,10 @@ def period_long(wide: DataFrame, spec: StudySpec, id_cols=PERIOD_IDS, measures=N
     ``measures`` names the period measures to read (clinic and access always
     are); the scan cannot prune them through the generator by itself.
     """
+    group = RepeatedGroup.from_columns(columns_matching(wide, "_p[0-9]+$"), spec.period_pattern)
     if measures is not None:
         measures = list(dict.fromkeys(["clinic", "va", *measures]))
-    long = unpivot_repeated(wide, list(id_cols), spec.period_group, "period",
+    long = unpivot_repeated(wide, list(id_cols), group, "period",
                             key_values=spec.suffix_to_label(), measures=measures)
     return long.where(F.col("clinic").isNotNull() & F.col("va").isNotNull())
 
@@ -88,7 +90,8 @@ def admission_long(wide: DataFrame, spec: StudySpec, id_cols=("id", "gender", "h
     """Admission-slot rows; ``adm_number`` is the slot within the file row. ``drop``: ``all`` = drop slots whose four measures
     are all NULL; ``start`` = drop slots without a start date; None = keep all.
     """
-    long = unpivot_repeated(wide, list(id_cols), spec.slot_group, "adm_number",
+    group = RepeatedGroup.from_columns(columns_containing(wide, "hosp"), spec.slot_pattern)
+    long = unpivot_repeated(wide, list(id_cols), group, "adm_number",
                             drop_all_null=(drop == "all"), key_type="int", measures=measures)
     if drop == "start":
         long = long.where(F.col("hosp_start").isNotNull())
@@ -199,10 +202,15 @@ def subject_period_grid(analysis: DataFrame, demo: DataFrame, spec: StudySpec) -
     return null_safe_join(grid, cov, ["id", "period"], "left")
 
 
-def event_counts(analysis: DataFrame) -> DataFrame:
-    """Per (id, period): admissions with a known cause group and flags by group."""
+def event_counts(analysis: DataFrame, require_group: bool = True) -> DataFrame:
+    """Per (id, period): admissions and flags by group.
+
+    ``require_group`` counts admissions with a known cause group only (``ungrouped_admissions`` tells
+    how many that leaves out); without it every admission counts.
+    """
     g = F.col("hosp_cause_groups")
-    return (analysis.where(g.isNotNull()).groupBy("id", "period").agg(
+    return (analysis.where(g.isNotNull() if require_group else F.col("adm_number").isNotNull())
+            .groupBy("id", "period").agg(
         F.count(F.lit(1)).alias("hosp_count"),
         (F.count_if(g == INFECTION) > 0).alias("infection_any"),
         F.count_if(g == INFECTION).alias("infection_count"),
@@ -210,9 +218,26 @@ def event_counts(analysis: DataFrame) -> DataFrame:
         F.count_if(g == CARDIO).alias("cardio_count")))
 
 
-def paired_event_counts(analysis: DataFrame, demo: DataFrame, spec: StudySpec) -> DataFrame:
+def ungrouped_admissions(analysis: DataFrame) -> DataFrame:
+    """Per period: admissions, those without a cause group, and the subject-periods all of whose admissions lack one."""
+    lacks = F.col("hosp_cause_groups").isNull()
+    per = analysis.where(F.col("adm_number").isNotNull()).groupBy("id", "period").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(lacks).alias("dropped"))
+    return per.groupBy("period").agg(
+        F.sum("n").alias("admissions"), F.sum("dropped").alias("dropped_admissions"),
+        F.count_if(F.col("n") == F.col("dropped")).alias("emptied_subject_periods"))
+
+
+def cause_group_subjects(analysis: DataFrame) -> DataFrame:
+    """One row per subject, period and cause group of its admissions (the patient grain of the cause tables)."""
+    return analysis.where(F.col("hosp_cause_groups").isNotNull()).select(
+        "id", "period", "hosp_cause_groups", "charlson", "age_group", "gender", "htn", "diabetes").distinct()
+
+
+def paired_event_counts(analysis: DataFrame, demo: DataFrame, spec: StudySpec,
+                        require_group: bool = True) -> DataFrame:
     grid = subject_period_grid(analysis, demo, spec)
-    j = null_safe_join(grid, event_counts(analysis), ["id", "period"], "left")
+    j = null_safe_join(grid, event_counts(analysis, require_group), ["id", "period"], "left")
     return j.select(
         *grid.columns,
         F.when(F.col("hosp_count").isNull(), 0).otherwise(1).alias("hosp_any"),
@@ -235,21 +260,23 @@ def period_wide(paired: DataFrame, spec: StudySpec) -> DataFrame:
 
 # -------------------------------------------------------------------- unpaired
 
-def unpaired_event_flags(analysis: DataFrame, demo: DataFrame, spec: StudySpec) -> DataFrame:
+def unpaired_event_flags(analysis: DataFrame, demo: DataFrame, spec: StudySpec, strict: bool = False) -> DataFrame:
     """Per observed (id, period): covariates of that period, event flags, pairing flag.
 
     Covariates come from the subject-period table and are joined on (id,
     period). Only rows with an admission count as events; unmapped causes are
-    skipped in the infection counts.
+    skipped in the infection counts, or with ``strict`` make the counts of their
+    subject-period missing, which the zero fill turns into 0.
     """
     observed = analysis.select("id", "period").distinct()
     cov = first_demographics(demo).select("id", "period", "gender", "htn", "diabetes",
                                           "charlson", "age_group")
     g = F.col("hosp_cause_groups")
+    infections = strict_count_if(g == INFECTION) if strict else F.count_if(g == INFECTION)
     ev = (analysis.where(F.col("adm_number").isNotNull()).groupBy("id", "period").agg(
         F.count(F.lit(1)).alias("hosp_count"),
-        (F.count_if(g == INFECTION) > 0).cast("int").alias("any_infection"),
-        F.count_if(g == INFECTION).alias("infection_count")))
+        (infections > 0).cast("int").alias("any_infection"),
+        infections.alias("infection_count")))
     j = null_safe_join(null_safe_join(observed, cov, ["id", "period"], "left"),
                        ev, ["id", "period"], "left")
     j = j.select("id", "period", "gender", "htn", "diabetes", "charlson", "age_group",

@@ -48,14 +48,51 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """The folder, below the shared checkpoint folder, of the tables this application writes."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Remove the tables this application has written; frames that still read them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _HELD.clear()
+
+
+def input_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Name, size and time of change of the files below ``paths``: equal as long as the input is the same."""
+    seen = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(seen))
+
+
+_HELD: dict[tuple, str] = {}
+
+
+def held_table(spark: SparkSession, name: str, paths: list[str], make) -> DataFrame:
+    """The table ``make()`` gives, written once per application and state of the input files."""
+    key = (spark.sparkContext.applicationId, name, input_state(spark, paths))
+    if key not in _HELD:
+        path = f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _HELD[key] = path
+    return spark.read.parquet(_HELD[key])
+
+
 def write_once(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again.
 
     Everything that reads the result sees the same rows, however often and by
-    whatever plan, and a lost executor costs a re-read.
+    whatever plan, and a lost executor costs a re-read. ``clear_tables`` removes what was written.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

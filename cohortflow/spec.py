@@ -158,10 +158,35 @@ CAUSE_VOCABULARY = (
     ("PD Catheter Placement", "Colocación de Catéter PD", "Otras Causas", "Otras Causas"),
 )
 
+# Labels of the chart and the admission table, where they differ from those above.
+CHART_LABELS = {
+    "Access Infection": "Infección de Acceso Vascular",
+    "Infection Wound": "Infección de Herida",
+    "Endocrine Disorder Diabetes": "Diabetes",
+}
+
+# Display labels of the tables.
+DEMO_LABELS = {"age": "Edad", "age_group": "Edad (Categórica)", "gender": "Mujeres", "htn": "Hipertensión",
+               "diabetes": "Diabetes Mellitus", "diabetes_type": "Tipo de Diabetes",
+               "charlson": "Índice de Charlson", "karnofsky": "Karnofsky", "va": "Acceso Vascular"}
+CAUSE_LABELS = {"age_group": "Grupo Etario", "gender": "Género", "htn": "Hipertensión Arterial",
+                "diabetes": "Diabetes Mellitus", "charlson": "Índice de Charlson"}
+ADMISSION_LABELS = {"period": "Periodo", "hosp_length": "Días de hospitalización", "hosp_re": "Reingreso"}
+
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
+
+def taxonomy_rows(vocabulary=CAUSE_VOCABULARY) -> list[tuple[str, str, str, str, int]]:
+    """The vocabulary as rows (taxonomy, code, label, group, place of the group from 1).
+
+    ``four`` is the analysis' taxonomy, ``six`` that of the chart and the admission table, with its own labels.
+    """
+    four = [("four", c, label, g, GROUP4_LEVELS.index(g) + 1) for c, label, g, _ in vocabulary]
+    six = [("six", c, CHART_LABELS.get(c, label), g, GROUP6_LEVELS.index(g) + 1) for c, label, _, g in vocabulary]
+    return four + six
+
 # Windows of the synthetic cohort derived from the TPC-H-like tables.
 FIXTURE_PERIODS = (
     Period("Pre", "p1", dt.date(1996, 10, 28), dt.date(1997, 2, 28)),
@@ -183,19 +208,14 @@ class StudySpec:
 
     periods: tuple[Period, ...] = FIXTURE_PERIODS
     n_slots: int = 9
-    period_group: RepeatedGroup = RepeatedGroup(
-        ("status_date", "clinic", "status", "substatus", "charlson", "karnofsky", "va"),
-        ("p1", "p2"))
+    period_pattern: str = "(.+)_(p[0-9]+)"       # repeated columns are found by name: measure, then period suffix
+    slot_pattern: str = "(.+)_([0-9]+)"          # and measure, then slot number
     bounds: str = "exclusive"          # period containment of a stay
     age_bands: Bands = AGE_BANDS
     vocabulary: tuple[tuple[str, str, str, str], ...] = CAUSE_VOCABULARY
     group4_levels: tuple[str, ...] = GROUP4_LEVELS
     group6_levels: tuple[str, ...] = GROUP6_LEVELS
 
-    @property
-    def slot_group(self) -> RepeatedGroup:
-        return RepeatedGroup(SLOT_MEASURES, tuple(str(k) for k in range(1, self.n_slots + 1)))
-
     @property
     def period_labels(self) -> list[str]:
         return [p.label for p in self.periods]
