@@ -1,8 +1,8 @@
 """Exact order statistics at scale: an index of values with the counts below them.
 
 ``order_index`` starts from a value histogram, so ties collapse before anything is
-ordered, and is written once; quantiles, moments and midranks are all read from
-it. No key's values are sorted in a single task:
+ordered; quantiles, moments and midranks are all read from it. No key's values are
+sorted in a single task:
 
 1. the histogram is range-partitioned on (keys, value) into ``buckets`` ranges and
    written with each row's range number, so that the two readers below see
@@ -33,11 +33,12 @@ def value_histogram(df: DataFrame, keys: list[str], value: str, extra: list[str]
 
 
 def order_index(hist: DataFrame, keys: list[str], value: str, group: str | None = None, count: str = "n",
-                buckets: int | None = None) -> DataFrame:
-    """``hist`` with ``below``, written once: the total ``count`` of smaller values under the same keys and group.
+                buckets: int | None = None, keep: bool = False) -> DataFrame:
+    """``hist`` with ``below``: the total ``count`` of smaller values under the same keys and group.
 
-    ``hist`` has a row per (keys, value), or per (keys, group, value). With a group there are also
-    ``t``, the value's count over all groups of its keys, and ``below_all``, the smaller values' count over all of them.
+    ``hist`` has a row per (keys, value), or per (keys, group, value). ``size`` and ``mean`` are those of the
+    row's keys and group. With a group there are also ``t``, the value's count over all groups of its keys, and
+    ``below_all``, the smaller values' count over all of them. ``keep`` writes the index for several readers.
     """
     if buckets is None:
         buckets = max(int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
@@ -46,9 +47,13 @@ def order_index(hist: DataFrame, keys: list[str], value: str, group: str | None
                         .withColumn("__b", F.spark_partition_id()), "ranges")
     none = F.lit(0)
     smaller = Window.orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*own, "__b").agg(F.sum(count).alias("__bt"))
-    offsets = totals.select(*own, "__b", F.coalesce(F.sum("__bt").over(smaller.partitionBy(*own)), none).alias("__off"),
-                            F.coalesce(F.sum("__bt").over(smaller.partitionBy(*keys)), none).alias("__off_all"))
+    totals = ranged.groupBy(*own, "__b").agg(
+        F.sum(count).alias("__bt"), F.sum(F.col(value).cast("double") * F.col(count)).alias("__bv"))
+    every = Window.partitionBy(*own)
+    offsets = totals.select(
+        *own, "__b", F.coalesce(F.sum("__bt").over(smaller.partitionBy(*own)), none).alias("__off"),
+        F.coalesce(F.sum("__bt").over(smaller.partitionBy(*keys)), none).alias("__off_all"),
+        F.sum("__bt").over(every).alias("size"), (F.sum("__bv").over(every) / F.sum("__bt").over(every)).alias("mean"))
     inside = Window.partitionBy(*keys, "__b")
     if group:
         upto = F.sum(count).over(inside.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -58,12 +63,13 @@ def order_index(hist: DataFrame, keys: list[str], value: str, group: str | None
     ranged = ranged.withColumn("__in", F.coalesce(F.sum(count).over(in_group), none))
     placed = null_safe_join(ranged, offsets, [*own, "__b"], "inner")
     more = [F.col("t"), (F.col("__upto") - F.col("t") + F.col("__off_all")).alias("below_all")] if group else []
-    return write_once(placed.select(*hist.columns, (F.col("__in") + F.col("__off")).alias("below"), *more), "order")
+    out = placed.select(*hist.columns, (F.col("__in") + F.col("__off")).alias("below"), "size", "mean", *more)
+    return write_once(out, "order") if keep else out
 
 
 def cumulative_before(hist: DataFrame, keys: list[str], value: str, count: str, buckets: int | None = None) -> DataFrame:
     """Add ``before``: total ``count`` of rows with the same keys and a smaller value."""
-    return order_index(hist, keys, value, None, count, buckets).withColumnRenamed("below", "before")
+    return order_index(hist, keys, value, None, count, buckets).select(*hist.columns, F.col("below").alias("before"))
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, group: str, weight: str | None = None) -> DataFrame:
@@ -74,7 +80,7 @@ def midranks(df: DataFrame, keys: list[str], value: str, group: str, weight: str
     """
     index = order_index(value_histogram(df.where(F.col(group).isNotNull()), keys, value, [group], weight), keys, value,
                         group)
-    return with_midranks(index).drop("below", "below_all")
+    return with_midranks(index).select(*keys, group, value, "n", "t", "midrank")
 
 
 def with_midranks(index: DataFrame) -> DataFrame:
@@ -98,13 +104,8 @@ def _order_positions(n, p, qtype: int):
 
 
 def distribution(index: DataFrame, own: list[str], value: str, probs: dict[str, float], qtype: int = 7) -> DataFrame:
-    """Per ``own`` keys (those of ``below``): size, mean, sd and one exact quantile per name in ``probs``.
-
-    Size and mean come first, in a table of a row per key; squared distances from the
-    mean and the quantiles then need one more pass over the index.
-    """
+    """Per ``own`` keys (those of ``below``): size, mean, sd and one exact quantile per name in ``probs``, in one pass."""
     n, v = F.col("n"), F.col(value)
-    sizes = index.groupBy(*own).agg(F.sum("n").alias("size"), (F.sum(v * n) / F.sum("n")).alias("mean"))
     aggs, finals = [F.first("size").alias("size"), F.first("mean").alias("mean"),
                     F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("__ss")], {}
     for name, p in probs.items():
@@ -114,7 +115,7 @@ def distribution(index: DataFrame, own: list[str], value: str, probs: dict[str,
             aggs.append(F.min(F.when(hit, v)).alias(f"__{end}_{name}"))
         aggs.append(F.first(w).alias(f"__w_{name}"))
         finals[name] = F.col(f"__lo_{name}") * (1 - F.col(f"__w_{name}")) + F.col(f"__hi_{name}") * F.col(f"__w_{name}")
-    found = null_safe_join(index, sizes, own, "inner").groupBy(*own).agg(*aggs)
+    found = index.groupBy(*own).agg(*aggs)
     sd = F.when(F.col("size") > 1, F.sqrt(F.col("__ss") / (F.col("size") - 1)))
     return found.select(*own, "size", "mean", sd.alias("sd"), *[e.alias(name) for name, e in finals.items()])
 

@@ -320,6 +320,48 @@ def _table_statistics(tables, row_tot, col_tot):
     return ((tables - e) ** 2 / e).sum(axis=(1, 2)), -logs.sum(axis=(1, 2))
 
 
+def _monte_carlo_whole(counts: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """``monte_carlo_independence`` of tables whose cells fit a row; each chunk of replicates is a row of its own."""
+    chunks = -(-replicates // CHUNK)
+    whole = (counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row_level", "col_level", "n"))).alias("cells"))
+             .select(*keys, F.xxhash64(*keys).alias("mc_key"), F.col("cells.row_level").alias("r"),
+                     F.col("cells.col_level").alias("c"), F.col("cells.n").alias("n"),
+                     F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+             .repartition(min(chunks, 64), "mc_key", "chunk"))
+    long, double = T.LongType(), T.DoubleType()
+    schema = T.StructType([*[counts.schema[k] for k in keys], *[T.StructField(n, long) for n in ("size", "over", "under")],
+                           *[T.StructField(n, double) for n in ("chisq", "fisher")]])
+
+    def simulate(it):
+        for pdf in it:
+            out = []
+            for rec in pdf.to_dict("records"):
+                _, i = np.unique(np.asarray(rec["r"], dtype=object).astype(str), return_inverse=True)
+                _, j = np.unique(np.asarray(rec["c"], dtype=object).astype(str), return_inverse=True)
+                seen = np.zeros((i.max() + 1, j.max() + 1), dtype=np.int64)
+                np.add.at(seen, (i, j), np.asarray(rec["n"], dtype=np.int64))
+                row_tot, col_tot = seen.sum(axis=1), seen.sum(axis=0)
+                size = min(CHUNK, replicates - CHUNK * rec["chunk"])
+                rng = np.random.default_rng([seed, int(rec["mc_key"]) & 0x7FFFFFFFFFFFFFFF, int(rec["chunk"])])
+                drawn = _random_tables(rng, row_tot, np.tile(col_tot, (size, 1)))
+                chisq, fisher = _table_statistics(np.concatenate([seen[None], drawn]), row_tot, col_tot)
+                out.append([*[rec[k] for k in keys], size, int((chisq[1:] >= chisq[0] * ALMOST_ONE).sum()),
+                            int((fisher[1:] <= fisher[0] * ALMOST_ONE).sum()), chisq[0], fisher[0]])
+            yield pd.DataFrame(out, columns=schema.fieldNames())
+
+    g = whole.mapInPandas(simulate, schema).groupBy(*keys).agg(
+        F.sum("size").alias("replicates"), F.sum("over").alias("__hc"), F.sum("under").alias("__hf"),
+        F.first("chisq").alias("chisq_statistic"), F.first("fisher").alias("fisher_statistic"))
+    return _simulated(g, keys)
+
+
+def _simulated(g: DataFrame, keys: list[str]) -> DataFrame:
+    return g.select(*keys, "replicates", "chisq_statistic",
+                    ((F.col("__hc") + 1) / (F.col("replicates") + 1)).alias("chisq_p_value"),
+                    "fisher_statistic",
+                    ((F.col("__hf") + 1) / (F.col("replicates") + 1)).alias("fisher_p_value"))
+
+
 def monte_carlo_independence(counts: DataFrame, keys: list[str], replicates: int = 2000,
                              seed: int = 20240101, block_levels: int = 1000) -> DataFrame:
     """Monte-Carlo p for independence in r x c tables, margins fixed.
@@ -336,11 +378,15 @@ def monte_carlo_independence(counts: DataFrame, keys: list[str], replicates: int
     Both statistics come from the same draws: Pearson chi-square (larger is
     more extreme) and the Fisher table probability, -sum log n! (smaller is
     more extreme). Ties count, within rounding; the second statistic is
-    negative, so its bound is widened by the same factor below one.
+    negative, so its bound is widened by the same factor below one. If no table has
+    more than ``block_levels`` row levels, a chunk draws its table in one go.
     """
     if not keys:
         return _keyed(monte_carlo_independence, counts, keys, replicates, seed, block_levels)
     ship_code(counts.sparkSession)
+    most = counts.groupBy(*keys).agg(F.count_distinct("row_level").alias("k")).agg(F.max("k")).first()[0] or 0
+    if most <= block_levels:
+        return _monte_carlo_whole(counts, keys, replicates, seed)
     rows = counts.groupBy(*keys, "row_level").agg(
         F.sum("n").alias("r_tot"), F.map_from_entries(F.collect_list(F.struct("col_level", "n"))).alias("by_col"))
     cols = (counts.groupBy(*keys, "col_level").agg(F.sum("n").alias("c_tot"))
@@ -410,7 +456,4 @@ def monte_carlo_independence(counts: DataFrame, keys: list[str], replicates: int
         F.count_if(F.col("sim_chisq") >= F.col("chisq_statistic") * ALMOST_ONE).alias("__hc"),
         F.first("fisher_statistic").alias("fisher_statistic"),
         F.count_if(F.col("sim_fisher") <= F.col("fisher_statistic") * ALMOST_ONE).alias("__hf"))
-    return g.select(*keys, "replicates", "chisq_statistic",
-                    ((F.col("__hc") + 1) / (F.col("replicates") + 1)).alias("chisq_p_value"),
-                    "fisher_statistic",
-                    ((F.col("__hf") + 1) / (F.col("replicates") + 1)).alias("fisher_p_value"))
+    return _simulated(g, keys)

@@ -48,11 +48,11 @@ def cells(df: DataFrame, by: str, strata=(), numbers=(), texts=()) -> DataFrame:
     return write_once(long.groupBy(*strata, "variable", by, "level", "value").agg(F.count(F.lit(1)).alias("n")), "cells")
 
 
-def value_index(counted: DataFrame, by: str, strata, variables) -> DataFrame:
-    """The order index of the numeric ``variables`` of ``cells``."""
+def value_index(counted: DataFrame, by: str, strata, variables, keep: bool = False) -> DataFrame:
+    """The order index of the numeric ``variables`` of ``cells``; ``keep`` writes it for several readers."""
     hist = counted.where(F.col("value").isNotNull() & F.col("variable").isin(list(variables))).select(
         *strata, "variable", by, "value", "n")
-    return order_index(hist, [*strata, "variable"], "value", by)
+    return order_index(hist, [*strata, "variable"], "value", by, keep=keep)
 
 
 def _continuous(counted: DataFrame, index: DataFrame, by: str, strata, variables, qtype: int) -> DataFrame:
@@ -306,7 +306,7 @@ def described_table(df: DataFrame, by: str, strata=(), continuous=(), categorica
     counted = cells(df, by, strata, numbers=[*continuous, *numeric],
                     texts=[v for v in variables if v in (*categorical, *shown) or v not in numeric])
     many = _many_valued(counted, numeric, 10)
-    index = value_index(counted, by, strata, {*many, *continuous}) if many or continuous else None
+    index = value_index(counted, by, strata, {*many, *continuous}, True) if many or continuous else None
     keys = [*strata, "variable"]
     numbers = STATISTICS
     out = _parts(counted, index, by, strata, continuous, categorical, shown, declared, qtype)
