@@ -310,6 +310,15 @@ def register(name: str, body: str, doubles: tuple[str, ...] = ()) -> None:
 register("cohort_wide", _wide_text_sql())
 register("wide_ingest", _wide_sql(), ("charlson_p1", "charlson_p2", "karnofsky_p1", "karnofsky_p2"))
 ORACLES["csv_ingest"] = ORACLES["wide_ingest"]
+register("csv_records", """
+SELECT doc_id, sha256(text) AS text_sha256, length(text) AS n_text, lang, source, n_chars, FALSE AS corrupt
+FROM documents""")
+register("csv_rejects", """
+SELECT priority, count(*) AS records, count(*) FILTER (WHERE bad) AS rejects, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+FROM (SELECT o_orderkey, o_orderkey % 101 = 0 OR o_orderkey % 103 = 0 AS bad,
+             CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 103 = 0 THEN o_orderpriority
+                  WHEN o_orderkey % 7 = 0 THEN o_orderpriority || chr(10) || '"urgent"' ELSE o_orderpriority END AS priority
+      FROM orders) GROUP BY priority""")
 register("period_long", "SELECT * FROM pl", ("charlson", "karnofsky"))
 register("demographics", "SELECT * FROM demo", ("charlson", "karnofsky", "age"))
 register("age_at_anchor", f"""

@@ -111,6 +111,41 @@ def q_csv_ingest(spark, sf_dir):
     return type_wide(read_wide_csv(spark, path, SPEC.n_slots))
 
 
+@query("csv_records")
+def q_csv_records(spark, sf_dir):
+    """The documents, whose texts hold line breaks and quotes, as CSV files and scanned back record by record."""
+    from cohortflow.sources.records import scan_records
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = f"{tables_folder(spark)}/documents-csv-{uuid.uuid4().hex}"
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    (docs.select(*columns).write.option("header", "true").option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .option("lineSep", "\n").csv(path))
+    back = scan_records(spark, path, columns, trim=False)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"),
+                       F.length("text").cast("long").alias("n_text"), "lang", "source",
+                       F.col("n_chars").cast("long").alias("n_chars"), F.col("corrupt_record").isNotNull().alias("corrupt"))
+
+
+@query("csv_rejects")
+def q_csv_rejects(spark, sf_dir):
+    """Orders as delimited lines, some cut short or too long by rule, scanned back: kept and rejected records by priority."""
+    from cohortflow.sources.records import CORRUPT, scan_records
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey")
+    cells = F.concat_ws(",", key.cast("string"), F.col("o_custkey").cast("string"))
+    line = (F.when(key % 101 == 0, cells)
+            .when(key % 103 == 0, F.concat(cells, F.lit(","), F.col("o_orderpriority"), F.lit(",extra")))
+            .when(key % 7 == 0, F.concat(cells, F.lit(',"'), F.col("o_orderpriority"), F.lit('\n""urgent"""')))
+            .otherwise(F.concat(cells, F.lit(","), F.col("o_orderpriority"))))
+    path = f"{tables_folder(spark)}/orders-csv-{uuid.uuid4().hex}"
+    o.select(line.alias("line")).write.option("lineSep", "\n").text(path)
+    back = scan_records(spark, path, ["key", "customer", "priority"], header=False)
+    return back.groupBy("priority").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col(CORRUPT).isNotNull()).alias("rejects"),
+        F.sum(F.col("key").cast("long")).alias("key_sum"))
+
+
 @query("period_long")
 def q_period_long(spark, sf_dir):
     return S.period_long(wide(spark, sf_dir), SPEC)

@@ -9,32 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortflow.functions.parse import clean_text, parse_decimal_comma, parse_dmy
 from cohortflow.functions.recode import factor_recode, presence_label
+from cohortflow.sources.records import CORRUPT, scan_records
 from cohortflow.spec import (DIABETES, GENDER, HTN, NUMERIC_COLUMNS, READMISSION,
                              wide_columns)
 
 
-def text_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+def read_wide_csv(spark: SparkSession, path: str, n_slots: int = 9, sep: str = ",", rejects: bool = False) -> DataFrame:
+    """Scan delimited files by position (header skipped); quoted cells may hold line breaks and quotes.
 
-
-def read_wide_csv(spark: SparkSession, path: str, n_slots: int = 9, sep: str = ",") -> DataFrame:
-    """Scan delimited files with the positional text schema (header skipped)."""
-    return (spark.read
-            .schema(text_schema(wide_columns(n_slots)))
-            .option("header", "true")
-            .option("enforceSchema", "true")
-            .option("sep", sep)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", "false")
-            .option("ignoreLeadingWhiteSpace", "true")
-            .option("ignoreTrailingWhiteSpace", "true")
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+    A record of too few or too many cells keeps the cells it has; with ``rejects``
+    its text stands in ``corrupt_record`` (``records.count_rejects`` counts them).
+    """
+    found = scan_records(spark, path, wide_columns(n_slots), sep)
+    return found if rejects else found.drop(CORRUPT)
 
 
 def write_wide_csv(raw: DataFrame, path: str, sep: str = ",") -> None:
