@@ -260,7 +260,7 @@ def _fit_in_task(pat: DataFrame, terms: list[str], family: str, max_iter: int, m
         for pdf in it:
             held, size = [*held, pdf], size + len(pdf)
             if size > most:
-                yield pd.DataFrame([{"fitted": False}], columns=names)
+                yield pd.DataFrame([[False, *[None] * (len(names) - 1)]], columns=names, dtype=object)
                 return
         fit = Fit(np.zeros(p), np.zeros((p, p)), 0.0, 0.0, 0, False)
         if size:
