@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,8 +302,8 @@ def test_tokens(docs, empty, spark, tmp_path):
     tokenizer = Tokenizer.from_file(byte_bpe())
     tokenizer.encode_special_tokens = True
     got = sorted(token_output.token_documents(docs, byte_bpe(), length=64).collect(), key=lambda r: r["start"])
-    data = sorted(((r["doc_id"], r["text"]) for r in docs.collect()),
-                  key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).collect()
+    data = [(r["doc_id"], r["text"]) for r in sorted(keyed, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1] or ""))]
     start = 0
     for (doc_id, text), r in zip(data, got, strict=True):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
@@ -316,6 +317,39 @@ def test_tokens(docs, empty, spark, tmp_path):
     assert len(ids) == len(mask) == 64 and not ids.flags.owndata
 
 
+def test_ids_of_any_blanks_equal_the_tokenizer():
+    parts = token_output.parts_of(byte_bpe())
+    rng = np.random.default_rng(3)
+    pieces = [" ", "\n", "a", "bc", ".", "1", "é", "\r", "\t", " x", "\ny", "'s", "<|endoftext|>", "\x1c", "漢", "zz,", "\x85"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pieces, rng.integers(0, 15))) for _ in range(80)]
+        ids, sizes = parts.encode_all(texts, 2)
+        for text, end, n in zip(texts, np.cumsum(sizes), sizes):
+            want = parts.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+            assert ids[end - n:end].tolist() == want
+
+
+def test_few_parts_are_kept(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 5)
+    parts = token_output.Parts(token_output.parts_of(byte_bpe()).tokenizer, "<u2")
+    words = [f"word{i}" for i in range(12)] + ["\nline", "mark,"]
+    for _ in range(3):
+        for at in range(0, len(words), 3):
+            some = words[at:at + 3]
+            starts, sizes, flat = parts.known(pa.array(some, pa.large_string()))
+            for w, i, n in zip(some, starts, sizes):
+                assert flat[i:i + n].tolist() == parts._ids(w if w[0] == "\n" else " " + w).tolist()
+        assert len(parts.parts) == len(parts.sizes) <= 6
+
+
+def test_one_id_is_dealt_to_several_files(spark, tmp_path):
+    one = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # else so few rows share a task
+    files = token_output.write_tokens(one, str(tmp_path / "t"), byte_bpe())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert files.count() > 1 and token_output.read_tokens(files, str(tmp_path / "t")).count() == 4000
+
+
 # -------------------------------------------------------------------- sharding
 
 def test_hilbert_curve_moves_one_cell_at_a_time():
