@@ -8,12 +8,14 @@ and counter-cue words before the span, neighbouring characters). A vote is
 for, against or abstain.
 
 The first pass counts, over all documents, how often each combination of
-family, votes and span features occurs (a bounded table, added up map-side).
-Expectation-maximisation on those counts estimates every labeler's
-reliability and each combination's probability; a logistic classifier over
-the span's features is then trained on these probabilities. The second pass
-adds the candidates to which the classifier gives ``threshold`` or more and
-which touch no base span.
+kind, votes and span features occurs (a bounded table, added up map-side).
+Expectation-maximisation on those counts, kind by kind, estimates every labeler's
+reliability and each combination's probability; candidates that touch a base span are
+known to be personal data, those that fail a check are known not to be, and both
+anchor it. A logistic classifier over the span's features is then trained on these
+probabilities. The second pass adds the candidates to which the classifier gives
+``threshold`` or more and which touch no base span. Beside the base kinds these
+are names, national ids, IBANs and secrets (keys and tokens).
 
 Defined results: a null or empty text has no spans; repeated rows get equal
 spans; equal starts are ordered by kind; a corpus without candidates adds
@@ -22,6 +24,7 @@ nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from cohortflow.llm.common import prepare, text_slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "name", "national_id", "iban")
+KINDS = (*BASE_KINDS, "name", "national_id", "iban", "secret")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -45,12 +48,25 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Word lists of the labelers.
 GIVEN_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "William", "Elizabeth",
                "David", "Susan", "Richard", "Jessica", "Joseph", "Sarah", "Thomas", "Karen", "Anna", "Peter",
-               "Hans", "Klaus", "Ursula", "Sabine", "Pierre", "Marie", "Camille", "Carlos", "Carmen", "Lucia")
+               "Hans", "Klaus", "Ursula", "Sabine", "Pierre", "Marie", "Camille", "Carlos", "Carmen", "Lucia",
+               "Charles", "Christopher", "Daniel", "Matthew", "Anthony", "Mark", "Steven", "Paul", "Andrew", "Kenneth",
+               "Nancy", "Lisa", "Margaret", "Sandra", "Ashley", "Emily", "Donna", "Michelle", "Laura", "Emma",
+               "Jürgen", "Wolfgang", "Stefan", "Andreas", "Monika", "Petra", "Claudia", "Jean", "François", "Philippe",
+               "Nathalie", "Isabelle", "Sophie", "José", "Antonio", "Manuel", "Francisco", "María", "Isabel", "Ana",
+               "Mohammed", "Fatima", "Ahmed", "Wei", "Li", "Yuki", "Giuseppe", "Marco", "Giulia", "Ivan")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame")
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "ch", "at")
-DIAL_CODES = ("1", "7", "33", "34", "39", "41", "43", "44", "49", "52", "55", "61", "81", "86", "91")
+TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "ch", "at",
+               "it", "nl", "be", "pl", "se", "no", "fi", "dk", "pt", "ru", "cn", "jp", "in", "br", "mx", "au", "ca", "biz",
+               "app", "dev", "cloud")
+DIAL_CODES = ("1", "7", "33", "34", "39", "41", "43", "44", "49", "52", "55", "61", "81", "86", "91",
+              "20", "27", "30", "31", "32", "36", "40", "45", "46", "47", "48", "51", "53", "54", "56", "57", "60", "62",
+              "63", "64", "65", "66", "82", "84", "90", "92", "351", "353", "358", "380", "420", "971", "972")
 CUES = ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "whatsapp", "contact", "email", "mail",
         "ssn", "social security", "card", "iban", "account", "name", "telefon", "telefono", "adresse")
+SECRET_CUES = ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "bearer", "auth", "credential",
+               "private")
+SECRET_COUNTER = ("commit", "sha1", "sha256", "md5", "checksum", "hash", "digest", "uuid", "revision", "etag")
+SECRET_HEADS = ("AKIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "xoxp-", "AIza", "eyJ")
 COUNTER_CUES = ("isbn", "page", "figure", "table", "version", "order", "invoice", "$", "=", "#", "€")
 
 NUMBER = re.compile(r"(?<![0-9+])\+?\(?[0-9][0-9().\x20-]{5,30}[0-9]")
@@ -65,6 +81,11 @@ CUE = re.compile("(?:" + "|".join(map(re.escape, CUES)) + r")\b[^0-9A-Za-z]*(?:i
 COUNTER = re.compile("(?:" + "|".join(map(re.escape, COUNTER_CUES)) + r")[^0-9A-Za-z]*$", re.I)
 
 
+LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])")
+SECRET_CUE = re.compile("(?:" + "|".join(map(re.escape, SECRET_CUES)) + r")s?[\"']?\s*(?:=|:|is|=>)?\s*[\"']?$", re.I)
+SECRET_NOT = re.compile("(?:" + "|".join(map(re.escape, SECRET_COUNTER)) + r")[\"']?\s*(?:=|:|is)?\s*[\"']?$", re.I)
+
+
 # ----------------------------------------------------------------- base rules
 
 def luhn(digits: str) -> bool:
@@ -142,7 +163,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple, tuple]]:
                  cue, beside)
         kind = "ip" if dotted else "national_id" if social else "card" if len(d) >= 14 else "phone"
         separators = len(body) - len(d) - (body[0] == "+")
-        yield s, e, kind, ("number", *votes), (
+        yield s, e, kind, (kind, *votes), (
             kind, min(len(d), 20) // 3, body[0] == "+", min(separators, 4), "(" in body, valid)
     spans = [(s, e, "plain") for s, e in emails(text)] if "@" in text else []
     if "(" in text or "[" in text:
@@ -152,7 +173,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple, tuple]]:
         tail = re.split(r"[^A-Za-z]+", body)[-1].lower()
         cue, beside = _context(text, s, e)
         votes = (_vote(form == "plain"), _vote(form == "hidden"), _vote(tail in TOP_DOMAINS, len(tail) < 2), cue, beside)
-        yield s, e, "email", ("mail", *votes), ("email", form, tail in TOP_DOMAINS, min(body.count("."), 3))
+        yield s, e, "email", ("email", *votes), ("email", form, tail in TOP_DOMAINS, min(body.count("."), 3))
     for m in NAME.finditer(text):
         s, e = m.span()
         words = m[0].replace(".", "").split()
@@ -167,48 +188,78 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple, tuple]]:
         cue, beside = _context(text, s, e)
         votes = (_vote(number % 97 == 1, number % 97 != 1), _vote(15 <= len(body) <= 34, True), cue, beside, 0)
         yield s, e, "iban", ("iban", *votes), ("iban", number % 97 == 1, len(body) // 6)
+    for m in LONG_TOKEN.finditer(text):
+        s, e = m.span()
+        token = m[0]
+        if not any(map(str.isdigit, token)) or not any(map(str.isalpha, token)):
+            continue                                    # a long word or number
+        size = len(token)
+        share = [token.count(c) / size for c in set(token)]
+        bits = -sum(x * math.log2(x) for x in share)
+        before = text[max(0, s - 32):s]
+        quoted = s > 0 and e < len(text) and text[s - 1] in "\"'`" and text[e] == text[s - 1]
+        shape = "hex" if all(c in "0123456789abcdefABCDEF" for c in token) else "other"
+        head = token.startswith(SECRET_HEADS)
+        votes = (_vote(head or shape == "hex" and size in (32, 40, 48, 64, 128), "/" in token and not head),
+                 _vote(bits >= 3.0, bits < 2.5), _vote(bool(SECRET_CUE.search(before)), bool(SECRET_NOT.search(before))),
+                 _vote(quoted), _vote(False, text[s - 1:s] == "/" or text[s - 3:s] == "://"))
+        yield s, e, "secret", ("secret", *votes), ("secret", shape, head, min(size, 80) // 8, quoted, bits >= 3.0,
+                                                   votes[2])
+
+
+def known_candidates(text: str) -> Iterator[tuple[tuple, tuple]]:
+    """(votes, features) of every candidate; the votes' second entry tells whether it touches a base span."""
+    found = list(candidates(text))
+    own = base_spans(text) if found else []
+    for s, e, _, votes, features in found:
+        touches = any(s < b and a < e for a, _, b in own)
+        yield (votes[0], int(touches), *votes[1:]), features
 
 
 # -------------------------------------------------------------- aggregation
 
 #: P(for | voted) at the start, for (other, checking) labelers: not personal data, then personal data.
 START = ((0.25, 0.1), (0.75, 0.95))
-#: Numbers of the checking labelers of each family.
-CHECKING = {"number": (1, 4), "mail": (4,), "name": (4,), "iban": (0, 3)}
+#: Numbers of the checking labelers of each kind.
+CHECKING = {"ip": (1, 4), "card": (1, 4), "phone": (1, 4), "national_id": (1, 4), "email": (4,), "name": (4,),
+            "iban": (0, 3), "secret": (1, 2, 4)}
 
 
 def reliabilities(counts: dict[tuple, float], rounds: int = 60) -> tuple[dict[tuple, float], dict]:
-    """Expectation-maximisation over vote combinations, family by family.
+    """Expectation-maximisation over vote combinations, kind by kind.
 
-    ``counts``: votes (family first) -> number of spans. Returns the
-    probability of each combination and, per family, the class share and
+    ``counts``: votes (kind, 1 if known to be personal data, then the labelers) -> number of
+    spans. Returns the probability of each combination and, per kind, the class share and
     P(for | voted) by class and labeler. An abstention says nothing about the
-    class. Labelers start as right three times out of four. A span that
-    fails a checking labeler (check digits, ranges, word boundaries) is known
-    not to be personal data; these known spans anchor the other labelers'
+    class. Labelers start as right three times out of four. A span that touches a base
+    span is known to be personal data; any other that fails a checking labeler (check digits,
+    ranges, word boundaries) is known not to be; these known spans anchor the other labelers'
     estimates, and the start stays in with a small part of the labeler's
-    votes, so that a family of one-sided votes doesn't drift.
+    votes, so that a kind of one-sided votes doesn't drift. The class share is that of the
+    spans not known, as the known ones say nothing of them.
     """
     chance, tables = {}, {}
-    for family in sorted({v[0] for v in counts}):
-        keys = sorted(v for v in counts if v[0] == family)
-        votes = np.array([k[1:] for k in keys])
+    for kind in sorted({v[0] for v in counts}):
+        keys = sorted(v for v in counts if v[0] == kind)
+        votes = np.array([k[2:] for k in keys])
+        sure = np.array([k[1] == 1 for k in keys])
         pro, con = (votes == 1).astype(float), (votes == -1).astype(float)
         weight = np.array([float(counts[k]) for k in keys])
         share = 0.5
-        start = np.array([[START[c][j in CHECKING[family]] for j in range(votes.shape[1])] for c in (0, 1)])
+        start = np.array([[START[c][j in CHECKING[kind]] for j in range(votes.shape[1])] for c in (0, 1)])
         table, hold = start, 10.0 + 0.05 * (weight @ (pro + con))
-        failed = (votes[:, list(CHECKING[family])] == -1).any(axis=1)
+        failed = (votes[:, list(CHECKING[kind])] == -1).any(axis=1) & ~sure
+        open_ = weight * ~(sure | failed)
         for _ in range(rounds):
             odds = (np.log(share / (1 - share)) + pro @ np.log(table[1] / table[0])
                     + con @ np.log((1 - table[1]) / (1 - table[0])))
-            p = np.where(failed, 0.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
-            share = float(np.clip((p @ weight + 1) / (weight.sum() + 2), 0.02, 0.98))
+            p = np.where(sure, 1.0, np.where(failed, 0.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50)))))
+            share = float(np.clip((p @ open_ + 1) / (open_.sum() + 2), 0.02, 0.98))
             table = np.stack([(hold * start[c] + (weight * q) @ pro) / (hold + (weight * q) @ (pro + con))
                               for c, q in enumerate((1 - p, p))])
             table = np.clip(table, 0.01, 0.99)
         chance |= dict(zip(keys, p.tolist()))
-        tables[family] = (share, table)
+        tables[kind] = (share, table)
     return chance, tables
 
 
@@ -254,7 +305,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for t in batch.column("text"):
                 if t.is_valid:
-                    seen.update((repr(v), repr(f)) for _, _, _, v, f in candidates(t.as_py()))
+                    seen.update((repr(v), repr(f)) for v, f in known_candidates(t.as_py()))
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()))],
@@ -316,8 +367,10 @@ def digest(found: DataFrame) -> DataFrame:
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(     # noqa: E731
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long")
     return found.select("doc_id", *[of(k) for k in BASE_KINDS], F.sha2(line("base"), 256).alias("base_sha256"),
-                        line("spans").alias("spans"))
+                        line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"),
+                        secrets.alias("n_secret"))
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.9) -> DataFrame:

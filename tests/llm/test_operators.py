@@ -438,13 +438,72 @@ def test_expectation_maximisation_finds_the_bad_labeler():
     for _ in range(4000):
         y = rng.random() < 0.5
         votes = [1 if (rng.random() < good) == y else -1 for good in (0.9, 0.85, 0.55)]
-        key = ("name", *votes, 0, 0)
+        key = ("name", 0, *votes, 0, 0)
         counts[key] = counts.get(key, 0) + 1
     chance, tables = pii.reliabilities(counts)
     share, table = tables["name"]
     told = table[1] - table[0]
     assert 0.3 < share < 0.7 and min(told[0], told[1]) > 0.5 > told[2] + 0.2
-    assert chance["name", 1, 1, 1, 0, 0] > 0.9 > 0.1 > chance["name", -1, -1, -1, 0, 0]
+    assert chance["name", 0, 1, 1, 1, 0, 0] > 0.9 > 0.1 > chance["name", 0, -1, -1, -1, 0, 0]
+    counts["name", 1, -1, -1, -1, 0, 0] = 50                # known to be personal data, whatever the votes say
+    assert pii.reliabilities(counts)[0]["name", 1, -1, -1, -1, 0, 0] == 1
+
+
+def base_by_regex(text):
+    """The base kinds as the plain patterns say them."""
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (2 * x > 9) for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(s, pii.BASE_KINDS[k], e) for s, k, e in sorted(out)]
+
+
+def test_base_spans_equal_the_plain_patterns_on_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(docs)).collect()}
+    for r in docs.collect():
+        want = base_by_regex(r["text"])
+        line = ",".join(f"{k}:{s}:{e}" for s, k, e in want)
+        out = got[r["doc_id"]]
+        assert out["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [out[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x[1] == k for x in want) for k in pii.BASE_KINDS]
+        tokens = re.findall(r'token = "([0-9a-f]{40})"', r["text"])
+        assert out["n_secret"] >= len(tokens) and out["n_spans"] >= len(want) + len(tokens)
+
+
+def test_the_classifier_knows_base_spans_and_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classifier, tables = pii.learn(docs)
+    for r in docs.select("text").collect():
+        own = pii.base_spans(r["text"])
+        for s, e, kind, votes, features in pii.candidates(r["text"]):
+            if any((s, e) == (a, b) for a, _, b in own):
+                assert classifier.probability(features) > 0.9
+    assert {"email", "ip", "card", "phone", "secret"} <= set(tables)
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ('api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', {"secret"}), ("token: ghp_abcdefghij0123456789ABCDEFGHIJ012345", {"secret"}),
+    ("commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b of", set()), ("https://example.com/a/very/long/path1/of/parts", set()),
+    ("1111111111111111111111111111111111111111", set()), ("averyveryverylongwordwithoutanydigit", set())])
+def test_secret_candidates(text, kinds):
+    counts = {}
+    for t in [text, 'token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567" x'] * 50:
+        for v, f in pii.known_candidates(t):
+            counts[v, f] = counts.get((v, f), 0) + 1
+    votes = {}
+    for (v, _), n in counts.items():
+        votes[v] = votes.get(v, 0) + n
+    chance, _ = pii.reliabilities(votes)
+    classifier = pii.SpanClassifier([(f, chance[v], float(n)) for (v, f), n in counts.items()])
+    assert {k for *_, k, _, f in pii.candidates(text) if classifier.probability(f) >= 0.9} == kinds
 
 
 # -------------------------------------------------------------------- toxicity
