@@ -200,7 +200,8 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple, tuple]]:
         quoted = s > 0 and e < len(text) and text[s - 1] in "\"'`" and text[e] == text[s - 1]
         shape = "hex" if all(c in "0123456789abcdefABCDEF" for c in token) else "other"
         head = token.startswith(SECRET_HEADS)
-        votes = (_vote(head or shape == "hex" and size in (32, 40, 48, 64, 128), "/" in token and not head),
+        path = token.count("/") > 1 and max(map(len, token.split("/"))) < 20
+        votes = (_vote(head or shape == "hex" and size in (32, 40, 48, 64, 128), path),
                  _vote(bits >= 3.0, bits < 2.5), _vote(bool(SECRET_CUE.search(before)), bool(SECRET_NOT.search(before))),
                  _vote(quoted), _vote(False, text[s - 1:s] == "/" or text[s - 3:s] == "://"))
         yield s, e, "secret", ("secret", *votes), ("secret", shape, head, min(size, 80) // 8, quoted, bits >= 3.0,
@@ -222,7 +223,7 @@ def known_candidates(text: str) -> Iterator[tuple[tuple, tuple]]:
 START = ((0.25, 0.1), (0.75, 0.95))
 #: Numbers of the checking labelers of each kind.
 CHECKING = {"ip": (1, 4), "card": (1, 4), "phone": (1, 4), "national_id": (1, 4), "email": (4,), "name": (4,),
-            "iban": (0, 3), "secret": (1, 2, 4)}
+            "iban": (0, 3), "secret": (0, 1, 2, 4)}
 
 
 def reliabilities(counts: dict[tuple, float], rounds: int = 60) -> tuple[dict[tuple, float], dict]:
