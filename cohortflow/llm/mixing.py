@@ -33,7 +33,7 @@ weight 0 gives no rows; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,16 +158,16 @@ def _filled(cut: DataFrame, spec: MixSpec) -> DataFrame:
     the node above. The root takes the smallest of the others last.
     """
     levels = list(spec.levels)
-    name = F.xxhash64(*levels)
+    name = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *levels)), 1, 13), 16, 10).cast("long")
     wanted = 255 - F.floor(F.col("short") * 255 / F.col("next_tokens"))
-    small = F.least(F.floor(F.log2(F.col("next_tokens")) * 8), F.lit(255))
+    small = F.least(F.floor(F.sqrt(F.col("next_tokens"))), F.lit(255))
     now = cut.withColumns({"root": F.lit(0), "added": F.lit(False)})
     passes = [(levels[:d] or ["root"], wanted) for d in range(len(levels) - 1, -1, -1)] + [(["root"], small)]
     for on, first in passes:
         own = F.col("next_tokens") * F.col("added").cast("long")
         pools = now.groupBy(*on).agg((F.sum("short") - F.sum(own)).alias("rest"))
         # 8 bits of the rank, then a hash of the leaf: equal ranks spread over many ranges
-        key = F.shiftleft(first.cast("long"), 44).bitwiseOR(F.shiftrightunsigned(name, 20))
+        key = F.shiftleft(first.cast("long"), 44).bitwiseOR(F.shiftright(name, 8))
         open_ = (now.filter("not added").join(pools, on)
                  .select(*on, "rest", key.alias("key"), name.alias("id"), F.col("next_tokens").alias("n_tokens")))
         ends = _cut(open_, on).select(*on, F.col("cut_range").alias("r"), F.col("cut_key").alias("k"),
@@ -181,11 +181,11 @@ def _filled(cut: DataFrame, spec: MixSpec) -> DataFrame:
                             "cut_id": F.when(F.col("added"), F.col("next_id")).otherwise(F.col("cut_id"))})
 
 
-def leaf_plan(light: DataFrame, spec: MixSpec, fill: bool = True) -> DataFrame:
+def leaf_plan(light: DataFrame, spec: MixSpec) -> DataFrame:
     """Per leaf: whole epochs and the cut-off of the partial epoch.
 
-    ``light``: levels, doc_id, n_tokens. Without ``fill`` a leaf ends before
-    the first document that does not fit, and what it lacks is not handed on.
+    ``light``: levels, doc_id, n_tokens. A leaf ends before the first document that does
+    not fit; what leaves lack is handed on (``_filled``).
     """
     levels = list(spec.levels)
     leaves = light.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
@@ -193,14 +193,22 @@ def leaf_plan(light: DataFrame, spec: MixSpec, fill: bool = True) -> DataFrame:
             .withColumn("epochs", F.floor(F.col("target") / F.col("tokens")).cast("long"))
             .withColumn("rest", F.col("target") - F.col("epochs") * F.col("tokens")))
     plan = materialize(plan, "mix-plan")
-    keyed = (light.join(plan.filter("rest > 0").select(*levels, "epochs", "rest"), levels)
+    keyed = (_meet_plan(light, plan.filter("rest > 0").select(*levels, "epochs", "rest"), levels)
              .withColumn("key", order_key(spec.seed, F.col("epochs"), F.col("doc_id")))
              .withColumn("id", F.coalesce("doc_id", F.lit(-2 ** 63))))
-    cut = _cut(keyed, levels)
-    if fill:
-        cut = _filled(materialize(cut, "mix-cut"), spec)
-    return plan.select(*levels, "target", "epochs").join(
-        cut.select(*levels, "cut_range", "cut_key", "cut_id"), levels, "left")
+    cut = _filled(materialize(_cut(keyed, levels), "mix-cut"), spec)
+    return materialize(plan.select(*levels, "target", "epochs").join(
+        cut.select(*levels, "cut_range", "cut_key", "cut_id"), levels, "left"), "mix-cuts")
+
+
+#: A plan of at most this many leaves (about 100 bytes each) is broadcast; a larger one is met by a shuffle, whose hot
+#: leaves adaptive execution splits, as the plan is read from files.
+BROADCAST_LEAVES = 200_000
+
+
+def _meet_plan(rows: DataFrame, plan: DataFrame, levels: list[str]) -> DataFrame:
+    small = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    return rows.join(F.broadcast(plan) if small else plan.hint("merge"), levels)
 
 
 def take(rows: DataFrame, plan: DataFrame, spec: MixSpec) -> DataFrame:
@@ -213,7 +221,7 @@ def take(rows: DataFrame, plan: DataFrame, spec: MixSpec) -> DataFrame:
         (low < F.col("cut_range")) | ((low == F.col("cut_range")) & F.coalesce(
             (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (here <= F.col("cut_id"))),
             F.lit(False))))
-    return (rows.join(plan, levels).withColumn("key", key)
+    return (_meet_plan(rows, plan, levels).withColumn("key", key)
             .withColumn("copies", F.col("epochs") + F.when(partial, 1).otherwise(0))
             .filter("copies > 0")
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
@@ -225,21 +233,21 @@ def level_value(c: Column) -> Column:
 
 
 def mix(docs: DataFrame, spec: MixSpec, levels: Mapping[str, Column], doc_id: str = "doc_id",
-        tokens: Column | None = None, fill: bool = True) -> DataFrame:
+        tokens: Column | None = None) -> DataFrame:
     """Chosen rows: doc_id, levels, n_tokens, epoch."""
     tokens = n_words(F.col("text")) if tokens is None else tokens
     light = docs.select(F.col(doc_id).alias("doc_id"),
                         *[level_value(c).alias(n) for n, c in levels.items()],
                         F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
     light = materialize(light, "mix-light")
-    return take(light, leaf_plan(light, spec, fill), spec)
+    return take(light, leaf_plan(light, spec), spec)
 
 
 def mix_documents(docs: DataFrame, spec: MixSpec, levels: Mapping[str, Column]) -> DataFrame:
     """``docs`` with its own columns, one row per chosen (row, epoch); texts are not shuffled."""
     light = docs.select("doc_id", *[level_value(c).alias(n) for n, c in levels.items()],
                         n_words(F.col("text")).alias("n_tokens"))
-    plan = materialize(leaf_plan(materialize(light, "mix-light"), spec), "mix-cuts")
+    plan = leaf_plan(materialize(light, "mix-light"), spec)
     rows = docs.select(F.struct("*").alias("own_row"), "doc_id",
                        *[level_value(c).alias(n) for n, c in levels.items()])
     return take(rows, plan, spec).select("own_row.*")
@@ -254,6 +262,8 @@ CORPUS_SPEC = MixSpec(weights={
     ("web",): 4, ("books",): 3, ("code",): 2, ("news",): 1,
     ("web", "en"): 6, ("web", "de"): 2, ("books", "en"): 3, ("books", "fr"): 2,
     ("web", "en", "src0"): 2, ("books", "en", "src1"): 5})
+#: The pipeline mixes to the size of what comes in.
+PIPELINE_SPEC = replace(CORPUS_SPEC, budget_share=1.0)
 
 
 def source_domain(source: Column) -> Column:
@@ -287,6 +297,20 @@ def _oracle(spec: MixSpec) -> str:
 {name} AS (SELECT {cols}, CAST(greatest(least(capacity, floor(max(fill) OVER ({part}) * weight)), 0) AS BIGINT) AS target
   FROM {name}_f)"""
     a, b, c = spec.levels
+    # what leaves lack, handed on: to siblings, then by each ancestor, at last to the smallest next documents
+    groups = [f"PARTITION BY {a}, {b}", f"PARTITION BY {a}", "", ""]
+
+    def handed(k: int) -> str:
+        on = groups[k - 1]
+        first = ("least(CAST(floor(sqrt(next_tokens)) AS BIGINT), 255)" if k == len(groups)
+                 else "255 - CAST(floor(short * 255 / next_tokens) AS BIGINT)")
+        apart = f"{on}, added" if on else "PARTITION BY added"
+        return f"""f{k} AS (SELECT * EXCLUDE (pool, upto) REPLACE (added OR upto <= pool AS added) FROM (
+  SELECT *, sum(short - CASE WHEN added THEN next_tokens ELSE 0 END) OVER ({on}) AS pool,
+    sum(next_tokens) OVER ({apart} ORDER BY {first} * 17592186044416 + name // 256, name) AS upto
+  FROM f{k - 1}) q)"""
+
+    passes = ",\n".join(handed(k) for k in range(1, len(groups) + 1))
     return f"""
 WITH light AS (
   SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
@@ -306,7 +330,13 @@ plan AS (SELECT *, target // tokens AS epochs, target % tokens AS rest FROM t3 W
 keyed AS (SELECT light.*, epochs, rest, CAST('0x' || substr(md5('{spec.seed}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS key
   FROM light JOIN plan USING ({a}, {b}, {c})),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {a}, {b}, {c} ORDER BY key, doc_id NULLS FIRST) AS upto FROM keyed),
-copies AS (SELECT *, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM run)
+cut AS (SELECT {a}, {b}, {c}, any_value(rest) AS rest, coalesce(max(upto) FILTER (upto <= rest), 0) AS taken,
+    min(upto) FILTER (upto > rest) AS next_sum FROM run WHERE rest > 0 GROUP BY ALL),
+f0 AS (SELECT {a}, {b}, {c}, next_sum, rest - taken AS short, next_sum - taken AS next_tokens, FALSE AS added,
+    CAST('0x' || substr(md5({a} || chr(31) || {b} || chr(31) || {c}), 1, 13) AS BIGINT) AS name FROM cut),
+{passes},
+copies AS (SELECT run.*, epochs + CASE WHEN rest > 0 AND (upto <= rest OR (added AND upto = next_sum)) THEN 1 ELSE 0 END AS copies
+  FROM run LEFT JOIN f{len(groups)} USING ({a}, {b}, {c}))
 SELECT doc_id, {a}, {b}, {c}, n_tokens, unnest(range(copies)) AS epoch FROM copies
 """
 

@@ -53,8 +53,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents chosen per epoch under the corpus weights; as in its SQL, shortages are not handed on."""
-    return mixing.mix(table(spark, sf_dir, "documents"), mixing.CORPUS_SPEC, mixing.corpus_levels(), fill=False).select(
+    """Documents chosen per epoch under the corpus weights, shortages handed to siblings, then ancestors."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.CORPUS_SPEC, mixing.corpus_levels()).select(
         "doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 

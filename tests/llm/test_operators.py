@@ -279,7 +279,7 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {("a", "1"): 10, ("a", "2"): 90, ("b", "1"): 100}
 
 
-def test_mix_meets_its_budget(spark):
+def test_mix_meets_its_budget(spark, monkeypatch):
     rng = np.random.default_rng(3)
     data = [(i, f"d{i % 3}", f"l{i % 2}", f"s{i % 5}", int(n)) for i, n in
             enumerate(np.where(rng.random(300) < 0.1, 5000, rng.integers(1, 200, 300)))]
@@ -291,7 +291,11 @@ def test_mix_meets_its_budget(spark):
     assert budget - 5000 < got["n_tokens"].sum() <= budget         # 5,000: the longest document
     sums = got.groupby(list(spec.levels))["n_tokens"].sum()
     assert all(abs(sums.get((r["domain"], r["lang"], r["source"]), 0) - r["target"]) < 5000 for r in plan.collect())
-    plain = mixing.take(light, mixing.leaf_plan(light, spec, fill=False), spec).toPandas()
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)             # the plan met by a shuffle: the same rows
+    again = mixing.take(light, mixing.leaf_plan(light, spec), spec).toPandas()
+    assert sorted(map(tuple, again.values.tolist())) == sorted(map(tuple, got.values.tolist()))
+    monkeypatch.setattr(mixing, "_filled", lambda cut, spec: cut)  # nothing handed on
+    plain = mixing.take(light, mixing.leaf_plan(light, spec), spec).toPandas()
     assert plain["n_tokens"].sum() < budget - 5000
 
 
