@@ -37,12 +37,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the corpus weights, once per epoch.
+    """Documents under the corpus weights, once per epoch, as many tokens as come in.
 
-    The mix has half of the tokens that come in (``budget_share`` of ``CORPUS_SPEC``),
-    so documents outside that half are left out here.
+    Documents of leaves that weigh less than their share of the corpus are left out, those of others come again.
     """
-    return mixing.mix_documents(docs, mixing.CORPUS_SPEC, mixing.corpus_levels())
+    return mixing.mix_documents(docs, mixing.PIPELINE_SPEC, mixing.corpus_levels())
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
