@@ -266,8 +266,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MAX_BI
     met = materialize(met.select("root", *ident), "simhash-met")
     first = met.groupBy("root").agg(F.min(F.struct("own_id", "text_key")).alias("first"))
     first = first.select("first.own_id", "first.text_key")
-    gone = met.select("own_id", "text_key").distinct().join(first, ["own_id", "text_key"], "left_anti")
+    gone = met.select("own_id", "text_key").distinct().join(first.hint("merge"), ["own_id", "text_key"], "left_anti")
     rows = docs.select(F.struct("*").alias("own_row"), F.coalesce(F.col("doc_id").cast("long"),
                        F.lit(2 ** 63 - 1)).alias("own_id"), F.xxhash64("text").alias("text_key"))
-    kept = rows.join(gone, ["own_id", "text_key"], "left_anti").dropDuplicates(["own_id", "text_key"])
+    # repeats meet on the keys of the anti-join, so texts are dealt once; ``gone`` grows with the rows: never broadcast it
+    kept = rows.dropDuplicates(["own_id", "text_key"]).join(gone.hint("merge"), ["own_id", "text_key"], "left_anti")
     return kept.select("own_row.*")
