@@ -12,8 +12,10 @@ locations. Occurrences that continue each other along a diagonal (document
 position minus item position) give the longest verbatim match.
 
 The benchmark, without its repeated rows, is the broadcast side and is cut into
-blocks of at most half of ``block_bytes`` of text (or one longer item); each block meets all documents, and the blocks'
-results are merged per document. Documents are never shuffled for one block.
+blocks of at most half of ``block_bytes`` of text (or one longer item). A scan of the documents meets up to
+``SCAN_BLOCKS`` blocks; what it finds is written before the next blocks are prepared, so no more than those are
+held by the driver or a task. A document's rows, one for the first block and one for each other block that hits it, are
+merged. Documents are never shuffled for one block.
 
 Words are runs of ``[0-9a-z]`` and non-ASCII characters after lower-casing
 A-Z. A window is ``window`` consecutive item words; a shorter item that has a
@@ -30,6 +32,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -44,6 +47,8 @@ DEPTH = 16
 SHARD_BYTES = 1 << 22
 #: A half-full block of this size takes some 450 MB of the driver while it is prepared, and 87 MB broadcast.
 BLOCK_BYTES = 8 << 20
+#: Blocks that one scan of the documents meets; a task holds as many.
+SCAN_BLOCKS = 4
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -205,45 +210,55 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ("items", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_item", pa.string()),
-        ("longest_start", pa.int64())])
+        ("longest_start", pa.int64()), ("block", pa.int32())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
-    def scan(number: int) -> DataFrame:
+    def prepared(number: int):
         part = items if number == 0 else items.filter(F.col("at") >= starts[number])
         part = part if number + 1 == blocks else part.filter(F.col("at") < starts[number + 1])
-        block = spark.sparkContext.broadcast(
+        return spark.sparkContext.broadcast(
             Block([(r["name"], r["text"].encode()) for r in part.toLocalIterator()], window))
 
+    def scan(held: dict) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for cut in text_slices(batch, "text", SHARD_BYTES):
                     texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in cut.column("text")]
-                    found = search(texts, block.value)
-                    yield pa.RecordBatch.from_arrays(
-                        [cut.column("doc_id"), cut.column("text_key"),
-                         *[pa.array(c, t) for c, t in zip(zip(*found), schema.types[2:])]], schema=schema)
-
-        return rows.mapInArrow(run, FOUND)
+                    for number, block in held.items():
+                        found = search(texts, block.value)
+                        use = [i for i, f in enumerate(found) if number == 0 or f[1]]
+                        part = cut if len(use) == len(found) else cut.take(pa.array(use, pa.int64()))
+                        columns = list(zip(*[found[i] for i in use])) or [()] * (len(schema) - 3)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("doc_id"), part.column("text_key"),
+                             *[pa.array(c, t) for c, t in zip(columns, schema.types[2:])],
+                             pa.array([number] * len(use), pa.int32())], schema=schema)
+
+        return rows.mapInArrow(run, f"{FOUND}, block int")
 
     if blocks == 1:
-        return scan(0)
-    every = scan(0).withColumn("block", F.lit(0))
-    for n in range(1, blocks):
-        every = every.union(scan(n).withColumn("block", F.lit(n)))
-    return _merge(every, blocks)
+        return scan({0: prepared(0)}).drop("block")
+    every = []
+    for first in range(0, blocks, SCAN_BLOCKS):
+        held = {n: prepared(n) for n in range(first, min(first + SCAN_BLOCKS, blocks))}
+        every.append(materialize(scan(held), "decontam-scan"))
+        for block in held.values():
+            block.destroy()
+    return _merge(reduce(DataFrame.union, every))
 
 
-def _merge(every: DataFrame, blocks: int) -> DataFrame:
+def _merge(every: DataFrame) -> DataFrame:
     """One row per document from its rows per block; repeated documents come back as often as they were."""
-    longest = F.struct("longest_words", F.col("longest_item").alias("item"), F.col("longest_start").alias("start"))
+    longest = F.struct((-F.col("longest_words")).alias("less"), F.col("longest_item").alias("item"),
+                       F.col("longest_start").alias("start"), "longest_words")
     by_block = (every.groupBy("doc_id", "text_key", "n_words", "block")
                 .agg(F.first("spans").alias("spans"), F.first("items").alias("items"),
-                     F.max(longest).alias("longest"), F.count(F.lit(1)).alias("copies")))
-    # a row per block: at most ``blocks`` of them meet here
+                     F.min(longest).alias("longest"), F.count(F.lit(1)).alias("copies")))
+    # a row per block that hits the document meets here
     merged = by_block.groupBy("doc_id", "text_key", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("raw"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max("longest").alias("longest"), F.max("copies").alias("copies"))
+        F.min("longest").alias("longest"), F.max("copies").alias("copies"))
     joined = F.aggregate("raw", F.array().cast("array<struct<start:long,end:long>>"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -245,6 +246,20 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert decontam.digest(decontam.matches(docs, bench.limit(0))).filter("contaminated").count() == 0
 
 
+def test_blocks_share_scans_and_are_let_go(spark, docs, monkeypatch):
+    """Four blocks meet the documents in one scan and are destroyed; hits and longest matches are those of a single block."""
+    data = [(i, f"{' '.join(LONG.split()[i * 7:i * 7 + 12])} item {i}") for i in range(120)]
+    bench = spark.createDataFrame(data, "item_id long, text string")
+    scans, gone, write = [], [], decontam.materialize
+    monkeypatch.setattr(decontam, "materialize", lambda df, label: scans.append(label) or write(df, label))
+    destroy = Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(1) or destroy(self, *a))
+    many = decontam.matches(docs, bench, block_bytes=2_000)
+    assert len(gone) > 8 and scans.count("decontam-scan") == -(-len(gone) // decontam.SCAN_BLOCKS)
+    assert sum(1 for r in many.select("n_hit").collect() if r["n_hit"]) == 3
+    assert found(decontam.digest(many)) == found(decontam.digest(decontam.matches(docs, bench)))
+
+
 def test_blocks_are_bounded(spark, docs, monkeypatch):
     data = [(7, "the same item again")] * 400 + [(i, f"item {i} " * (i % 9)) for i in range(200)]
     bench = spark.createDataFrame(data, "item_id long, text string")
