@@ -5,9 +5,10 @@ of the resulting cell orders the rows, and consecutive runs of the order
 become shards, so every shard covers a compact box of the metadata space and
 a reader can prune shards by the min and max of any of the columns.
 
-Quantisation takes equi-depth cuts from mergeable percentile sketches over
-all rows; text columns enter by their first seven UTF-8 bytes, which keeps
-their order. Only the cuts (at most ``2**bits`` per column) reach the driver.
+Quantisation takes equi-depth cuts: of numbers from mergeable percentile
+sketches over all rows, of texts from counts of their whole values, dealt by
+range and summed up range by range, so values that start alike are told apart.
+Only the cuts (at most ``2**bits`` per column) and a total per range reach the driver.
 
 Plan: rows are reduced to (doc_id, size, crc, index), dealt by range on
 (index, doc_id, crc, size) and written once with their position inside the
@@ -23,6 +24,7 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping
 
 import numpy as np
@@ -68,24 +70,44 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def text_position(c: Column) -> Column:
-    """Order-preserving number of a text's first seven UTF-8 bytes."""
-    head = F.substring(F.encode(c, "UTF-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("double")
+def text_cuts(values: DataFrame, bits: int) -> list[str]:
+    """The values of ``values`` (one text column ``v``) that hold the row at some multiple of 1/2**bits of all rows.
+
+    In the order of UTF-8 bytes, which is that of code points. Nulls count nowhere.
+    """
+    counted = (values.filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("held"))
+               .repartitionByRange("v").withColumn("range", F.spark_partition_id()))
+    counted = materialize(counted, "shard-values")
+    before, total = [], 0
+    for r in sorted(counted.groupBy("range").agg(F.sum("held").alias("held")).collect()):      # one row per range
+        before.append((r["range"], total))
+        total += r["held"]
+    if not total:
+        return []
+    offsets = values.sparkSession.createDataFrame(before, "range int, before long")
+    inside = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.join(F.broadcast(offsets), "range").withColumn("upto", F.col("before") + F.sum("held").over(inside))
+    step = F.expr(f"(upto * {2 ** bits}L) div {total}L > ((upto - held) * {2 ** bits}L) div {total}L")
+    return sorted(r["v"] for r in upto.filter(step).select("v").collect())                     # 2**bits rows at most
 
 
 def with_hilbert(rows: DataFrame, dims: Mapping[str, Column], bits: int = 6) -> DataFrame:
-    """Adds ``hilbert`` to ``rows``; ``dims`` are numeric columns over ``rows``."""
+    """Adds ``hilbert`` to ``rows``; ``dims`` are numeric or text columns over ``rows``."""
     names = [f"dim{i}" for i in range(len(dims))]
-    placed = rows.withColumns({n: c.cast("double") for n, c in zip(names, dims.values())})
+    placed = rows.withColumns(dict(zip(names, dims.values())))
+    text = {n for n in names if dict(placed.dtypes)[n] == "string"}
+    placed = placed.withColumns({n: F.col(n).cast("double") for n in names if n not in text})
     shares = [i / 2 ** bits for i in range(1, 2 ** bits)]
-    found = placed.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names]).first()
-    cuts = [np.unique(np.array(found[n] or [], dtype=float)) for n in names]
+    cuts = {n: text_cuts(placed.select(F.col(n).alias("v")), bits) for n in text}
+    if len(text) < len(names):
+        found = placed.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names if n not in text]).first()
+        cuts |= {n: sorted(set(found[n] or [])) for n in names if n not in text}
 
     def index(*columns: pd.Series) -> pd.Series:
-        cells = [np.where(c.isna(), 0, np.searchsorted(cut, c.to_numpy(dtype=float), side="right"))
-                 for c, cut in zip(columns, cuts)]
-        return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
+        cells = [[0 if pd.isna(x) else bisect_right(cuts[n], x) for x in c] if n in text
+                 else np.where(c.isna(), 0, np.searchsorted(cuts[n], c.to_numpy(dtype=float), side="right"))
+                 for n, c in zip(names, columns)]
+        return pd.Series(hilbert_index(np.minimum(np.stack(cells, axis=1), 2 ** bits - 1), bits))
 
     return placed.withColumn("hilbert", F.pandas_udf(index, "long")(*names)).drop(*names)
 
@@ -117,8 +139,7 @@ def hilbert_shards(docs: DataFrame, dims: Mapping[str, Column], shards: int = 16
     light = docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"),
                         F.crc32(raw).alias("text_crc32"),
                         *[c.alias(f"meta_{n}") for n, c in dims.items()])
-    meta = {n: (text_position(F.col(f"meta_{n}")) if dict(light.dtypes)[f"meta_{n}"] == "string"
-                else F.col(f"meta_{n}")) for n in dims}
+    meta = {n: F.col(f"meta_{n}") for n in dims}
     return shard_rows(with_hilbert(light, meta, bits), ["hilbert", "doc_id", "text_crc32", "size"], shards)
 
 

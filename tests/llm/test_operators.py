@@ -380,6 +380,36 @@ def test_hilbert_curve_moves_one_cell_at_a_time():
         assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+def brute_cells(values, bits):
+    """Cell of each text: the number of cuts up to it; a cut is a value that completes a further 1/2**bits of the rows."""
+    known = sorted(v for v in values if v is not None)
+    cuts = [v for v in sorted(set(known))
+            if (sum(x <= v for x in known) << bits) // len(known) > (sum(x < v for x in known) << bits) // len(known)]
+    return [0 if v is None else min(sum(c <= v for c in cuts), (1 << bits) - 1) for v in values]
+
+
+def test_shards_of_texts_that_start_alike_equal_brute_force(spark):
+    """Sources with one long common start, one of them hot, get cells of their own; order, sizes and crc by brute force."""
+    rng = np.random.default_rng(4)
+    data = []
+    for i in range(400):
+        host = "hot" if i % 3 == 0 else f"é{rng.integers(40)}"
+        data.append((i, None if i % 50 == 7 else f"text ü {i % 60}", None if i % 41 == 5 else f"https://common/{host}",
+                     ["de", "en", None][i % 3]))
+    own = spark.createDataFrame(data, "doc_id long, text string, source string, lang string").repartition(5)
+    got = sharding.hilbert_shards(own, {"lang": F.col("lang"), "source": F.col("source")}, shards=7, bits=4)
+    cells = np.array([brute_cells([r[3] for r in data], 4), brute_cells([r[2] for r in data], 4)]).T
+    assert len(set(cells[:, 1].tolist())) > 8
+    index = sharding.hilbert_index(cells, 4).tolist()
+    raw = [(r[1] or "").encode() for r in data]
+    order = sorted(range(400), key=lambda i: (index[i], i))
+    first = {s: min(p for p in range(400) if p * 7 // 400 == s) for s in range(7)}
+    want = {i: (len(raw[i]) + 1, zlib.crc32(raw[i]), index[i], p * 7 // 400, p - first[p * 7 // 400])
+            for p, i in enumerate(order)}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["hilbert"], r["shard"], r["slot"])
+            for r in got.collect()} == want
+
+
 def test_sharding(docs, empty, tmp_path):
     dims = {"lang": F.col("lang"), "length": F.length("text")}
     cut = sharding.hilbert_shards(docs, dims, shards=4)
