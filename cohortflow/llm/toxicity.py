@@ -1,7 +1,9 @@
 """Toxic spans and scores from a linear-chain conditional random field.
 
 Training uses at most ``max_rows`` labelled documents outside the held-out
-fifth (those with the smallest hash of their doc_id). Their tokens get labels
+fifth (those with the smallest hash of their doc_id) of at most ``max_bytes``
+of text each. The field is fitted on whole documents in at most ``max_chains``
+chains, toxic ones first up to half of them, both kinds in a seeded random order. Their tokens get labels
 from the document labels: a small set of indicators (whole words and word
 beginnings) that explains the toxic documents and is rare in clean ones is
 chosen greedily, and a token of a toxic document is toxic if one applies. The field has two states, hashed features of the word (itself, its
@@ -44,7 +46,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
 CHAIN = 64
 MAX_ROWS = 4_000
-CHAINS = 8_000             # training chains at most
+MAX_BYTES = 1 << 16         # of one training text
+MAX_CHAINS = 8_000          # training chains at most
 CACHE = 500_000             # word scores kept per worker
 FLOOR = -12.0               # log odds of a document without tokens
 
@@ -215,7 +218,8 @@ def indicators(words: list[str], doc: np.ndarray, word: np.ndarray, toxic: np.nd
     return chosen
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, rate: float = 0.4, decay: float = 1e-4) -> Field:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, rate: float = 0.4, decay: float = 1e-4,
+          max_chains: int = MAX_CHAINS) -> Field:
     """Field from labelled documents; equal texts count once."""
     first = {}
     for t, y in zip(texts, toxic):
@@ -235,11 +239,12 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, rate: float = 0
     marked = np.array([not pick.isdisjoint(_names(w)) for w in words], dtype=bool)
     labels = [marked[d] & bool(y) for d, y in zip(docs, toxic)]
 
-    # whole documents: those with toxic tokens first, the others in random order, up to half of the chains each
+    # whole documents with toxic tokens and without, in random order, up to half of the chains each
     chains = np.array([-(-len(d) // CHAIN) for d in docs])
     has = np.array([x.any() for x in labels])
-    order = np.random.default_rng(7).permutation(np.flatnonzero(~has))
-    use = np.sort(np.concatenate([x[np.cumsum(chains[x]) <= CHAINS // 2] for x in (np.flatnonzero(has), order)]))
+    rng = np.random.default_rng(7)
+    clean, marked_docs = rng.permutation(np.flatnonzero(~has)), rng.permutation(np.flatnonzero(has))
+    use = np.sort(np.concatenate([x[np.cumsum(chains[x]) <= max_chains // 2] for x in (marked_docs, clean)]))
     sizes = [len(docs[i]) for i in use]
     flat = np.concatenate([docs[i] for i in use])
     label = np.concatenate([labels[i] for i in use]).astype(float)
@@ -338,15 +343,16 @@ def scan(texts: list[str], scores: Scores, spans: bool = False) -> list[tuple]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
+        max_chains: int = MAX_CHAINS) -> Field:
     """Train on a bounded sample of labelled documents outside the held-out fifth."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = sample_labels(known.select(F.col("doc_id").cast("long").alias("own_id"),
                                         F.col("toxic").cast("int").alias("label")), max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = (sample_texts(texts.filter(F.octet_length("text") <= 65536), sample, max_rows, "toxic-sample")
+    rows = (sample_texts(texts.filter(F.octet_length("text") <= max_bytes), sample, max_rows, "toxic-sample")
             .toPandas().sort_values(["own_id", "text", "label"]))
-    return train(rows["text"].tolist(), rows["label"].to_numpy(dtype=int))
+    return train(rows["text"].tolist(), rows["label"].to_numpy(dtype=int), max_chains=max_chains)
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
@@ -378,5 +384,6 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_spans", "spans")
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    return score(docs, fit(docs, labels, max_rows))
+def toxic_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
+                 max_chains: int = MAX_CHAINS) -> DataFrame:
+    return score(docs, fit(docs, labels, max_rows, max_bytes, max_chains))
