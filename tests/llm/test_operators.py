@@ -616,3 +616,44 @@ def test_pipeline_stages_on_edge_rows(spark, docs, empty, tmp_path):
             rows = out.collect()
             now = spark.createDataFrame(rows, out.schema)
         assert now.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_rows_equal_brute_force(spark, tmp_path, monkeypatch):
+    """Who leaves at each stage, and the last stage's tokens, on short, repeated, near and contaminated documents."""
+    from tokenizers import Tokenizer
+    rng = np.random.default_rng(12)
+    vocab = [f"word{i}" for i in range(3_000)]
+    texts = [" ".join(rng.choice(vocab, 300)) for _ in range(40)]
+    passage = " ".join(rng.choice(vocab, 12))
+    texts += [texts[3], texts[3], texts[5] + " end", texts[6] + " " + passage, "too short", None, "same word " * 80, ""]
+    sources = [f"src{i % 4}" for i in range(len(texts))]
+    data = [(i, t, ["en", "de"][i % 2], s, len(t or "")) for i, (t, s) in enumerate(zip(texts, sources))]
+    sf = str(tmp_path)
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(
+        3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([("b1", passage)], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{sf}/labels.parquet")
+    out, write = {}, corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize",
+                        lambda df, label: out.setdefault(label, write(df, label)))
+    last = corpus_pipeline.run(spark, sf).collect()
+
+    ids = lambda stage: sorted(r["doc_id"] for r in out[f"stage-{stage}"].collect())      # noqa: E731
+    good = [i for i, t in enumerate(texts) if t and len(t.split()) >= 50 and i != 46]
+    assert ids("quality_rules") == good
+    single = sorted(set(brute_components(good, [brute_fingerprint(texts[i]) for i in good])))
+    assert {3, 5} <= set(single) and not {40, 41} & set(single)
+    assert ids("simhash_near_dedup") == single
+    clean = [i for i in single if not brute_hits(texts[i], [("b1", passage)])[1]]
+    assert ids("decontamination") == clean and 43 not in clean
+    mixed = ids("mixing")
+    size = {i: len(texts[i].split()) for i in clean}
+    assert set(mixed) <= set(clean) and abs(sum(size[i] for i in mixed) - sum(size.values())) < 2 * max(size.values())
+
+    tokenizer, start = Tokenizer.from_file(byte_bpe()), 0
+    for doc, r in zip(mixed, sorted(last, key=lambda r: r["start"]), strict=True):
+        tokens = tokenizer.encode(texts[doc], add_special_tokens=False).ids + [2]
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (doc, start, len(tokens))
+        assert r["ids_crc32"] == zlib.crc32(np.array(tokens, dtype="<u4").tobytes())
+        start += len(tokens)
