@@ -142,14 +142,17 @@ def _levels_up_to(column, most: int):
     return F.least(F.theta_sketch_estimate(F.theta_sketch_agg(column, size)), F.lit(most).cast("long"))
 
 
-def summary_kind_profile(df: DataFrame, variables: list[str], max_levels: int = 10) -> DataFrame:
+def summary_kind_profile(df: DataFrame, variables: list[str], max_levels: int = 10, every: bool = False) -> DataFrame:
     """Kind of each variable: numeric with >= ``max_levels`` distinct values is
-    continuous, everything else categorical. ``n_distinct`` stops at ``max_levels``."""
+    continuous, everything else categorical. ``n_distinct`` stops at ``max_levels``, the number
+    that decides the kind; with ``every`` all distinct values are counted, in two levels."""
     numeric = set(numeric_columns(df, variables))
     plain = {f.name: isinstance(f.dataType, (*NUMERIC, T.StringType)) for f in df.schema.fields}
-    held = lambda v: F.col(v).cast("double") if v in numeric else F.col(v) if plain[v] else F.col(v).cast("string")
+    own = lambda v: F.col(v) if plain[v] else F.col(v).cast("string")
+    held = lambda v: F.col(v).cast("double") if v in numeric else own(v)
+    counted = lambda v: F.count_distinct(own(v)) if every else _levels_up_to(held(v), max_levels)
     one = df.agg(*[x for i, v in enumerate(variables) for x in (
-        _levels_up_to(held(v), max_levels).alias(f"d{i}"), F.count_if(F.col(v).isNull()).alias(f"m{i}"))])
+        counted(v).alias(f"d{i}"), F.count_if(F.col(v).isNull()).alias(f"m{i}"))])
     long = one.select(F.inline(F.array(*[F.struct(
         F.lit(v).alias("variable"), F.coalesce(F.col(f"d{i}"), F.lit(0)).alias("n_distinct"),
         F.col(f"m{i}").alias("n_missing"), F.lit(v in numeric).alias("is_numeric")) for i, v in enumerate(variables)])))

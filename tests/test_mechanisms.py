@@ -90,6 +90,22 @@ def test_kinds_are_told_without_a_distinct_exchange(spark):
         "none": (0, "categorical")}
 
 
+def test_the_kind_profile_query_counts_every_value(spark, monkeypatch):
+    from cohortflow.plans import queries
+
+    names = queries.DEMO_VARIABLES
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") + 2 ** 60).alias(names[0]), (F.col("id") % 25).cast("string").alias(names[1]),
+        (F.col("id") % 9).cast("int").alias(names[2]), F.date_add(F.lit("2020-01-01"), (F.col("id") % 40).cast("int"))
+        .alias(names[3]), *[F.lit(None).cast("string").alias(v) for v in names[4:]])
+    monkeypatch.setattr(queries, "demo", lambda spark, sf_dir: df)
+    got = {r["variable"]: (r["n_distinct"], r["n_missing"], r["is_numeric"], r["kind"])
+           for r in queries.QUERIES["summary_kind_profile"](spark, "").collect()}
+    assert got == {names[0]: (2000, 1000, True, "continuous"), names[1]: (25, 0, False, "categorical"),
+                   names[2]: (9, 0, True, "categorical"), names[3]: (40, 0, False, "categorical"),
+                   **{v: (0, 3000, False, "categorical") for v in names[4:]}}
+
+
 # ----------------------------------------------------------- paired record
 
 def test_paired_record_equals_brute_force(spark):
