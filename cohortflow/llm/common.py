@@ -66,6 +66,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def giving_back(run):
+    """``run`` (batches in, batches out) that hands the memory Arrow keeps unused back to the system when a task ends.
+
+    A Python worker serves task after task, and what Arrow's pool once held stays with it
+    through every later stage, beside an executor heap that is at its largest elsewhere.
+    """
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+    return whole
+
+
 def text_slices(batch, column: str, most: int):
     """Cut an Arrow batch into runs of rows whose texts hold about ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

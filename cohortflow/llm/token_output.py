@@ -43,7 +43,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import materialize, prepare, scratch, text_slices
+from cohortflow.llm.common import giving_back, materialize, prepare, scratch, text_slices
 from cohortflow.llm.warc import open_store, store_path
 
 END_ID = 2
@@ -257,7 +257,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
     # by (id, hash of the text), so that the rows of one id are dealt to several files
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
             .repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text").drop("key"))
-    return materialize(rows.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-files")
+    return materialize(rows.mapInArrow(giving_back(write), "part long, path string, n_docs long, n_tokens long"),
+                       "token-files")
 
 
 # ------------------------------------------------------------------- reading

@@ -336,6 +336,26 @@ def test_tokens(docs, empty, spark, tmp_path):
     assert len(ids) == len(mask) == 64 and not ids.flags.owndata
 
 
+def test_a_token_task_gives_unused_memory_back(docs, tmp_path, monkeypatch):
+    import pyspark
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", f.read())) / 1024
+
+    task = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: task.append(run) or self)
+    monkeypatch.setattr(token_output, "materialize", lambda df, label: df)
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    token_output.write_tokens(docs, str(tmp_path / "t"), byte_bpe())
+    text = " ".join(f"w{i % 977}x{i % 13}" for i in range(10_000))
+    batch = pa.record_batch({"doc_id": pa.array(range(200), pa.int64()), "text": pa.array([text] * 200)})
+    list(task[0](iter([batch])))
+    kept = held()
+    pa.default_memory_pool().release_unused()
+    assert kept - held() < 20           # MB; 59 without giving back
+
+
 def test_ids_of_any_blanks_equal_the_tokenizer():
     parts = token_output.parts_of(byte_bpe())
     rng = np.random.default_rng(3)
