@@ -352,7 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = (sample_texts(texts.filter(F.octet_length("text") <= max_bytes), sample, max_rows, "toxic-sample")
             .toPandas().sort_values(["own_id", "text", "label"]))
-    return train(rows["text"].tolist(), rows["label"].to_numpy(dtype=int), max_chains=max_chains)
+    bound = {} if max_chains == MAX_CHAINS else {"max_chains": max_chains}
+    return train(rows["text"].tolist(), rows["label"].to_numpy(dtype=int), **bound)
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
